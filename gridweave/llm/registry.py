@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridweave.llm import bpe, tokenfile
+from gridweave.llm import bpe, chat, ogg, pii, quality, tokenfile, urls, warc
 from gridweave.llm.common import read
 
 
@@ -10,12 +10,37 @@ def op3_bpe(spark, sf_dir):
     return bpe.digests(read(spark, sf_dir, "documents"))
 
 
+def op4_chat(spark, sf_dir):
+    return chat.digests(chat.with_trial(read(spark, sf_dir, "conversations")))
+
+
+def op5_quality(spark, sf_dir):
+    return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op6_urls(spark, sf_dir):
+    return urls.judge(read(spark, sf_dir, "pages"))
+
+
+def op7_ogg(spark, sf_dir):
+    return ogg.describe(ogg.encode(read(spark, sf_dir, "documents")))
+
+
+def op8_pii(spark, sf_dir):
+    return pii.apply(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_token_files(spark, sf_dir):
     return tokenfile.write_and_read(read(spark, sf_dir, "documents"))
 
 
+def op10_warc(spark, sf_dir):
+    return warc.write_and_read(read(spark, sf_dir, "pages"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_bpe, op9_token_files)}
+    every = (op3_bpe, op4_chat, op5_quality, op6_urls, op7_ogg, op8_pii, op9_token_files, op10_warc)
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict:
