@@ -1,15 +1,65 @@
-"""The corpus pipeline; its stages follow as their operators are built."""
+"""The corpus pipeline: documents of poor quality, near duplicates and benchmark leaks go, personal data
+is pseudonymised, and what is left is encoded.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that the one before it kept. All but the
+last return the columns of documents; n_chars follows the text where a stage changes it. Rows with
+null text count as empty texts; rows without doc_id take part as each operator's docstring says.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gridweave.llm import bpe, decontam, neardup, pii, quality
+from gridweave.llm.common import read, stored
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier doesn't reject."""
+    model = quality.train(docs, read(spark, sf_dir, "labels"))
+    scored = quality.score(docs, model, out="own_quality_score")
+    return scored.where(F.col("own_quality_score") >= quality.THRESHOLD).select(*docs.columns)
+
+
+def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: that with the least doc_id, once."""
+    kept = neardup.near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    named, nameless = docs.where("doc_id is not null"), docs.where("doc_id is null")
+    return named.join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi").dropDuplicates(["doc_id"]).unionByName(nameless)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without passages of the benchmark."""
+    return decontam.decontaminate(docs, read(spark, sf_dir, "benchmark"))
+
+
+def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with pseudonyms in their texts."""
+    changed = pii.apply(docs)
+    length = F.when(F.col("pii_count") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return changed.withColumn("n_chars", length).select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, source, n_tokens and token_ids of all documents."""
+    coded = bpe.encode(docs.select("doc_id", "source", "text"))
+    return coded.select("doc_id", "source", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids")
+
+
+STAGES = [
+    ("quality", keep_quality),
+    ("near_duplicates", keep_distinct),
+    ("decontamination", drop_leaks),
+    ("pseudonyms", hide_personal_data),
+    ("tokens", encode),
+]
+#: The classifier is trained and the tokenizer's merges are its own: SQL expresses neither. Tests compare with plain versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents, through all stages in turn."""
-    from gridweave.llm.common import read, stored
-
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name)

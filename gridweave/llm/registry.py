@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from gridweave.llm import bpe, chat, ogg, pii, quality, tokenfile, urls, warc
+from gridweave.llm import bpe, chat, decontam, neardup, ogg, pii, quality, tokenfile, urls, warc
 from gridweave.llm.common import read
 
 
+def op1_decontamination(spark, sf_dir):
+    return decontam.matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op2_near_duplicates(spark, sf_dir):
+    return neardup.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op3_bpe(spark, sf_dir):
     return bpe.digests(read(spark, sf_dir, "documents"))
 
@@ -39,7 +47,7 @@ def op10_warc(spark, sf_dir):
 
 
 def queries() -> dict:
-    every = (op3_bpe, op4_chat, op5_quality, op6_urls, op7_ogg, op8_pii, op9_token_files, op10_warc)
+    every = (op1_decontamination, op2_near_duplicates, op3_bpe, op4_chat, op5_quality, op6_urls, op7_ogg, op8_pii, op9_token_files, op10_warc)
     return {f.__name__: f for f in every}
 
 
