@@ -1,11 +1,659 @@
-"""Every query of the library, with the SQL that DuckDB answers it by."""
+"""Every query of the library over the demonstration map, with the SQL that DuckDB answers it by.
+
+A query without SQL is one that needs a search or an optimiser; tests hold those against plain versions.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from gridweave.functions import geo, naming
+from gridweave.operators import cluster, graph, grid, merge, nearest, osm, region, route
+from gridweave.plans.demo import TAGS, Map, haversine, sql
+
+FOUND: dict[str, tuple] = {}
+DENSITY, FACTOR, RATED_KVA, MIN_DISTANCE = 500.0, 0.2, 630.0, 10.0
+
+
+def query(text: str | None = None):
+    """Registers a function of the map under its name."""
+
+    def register(f):
+        FOUND[f.__name__] = (f, text)
+        return f
+
+    return register
+
 
 def queries() -> dict:
-    return {}
+    return {name: lambda spark, sf_dir, f=f: f(Map(spark, sf_dir)) for name, (f, _) in FOUND.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {name: text for name, (_, text) in FOUND.items() if text}
+
+
+# --- what queries share ---
+
+
+def entities(m: Map) -> DataFrame:
+    pairs = F.map_from_arrays(F.array(*map(F.lit, TAGS)), F.array(*TAGS))
+    return m.entity.select("type", "id", "is_closed", F.map_filter(pairs, lambda k, v: v.isNotNull()).alias("tags"))
+
+
+def rectangle(lat: str, lon: str, half: str, wide: float = 1.5) -> F.Column:
+    corner = lambda a, o: F.struct((F.col(lat) + F.col(half) * a).alias("lat"), (F.col(lon) + F.col(half) * wide * o).alias("lon"))
+    return F.array(corner(-1, -1), corner(-1, 1), corner(1, 1), corner(1, -1), corner(-1, -1))
+
+
+def buildings(m: Map) -> DataFrame:
+    return m.building.select("building_id", "lat", "lon", rectangle("lat", "lon", "half").alias("ring"))
+
+
+def corners(m: Map) -> DataFrame:
+    """The ring of each building as voting points, its closing point among them."""
+    rings = buildings(m).select(F.lit("building").alias("role"), F.col("building_id").alias("id"), F.posexplode("ring").alias("pos", "p"))
+    return rings.select("role", "id", "pos", "p.lat", "p.lon")
+
+
+def street_points(m: Map) -> DataFrame:
+    return m.way_node.join(m.osm_node, "node_id").select(F.lit("highway").alias("role"), F.col("way_id").alias("id"), "pos", "lat", "lon")
+
+
+def areas(m: Map) -> DataFrame:
+    return region.rectangles(m.boundary, "area_id")
+
+
+def edges(m: Map) -> DataFrame:
+    return graph.street_graph(m.way_node, m.osm_node)
+
+
+def banded(df: DataFrame, key: str = "a_id") -> DataFrame:
+    """With the street band of a node as grid_id."""
+    return df.withColumn("grid_id", F.floor(F.col(key) / 350).cast("long"))
+
+
+def connections(m: Map) -> DataFrame:
+    return nearest.nearest_section(m.building.select("building_id", "lat", "lon"), "building_id", m.section, MIN_DISTANCE)
+
+
+def vertices(m: Map) -> DataFrame:
+    """Street vertices of each band with degree, and the buildings and substations that stand by their nodes."""
+    load = m.building.select(F.col("building_id").alias("node_id"), F.lit(1).alias("n"))
+    sub = m.substation.select((F.col("sub_id") * 20).alias("node_id"), F.lit(True).alias("s"))
+    at = m.osm_node.join(graph.degrees(edges(m)), "node_id").join(load, "node_id", "left").join(sub, "node_id", "left")
+    is_sub = F.coalesce("s", F.lit(False))
+    n = F.when(is_sub, F.lit(0)).otherwise(F.coalesce("n", F.lit(0)))
+    return banded(at, "node_id").select("grid_id", "node_id", "lat", "lon", n.alias("n_buildings"), is_sub.alias("is_substation"), "degree", (n * 2.5).alias("power_kw"))
+
+
+EDGE_SQL = f"edge AS (SELECT least(a_id,b_id) AS a_id, greatest(a_id,b_id) AS b_id, min({haversine('a_', 'b_')}) AS dist_m FROM section WHERE a_id<>b_id GROUP BY 1,2)"
+DEGREE_SQL = "deg AS (SELECT node_id, CAST(count(*) AS BIGINT) AS degree FROM (SELECT a_id AS node_id FROM edge UNION ALL SELECT b_id FROM edge) GROUP BY 1)"
+VERTEX_SQL = (
+    "vertex AS (SELECT CAST(floor(n.node_id/350) AS BIGINT) AS grid_id, n.node_id, n.lat, n.lon, CASE WHEN s.sub_id IS NOT NULL THEN 0 WHEN b.building_id IS NOT NULL THEN 1 ELSE 0 END AS n_buildings,"
+    " s.sub_id IS NOT NULL AS is_substation, d.degree FROM osm_node n JOIN deg d ON d.node_id=n.node_id LEFT JOIN building b ON b.building_id=n.node_id LEFT JOIN substation s ON s.sub_id*20=n.node_id)"
+)
+SNAP_SQL = (
+    "foot AS (SELECT p.building_id, p.lat, p.lon, s.*, CASE WHEN sq=0e0 THEN 0e0 ELSE ((p.lon-a_lon)*(b_lon-a_lon)+(p.lat-a_lat)*(b_lat-a_lat))/sq END AS t"
+    " FROM building p JOIN (SELECT *, (b_lon-a_lon)*(b_lon-a_lon)+(b_lat-a_lat)*(b_lat-a_lat) AS sq FROM section) s"
+    " ON abs(p.lat-s.a_lat)<4e-3 AND abs(p.lon-s.a_lon)<4e-3),"
+    "foot2 AS (SELECT *, a_lat+t*(b_lat-a_lat) AS p_lat, a_lon+t*(b_lon-a_lon) AS p_lon FROM foot),"
+    f"foot3 AS (SELECT *, CASE WHEN t>=0e0 AND t<=1e0 AND {haversine('p_', 'a_')}>10e0 AND {haversine('p_', 'b_')}>10e0 THEN 'new' WHEN {haversine('', 'a_')}<{haversine('', 'b_')} THEN 'a' ELSE 'b' END AS kind FROM foot2),"
+    "foot4 AS (SELECT *, CASE kind WHEN 'new' THEN p_lat WHEN 'a' THEN a_lat ELSE b_lat END AS s_lat, CASE kind WHEN 'new' THEN p_lon WHEN 'a' THEN a_lon ELSE b_lon END AS s_lon,"
+    " CASE kind WHEN 'new' THEN t WHEN 'a' THEN 0e0 ELSE 1e0 END AS s_t FROM foot3),"
+    f"foot5 AS (SELECT *, round({haversine('', 's_')},6) AS d FROM foot4),"
+    "snapped AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY building_id ORDER BY d, way_id, pos) AS n FROM foot5) WHERE n=1)"
+)
+
+
+# --- entities ---
+
+
+@query(sql("SELECT type, id FROM entity WHERE building='transformer_tower' OR power='substation' OR boundary IN ('administrative','census') OR highway='motorway'"))
+def tag_filter_or(m):
+    return osm.filter_or(entities(m), [osm.SUBSTATION, osm.BOUNDARY, {"highway": ["motorway"]}]).select("type", "id")
+
+
+ROLE_SQL = (
+    "role AS (SELECT 'building' AS role, type, id FROM entity WHERE building IS NOT NULL AND is_closed UNION ALL SELECT 'highway', type, id FROM entity WHERE highway IS NOT NULL AND type='way'"
+    " UNION ALL SELECT 'landuse', type, id FROM entity WHERE landuse IS NOT NULL AND is_closed UNION ALL SELECT 'boundary', type, id FROM entity WHERE boundary IN ('administrative','census') AND type='relation'"
+    " UNION ALL SELECT 'substation', type, id FROM entity WHERE (building='transformer_tower' OR power='substation') AND (is_closed OR type='node'))"
+)
+
+
+@query(sql("SELECT role, type, id FROM role", ROLE_SQL))
+def role_split(m):
+    return osm.with_roles(entities(m)).select("role", "type", "id")
+
+
+@query(sql("SELECT role, CAST(count(*) AS BIGINT) AS n FROM role GROUP BY role", ROLE_SQL))
+def role_merge(m):
+    roles = osm.with_roles(entities(m))
+    merged, _ = osm.merge((roles.where("id % 2 = 0"), osm.ROLES), (roles.where("id % 2 = 1"), osm.ROLES))
+    return merged.groupBy("role").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(sql("SELECT type, id FROM entity WHERE is_closed OR (type='node' AND power='substation')"))
+def closed_ways_and_nodes(m):
+    found = entities(m)
+    return osm.closed_ways(found).unionByName(osm.filter_or(osm.of_type(osm.substations_only(found), "node"), [{"power": ["substation"]}])).select("type", "id")
+
+
+def ways(m: Map) -> DataFrame:
+    listed = m.way_node.groupBy("way_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "node_id"))), lambda x: x["node_id"]).alias("nodes"))
+    return listed.withColumn("tags", F.create_map(F.lit("highway"), F.lit("residential")))
+
+
+@query(sql("SELECT w.way_id, CAST(row_number() OVER (PARTITION BY w.way_id ORDER BY w.pos)-1 AS INT) AS pos, w.node_id, round(n.lat,7) AS lat, round(n.lon,7) AS lon FROM way_node w LEFT JOIN (SELECT * FROM osm_node WHERE node_id%10<>0) n ON n.node_id=w.node_id QUALIFY n.node_id IS NOT NULL"))
+def member_expand(m):
+    some = m.osm_node.where("node_id % 10 <> 0")
+    return osm.way_members(ways(m), some).select("way_id", "pos", "node_id", F.round("lat", 7).alias("lat"), F.round("lon", 7).alias("lon"))
+
+
+RELATION_SQL = (
+    "rel AS (SELECT DISTINCT r AS rel_id FROM osm_node WHERE r%7<>6), direct AS (SELECT rel_id, 'way' AS type, 1000000+rel_id AS id FROM rel UNION ALL SELECT rel_id, 'relation', rel_id+1 FROM rel WHERE rel_id%3<>2),"
+    "walk AS (SELECT rel_id, type, id FROM direct UNION SELECT w.rel_id, d.type, d.id FROM walk w JOIN direct d ON w.type='relation' AND d.rel_id=w.id),"
+    "every AS (SELECT * FROM walk UNION SELECT w.rel_id, 'node', x.node_id FROM walk w JOIN way_node x ON w.type='way' AND x.way_id=w.id)"
+)
+
+
+@query(sql("SELECT rel_id, type, id FROM every WHERE type<>'relation' OR id IN (SELECT rel_id FROM rel)", RELATION_SQL, recursive=True))
+def relation_members(m):
+    kind = "array<struct<id:long,type:string,role:string>>"
+    rels = m.osm_node.where("r % 7 <> 6").select(F.col("r").alias("rel_id")).distinct()
+    way = F.struct((F.col("rel_id") + 1000000).alias("id"), F.lit("way").alias("type"), F.lit("outer").alias("role"))
+    sub = F.struct((F.col("rel_id") + 1).alias("id"), F.lit("relation").alias("type"), F.lit("sub").alias("role"))
+    rels = rels.withColumn("members", F.when(F.col("rel_id") % 3 != 2, F.array(way, sub)).otherwise(F.array(way)).cast(kind)).withColumn("tags", F.create_map(F.lit("boundary"), F.lit("administrative")))
+    nodes = m.osm_node.select("node_id", "lat", "lon", F.create_map(F.lit("x"), F.lit("y")).alias("tags"))
+    return osm.relation_members(rels, ways(m), nodes)
+
+
+@query(sql("SELECT sub_id AS node_id, 'Substation ' || sub_id AS name FROM substation"))
+def substation_names(m):
+    named = m.substation.select(F.col("sub_id").alias("node_id"), F.lit("substation").alias("kind"), F.lit(None).cast("string").alias("way_name"))
+    return named.select("node_id", naming.highway_node_name().alias("name"))
+
+
+# --- streets ---
+
+
+@query(sql("SELECT way_id, pos, a_id, b_id FROM section"))
+def way_sections(m):
+    return graph.sections(m.way_node, m.osm_node).select("way_id", "pos", "a_id", "b_id")
+
+
+@query(sql(f"SELECT way_id, pos, round({haversine('a_', 'b_')},3) AS dist_m FROM section"))
+def section_lengths(m):
+    return graph.sections(m.way_node, m.osm_node).select("way_id", "pos", F.round(graph.section_length(), 3).alias("dist_m"))
+
+
+@query(sql("SELECT a_id, b_id, round(dist_m,3) AS dist_m FROM edge", EDGE_SQL))
+def street_graph_edges(m):
+    return edges(m).select("a_id", "b_id", F.round("dist_m", 3).alias("dist_m"))
+
+
+@query(sql("SELECT node_id, degree FROM deg", EDGE_SQL, DEGREE_SQL))
+def vertex_degree(m):
+    return graph.degrees(edges(m))
+
+
+@query(sql("SELECT round(sum(dist_m),2) AS total_m FROM edge", EDGE_SQL))
+def total_length(m):
+    return graph.total_length(edges(m)).select(F.round("total_m", 2).alias("total_m"))
+
+
+@query(sql(f"SELECT way_id, round(sum({haversine('a_', 'b_')}),3) AS length_m FROM section GROUP BY way_id"))
+def way_lengths(m):
+    return graph.polyline_lengths(m.way_node, m.osm_node).select("way_id", F.round("length_m", 3).alias("length_m"))
+
+
+NEAR_SQL = "near AS (SELECT a_id AS node_id, b_id AS neighbour_id, round(dist_m,3) AS dist_m FROM edge UNION ALL SELECT b_id, a_id, round(dist_m,3) FROM edge)"
+
+
+@query(sql("SELECT node_id, neighbour_id, dist_m, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY node_id ORDER BY dist_m, neighbour_id) AS INT) AS rank FROM near) WHERE rank<=2", EDGE_SQL, NEAR_SQL))
+def nearest_n(m):
+    return graph.neighbours(edges(m).withColumn("dist_m", F.round("dist_m", 3)), 2)
+
+
+@query(sql("SELECT node_id, neighbour_id, dist_m, CAST(row_number() OVER (PARTITION BY node_id ORDER BY dist_m DESC, neighbour_id) AS INT) AS rank FROM near", EDGE_SQL, NEAR_SQL))
+def longest_edges(m):
+    return graph.longest_edges(edges(m).withColumn("dist_m", F.round("dist_m", 3)))
+
+
+@query(sql("SELECT a.nation AS grp, a.id AS a_id, b.id AS b_id FROM s a JOIN s b ON a.nation=b.nation AND a.id<b.id", "s AS (SELECT CAST(s_nationkey AS BIGINT) AS nation, CAST(s_suppkey AS BIGINT) AS id FROM supplier)"))
+def unique_pairs(m):
+    points = m.base("supplier").select(F.col("s_nationkey").cast("long").alias("grp"), F.col("s_suppkey").cast("long").alias("id"))
+    return graph.unique_pairs(points, "grp", "id")
+
+
+@query(sql(f"SELECT grp, a.id AS a_id, b.id AS b_id, round({haversine('a.', 'b.')},3) AS dist_m FROM s a JOIN s b USING (grp) WHERE a.id<b.id", "s AS (SELECT sub_id%25 AS grp, sub_id AS id, lat, lon FROM substation)"))
+def pair_distance(m):
+    points = m.substation.select((F.col("sub_id") % 25).alias("grp"), F.col("sub_id").alias("node_id"), "lat", "lon")
+    return graph.straight_connections(points, "grp").select("grp", "a_id", "b_id", F.round("dist_m", 3).alias("dist_m"))
+
+
+# --- buildings and areas ---
+
+
+@query(sql("SELECT building_id, round(area,2) AS area_m2, round(area*500e0/1000e0,2) AS power_kw FROM (SELECT building_id, abs(radians(3e0*half)*2e0*sin(radians(lat-half))-radians(3e0*half)*2e0*sin(radians(lat+half)))*20340315798442.285e0 AS area FROM building)"))
+def building_area_load(m):
+    return grid.building_loads(buildings(m), DENSITY).select("building_id", F.round("area_m2", 2).alias("area_m2"), F.round("power_kw", 2).alias("power_kw"))
+
+
+@query(sql("SELECT building_id, round(lat,7) AS lat, round(lon,7) AS lon FROM building"))
+def building_centroid(m):
+    return grid.building_loads(buildings(m), DENSITY).select("building_id", F.round("lat", 7).alias("lat"), F.round("lon", 7).alias("lon"))
+
+
+@query(sql("SELECT building_id FROM building b WHERE EXISTS (SELECT 1 FROM landuse l WHERE b.lat BETWEEN l.lat0 AND l.lat1 AND b.lon BETWEEN l.lon0 AND l.lon1)"))
+def landuse_semi_join(m):
+    return nearest.inside_any(m.building.select("building_id", "lat", "lon"), "building_id", region.rectangles(m.landuse, "landuse_id"))
+
+
+CORNER_SQL = (
+    "corner AS (SELECT building_id AS id, lat+half*y AS lat, lon+half*1.5e0*x AS lon FROM building CROSS JOIN (VALUES (-1,-1),(-1,1),(1,1),(1,-1),(-1,-1)) k(y,x)),"
+    "vote AS (SELECT id, area_id, CAST(count(*) AS BIGINT) AS votes FROM corner c JOIN boundary b ON c.lat BETWEEN b.lat0 AND b.lat1 AND c.lon BETWEEN b.lon0 AND b.lon1 GROUP BY 1,2),"
+    "won AS (SELECT id, area_id FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY votes DESC, area_id) AS n FROM vote) WHERE n=1)"
+)
+
+
+@query(sql("SELECT id, area_id, votes FROM vote", CORNER_SQL))
+def area_votes(m):
+    return region.votes(corners(m), areas(m)).select("id", "area_id", "votes")
+
+
+@query(sql("SELECT id, area_id FROM won", CORNER_SQL))
+def area_votes_max(m):
+    return region.assign(region.votes(corners(m), areas(m))).select("id", "area_id")
+
+
+STREET_SQL = "street AS (SELECT DISTINCT w.way_id AS id, b.area_id FROM way_node w JOIN osm_node n ON n.node_id=w.node_id JOIN boundary b ON n.lat BETWEEN b.lat0 AND b.lat1 AND n.lon BETWEEN b.lon0 AND b.lon1)"
+
+
+@query(sql("SELECT id, area_id FROM street", STREET_SQL))
+def area_votes_all(m):
+    return region.assign(region.votes(street_points(m), areas(m))).select("id", "area_id")
+
+
+@query(sql("SELECT 'building' AS role, id, area_id FROM won WHERE id%50<25 UNION ALL SELECT 'highway', id, area_id FROM street WHERE area_id IN (SELECT area_id FROM won WHERE id%50<25)", CORNER_SQL, STREET_SQL))
+def partition_prune(m):
+    placed = region.assign(region.votes(corners(m).where("id % 50 < 25").unionByName(street_points(m)), areas(m)))
+    return region.prune_areas(placed).select("role", "id", "area_id")
+
+
+LEVEL_SQL = (
+    "big AS (SELECT CAST(floor(area_id/5) AS BIGINT) AS area_id, min(lat0) AS lat0, max(lat1) AS lat1, min(lon0) AS lon0, max(lon1) AS lon1 FROM boundary GROUP BY 1),"
+    "vote0 AS (SELECT id, b.area_id, count(*) AS votes FROM corner c JOIN big b ON c.lat BETWEEN b.lat0 AND b.lat1 AND c.lon BETWEEN b.lon0 AND b.lon1 GROUP BY 1,2),"
+    "won0 AS (SELECT id, area_id FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY votes DESC, area_id) AS n FROM vote0) WHERE n=1)"
+)
+
+
+@query(sql("SELECT a.id, a.area_id AS upper_area, b.area_id AS lower_area FROM won0 a JOIN won b ON a.id=b.id", CORNER_SQL, LEVEL_SQL))
+def region_partition(m):
+    upper = m.boundary.groupBy(F.floor(F.col("area_id") / 5).cast("long").alias("area_id")).agg(*[f(c).alias(c) for f, c in ((F.min, "lat0"), (F.max, "lat1"), (F.min, "lon0"), (F.max, "lon1"))])
+    levels = {2: region.rectangles(upper, "area_id"), 4: areas(m)}
+    placed = region.partition(corners(m), levels.get, 2, 4)
+    return placed.select("id", F.get("region", F.lit(0)).alias("upper_area"), F.get("region", F.lit(1)).alias("lower_area"))
+
+
+# --- connection to streets ---
+
+
+@query(sql("SELECT building_id, way_id, pos, kind, round(d,3) AS dist_m FROM snapped", SNAP_SQL))
+def nearest_section(m):
+    return connections(m).select("building_id", "way_id", "pos", F.col("snap_kind").alias("kind"), F.round("dist_m", 3).alias("dist_m"))
+
+
+@query(sql(f"SELECT sub_id, node_id, dist_m FROM (SELECT *, row_number() OVER (PARTITION BY sub_id ORDER BY d6, node_id) AS n FROM (SELECT sub_id, node_id, round({haversine('s.', 'o.')},6) AS d6, round({haversine('s.', 'o.')},3) AS dist_m FROM substation s JOIN osm_node o ON abs(s.lat-o.lat)<3e-3 AND abs(s.lon-o.lon)<3e-3)) WHERE n=1"))
+def nearest_osm_node(m):
+    return nearest.nearest_node(m.substation.select("sub_id", "lat", "lon"), "sub_id", m.osm_node).select("sub_id", "node_id", F.round("dist_m", 3).alias("dist_m"))
+
+
+POINT_SQL = (
+    "chain AS (SELECT way_id, pos, a_id AS node_id, 0 AS rank, 0e0 AS t, a_lat AS lat, a_lon AS lon FROM section UNION ALL SELECT way_id, pos, b_id, 2, 1e0, b_lat, b_lon FROM section"
+    " UNION ALL SELECT way_id, pos, 100000000+building_id, 1, s_t, s_lat, s_lon FROM snapped WHERE kind='new'),"
+    "piece AS (SELECT way_id, pos, node_id AS a_id, lead(node_id) OVER w AS b_id, lat AS a_lat, lon AS a_lon, lead(lat) OVER w AS b_lat, lead(lon) OVER w AS b_lon FROM chain WINDOW w AS (PARTITION BY way_id, pos ORDER BY rank, t, node_id))"
+)
+
+
+def connection_points(m: Map) -> DataFrame:
+    return connections(m).select(
+        "way_id", "pos", "building_id", (F.col("building_id") + 100000000).alias("node_id"), F.col("snap_t").alias("t"), F.col("snap_lat").alias("lat"), F.col("snap_lon").alias("lon"),
+        F.col("snap_kind").alias("kind"), F.col("lat").alias("building_lat"), F.col("lon").alias("building_lon"), "a_id", "b_id",
+    )
+
+
+@query(sql(f"SELECT way_id, pos, a_id, b_id, round({haversine('a_', 'b_')},3) AS dist_m FROM piece WHERE b_id IS NOT NULL", SNAP_SQL, POINT_SQL))
+def split_sections(m):
+    return graph.split_sections(m.section, connection_points(m).where("kind = 'new'")).withColumn("dist_m", F.round("dist_m", 3))
+
+
+@query(sql("SELECT building_id, 200000000+building_id AS a_id, CASE kind WHEN 'new' THEN 100000000+building_id WHEN 'a' THEN a_id ELSE b_id END AS b_id, round(d,3) AS dist_m FROM snapped", SNAP_SQL))
+def house_connections(m):
+    end = F.when(F.col("kind") == "new", F.col("node_id")).when(F.col("kind") == "a", F.col("a_id")).otherwise(F.col("b_id"))
+    points = connection_points(m).withColumn("node_id", end).withColumn("building_vertex", F.col("building_id") + 200000000)
+    return graph.house_connections(points).withColumn("dist_m", F.round("dist_m", 3))
+
+
+# --- graphs ---
+
+LABEL_SQL = "both_ AS (SELECT a_id AS a, b_id AS b FROM edge UNION ALL SELECT b_id, a_id FROM edge), seed AS (SELECT min(a) AS s FROM both_ GROUP BY CAST(floor(a/350) AS BIGINT)), reach AS (SELECT s, s AS node_id FROM seed UNION SELECT r.s, x.b FROM reach r JOIN both_ x ON x.a=r.node_id), label AS (SELECT node_id, min(s) AS component FROM reach GROUP BY 1)"
+
+
+@query(sql("SELECT node_id, component FROM label", EDGE_SQL, LABEL_SQL, recursive=True))
+def components(m):
+    return graph.graph_components(edges(m))
+
+
+@query(sql("SELECT node_id, component FROM label WHERE component IN (SELECT component FROM label l JOIN building b ON b.building_id=l.node_id WHERE b.building_id%1000<400) OR (SELECT count(DISTINCT component) FROM label)=1", EDGE_SQL, LABEL_SQL, recursive=True))
+def component_prune(m):
+    return graph.prune_components(graph.graph_components(edges(m)), m.building.where("building_id % 1000 < 400").select(F.col("building_id").alias("node_id")))
+
+
+CHAIN_SQL = (
+    "keep AS (SELECT node_id FROM deg WHERE degree>2 UNION SELECT sub_id*20 FROM substation),"
+    "dir AS (SELECT a_id AS a, b_id AS b, dist_m AS d FROM edge UNION ALL SELECT b_id, a_id, dist_m FROM edge),"
+    "walk AS (SELECT a AS k, a AS prev, b AS cur, d FROM dir WHERE a IN (SELECT node_id FROM keep)"
+    " UNION ALL SELECT w.k, w.cur, x.b, w.d+x.d FROM walk w JOIN dir x ON x.a=w.cur AND x.b<>w.prev WHERE w.cur NOT IN (SELECT node_id FROM keep)),"
+    "made AS (SELECT least(k,cur) AS a_id, greatest(k,cur) AS b_id, min(d) AS dist_m FROM walk WHERE cur IN (SELECT node_id FROM keep) AND k<>cur GROUP BY 1,2)"
+)
+
+
+def kept(m: Map, own: DataFrame) -> DataFrame:
+    return graph.keep_set(own, m.substation.select((F.col("sub_id") * 20).alias("node_id")))
+
+
+@query(sql("SELECT a_id, b_id, round(dist_m,3) AS dist_m FROM made", EDGE_SQL, DEGREE_SQL, CHAIN_SQL, recursive=True))
+def contract_graph(m):
+    own = edges(m)
+    return graph.contract(own, kept(m, own)).withColumn("dist_m", F.round("dist_m", 3))
+
+
+@query(sql("SELECT a_id, b_id, round(dist_m,3) AS dist_m FROM edge WHERE a_id IN (SELECT node_id FROM inside) AND b_id IN (SELECT node_id FROM inside)", EDGE_SQL, "inside AS (SELECT node_id FROM osm_node n JOIN boundary b ON b.area_id%4=0 AND n.lat BETWEEN b.lat0 AND b.lat1 AND n.lon BETWEEN b.lon0 AND b.lon1)"))
+def polygon_subgraph(m):
+    inside = nearest.point_in_rings(m.osm_node.select("node_id", "lat", "lon"), "node_id", areas(m).where("area_id % 4 = 0"), "area_id")
+    return graph.polygon_subgraph(edges(m), inside).withColumn("dist_m", F.round("dist_m", 3))
+
+
+SEGMENT_SQL = (
+    "seg AS (SELECT n.node_id AS edge_id, n.lat AS a_lat, n.lon AS a_lon, n.lat+CASE WHEN n.node_id%2=0 THEN 11e-4 ELSE -9e-4 END AS b_lat, n.lon+CASE WHEN n.node_id%3=0 THEN 2e-3 ELSE -17e-4 END AS b_lon FROM osm_node n)"
+)
+TURN = "(({q}_lon-{p}_lon)*({r}_lat-{p}_lat)-({q}_lat-{p}_lat)*({r}_lon-{p}_lon))"
+
+
+def _t(p: str, q: str, r: str) -> str:
+    return TURN.format(p=p, q=q, r=r)
+
+
+@query(
+    sql(
+        "SELECT first, second FROM (SELECT l.edge_id AS first, r.edge_id AS second, "
+        f"sign({_t('l.a', 'l.b', 'r.a')})*sign({_t('l.a', 'l.b', 'r.b')}) AS u, sign({_t('r.a', 'r.b', 'l.a')})*sign({_t('r.a', 'r.b', 'l.b')}) AS v"
+        " FROM seg l JOIN seg r ON l.edge_id<r.edge_id AND abs(l.a_lat-r.a_lat)<3e-3 AND abs(l.a_lon-r.a_lon)<5e-3) WHERE u<0 AND v<0",
+        SEGMENT_SQL,
+    )
+)
+def edge_crossings(m):
+    n = F.col("node_id")
+    seg = m.osm_node.select(
+        n.alias("edge_id"), F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon"), (F.col("lat") + F.when(n % 2 == 0, F.lit(11e-4)).otherwise(F.lit(-9e-4))).alias("b_lat"),
+        (F.col("lon") + F.when(n % 3 == 0, F.lit(2e-3)).otherwise(F.lit(-17e-4))).alias("b_lon"),
+    )
+    return graph.edge_crossings(seg, 2e-3)
+
+
+@query()
+def shortest_paths(m):
+    own = edges(m)
+    small = banded(graph.contract(own, kept(m, own)))
+    sources = banded(small.select(F.explode(F.array("a_id", "b_id")).alias("node_id")).distinct(), "node_id")
+    return graph.shortest_paths(small, sources).select("grid_id", "a_id", "b_id", F.round("dist_m", 3).alias("dist_m"))
+
+
+# --- clusters ---
+
+AREA_SQL = "b_area AS (SELECT w.area_id AS grid_id, w.id AS node_id, b.lat, b.lon FROM won w JOIN building b ON b.building_id=w.id), s_area AS (SELECT b.area_id AS grid_id, 900000000+s.sub_id AS substation_id, s.lat, s.lon FROM substation s JOIN boundary b ON s.lat BETWEEN b.lat0 AND b.lat1 AND s.lon BETWEEN b.lon0 AND b.lon1)"
+ASSIGN_SQL = f"asg AS (SELECT grid_id, node_id, substation_id, dist_m FROM (SELECT *, row_number() OVER (PARTITION BY grid_id, node_id ORDER BY dist_m, substation_id) AS n FROM (SELECT b.grid_id, b.node_id, s.substation_id, round({haversine('b.', 's.')},3) AS dist_m FROM b_area b JOIN s_area s ON s.grid_id=b.grid_id)) WHERE n=1)"
+
+
+def in_areas(m: Map) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Buildings and substations of each area, and the distances between them."""
+    won = region.assign(region.votes(corners(m), areas(m))).select(F.col("area_id").alias("grid_id"), F.col("id").alias("node_id"))
+    at = won.join(m.building, F.col("node_id") == F.col("building_id")).select("grid_id", "node_id", "lat", "lon")
+    subs = nearest.point_in_rings(m.substation, "sub_id", areas(m), "area_id").join(m.substation, "sub_id")
+    subs = subs.select(F.col("area_id").alias("grid_id"), (F.col("sub_id") + 900000000).alias("substation_id"), F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon"))
+    d = at.join(subs, "grid_id").select("grid_id", F.col("node_id").alias("a_id"), F.col("substation_id").alias("b_id"), F.round(geo.haversine("lat", "lon", "s_lat", "s_lon"), 3).alias("dist_m"))
+    return at, subs, d
+
+
+def assigned(m: Map) -> DataFrame:
+    at, subs, d = in_areas(m)
+    return cluster.closest_substation(at, subs.select("grid_id", "substation_id"), d)
+
+
+@query(sql("SELECT grid_id, CASE WHEN 630e0>load*0.2e0 THEN CAST(1 AS BIGINT) ELSE CAST(ceil(load*0.2e0/630e0) AS BIGINT) END AS n FROM (SELECT grid_id, CAST(count(*) AS BIGINT)*75e0 AS load FROM b_area GROUP BY 1)", CORNER_SQL, AREA_SQL))
+def substation_count(m):
+    at, _, _ = in_areas(m)
+    return at.groupBy("grid_id").agg((F.count(F.lit(1)) * 75.0).alias("load")).select("grid_id", cluster.substation_count(F.col("load"), FACTOR, RATED_KVA).alias("n"))
+
+
+@query(sql("SELECT * FROM asg", CORNER_SQL, AREA_SQL, ASSIGN_SQL))
+def cluster_assign(m):
+    return assigned(m)
+
+
+@query(sql("SELECT grid_id, substation_id, CAST(count(*) AS BIGINT) AS n_nodes, round(sum(dist_m),2) AS total_m FROM asg GROUP BY 1,2", CORNER_SQL, AREA_SQL, ASSIGN_SQL))
+def cluster_lengths(m):
+    return cluster.cluster_lengths(assigned(m)).withColumn("total_m", F.round("total_m", 2))
+
+
+@query(sql("SELECT x.grid_id, x.substation_id, e.a_id, e.b_id FROM edge e JOIN asg x ON x.node_id=e.a_id JOIN asg y ON y.node_id=e.b_id AND y.grid_id=x.grid_id AND y.substation_id=x.substation_id", EDGE_SQL, CORNER_SQL, AREA_SQL, ASSIGN_SQL))
+def cluster_lines(m):
+    own = assigned(m)
+    inside = edges(m).join(own.select("grid_id", F.col("node_id").alias("a_id")), "a_id")
+    return cluster.lines_within(inside, own).select("grid_id", "substation_id", "a_id", "b_id")
+
+
+@query(sql("SELECT grid_id, substation_id, node_id, node_id%7+0.5e0 AS power_kw FROM asg", CORNER_SQL, AREA_SQL, ASSIGN_SQL))
+def cluster_loads(m):
+    own = assigned(m)
+    loads = own.select("grid_id", "node_id", (F.col("node_id") % 7 + 0.5).alias("power_kw"))
+    return cluster.loads_within(loads, own).select("grid_id", "substation_id", "node_id", "power_kw")
+
+
+@query()
+def pam_clusters(m):
+    at, subs, _ = in_areas(m)
+    points = at.unionByName(subs.select("grid_id", F.col("substation_id").alias("node_id"), F.col("s_lat").alias("lat"), F.col("s_lon").alias("lon")))
+    several = points.join(points.groupBy("grid_id").count().where("count > 1"), "grid_id", "left_semi")
+    nodes = several.select("grid_id", "node_id", F.lit(75.0).alias("load_kva"), (F.col("node_id") >= 900000000).alias("is_substation"))
+    return cluster.pam(graph.straight_connections(several, "grid_id"), nodes, RATED_KVA, FACTOR).withColumn("dist_m", F.round("dist_m", 3))
+
+
+# --- medium voltage ---
+
+
+@query(sql("SELECT node_id, cell_id FROM (SELECT n.node_id, s.sub_id AS cell_id, row_number() OVER (PARTITION BY n.node_id ORDER BY sqrt((n.lat-s.lat)*(n.lat-s.lat)+(n.lon-s.lon)*(n.lon-s.lon)), s.sub_id) AS k FROM osm_node n JOIN site s ON true) WHERE k=1", "site AS (SELECT * FROM substation WHERE sub_id%10=0)"))
+def voronoi_assign(m):
+    return route.voronoi_assign(m.osm_node, m.substation.where("sub_id % 10 = 0").select(F.col("sub_id").alias("site_id"), "lat", "lon"))
+
+
+def cells(m: Map) -> DataFrame:
+    """Substations by the Voronoi cell of every tenth of them."""
+    sites = m.substation.where("sub_id % 10 = 0").select(F.col("sub_id").alias("site_id"), "lat", "lon")
+    own = route.voronoi_assign(m.substation.select(F.col("sub_id").alias("node_id"), "lat", "lon"), sites)
+    return own.join(m.substation.withColumnRenamed("sub_id", "node_id"), "node_id").select("cell_id", "node_id", "lat", "lon", (F.col("node_id") == F.col("cell_id")).alias("is_transition"))
+
+
+@query()
+def ring_route(m):
+    return route.ring_routes(cells(m)).withColumn("dist_m", F.round("dist_m", 3))
+
+
+@query()
+def hull_centroid(m):
+    return route.hull_centroids(cells(m).select(F.col("cell_id").alias("grid_id"), "lat", "lon")).withColumns({c: F.round(c, 7) for c in ("lat", "lon")})
+
+
+@query()
+def central_node(m):
+    return route.central_node(cells(m).withColumnRenamed("cell_id", "grid_id")).select("grid_id", "node_id")
+
+
+@query()
+def ring_assembly(m):
+    """Each rectangle's border as four ways, every other one turned."""
+    corner = F.array(*[F.struct((F.col("area_id") * 4 + k).alias("node_id"), F.col(a).alias("lat"), F.col(o).alias("lon")) for k, (a, o) in enumerate((("lat0", "lon0"), ("lat0", "lon1"), ("lat1", "lon1"), ("lat1", "lon0")))])
+    sides = m.boundary.withColumn("c", corner).select(F.col("area_id").alias("rel_id"), "c", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("member_pos"))
+    two = F.array(F.get("c", F.col("member_pos")), F.get("c", (F.col("member_pos") + 1) % 4))
+    turned = F.when((F.col("rel_id") + F.col("member_pos")) % 2 == 0, two).otherwise(F.reverse(two))
+    points = sides.select("rel_id", "member_pos", F.posexplode(turned).alias("pos", "p")).select("rel_id", "member_pos", "pos", "p.node_id", "p.lat", "p.lon")
+    return region.assemble_rings(points).select("rel_id", "ring_no", F.size("ring").alias("n_points"), F.round(geo.ring_area_m2("ring"), 1).alias("area_m2"))
+
+
+# --- elements ---
+
+
+@query(sql("SELECT md5('node|'||grid_id||'|'||node_id)[1:8] AS head, grid_id, node_id, CASE WHEN is_substation THEN 'substation' WHEN n_buildings>0 THEN 'building' ELSE 'crossing' END AS kind FROM vertex WHERE is_substation OR n_buildings>0 OR degree>2", EDGE_SQL, DEGREE_SQL, VERTEX_SQL))
+def lv_nodes(m):
+    return grid.lv_nodes(vertices(m), 0.4).select(F.substring("uuid", 1, 8).alias("head"), "grid_id", "node_id", "kind")
+
+
+LV_NODE_SQL = "lv AS (SELECT grid_id, node_id FROM vertex WHERE is_substation OR n_buildings>0 OR degree>2)"
+
+
+@query(sql("SELECT grid_id||'_'||row_number() OVER (PARTITION BY grid_id ORDER BY a_id,b_id) AS id, grid_id, a_id, b_id, round(dist_m,3) AS length_m FROM (SELECT CAST(floor(a_id/350) AS BIGINT) AS grid_id, * FROM edge WHERE a_id IN (SELECT node_id FROM lv) AND b_id IN (SELECT node_id FROM lv))", EDGE_SQL, DEGREE_SQL, VERTEX_SQL, LV_NODE_SQL))
+def lv_lines(m):
+    return grid.lines(banded(edges(m)), grid.lv_nodes(vertices(m), 0.4), "NS_2").select("id", "grid_id", "a_id", "b_id", F.round("length_m", 3).alias("length_m"))
+
+
+@query(sql("SELECT grid_id, node_id, 'h0' AS profile, n_buildings*2.5e0 AS s_rated_kva FROM vertex WHERE n_buildings>0", EDGE_SQL, DEGREE_SQL, VERTEX_SQL))
+def lv_loads(m):
+    return grid.loads(vertices(m)).select("grid_id", "node_id", "profile", "s_rated_kva")
+
+
+@query(sql("SELECT node_id, CAST(count(*) FILTER (WHERE NOT sub) AS BIGINT) AS n_buildings, round(sum(CASE WHEN sub THEN 0e0 ELSE kw END),2) AS power_kw, bool_or(sub) AS is_substation FROM (SELECT a_id AS node_id, building_id%13=0 AS sub, building_id%10+0.5e0 AS kw FROM snapped) GROUP BY node_id", SNAP_SQL))
+def vertex_loads(m):
+    rows = connections(m).select(F.col("a_id").alias("node_id"), "building_id", (F.col("building_id") % 10 + 0.5).alias("power_kw"), (F.col("building_id") % 13 == 0).alias("is_substation"))
+    return grid.vertex_loads(rows).withColumn("power_kw", F.round("power_kw", 2))
+
+
+@query(sql("SELECT grid_id, CAST(count(*) AS BIGINT) AS n FROM vertex GROUP BY grid_id HAVING sum(n_buildings)>0 AND count(*)>=2", EDGE_SQL, DEGREE_SQL, VERTEX_SQL))
+def grid_prune(m):
+    return grid.prune_grids(vertices(m)).groupBy("grid_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def transformers(m: Map) -> DataFrame:
+    s = F.col("s_suppkey").cast("long")
+    a = F.when(s % 3 == 0, F.lit(110.0)).when(s % 3 == 1, F.lit(10.0)).otherwise(F.lit(20.0))
+    b = F.when(s % 3 == 0, F.lit(10.0)).otherwise(F.lit(0.4))
+    kind = F.when(s % 4 == 0, "T1").when(s % 4 == 1, "T2").otherwise("T9")
+    return m.base("supplier").select(F.concat(F.lit("t"), s.cast("string")).alias("uuid"), F.concat(F.lit("a"), (s % 40).cast("string")).alias("node_a"), F.concat(F.lit("b"), s.cast("string")).alias("node_b"), kind.alias("type"), a.alias("v_a_kv"), b.alias("v_b_kv"))
+
+
+def transformer_types(m: Map) -> DataFrame:
+    rows = [(1, "T1", 20.0, 0.4), (2, "T2", 10.0, 0.4), (3, "T3", 110.0, 10.0), (4, "T9", 10.0, 0.4), (5, "T8", 110.0, 10.0)]
+    return m.spark.createDataFrame(rows, "file_order int, id string, v_rated_a double, v_rated_b double")
+
+
+TYPE_SQL = (
+    "ttype(file_order,id,va,vb) AS (VALUES (1,'T1',20e0,0.4e0),(2,'T2',10e0,0.4e0),(3,'T3',110e0,10e0),(4,'T9',10e0,0.4e0),(5,'T8',110e0,10e0)),"
+    "trafo AS (SELECT CAST(s_suppkey AS BIGINT) AS s, CASE s_suppkey%3 WHEN 0 THEN 110e0 WHEN 1 THEN 10e0 ELSE 20e0 END AS va, CASE s_suppkey%3 WHEN 0 THEN 10e0 ELSE 0.4e0 END AS vb, CASE s_suppkey%4 WHEN 0 THEN 'T1' WHEN 1 THEN 'T2' ELSE 'T9' END AS type FROM supplier)"
+)
+
+
+@query(sql("SELECT 't'||s AS uuid, CASE WHEN EXISTS (SELECT 1 FROM ttype y WHERE y.id=t.type AND y.va=t.va AND y.vb=t.vb) THEN type ELSE (SELECT arg_min(id,file_order) FROM ttype y WHERE y.va=t.va AND y.vb=t.vb) END AS type FROM trafo t", TYPE_SQL))
+def transformer_type_lookup(m):
+    return grid.update_transformers(transformers(m), transformer_types(m)).select("uuid", "type")
+
+
+@query(sql("SELECT v AS v_rated, arg_min(id,file_order) AS type FROM lt GROUP BY v", "lt AS (SELECT CAST(p_partkey AS BIGINT) AS file_order, 'L'||p_partkey AS id, CASE p_partkey%3 WHEN 0 THEN 0.4e0 WHEN 1 THEN 10e0 ELSE 110e0 END AS v FROM part)"))
+def line_type_by_voltage(m):
+    p = F.col("p_partkey").cast("long")
+    types = m.base("part").select(p.alias("file_order"), F.concat(F.lit("L"), p.cast("string")).alias("id"), F.when(p % 3 == 0, F.lit(0.4)).when(p % 3 == 1, F.lit(10.0)).otherwise(F.lit(110.0)).alias("v_rated"))
+    return grid.line_type_by_voltage(types)
+
+
+@query(sql("SELECT 'a'||(s%40) AS uuid, CAST(count(*) AS BIGINT) AS n FROM trafo WHERE s%40%2=0 GROUP BY 1", TYPE_SQL))
+def mv_nodes_of_transformers(m):
+    own = transformers(m)
+    kv = F.when(F.substring("uuid", 2, 10).cast("int") % 2 == 0, F.lit(10.0)).otherwise(F.lit(110.0))
+    nodes = own.select(F.col("node_a").alias("uuid")).distinct().withColumn("v_rated_kv", kv).unionByName(own.select(F.col("node_b").alias("uuid"), F.lit(0.4).alias("v_rated_kv")))
+    return grid.transformer_nodes(own, nodes, [10.0]).groupBy("uuid").agg(F.count(F.lit(1)).alias("n"))
+
+
+MV_SQL = (
+    "mvn AS (SELECT sub_id%10 AS cell_id, sub_id AS node_id, CASE WHEN sub_id%10<5 THEN 10e0 ELSE 0.4e0 END AS kv, lat, lon FROM substation),"
+    "rt AS (SELECT a.cell_id, a.node_id AS a_id, b.node_id AS b_id, a.kv, a.lat AS a_lat, a.lon AS a_lon, b.lat AS b_lat, b.lon AS b_lon FROM mvn a JOIN mvn b ON b.cell_id=a.cell_id AND b.node_id=a.node_id+10),"
+    "num AS (SELECT cell_id, row_number() OVER (ORDER BY cell_id) AS n FROM (SELECT DISTINCT cell_id FROM mvn))"
+)
+
+
+@query(sql(f"SELECT r.cell_id, num.n||'_'||row_number() OVER (PARTITION BY r.cell_id ORDER BY a_id,b_id) AS id, a_id, b_id, round({haversine('a_', 'b_')},3) AS length_m, CASE WHEN kv=10e0 THEN 'NA2XS2Y' ELSE 'NS_2' END AS type FROM rt r JOIN num ON num.cell_id=r.cell_id", MV_SQL))
+def mv_lines(m):
+    nodes = m.substation.select((F.col("sub_id") % 10).alias("cell_id"), F.col("sub_id").alias("node_id"), "lat", "lon", F.when(F.col("sub_id") % 10 < 5, F.lit(10.0)).otherwise(F.lit(0.4)).alias("v_rated_kv"), (F.col("sub_id") < 10).alias("is_transition"))
+    end = lambda k, shift: nodes.select("cell_id", (F.col("node_id") - shift).alias("_k"), F.col("node_id").alias(f"{k}_id"), F.col("lat").alias(f"{k}_lat"), F.col("lon").alias(f"{k}_lon"))
+    routes = end("a", 0).join(end("b", 10), ["cell_id", "_k"]).withColumn("dist_m", graph.section_length())
+    types = m.spark.createDataFrame([(1, "NS_2", 0.4), (2, "NA2XS2Y", 10.0)], "file_order int, id string, v_rated double")
+    return grid.mv_grid(routes, nodes, types)[1].select("cell_id", "id", "a_id", "b_id", F.round("length_m", 3).alias("length_m"), "type")
+
+
+# --- numbers and joint grids ---
+
+NODE_SQL = "gn AS (SELECT CAST(c_nationkey AS BIGINT) AS grid_id, 'n'||c_custkey AS uuid, CASE WHEN c_custkey%10<7 THEN 0.4e0 WHEN c_custkey%10<9 THEN 10e0 ELSE 0.23e0 END AS v_rated_kv, CAST(1 AS INT) AS subnet, c_custkey%50=0 AS slack FROM customer)"
+DOMINANT_SQL = "dv AS (SELECT grid_id, v_rated_kv AS v_kv FROM (SELECT grid_id, v_rated_kv, row_number() OVER (PARTITION BY grid_id ORDER BY count(*) DESC, v_rated_kv) AS k FROM gn GROUP BY grid_id, v_rated_kv) WHERE k=1)"
+NUMBER_SQL = "numbered AS (SELECT uuid, gn.grid_id, v_rated_kv, slack, CAST(CASE WHEN v_rated_kv=v_kv THEN i+42 WHEN v_rated_kv>v_kv THEN (SELECT count(*) FROM dv)+43 ELSE subnet END AS INT) AS subnet FROM gn JOIN (SELECT grid_id, v_kv, row_number() OVER (ORDER BY grid_id)-1 AS i FROM dv) d ON d.grid_id=gn.grid_id)"
+
+
+def grid_nodes(m: Map) -> DataFrame:
+    c = F.col("c_custkey").cast("long")
+    kv = F.when(c % 10 < 7, F.lit(0.4)).when(c % 10 < 9, F.lit(10.0)).otherwise(F.lit(0.23))
+    return m.base("customer").select(F.col("c_nationkey").cast("long").alias("grid_id"), F.concat(F.lit("n"), c.cast("string")).alias("uuid"), kv.alias("v_rated_kv"), F.lit(1).alias("subnet"), (c % 50 == 0).alias("slack"))
+
+
+@query(sql("SELECT grid_id, v_kv FROM dv", NODE_SQL, DOMINANT_SQL))
+def dominant_voltage(m):
+    return merge.dominant_voltage(grid_nodes(m))
+
+
+@query(sql("SELECT uuid, subnet FROM numbered", NODE_SQL, DOMINANT_SQL, NUMBER_SQL))
+def subnet_numbering(m):
+    return merge.assign_subnets(grid_nodes(m), 42)[0].select("uuid", "subnet")
+
+
+@query(sql("SELECT coalesce(g.uuid,c.uuid) AS uuid, coalesce(g.subnet,c.subnet) AS subnet, coalesce(c.v_rated_kv,g.v_rated_kv) AS v_rated_kv FROM (SELECT * FROM numbered WHERE grid_id<15) g FULL OUTER JOIN (SELECT uuid, 20e0 AS v_rated_kv, subnet FROM gn WHERE grid_id>10) c ON c.uuid=g.uuid", NODE_SQL, DOMINANT_SQL, NUMBER_SQL))
+def node_overlay(m):
+    own = merge.assign_subnets(grid_nodes(m), 42)[0].where("grid_id < 15")
+    return merge.overlay(own, grid_nodes(m).where("grid_id > 10").withColumn("v_rated_kv", F.lit(20.0))).select("uuid", "subnet", "v_rated_kv")
+
+
+@query(sql("SELECT grid_id, CAST(count(*) AS BIGINT) AS n_nodes FROM gn WHERE grid_id%5<>3 GROUP BY grid_id", NODE_SQL))
+def joint_grid(m):
+    own = grid_nodes(m)
+    grids = merge.selected({f"{k}": {"nodes": own.where(F.col("grid_id") % 5 == k)} for k in range(5)}, {f"{k}": k != 3 for k in range(5)})
+    return merge.joint(grids)["nodes"].groupBy("grid_id").agg(F.count(F.lit(1)).alias("n_nodes"))
+
+
+@query(sql("SELECT subnet, min(v_rated_kv) AS v_kv, CASE WHEN min(v_rated_kv)<10 THEN 'lv' WHEN min(v_rated_kv)=10 THEN 'mv' ELSE 'other' END AS level, CAST(count(*) AS BIGINT) AS n_nodes, CAST(count(*) FILTER (WHERE slack) AS BIGINT) AS n_slack FROM numbered GROUP BY subnet", NODE_SQL, DOMINANT_SQL, NUMBER_SQL))
+def grid_summary(m):
+    return merge.summary(merge.assign_subnets(grid_nodes(m), 42)[0], strict=False)
+
+
+@query(sql("SELECT 'lines: unknown node_b' AS problem, CAST(count(*) AS BIGINT) AS n FROM gn WHERE CAST(substr(uuid,2) AS BIGINT)%9=0 HAVING count(*)>0 UNION ALL SELECT 'line of negative length', CAST(count(*) AS BIGINT) FROM gn WHERE CAST(substr(uuid,2) AS BIGINT)%11=0 HAVING count(*)>0", NODE_SQL))
+def grid_check(m):
+    own = grid_nodes(m)
+    n = F.substring("uuid", 2, 12).cast("long")
+    lines = own.select(F.col("uuid").alias("node_a"), F.when(n % 9 == 0, "nowhere").when(n == 1, "n2").otherwise("n1").alias("node_b"), F.when(n % 11 == 0, F.lit(-1.0)).otherwise(F.lit(5.0)).alias("length_m"))
+    return merge.check({"nodes": own, "lines": lines})
+
+
+@query()
+def lv_grids(m):
+    """The whole low-voltage step over the map: how many elements of each kind a grid has."""
+    from gridweave.plans import pipeline
+
+    own = m.building.select("building_id", "lat", "lon", F.lit(60.0).alias("power_kw"), F.lit(False).alias("is_substation"))
+    out = pipeline.lv_step(m.way_node, m.osm_node, own, MIN_DISTANCE, FACTOR, RATED_KVA)
+    counts = [{"counts": df.groupBy("grid_id").agg(F.count(F.lit(1)).alias("n")).withColumn("element", F.lit(name))} for name, df in out.items()]
+    return merge.joint(counts)["counts"]
