@@ -3,7 +3,7 @@
 The new words of a chunk lie end to end in one array of symbols. An index maps the rank of each
 pair that merges to the positions where it occurs. The ranks are taken in ascending order; all
 positions of a rank merge at once, and the pairs that arise left and right of them join the lists of
-their own ranks. A cache keeps the ids of words already seen by this worker.
+their own ranks. The ids of words that this worker has seen are kept.
 
 Null and empty texts have no ids. Ids outside the vocabulary raise KeyError when decoded.
 """
@@ -28,8 +28,10 @@ WHITE_SPACE = [*range(9, 14), 32, 133, 160, 5760, *range(8192, 8203), 8232, 8233
 SPACE = "".join(map(chr, WHITE_SPACE))
 #: Fixed value: the byte-level pre-tokenizer's pattern.
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
-#: Cached words of a worker; when there are more, it starts afresh.
-CACHE_WORDS = 600_000
+#: Words that a worker knows; when there are more, it starts afresh.
+KNOWN_WORDS = 400_000
+#: Bytes of text encoded at a time.
+BATCH_BYTES = 4 << 20
 
 
 def default_tokenizer() -> str:
@@ -45,48 +47,82 @@ def byte_alphabet() -> list[str]:
     return [chr(hidden.get(b, b)) for b in range(256)]
 
 
+class Numbers(dict):
+    """Numbers words from 0 as they are first asked for; the new ones gather in ``fresh``."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self.fresh.append(word)
+        n = self[word] = len(self)
+        return n
+
+
+def gathered(flat: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The stretches of ``flat`` that begin at ``start``, end to end."""
+    ends = np.cumsum(length)
+    return flat[np.repeat(start - ends + length, length) + np.arange(ends[-1] if len(ends) else 0)]
+
+
 class Segments:
-    """Cuts texts at single spaces; ``encode_new`` gives the ids of pieces that aren't cached, as little-endian bytes.
+    """Cuts texts at single spaces and numbers the words; ``encode_new`` gives the ids of words not yet known.
 
     A cut is safe where the space stands before a character that isn't white space: no pre-token
     crosses it. A text with any other cut is encoded whole.
     """
 
-    def __init__(self, limit: int = CACHE_WORDS):
-        self.limit, self.cache = limit, {}
+    def __init__(self, limit: int = KNOWN_WORDS):
+        self.limit = limit
+        self.forget()
+
+    def forget(self) -> None:
+        self.numbers = Numbers()
+        self.flat, self.start, self.length = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def encode_new(self, pieces: list[str]) -> list[bytes]:
+    def encode_new(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces end to end, and how many each has."""
         raise NotImplementedError
 
-    def encode(self, texts: Iterable[str | None]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        cut = [(t or "").split(" ") for t in texts]
-        for parts in cut:
+    def learn(self, fresh: list[str]) -> None:
+        safe = np.array([s != "" and (s[0] == " " or not s[0].isspace()) for s in fresh], bool)
+        ids, count = self.encode_new([s[1:] if s[0] == " " else f" {s}" for s, good in zip(fresh, safe, strict=True) if good])
+        length = np.full(len(fresh), -1)
+        length[safe] = count
+        real = np.maximum(length, 0)
+        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(real) - real])
+        self.length = np.concatenate([self.length, length])
+        self.flat = np.concatenate([self.flat, ids.astype(np.uint32)])
+
+    def encode(self, texts: Iterable[str | None]) -> list[np.ndarray]:
+        """The ids of each text, as unsigned 32-bit integers."""
+        texts = [t or "" for t in texts]
+        if len(self.numbers) > self.limit:
+            self.forget()
+        number, found = self.numbers.__getitem__, []
+        for t in texts:
+            parts = t.split(" ")
             parts[0] = f" {parts[0]}"  # no other part holds a space
-        new = set()
-        new.update(*cut)
-        new.difference_update(self.cache)
-        if len(self.cache) + len(new) > self.limit:
-            self.cache = {}
-            new = set()
-            new.update(*cut)
-        unsafe = {s for s in new if not s or s[0] != " " and s[0].isspace()}
-        good = list(new - unsafe)
-        self.cache.update(zip(good, self.encode_new([s[1:] if s[0] == " " else f" {s}" for s in good]), strict=True))
-        self.cache.update(dict.fromkeys(unsafe))
-        get, out = self.cache.__getitem__, []
-        for parts in cut:
-            try:
-                out.append(b"".join(map(get, parts)))
-            except TypeError:
-                out.append(self.encode_new([" ".join(parts)[1:]])[0])
-        return out
+            found.append(np.fromiter(map(number, parts), np.int32, len(parts)))
+        if self.numbers.fresh:
+            self.learn(self.numbers.fresh)
+            self.numbers.fresh = []
+        if not found:
+            return []
+        word = np.concatenate(found)
+        length = self.length[word]
+        ids = gathered(self.flat, self.start[word], np.maximum(length, 0))
+        at = np.concatenate([[0], np.cumsum([len(x) for x in found])])
+        ends = np.concatenate([[0], np.cumsum(np.maximum(length, 0))])[at]
+        odd = np.concatenate([[0], np.cumsum(length < 0)])[at]
+        return [self.encode_new([t])[0].astype(np.uint32) if o else ids[i:j] for t, i, j, o in zip(texts, ends, ends[1:], np.diff(odd), strict=False)]
 
 
 class PairIndexCodec(Segments):
     """Encodes as the vocabulary's own library does without special tokens added, and decodes."""
 
-    def __init__(self, path: str, limit: int = CACHE_WORDS):
+    def __init__(self, path: str, limit: int = KNOWN_WORDS):
         super().__init__(limit)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -109,10 +145,10 @@ class PairIndexCodec(Segments):
         keys = left << 32 | right
         self.rank_of = np.argsort(keys, kind="stable")
         self.keys = keys[self.rank_of]
-        self.length = np.array([len(p) for p in pieces], np.int64)
-        self.known = self.length > 0
-        self.start = np.concatenate([[0], np.cumsum(self.length)[:-1]])
-        self.flat = np.frombuffer(b"".join(pieces), np.uint8)
+        self.byte_length = np.array([len(p) for p in pieces], np.int64)
+        self.known = self.byte_length > 0
+        self.byte_start = np.concatenate([[0], np.cumsum(self.byte_length)[:-1]])
+        self.flat_bytes = np.frombuffer(b"".join(pieces), np.uint8)
         self.words = regex.compile(PATTERN)
         self.apart = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
@@ -177,36 +213,40 @@ class PairIndexCodec(Segments):
         count = np.concatenate([[0], np.cumsum(alive)])
         return sym[alive], np.append(count[starts], count[-1])
 
-    def encode_words(self, words: list[str]) -> list[bytes]:
-        if not words:
-            return []
-        raw = [w.encode() for w in words]
-        starts = np.concatenate([[0], np.cumsum([len(w) for w in raw])[:-1]]).astype(np.int64)
-        ids, at = self.merge(b"".join(raw), starts)
-        flat, at = ids.astype("<u4").tobytes(), (at * 4).tolist()
-        return [flat[i:j] for i, j in zip(at, at[1:], strict=False)]
-
-    def encode_new(self, pieces: list[str]) -> list[bytes]:
-        find = self.words.findall
-        cut: list[list] = []
+    def encode_new(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        find, numbers, special = self.words.findall, Numbers(), {}
+        number, found, count = numbers.__getitem__, [], []
         for piece in pieces:
+            before = len(found)
             if self.apart is not None and "<" in piece and len(parts := self.apart.split(piece)) > 1:
-                cut.append([w for i, x in enumerate(parts) for w in ([self.special[x]] if i % 2 else find(x))])
+                for i, part in enumerate(parts):
+                    if i % 2:
+                        found.append(-1 - special.setdefault(part, self.special[part]))
+                    else:
+                        found += map(number, find(part))
             else:
-                cut.append(find(piece))
-        words = list({w for parts in cut for w in parts if isinstance(w, str)})
-        ids: dict = dict(zip(words, self.encode_words(words), strict=True))
-        ids |= {i: int(i).to_bytes(4, "little") for i in self.special.values()}
-        return [b"".join([ids[w] for w in parts]) for parts in cut]
+                found += map(number, find(piece))
+            count.append(len(found) - before)
+        ids, at = np.zeros(0, np.int64), np.zeros(1, np.int64)
+        if numbers.fresh:
+            raw = [w.encode() for w in numbers.fresh]
+            ids, at = self.merge(b"".join(raw), np.concatenate([[0], np.cumsum([len(w) for w in raw])[:-1]]).astype(np.int64))
+        # special tokens follow the words, each an id of its own
+        ids = np.concatenate([ids, np.array(list(special.values()), np.int64)])
+        place = {i: k for k, i in enumerate(special.values())}
+        at = np.concatenate([at, at[-1] + 1 + np.arange(len(special))])
+        word = np.array([x if x >= 0 else len(numbers) + place[-1 - x] for x in found], np.int64) if special else np.array(found, np.int64)
+        length = np.diff(at)[word] if len(word) else word
+        to = np.concatenate([[0], np.cumsum(length)])
+        ends = np.cumsum([0, *count])
+        return gathered(ids, at[word], length), np.diff(to[ends])
 
     def decode_bytes(self, ids: np.ndarray) -> bytes:
         if not len(ids):
             return b""
         if ids.max() >= len(self.known) or not self.known[ids].all():
             raise KeyError("an id is not in the vocabulary")
-        length = self.length[ids]
-        ends = np.cumsum(length)
-        return self.flat[np.repeat(self.start[ids] - ends + length, length) + np.arange(ends[-1])].tobytes()
+        return gathered(self.flat_bytes, self.byte_start[ids], self.byte_length[ids]).tobytes()
 
     def decode(self, ids: np.ndarray) -> str:
         return self.decode_bytes(ids).decode("utf-8", "replace")
@@ -225,10 +265,10 @@ def encode(df: DataFrame, text: str = "text", path: str | None = None, out: str
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
-        for batch in chunks(batches, text):
-            raw = own.encode(batch.column(text).to_pylist())
-            ends = np.cumsum([0, *(len(x) // 4 for x in raw)]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(raw), "<u4").astype(np.int32)))
+        for batch in chunks(batches, text, BATCH_BYTES):
+            found = own.encode(batch.column(text).to_pylist())
+            ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found).astype(np.int32)))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), ids], names=[*kept, out])
 
     schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept), f"`{out}` array<int>"])
@@ -257,8 +297,8 @@ def digests(df: DataFrame, path: str | None = None) -> DataFrame:
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         number = np.array([str(i) for i in range(len(own.known))], object)
-        for batch in chunks(batches, "text"):
-            raw = [np.frombuffer(x, "<u4") for x in own.encode(batch.column("text").to_pylist())]
+        for batch in chunks(batches, "text", BATCH_BYTES):
+            raw = own.encode(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),

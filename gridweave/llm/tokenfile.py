@@ -1,7 +1,7 @@
 """Token ids in binary files, with document boundaries in Elias-Fano form.
 
-A file holds the ids of the documents of one range of doc_id, in ascending order, end to end, then
-the boundaries and the document ids as two Elias-Fano sequences, then a footer. A sequence keeps the
+A file holds the ids of the documents of one range of doc_id, in ascending order, end to end, in two
+bytes each where the vocabulary allows it, else four; then the boundaries and the document ids as two Elias-Fano sequences, then a footer. A sequence keeps the
 low bits of each value packed and the high bits in unary; a sample of every 256th one bit lets
 ``select`` find a value without a table of 64-bit offsets.
 
@@ -24,11 +24,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridweave.llm.bpe import Segments, default_tokenizer
+from gridweave.llm.bpe import BATCH_BYTES, Numbers, Segments, default_tokenizer, gathered
 from gridweave.llm.common import chunks, filesystem, partitions, work_path
 
 MAGIC = b"GWTOKEN1"
 SAMPLE = 256
+#: Words that a worker knows.
+LIBRARY_WORDS = 900_000
 #: Documents whose ids are read at a time.
 READ_DOCS = 2048
 
@@ -87,18 +89,21 @@ class LibraryEncoder(Segments):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        super().__init__()
+        super().__init__(LIBRARY_WORDS)
         self.library = Tokenizer.from_file(path)
+        self.id_bytes = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
         self.library.no_truncation()
         self.library.no_padding()
 
-    def encode_new(self, pieces: list[str]) -> list[bytes]:
+    def encode_new(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """A mark after a letter is a pre-token of its own, so words that differ in it alone are encoded once."""
-        cut = [(p[:-1], p[-1]) if len(p) > 2 and p[-1] in ".,;:!?" and p[-2].isalpha() else (p, "") for p in pieces]
-        whole = list({x for pair in cut for x in pair if x})
-        found = self.library.encode_batch_fast(whole, add_special_tokens=False)
-        ids = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(whole, found, strict=True)} | {"": b""}
-        return [ids[a] + ids[b] for a, b in cut]
+        numbers = Numbers()
+        pairs = np.array([(numbers[p[:-1]], numbers[p[-1]]) if len(p) > 2 and p[-1] in ".,;:!?" and p[-2].isalpha() else (numbers[p], numbers[""]) for p in pieces], np.int64).reshape(-1, 2)
+        found = self.library.encode_batch_fast(numbers.fresh, add_special_tokens=False)
+        count = np.array([len(e.ids) for e in found], np.int64)
+        ids = np.fromiter((i for e in found for i in e.ids), np.uint32, count.sum())
+        length = count[pairs]
+        return gathered(ids, (np.cumsum(count) - count)[pairs.ravel()], length.ravel()), length.sum(1)
 
 
 @cache
@@ -112,7 +117,7 @@ def write(df: DataFrame, root: str, path: str | None = None, end_id: int = 0) ->
     A file takes its final name when it is whole, and a task that is run again replaces it.
     """
     path = path or default_tokenizer()
-    end = int(end_id).to_bytes(4, "little")
+    end = np.uint32(end_id)
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, folder = filesystem(root)
@@ -121,13 +126,13 @@ def write(df: DataFrame, root: str, path: str | None = None, end_id: int = 0) ->
         name, counts, doc_ids, nulls = f"{folder}/part-{part:06d}.gwt", [], [], 0
         trial = f"{name}.{context.taskAttemptId()}"
         out = None
-        for batch in chunks(batches, "text"):
+        for batch in chunks(batches, "text", BATCH_BYTES):
             if out is None:
                 fs.create_dir(folder, recursive=True)
                 out = fs.open_output_stream(trial)
-            raw = [x + end for x in own.encode(batch.column("text").to_pylist())]
-            out.write(b"".join(raw))
-            counts.append(np.array([len(x) // 4 for x in raw], np.int64))
+            found = [np.append(x, end) for x in own.encode(batch.column("text").to_pylist())]
+            out.write(np.concatenate(found).astype(f"<u{own.id_bytes}").tobytes())
+            counts.append(np.array([len(x) for x in found], np.int64))
             nulls += batch.column("doc_id").null_count
             doc_ids.append(batch.column("doc_id").drop_null().to_numpy(zero_copy_only=False))
         if out is None:
@@ -135,7 +140,7 @@ def write(df: DataFrame, root: str, path: str | None = None, end_id: int = 0) ->
         ends, keys = np.cumsum(np.concatenate(counts)), np.concatenate(doc_ids)
         base = int(keys[0]) if len(keys) else 0
         bounds, docs = EliasFano.build(ends).dump(), EliasFano.build(keys - base).dump()
-        footer = json.dumps({"n_docs": len(ends), "n_ids": int(ends[-1]), "nulls": nulls, "base": base, "bounds": len(bounds), "docs": len(docs)}).encode()
+        footer = json.dumps({"n_docs": len(ends), "n_ids": int(ends[-1]), "nulls": nulls, "base": base, "id_bytes": own.id_bytes, "bounds": len(bounds), "docs": len(docs)}).encode()
         out.write(bounds + docs + footer + struct.pack("<I", len(footer)) + MAGIC)
         out.close()
         fs.move(trial, name)
@@ -157,7 +162,7 @@ class TokenFile:
             raise ValueError(f"{uri} is not a token file")
         at = size - 12 - n
         foot = json.loads(self.f.read_at(n, at))
-        self.n_docs, self.nulls, self.base = foot["n_docs"], foot["nulls"], foot["base"]
+        self.n_docs, self.nulls, self.base, self.id_bytes = foot["n_docs"], foot["nulls"], foot["base"], foot["id_bytes"]
         self.docs = EliasFano.load(self.f.read_at(foot["docs"], at - foot["docs"]))
         self.bounds = EliasFano.load(self.f.read_at(foot["bounds"], at - foot["docs"] - foot["bounds"]))
 
@@ -169,8 +174,9 @@ class TokenFile:
         nulls = max(0, min(j, self.nulls) - i)
         return [None] * nulls + (self.docs.select(max(0, i - self.nulls), max(0, j - self.nulls)) + self.base).tolist()
 
-    def ids(self, offsets: np.ndarray) -> bytes:
-        return self.f.read_at(int(offsets[-1] - offsets[0]) * 4, int(offsets[0]) * 4)
+    def ids(self, offsets: np.ndarray) -> np.ndarray:
+        raw = self.f.read_at(int(offsets[-1] - offsets[0]) * self.id_bytes, int(offsets[0]) * self.id_bytes)
+        return np.frombuffer(raw, f"<u{self.id_bytes}").astype("<u4")
 
 
 def read(files: DataFrame) -> DataFrame:
@@ -183,7 +189,7 @@ def read(files: DataFrame) -> DataFrame:
                 for i in range(0, own.n_docs, READ_DOCS):
                     j = min(i + READ_DOCS, own.n_docs)
                     at = own.offsets(i, j)
-                    raw, rel = own.ids(at), ((at - at[0]) * 4).tolist()
+                    raw, rel = own.ids(at).tobytes(), ((at - at[0]) * 4).tolist()
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(own.doc_ids(i, j), pa.int64()),
