@@ -28,7 +28,7 @@ WHITE_SPACE = [*range(9, 14), 32, 133, 160, 5760, *range(8192, 8203), 8232, 8233
 SPACE = "".join(map(chr, WHITE_SPACE))
 #: Fixed value: the byte-level pre-tokenizer's pattern.
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
-#: Words that a worker knows; when there are more, it starts afresh.
+#: Words that a worker knows; when there are more, it forgets those that it has met once.
 KNOWN_WORDS = 400_000
 #: Bytes of text encoded at a time.
 BATCH_BYTES = 4 << 20
@@ -77,9 +77,16 @@ class Segments:
         self.limit = limit
         self.forget()
 
-    def forget(self) -> None:
+    def forget(self, again: np.ndarray | None = None) -> None:
+        """All words, or all but those of the given numbers."""
+        known = list(self.numbers) if again is not None else []
+        again = np.zeros(0, np.int64) if again is None or 2 * len(again) > self.limit else again
+        start, length = (self.start[again], self.length[again]) if len(again) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
         self.numbers = Numbers()
-        self.flat, self.start, self.length = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.numbers.update((known[i], n) for n, i in enumerate(again.tolist()))
+        real = np.maximum(length, 0)
+        self.flat = gathered(self.flat, start, real) if len(again) else np.zeros(0, np.uint32)
+        self.start, self.length, self.met = np.cumsum(real) - real, length, np.zeros(len(again), np.int64)
 
     def encode_new(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all pieces end to end, and how many each has."""
@@ -99,7 +106,7 @@ class Segments:
         """The ids of each text, as unsigned 32-bit integers."""
         texts = [t or "" for t in texts]
         if len(self.numbers) > self.limit:
-            self.forget()
+            self.forget(np.flatnonzero(self.met > 1))
         number, found = self.numbers.__getitem__, []
         for t in texts:
             parts = t.split(" ")
@@ -111,6 +118,7 @@ class Segments:
         if not found:
             return []
         word = np.concatenate(found)
+        self.met = np.bincount(word, minlength=len(self.length)) + np.pad(self.met, (0, len(self.length) - len(self.met)))
         length = self.length[word]
         ids = gathered(self.flat, self.start[word], np.maximum(length, 0))
         at = np.concatenate([[0], np.cumsum([len(x) for x in found])])

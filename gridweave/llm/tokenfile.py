@@ -98,7 +98,12 @@ class LibraryEncoder(Segments):
     def encode_new(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """A mark after a letter is a pre-token of its own, so words that differ in it alone are encoded once."""
         numbers = Numbers()
-        pairs = np.array([(numbers[p[:-1]], numbers[p[-1]]) if len(p) > 2 and p[-1] in ".,;:!?" and p[-2].isalpha() else (numbers[p], numbers[""]) for p in pieces], np.int64).reshape(-1, 2)
+        number, stems, marks = numbers.__getitem__, [], []
+        for p in pieces:
+            split = len(p) > 2 and p[-1] in ".,;:!?" and p[-2].isalpha()
+            stems.append(number(p[:-1] if split else p))
+            marks.append(number(p[-1] if split else ""))
+        pairs = np.array([stems, marks], np.int64).T
         found = self.library.encode_batch_fast(numbers.fresh, add_special_tokens=False)
         count = np.array([len(e.ids) for e in found], np.int64)
         ids = np.fromiter((i for e in found for i in e.ids), np.uint32, count.sum())
