@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridweave.llm.common import chunks, partitions, stored
+from gridweave.llm.common import chunks, partitions, release, stored
 from gridweave.llm.components import components
 from gridweave.llm.shingles import shingle_sets
 
@@ -37,7 +37,7 @@ VALUES, CHUNK_VALUES, CHUNKS_USED = 64, 5, 12
 MOST_DIFFERENT = 26
 BUCKET = 4096
 #: Classes and bytes of sets in a block; a task compares two blocks at most.
-BLOCK_ROWS, BLOCK_BYTES = 1500, 24 << 20
+BLOCK_ROWS, BLOCK_BYTES = 1500, 8 << 20
 #: Texts are profiled in batches of this many bytes.
 BATCH_BYTES = 1 << 20
 _random = np.random.default_rng(75)
@@ -94,6 +94,7 @@ def profile(documents: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(np.diff(at)), pa.array(digests, pa.binary()), pa.array(own, pa.binary())], names=["doc_id", "n_shingles", "digest", "signature"]
             )
+        release()
 
     return documents.select("doc_id", "text").mapInArrow(step, "doc_id long, n_shingles long, digest binary, signature binary")
 
@@ -189,6 +190,7 @@ def candidates(classes: DataFrame) -> DataFrame:
             edges = edges[edges[:, 0] != edges[:, 1]]
             if len(edges):
                 yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0].copy()), pa.array(edges[:, 1].copy())], names=["a", "b"])
+        release()
 
     each = classes.select("rep", "signature").mapInArrow(keyed, "key long, rep long, sketch_a long, sketch_b long")
     spread = each.repartition(partitions(classes.sparkSession), "key").sortWithinPartitions("key", "rep")
@@ -257,8 +259,10 @@ def links(documents: DataFrame, members: DataFrame) -> DataFrame:
                     b.append(rep[f + label[moved]])
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+        release()
 
-    texts = documents.select(F.col("doc_id").alias("rep"), "text").join(members, "rep").select("grp", "blocks", "rep", "digest", "text")
+    # by shuffle at any size: members grow with the documents, so no broadcast of them is bounded
+    texts = documents.select(F.col("doc_id").alias("rep"), "text").join(members.hint("merge"), "rep").select("grp", "blocks", "rep", "digest", "text")
     sets = texts.mapInArrow(sets_of, "grp long, blocks int, rep long, shingles binary")
     block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     blocked = sets.withColumn("block", block).select(
