@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridweave.operators.components import checkpoint_folder
 from gridweave.operators.nearest import point_in_rings
 
 #: The administrative levels of a boundary.
@@ -123,11 +124,12 @@ def partition(points: DataFrame, areas_of_level, starting: int, lowest: int, siz
     """
     if starting not in ADMIN_LEVELS or lowest not in ADMIN_LEVELS or starting > lowest:
         raise ValueError(f"levels {starting} to {lowest} are not levels in ascending order")
-    placed = points.select("role", "id").distinct().withColumn("region", F.array().cast("array<long>"))
+    checkpoint_folder(points.sparkSession)
+    placed = points.select("role", "id").distinct().withColumn("region", F.array().cast("array<long>")).checkpoint()
     level: int | None = starting
     while level is not None and level <= lowest:
         areas = areas_of_level(level)
-        if areas is not None:
+        if areas is not None and not (areas := areas.checkpoint()).isEmpty():
             voted = votes(points, areas, size)
             # votes don't depend on the region; the areas of a region are those that its own entities vote for
             assigned = placed.join(assign(voted), ["role", "id"]).select("region", "role", "id", "area_id")
@@ -135,5 +137,6 @@ def partition(points: DataFrame, areas_of_level, starting: int, lowest: int, siz
             assigned = assigned.join(used, ["region", "area_id"], "left_semi")
             whole = placed.join(used.select("region").distinct(), "region", "left_anti")
             placed = assigned.select("role", "id", F.concat("region", F.array("area_id")).alias("region")).unionByName(whole.select("role", "id", "region"))
+            placed = placed.checkpoint()  # each level reads the one before it several times
         level = next_level(level)
     return placed.select("region", "role", "id")

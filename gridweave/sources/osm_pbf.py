@@ -191,6 +191,8 @@ class PbfReader(DataSourceReader):
             raise OsmReadError(f"Reading failed due to: {e}") from e
 
     def read(self, partition):
+        if partition is None:  # a file without blobs
+            return
         fs, path = file_system(self.uri)
         try:
             with fs.open_input_file(path) as f:

@@ -7,7 +7,7 @@ import pytest
 
 from gridweave import config
 from gridweave.config import ConfigError
-from gridweave.operators import merge, region
+from gridweave.operators import merge
 from gridweave.plans import pipeline
 from gridweave.sources import assets, osm_pbf
 
@@ -192,5 +192,3 @@ def test_house_connections_and_levels(spark, types, tmp_path):
     assert merge.check(out).count() == 0
 
 
-def test_levels_are_checked_before_a_job():
-    assert region.ADMIN_LEVELS[0] == 2
