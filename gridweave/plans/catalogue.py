@@ -236,9 +236,9 @@ def pair_distance(m):
 # --- buildings and areas ---
 
 
-@query(sql("SELECT building_id, round(area,2) AS area_m2, round(area*500e0/1000e0,2) AS power_kw FROM (SELECT building_id, abs(radians(3e0*half)*2e0*sin(radians(lat-half))-radians(3e0*half)*2e0*sin(radians(lat+half)))*20340315798442.285e0 AS area FROM building)"))
+@query(sql("SELECT building_id, round(area,2) AS area_m2, round(area*500e0/1000e0,4) AS power_kw FROM (SELECT building_id, abs(radians(3e0*half)*2e0*sin(radians(lat-half))-radians(3e0*half)*2e0*sin(radians(lat+half)))*20340315798442.285e0 AS area FROM building)"))
 def building_area_load(m):
-    return grid.building_loads(buildings(m), DENSITY).select("building_id", F.round("area_m2", 2).alias("area_m2"), F.round("power_kw", 2).alias("power_kw"))
+    return grid.building_loads(buildings(m), DENSITY).select("building_id", F.round("area_m2", 2).alias("area_m2"), "power_kw")
 
 
 @query(sql("SELECT building_id, round(lat,7) AS lat, round(lon,7) AS lon FROM building"))
@@ -329,7 +329,8 @@ def split_sections(m):
     return graph.split_sections(m.section, connection_points(m).where("kind = 'new'")).withColumn("dist_m", F.round("dist_m", 3))
 
 
-@query(sql("SELECT building_id, 200000000+building_id AS a_id, CASE kind WHEN 'new' THEN 100000000+building_id WHEN 'a' THEN a_id ELSE b_id END AS b_id, round(d,3) AS dist_m FROM snapped", SNAP_SQL))
+@query(sql("SELECT building_id, 200000000+building_id AS a_id, CASE kind WHEN 'new' THEN 100000000+building_id WHEN 'a' THEN a_id ELSE b_id END AS b_id, "
+    f"round({haversine('', 's_')},3) AS dist_m FROM snapped", SNAP_SQL))
 def house_connections(m):
     end = F.when(F.col("kind") == "new", F.col("node_id")).when(F.col("kind") == "a", F.col("a_id")).otherwise(F.col("b_id"))
     points = connection_points(m).withColumn("node_id", end).withColumn("building_vertex", F.col("building_id") + 200000000)
@@ -443,9 +444,9 @@ def cluster_assign(m):
     return assigned(m)
 
 
-@query(sql("SELECT grid_id, substation_id, CAST(count(*) AS BIGINT) AS n_nodes, round(sum(dist_m),2) AS total_m FROM asg GROUP BY 1,2", CORNER_SQL, AREA_SQL, ASSIGN_SQL))
+@query(sql("SELECT grid_id, substation_id, CAST(count(*) AS BIGINT) AS n_nodes, round(sum(dist_m),3) AS total_m FROM asg GROUP BY 1,2", CORNER_SQL, AREA_SQL, ASSIGN_SQL))
 def cluster_lengths(m):
-    return cluster.cluster_lengths(assigned(m)).withColumn("total_m", F.round("total_m", 2))
+    return cluster.cluster_lengths(assigned(m)).withColumn("total_m", F.round("total_m", 3))
 
 
 @query(sql("SELECT x.grid_id, x.substation_id, e.a_id, e.b_id FROM edge e JOIN asg x ON x.node_id=e.a_id JOIN asg y ON y.node_id=e.b_id AND y.grid_id=x.grid_id AND y.substation_id=x.substation_id", EDGE_SQL, CORNER_SQL, AREA_SQL, ASSIGN_SQL))
