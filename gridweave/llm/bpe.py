@@ -21,7 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from gridweave.llm.common import chunks
+from gridweave.llm.common import chunks, release
 
 #: The code points with Unicode's White_Space property.
 WHITE_SPACE = [*range(9, 14), 32, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288]
@@ -170,8 +170,8 @@ class PairIndexCodec(Segments):
         """The ids of words that lie end to end in ``raw``, and where each word's begin; the last entry is their number."""
         n = len(raw)
         sym = self.byte_id[np.frombuffer(raw, np.uint8)]
-        after = np.arange(1, n + 1, dtype=np.int64)
-        before = np.arange(-1, n - 1, dtype=np.int64)
+        after = np.arange(1, n + 1, dtype=np.int32)
+        before = np.arange(-1, n - 1, dtype=np.int32)
         before[starts] = -1
         after[starts[1:] - 1] = -1
         after[-1] = -1
@@ -278,6 +278,7 @@ def encode(df: DataFrame, text: str = "text", path: str | None = None, out: str
             ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found).astype(np.int32)))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), ids], names=[*kept, out])
+        release()
 
     schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in kept), f"`{out}` array<int>"])
     return df.select(*[f"`{c}`" for c in kept]).mapInArrow(step, schema)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -11,13 +14,23 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one Python step holds at a time; a longer text comes alone.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
+
+
+#: What a Python step is handed at a time, whatever the length of the rows.
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table; the session's Arrow batches are bounded in bytes from here on, as texts may be long."""
+    bounded(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded(spark: SparkSession) -> None:
+    spark.conf.set(ARROW_BYTES, str(CHUNK_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; where it is unset, as in tests, a new temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -66,5 +79,13 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BY
         yield batch.slice(start)
 
 
+def release() -> None:
+    """Gives a worker's free memory back: it stays alive for later stages, beside the JVM of its executor."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

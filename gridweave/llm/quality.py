@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridweave.llm.common import chunks
+from gridweave.llm.common import chunks, release
 
 TRAIN_ROWS, TRAIN_BYTES = 4000, 65_536
 THRESHOLD = 0.3
@@ -162,6 +162,7 @@ def score(documents: DataFrame, model: Network | None, out: str = "score") -> Da
             texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
             found = np.full(len(texts), 0.5) if model is None else model.score(texts)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(found, pa.float64())], names=[*kept, out])
+        release()
 
     schema = ", ".join([*(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in kept), f"`{out}` double"])
     return documents.select(*[f"`{c}`" for c in kept]).mapInArrow(step, schema)
