@@ -51,5 +51,33 @@ def queries() -> dict:
     return {f.__name__: f for f in every}
 
 
+OP2_SQL = r"""
+WITH RECURSIVE word AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+bag AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM word),
+each_ AS (SELECT doc_id, unnest(s) AS x FROM bag),
+size AS (SELECT doc_id, CAST(len(s) AS BIGINT) AS n FROM bag),
+both_ AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM each_ a JOIN each_ b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+link AS (SELECT a, b FROM both_ x JOIN size p ON p.doc_id = a JOIN size q ON q.doc_id = b WHERE 100 * x.n >= 75 * (p.n + q.n - x.n)),
+reach AS (SELECT doc_id AS s, doc_id AS t FROM size UNION SELECT r.s, l.b FROM reach r JOIN link l ON l.a = r.t)
+SELECT doc_id, n AS n_shingles, c AS component_id, doc_id = c AS kept FROM size JOIN (SELECT s, min(t) AS c FROM reach GROUP BY s) ON s = doc_id
+"""
+OP4_SQL = r"""
+WITH said AS (
+  SELECT conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+size AS (
+  SELECT *, 15 + 2 * length(text) - length(replace(replace(replace(text, '\', ''), '#', ''), '<', ''))
+    + 2 * length(role) - length(replace(replace(replace(replace(role, '\', ''), '#', ''), '<', ''), ':', '')) AS n FROM said)
+SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256, CAST(sum(n) AS BIGINT) AS formatted_chars
+FROM size GROUP BY conv_id
+"""
+
+
 def oracle_sql() -> dict:
-    return {}
+    """The rest needs a library, a trained model or a file format: tests hold it against plain versions."""
+    return {"op2_near_duplicates": OP2_SQL, "op4_chat": OP4_SQL}
