@@ -157,6 +157,16 @@ def test_pii_forms():
     assert pii.pseudonymise(out, b"other")[1] == found
 
 
+def test_every_phone_moves():
+    rnd = random.Random(2)
+    for _ in range(300):
+        number = f"+1 ({rnd.randint(0, 999):03}) {rnd.randint(0, 999):03}-{rnd.randint(0, 9999):04}"
+        out, found = pii.pseudonymise(f"call {number} now")
+        assert number not in out and found == {"phone": 1}
+        valid = lambda t: t[4] in "23456789" and t[9] in "23456789"
+        assert valid(out[5:]) == valid(number)
+
+
 def test_pii_leaves_clean_text():
     for t in ["", "plain words", "version 4.0. CC BY-NC 4.0", "in 1999, 300.500.1.2 and 2024-13-45", "a = b; ratio 3:4", "1,234,567 and 12345"]:
         assert pii.pseudonymise(t) == (t, {})
