@@ -7,7 +7,8 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from gridweave.llm import components, decontam, neardup, shingles
+from gridweave.llm import decontam, neardup, shingles
+from gridweave.operators import components
 
 
 def words(n, seed, letters="abcdefgh"):
