@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridweave.operators.components import checkpoint_folder
+
 #: A filter: tag keys with the values allowed; an empty list allows any.
 Filter = dict[str, list[str]]
 BOUNDARY: Filter = {"boundary": ["administrative", "census"]}
@@ -89,14 +91,15 @@ def relation_members(relations: DataFrame, ways: DataFrame, nodes: DataFrame, mo
     """
     direct = relations.select("rel_id", F.explode("members").alias("m")).select("rel_id", F.lower("m.type").alias("type"), F.col("m.id").alias("id"))
     known = direct.where("type in ('node', 'way', 'relation')").distinct()
-    level = found = known
+    checkpoint_folder(relations.sparkSession)
+    level = found = known = known.checkpoint()
     below = known.where("type in ('node', 'way', 'relation')").select(F.col("rel_id").alias("id"), F.col("type").alias("sub_type"), F.col("id").alias("sub_id"))
     for _ in range(most_levels - 1):
         level = level.where("type = 'relation'").join(below, "id").select("rel_id", F.col("sub_type").alias("type"), F.col("sub_id").alias("id")).distinct()
-        level = level.join(found, ["rel_id", "type", "id"], "left_anti")
-        found = found.union(level)
+        level = level.join(found, ["rel_id", "type", "id"], "left_anti").checkpoint()
         if level.isEmpty():
             break
+        found = found.union(level)
     refs = found.where("type = 'way'").join(way_nodes(ways), F.col("id") == F.col("way_id")).select("rel_id", F.lit("node").alias("type"), F.col("node_id").alias("id"))
     everything = found.union(refs).distinct()
     there = entities(*[d.select("*") for d in (nodes, ways, relations)]).select("type", "id")

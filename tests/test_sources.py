@@ -181,6 +181,23 @@ def test_whole_run(spark, types, tmp_path):
     assert ends.count() == lines.count() and ends.where("ea <> eb").count() == 0
 
 
+def test_missing_high_voltage(spark):
+    from gridweave.operators.grid import GridError
+
+    with pytest.raises(GridError, match="neither given"):
+        pipeline.run(spark, good_config(mv={"spawn_missing_hv_nodes": False}))
+
+
+def test_command_line(tmp_path):
+    from gridweave.__main__ import main
+
+    with pytest.raises(SystemExit):
+        main([])
+    (tmp_path / "bad.toml").write_text("[output]\nlv = false\n")
+    with pytest.raises(ConfigError):
+        main(["--config", str(tmp_path / "bad.toml")])
+
+
 def test_house_connections_and_levels(spark, types, tmp_path):
     village(str(tmp_path / "village.pbf"))
     cfg = good_config(
