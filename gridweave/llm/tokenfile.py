@@ -91,10 +91,33 @@ class LibraryEncoder(Segments):
 
         super().__init__(LIBRARY_WORDS)
         self.library = Tokenizer.from_file(path)
+        vocabulary = self.library.get_vocab(with_added_tokens=False)
+        self.bytes_of = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+        self.bytes_of[list(vocabulary.values())] = [len(t) for t in vocabulary]  # a character stands for a byte
         self.id_bytes = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
         self.library.no_truncation()
         self.library.no_padding()
 
+    def encode_each(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of pieces, where each piece's begin, and how many there are.
+
+        Words of a space and letters go to the library as one text: each is a pre-token there too, and
+        the lengths of the tokens in bytes tell where its own end.
+        """
+        start, count = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
+        plain = np.array([p[:1] == " " and p[1:].isalpha() for p in pieces], bool)
+        found = self.library.encode_batch_fast(["".join(p for p, x in zip(pieces, plain, strict=True) if x)], add_special_tokens=False)
+        together = np.array(found[0].ids, np.int64)
+        ends = np.cumsum([len(p.encode()) for p, x in zip(pieces, plain, strict=True) if x])
+        at = np.searchsorted(np.cumsum(self.bytes_of[together]), ends, "right")
+        start[plain] = np.concatenate([[0], at[:-1]]) if len(at) else at
+        count[plain] = np.diff(at, prepend=0)
+        found = self.library.encode_batch_fast([p for p, x in zip(pieces, plain, strict=True) if not x], add_special_tokens=False)
+        alone = np.array([len(e.ids) for e in found], np.int64)
+        start[~plain] = len(together) + np.cumsum(alone) - alone
+        count[~plain] = alone
+        return np.concatenate([together, np.fromiter((i for e in found for i in e.ids), np.int64, alone.sum())]), start, count
+
     def encode_new(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """A mark after a letter is a pre-token of its own, so words that differ in it alone are encoded once."""
         numbers = Numbers()
@@ -104,11 +127,9 @@ class LibraryEncoder(Segments):
             stems.append(number(p[:-1] if split else p))
             marks.append(number(p[-1] if split else ""))
         pairs = np.array([stems, marks], np.int64).T
-        found = self.library.encode_batch_fast(numbers.fresh, add_special_tokens=False)
-        count = np.array([len(e.ids) for e in found], np.int64)
-        ids = np.fromiter((i for e in found for i in e.ids), np.uint32, count.sum())
+        ids, start, count = self.encode_each(numbers.fresh)
         length = count[pairs]
-        return gathered(ids, (np.cumsum(count) - count)[pairs.ravel()], length.ravel()), length.sum(1)
+        return gathered(ids, start[pairs.ravel()], length.ravel()), length.sum(1)
 
 
 @cache
