@@ -51,6 +51,22 @@ def queries() -> dict:
     return {f.__name__: f for f in every}
 
 
+OP1_SQL = r"""
+WITH doc AS (SELECT DISTINCT doc_id, regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+') AS w FROM documents),
+item AS (
+  SELECT * FROM (SELECT DISTINCT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark) WHERE len(w) >= 5),
+seed AS (SELECT DISTINCT array_to_string(w[o:o + 4], ' ') AS x, o, len(w) AS n FROM (SELECT w, unnest(range(1, len(w) - 3)) AS o FROM item)),
+spot AS (SELECT doc_id, w, i, array_to_string(w[i:i + 4], ' ') AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM doc)),
+win AS (
+  SELECT DISTINCT doc_id, b - 1 AS b, w[b:e] AS w FROM (SELECT doc_id, w, greatest(i - o + 1, 1) AS b, least(i - o + n, len(w)) AS e FROM spot JOIN seed ON seed.x = spot.x)),
+text_ AS (SELECT DISTINCT w FROM win),
+in_win AS (SELECT w, x, count(*) AS n FROM (SELECT w, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS x FROM text_) GROUP BY 1, 2),
+in_item AS (SELECT item_id, w, x, count(*) AS n FROM (SELECT item_id, w, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS x FROM item) GROUP BY 1, 2, 3),
+shared AS (SELECT a.w, item_id, len(a.w) + len(b.w) - 8 AS total, sum(least(a.n, b.n)) AS n FROM in_win a JOIN in_item b ON a.x = b.x GROUP BY a.w, item_id, b.w),
+good AS (SELECT w, item_id, round(CAST(n AS DOUBLE) / (total - n), 6) AS similarity FROM shared WHERE 100 * n >= 75 * (total - n))
+SELECT doc_id, item_id, similarity, CAST(b AS INTEGER) AS start_word, CAST(len(w) AS INTEGER) AS n_words FROM (
+  SELECT doc_id, item_id, similarity, b, win.w, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, b, len(win.w) DESC) AS k FROM win JOIN good ON good.w = win.w) WHERE k = 1
+"""
 OP2_SQL = r"""
 WITH RECURSIVE word AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -79,5 +95,5 @@ FROM size GROUP BY conv_id
 
 
 def oracle_sql() -> dict:
-    """The rest needs a library, a trained model or a file format: tests hold it against plain versions."""
-    return {"op2_near_duplicates": OP2_SQL, "op4_chat": OP4_SQL}
+    """SQL compares whole windows where op1 looks fingerprints up first. The rest needs a library, a trained model or a file format: tests hold it against plain versions."""
+    return {"op1_decontamination": OP1_SQL, "op2_near_duplicates": OP2_SQL, "op4_chat": OP4_SQL}
