@@ -197,3 +197,24 @@ def test_quality(spark):
     assert got[500].score == got[501].score and abs(got[503].score - got[0].score) < 1e-5 and got[502].predicted == 1
     assert quality.classify(docs, labels.where("false")).where("score <> 0.5").count() == 0
     assert quality.classify(docs.where("false"), labels).count() == 0
+
+
+def test_cropped_passages():
+    import numpy as np
+
+    rnd, text = np.random.default_rng(1), " ".join(f"word{i}" for i in range(400)).encode()
+    for _ in range(200):
+        part = quality.cropped(text, rnd)
+        assert part in text and all(w.startswith(b"word") for w in part.split())
+    assert quality.cropped(b"short", rnd) == b"short" and quality.cropped(b"", rnd) == b""
+    assert quality.cropped(b"x" * 5000, rnd)
+
+
+def test_chunks_are_bounded():
+    import pyarrow as pa
+
+    from gridweave.llm.common import chunks
+
+    batch = pa.RecordBatch.from_pydict({"text": ["a" * 10, None, "b" * 90, "c" * 200, "", "d"], "n": list(range(6))})
+    parts = list(chunks(iter([batch, batch.slice(0, 0)]), "text", 100))
+    assert [p.column("n").to_pylist() for p in parts] == [[0, 1, 2], [3], [4, 5]]
