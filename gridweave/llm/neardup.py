@@ -6,7 +6,7 @@
    of these 60 values one chunk at least differs in at most one (pigeonhole). Each way to leave out one
    value of a chunk is a key, so all such pairs share a key: 60 keys a class.
 3. Classes that share a key and whose two-bit signatures differ in at most 26 of 64 values are
-   candidates. At a similarity of 0.75 a pair is lost with a probability of 1e-5, at 0.8 of 1e-7.
+   candidates. At a similarity of 0.75 a pair is lost with a probability of 2e-5, at 0.8 of 3e-7.
    What leaves a bucket is a forest that connects its candidates, not their pairs.
 4. The components of these forests are groups; no candidate pair crosses them. The full sets of a
    group's classes meet, in pairs of blocks where the group is large, and every pair in it is compared:

@@ -7,7 +7,7 @@ greatest and mean responses over its chunks are combined into one probability.
 
 It learns from at most ``TRAIN_ROWS`` labelled rows, those first in the order of a hash of doc_id,
 with texts of at most ``TRAIN_BYTES`` bytes and never from held-out rows; of several labels of a
-doc_id the greatest counts. Text is its only input. Every whole text gets a score; null text counts as
+doc_id the greatest counts. A share of the good texts is seen as passages of some words. Text is its only input. Every whole text gets a score; null text counts as
 empty, and equal texts have equal scores. Without labelled rows every score is 0.5. Rows stay one for
 one; an empty table gives no rows.
 """
