@@ -9,8 +9,10 @@ Words are runs of letters and digits, lower-cased; shingles are five words.
 3. Fingerprints are cut into four blocks of 16 bits. If two differ in at most 15 bits, one block
    differs in at most three (pigeonhole). Items are entered under each block with up to two bits
    turned, windows look up each block with up to one, so all such pairs meet.
-4. Pairs within 15 bits are compared exactly: shingles weighted by how often they occur, the sum of
-   the lesser weights over the sum of the greater, 0.75 or more.
+4. Pairs beyond that radius meet by shingles: a match holds at least 0.75 of an item's shingles, so it
+   holds one of any choice of more than 0.25 of them. Windows look up the rarest such choice.
+5. Pairs that met either way are compared exactly: shingles weighted by how often they occur, the sum
+   of the lesser weights over the sum of the greater, 0.75 or more.
 
 Items of fewer than five words have no shingle and match nothing; null and empty texts match nothing.
 Rows of the documents without doc_id count as one document without id. Repeated rows give the result
@@ -21,7 +23,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridweave.llm.common import stored
@@ -84,6 +86,17 @@ def entries(prints: DataFrame, key: str, bits: int) -> DataFrame:
     return each.select(key, "fp", F.explode(F.transform(F.array(*map(F.lit, turned(bits))), lambda m: F.col("block").bitwiseXOR(m))).alias("entry"))
 
 
+def rarest(texts: DataFrame, percent: int) -> DataFrame:
+    """(shingle, item_hash): of each item the shingles in fewest items, just so many that no match is without all of them."""
+    n = F.size("words") - (WIDTH - 1)
+    each = texts.select("item", n.alias("n"), F.explode(F.transform(positions("words"), lambda i: shingle_hash("words", i))).alias("shingle"))
+    each = each.groupBy("item", "n", "shingle").agg(F.count(F.lit(1)).alias("times"))
+    each = each.join(each.groupBy("shingle").agg(F.count(F.lit(1)).alias("n_items")), "shingle")
+    before = F.sum("times").over(Window.partitionBy("item").orderBy("n_items", "shingle").rowsBetween(Window.unboundedPreceding, -1))
+    chosen = each.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") <= F.col("n") - F.ceil(F.col("n") * percent / 100))
+    return chosen.select("shingle", F.xxhash64("item").alias("item_hash"))
+
+
 def matches(documents: DataFrame, benchmark: DataFrame, percent: int = 75) -> DataFrame:
     """doc_id, item_id, similarity, start_word, n_words: the best window of each document and item that match."""
     items = benchmark.select("item_id", F.array_remove(words_of("text"), "").alias("words")).where(F.size("words") >= WIDTH)
@@ -113,7 +126,13 @@ def matches(documents: DataFrame, benchmark: DataFrame, percent: int = 75) -> Da
     near = entries(fingerprint(different, "win", "words"), "win", 1).join(
         entries(fingerprint(texts, "item", "words"), "item", 2).withColumnRenamed("fp", "item_fp"), "entry"
     )
-    pairs = near.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS).select("win", "item").distinct()
+    pairs = near.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS).select("win", "item")
+    rare = rarest(texts, percent)
+    rare = F.broadcast(rare) if size <= BROADCAST_BYTES else rare
+    in_win = different.select("win", F.explode(F.transform(positions("words"), lambda i: shingle_hash("words", i))).alias("shingle"))
+    far = in_win.join(rare, "shingle").select("win", "item_hash").distinct()
+    far = far.join(texts.select("item", F.xxhash64("item").alias("item_hash")), "item_hash").select("win", "item")
+    pairs = pairs.union(far).distinct()
 
     weigh = lambda df, key, weight: df.select(key, F.explode(shingle_text("words")).alias("shingle")).groupBy(key, "shingle").agg(F.count(F.lit(1)).alias(weight))
     both = pairs.join(weigh(different, "win", "in_win"), "win").join(weigh(texts, "item", "in_item"), ["item", "shingle"])

@@ -171,6 +171,25 @@ def test_decontamination(spark):
     assert decontam.matches(df.where("false"), table).count() == 0 and decontam.matches(df, table.where("false")).count() == 0
 
 
+def test_no_match_is_lost_at_the_threshold(spark):
+    """Passages with as many words cut at the document's end, or replaced at either end, as a similarity of 0.75 allows."""
+    bench, docs, want = [], [], set()
+    for i in range(300):
+        own = words(16 + i % 85, 10_000 + i, "abcdefghijkl")
+        n = len(own) - 4
+        bench.append((i, " ".join(own)))
+        other = words(90, 20_000 + i, "mnopqrstuvwx")
+        cut, gone = n // 4, n // 7
+        docs.append((3 * i, " ".join(other + own[: len(own) - cut])))
+        docs.append((3 * i + 1, " ".join(other[:40] + own[: len(own) - gone] + other[40:])))
+        docs.append((3 * i + 2, " ".join(other[:40] + own[gone:] + other[40:])))
+        want |= {(3 * i + k, i) for k in range(3)}
+    got = decontam.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")).collect()
+    lost = want - {(r.doc_id, r.item_id) for r in got}
+    assert not lost, [sum(d % 3 == k for d, _ in lost) for k in range(3)]
+    assert len(got) == len(want) and all(0.75 <= r.similarity <= 1 for r in got)
+
+
 def test_blocks_hold_the_radius(spark):
     rnd = random.Random(4)
     pairs = []
