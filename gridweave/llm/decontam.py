@@ -2,9 +2,11 @@
 
 Words are runs of letters and digits, lower-cased; shingles are five words.
 
-1. Windows as long as an item are laid over a document wherever the two share a shingle, so that the
-   shared words fall on each other; one window for each run of shared shingles. A window and an item
-   with a similarity above 0 share a shingle, so no match lies outside the windows.
+1. Windows as long as an item, or less where the document begins or ends, are laid over a document
+   where the two share a run of shingles: so that the shared words fall on each other, from the run's
+   first word on, and from the document's first word to the run's last. The best window of all begins
+   with a shared shingle or, cut by the document's begin, ends with one; within a run the longer reach
+   is as good, unless the shingle that it adds is in the window already. There a window is laid too.
 2. Each different window and each item gets a 64-bit SimHash of its words.
 3. Fingerprints are cut into four blocks of 16 bits. If two differ in at most 15 bits, one block
    differs in at most three (pigeonhole). Items are entered under each block with up to two bits
@@ -107,6 +109,7 @@ def matches(documents: DataFrame, benchmark: DataFrame, percent: int = 75) -> Da
     seeds = placed.select(
         shingle_hash("words", F.col("offset")).alias("shingle"),
         F.when(F.col("offset") > 0, shingle_hash("words", F.col("offset") - 1)).alias("before"),
+        F.when(F.col("offset") < F.size("words") - WIDTH, shingle_hash("words", F.col("offset") + 1)).alias("after"),
         "offset",
         "n_words",
     ).distinct()
@@ -116,10 +119,23 @@ def matches(documents: DataFrame, benchmark: DataFrame, percent: int = 75) -> Da
     at = documents.select("doc_id", words_of("text").alias("w")).select("doc_id", "w", F.explode(positions("w")).alias("i"))
     hit = at.withColumn("shingle", shingle_hash("w", F.col("i"))).join(seeds, "shingle")
     starts_run = F.col("before").isNull() | (F.col("i") == 0) | (shingle_hash("w", F.col("i") - 1) != F.col("before"))
+    ends_run = F.col("after").isNull() | (F.col("i") == F.size("w") - WIDTH) | (shingle_hash("w", F.col("i") + 1) != F.col("after"))
     first = F.col("i") - F.col("offset")
     begin = F.greatest(first, F.lit(0))
-    window = F.slice("w", begin + 1, first + F.col("n_words") - begin)
-    windows = hit.where(starts_run).select("doc_id", begin.alias("start_word"), F.array_join(window, " ").alias("win")).distinct()
+    window = lambda at, n: F.struct(at.alias("start_word"), F.array_join(F.slice("w", at + 1, n), " ").alias("win"))
+    # whether the window holds the shingle that would make it longer
+    holds = lambda at, n, i: F.contains(F.concat(F.lit(" "), window(at, n)["win"], F.lit(" ")), F.concat(F.lit(" "), F.array_join(F.slice("w", i + 1, WIDTH), " "), F.lit(" ")))
+    # a shorter window can't match the item
+    reaches = lambda n: (n - (WIDTH - 1)) * 100 >= (F.col("n_words") - (WIDTH - 1)) * percent
+    i, head = F.col("i"), F.col("i") + WIDTH
+    from_run = reaches(F.least(F.col("n_words"), F.size("w") - i)) & (starts_run | holds(i, F.col("n_words"), i - 1))
+    to_run = (head < F.col("n_words")) & reaches(head) & (ends_run | holds(F.lit(0), head, i + 1))
+    laid = F.array(
+        F.when(starts_run, window(begin, first + F.col("n_words") - begin)),
+        F.when(from_run, window(i, F.col("n_words"))),
+        F.when(to_run, window(F.lit(0), head)),
+    )
+    windows = hit.select("doc_id", F.explode(laid).alias("laid")).where("laid is not null").select("doc_id", "laid.*").distinct()
     windows = stored(windows, "windows")
 
     different = windows.select("win").distinct().withColumn("words", F.split("win", " "))

@@ -190,6 +190,38 @@ def test_no_match_is_lost_at_the_threshold(spark):
     assert len(got) == len(want) and all(0.75 <= r.similarity <= 1 for r in got)
 
 
+def test_windows_between_the_diagonals(spark):
+    """Trimmed passages with words put in, heads of passages that a document begins with, and repeated shingles, against all starts."""
+    bench, docs = [], []
+    for i in range(12):
+        own, other = words(40 + 10 * i, 30_000 + i, "abcdefghijkl"), words(300, 40_000 + i, "mnopqrstuvwx")
+        trim, half = (len(own) - 4) // 24, len(own) // 2
+        bench.append((i, " ".join(own)))
+        inner = own[trim : len(own) - trim]
+        docs.append(other[:50] + inner[:half] + other[50 : 50 + 1 + len(own) // 17] + inner[half:] + other[60:120])
+        docs.append(own[: len(own) - (len(own) - 4) // 4] + other[:150])
+        docs.append(other[:2] + own[: len(own) - (len(own) - 4) // 5] + other[2:150])
+        docs.append(other[:150] + own[(len(own) - 4) // 4 :])
+    verse = words(9, 50_000, "abcdefghijkl")
+    bench += [(50, " ".join(verse * 4)), (51, " ".join(verse * 2 + words(20, 50_001, "abcdefghijkl") + verse))]
+    docs += [verse * 4 + words(40, 50_002), words(30, 50_003) + verse * 3 + words(40, 50_004), verse * 9, verse * 3, bench[-1][1].split()[5:] + verse]
+    docs.append(words(30, 50_005) + bench[-1][1].split()[4:-4] + words(30, 50_006))
+    want = {}
+    for d, w in enumerate(docs):
+        for i, t in bench:
+            n, own = len(t.split()), Counter(tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4))
+            for s in range(5 - n, len(w) - 4):
+                part = w[max(s, 0) : s + n]
+                found = Counter(tuple(part[k : k + 5]) for k in range(len(part) - 4))
+                both = (found & own).total()
+                if both and 100 * both >= 75 * (found | own).total():
+                    want[d, i] = max(want.get((d, i), 0), round(both / (found | own).total(), 6))
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in enumerate(docs)], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontam.matches(df, spark.createDataFrame(bench, "item_id long, text string")).collect()}
+    assert not want.keys() - got.keys(), sorted(want.keys() - got.keys())
+    assert all(got[k] >= v for k, v in want.items()) and len(want) > 30
+
+
 def test_blocks_hold_the_radius(spark):
     rnd = random.Random(4)
     pairs = []
