@@ -1,18 +1,23 @@
 """Personal data, replaced by format-preserving Feistel pseudonyms.
 
-Found are mail addresses, telephone numbers, IPv4 addresses, payment card and other long account
-numbers, IBANs, social security numbers, dates, access keys and secrets. Each is checked for its
-form (octets, Luhn and IBAN check digits, area codes, the calendar), then permuted under a key within
-the values of its form: a card stays a card with a right check digit, a date stays a date, a
+Found are mail addresses, telephone numbers, IPv4 addresses, payment card numbers, IBANs, social
+security numbers, dates, access keys and secrets. Each is checked for its form (octets, Luhn and IBAN
+check digits, area codes, the calendar), and left alone where it fails; what is valid is permuted under
+a key within the values of its form: a card stays a card with a right check digit, a date stays a date, a
 separator stays where it was. A value is taken without its separators, so one number written in two
 ways has the same pseudonym, in any document.
 
 A permutation is a balanced Feistel network of eight keyed rounds over the smallest power of four
 that holds the form's values, walked until it falls within them again. As any permutation it may leave
 a value where it is: one in 73 049 for dates, fewer for numbers, more often for addresses of a few letters.
-
-Null text stays null, with no findings. Text without findings comes back as it was. Rows stay one for
-one; an empty table gives no rows.
+A secret of any length is moved whole: beyond 255 characters in pieces, each under a key that depends
+on what stands before it.
+
+The key is a parameter; ``session_key`` takes it from the session. Null text stays null, with no
+findings. Text without findings comes back as it was. A text of any length is searched whole, in time
+proportional to its length; one above the batch bound comes alone. Equal values have equal pseudonyms
+in all rows, repeated rows stay one for one, columns beside the text stay as they are, and columns of
+the names pii_count and pii_kinds are replaced. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,18 +25,25 @@ from __future__ import annotations
 import datetime
 import hashlib
 import re
+import warnings
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from heapq import merge
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from gridweave.llm.common import chunks
 
-#: For trials; a corpus of one's own takes a secret of one's own.
+#: For trials: whoever has it can turn pseudonyms back. A corpus of one's own takes a secret of one's own.
 KEY = b"gridweave pseudonyms"
+#: Where a session names its own key.
+KEY_SETTING = "spark.gridweave.pii.key"
 ROUNDS = 8
+#: Characters that are moved as one number; what is longer goes in pieces of so many, the last up to twice as long.
+PIECE = 128
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
 
@@ -41,12 +53,18 @@ def permute(key: bytes, form: str, size: int, value: int) -> int:
     half = max(1, ((size - 1).bit_length() + 1) // 2)
     mask = (1 << half) - 1
     width = (half + 7) // 8
+    about = hashlib.blake2b(form.encode(), digest_size=16).digest()
+    own = key if len(key) <= 64 else hashlib.blake2b(key).digest()
+
+    def mixed(right: int, r: int) -> int:
+        one = hashlib.blake2b(right.to_bytes(width, "big"), digest_size=min(width, 64), key=own, salt=bytes([r]), person=about).digest()
+        # a half of more bits than one digest has is filled by an extendable one
+        return int.from_bytes(one if width <= 64 else hashlib.shake_256(one).digest(width), "big") & mask
 
     def network(x: int) -> int:
         left, right = x >> half, x & mask
         for r in range(ROUNDS):
-            mixed = hashlib.blake2b(right.to_bytes(width, "big"), digest_size=width, key=key[:64], salt=bytes([r]), person=hashlib.blake2b(form.encode(), digest_size=16).digest())
-            left, right = right, left ^ int.from_bytes(mixed.digest(), "big") & mask
+            left, right = right, left ^ mixed(right, r)
         return left << half | right
 
     x = network(value)
@@ -74,7 +92,16 @@ def put(shape: str, digits: str) -> str:
 
 
 def characters(key: bytes, form: str, text: str, lower: str = "abcdefghijklmnopqrstuvwxyz") -> str:
-    """Each digit, small and capital letter becomes one of its kind; all of them are one number in mixed radix."""
+    """Each digit, small and capital letter becomes one of its kind; all of a piece are one number in mixed radix."""
+    out, before = [], hashlib.blake2b(digest_size=16)
+    for i in range(0, max(1, len(text) - PIECE + 1), PIECE):
+        piece = text[i:] if i + 2 * PIECE > len(text) else text[i : i + PIECE]
+        out.append(piece_moved(key, f"{form}{before.hexdigest() if i else ''}", piece, lower))
+        before.update(piece.encode())
+    return "".join(out)
+
+
+def piece_moved(key: bytes, form: str, text: str, lower: str) -> str:
     kinds = ["0123456789", lower, "ABCDEFGHIJKLMNOPQRSTUVWXYZ"]
     of = [next((k for k in kinds if c in k), "") for c in text]
     value, size = 0, 1
@@ -99,14 +126,18 @@ def luhn(digits: str) -> str:
     return str(-total % 10)
 
 
-def card(key: bytes, text: str) -> str:
-    """The first digit stays, and whether the check digit is right."""
+#: The first digits of payment cards.
+ISSUERS = re.compile(r"[3-6]|2[2-7]")
+
+
+def card(key: bytes, text: str) -> str | None:
+    """A number with a right check digit that begins as cards do: its first two digits stay, and the check digit is right again."""
     d = digits_of(text)
-    n = len(d) - 2
-    if luhn(d[:-1]) == d[-1]:
-        inner = d[0] + str(permute(key, "card", 10**n, int(d[1:-1]))).zfill(n)
-        return put(text, inner + luhn(inner))
-    return put(text, d[0] + str(permute(key, "account", 10 ** (n + 1), int(d[1:]))).zfill(n + 1))
+    if not ISSUERS.match(d) or luhn(d[:-1]) != d[-1]:
+        return None
+    n = len(d) - 3
+    inner = d[:2] + str(permute(key, "card", 10**n, int(d[2:-1]))).zfill(n)
+    return put(text, inner + luhn(inner))
 
 
 def phone(key: bytes, text: str) -> str | None:
@@ -186,10 +217,10 @@ KINDS: list[tuple[str, str, re.Pattern, Callable[[bytes, str], str | None]]] = [
     ("mail", "@", re.compile(r"(?<![\w.+%-])[\w.+%-]{1,64}@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+"), mail),
     ("iban", "", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"), iban),
     ("ip", ".", re.compile(r"(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\w|\.\d)"), address),
-    ("date", "", re.compile(r"(?<![\w./-])(?:\d{4}-\d{1,2}-\d{1,2}|\d{4}/\d{1,2}/\d{1,2}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}-\d{1,2}-\d{4})(?![\w/-]|\.\d)"), date),
+    ("date", "", re.compile(r"(?<![\w./-])(?:\d{4}-\d{1,2}-\d{1,2}|\d{4}/\d{1,2}/\d{1,2}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}-\d{1,2}-\d{4})(?:(?=T\d\d:?\d\d)|(?![\w/-]|\.\d))"), date),
     ("security", "-", re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"), security),
     ("phone", "", re.compile(r"(?<![\w.+])(?:\+?\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w|[.-]\d)|(?<![\w.])\+\d{11,13}(?!\w)"), phone),
-    ("card", "", re.compile(r"(?<![\w.-])\d(?:\d{12,18}|\d{3}(?:[ -]\d{4}){3})(?!\w|[.-]\d)"), card),
+    ("card", "", re.compile(r"(?<![\w-])(?<!\d\.)\d(?:\d{12,18}|\d{3}(?:[ -]\d{4}){3}|\d{3}[ -]\d{6}[ -]\d{5})(?!\w|[.-]\d)"), card),
 ]
 DIGIT = re.compile(r"\d")
 
@@ -199,27 +230,39 @@ def pseudonymise(text: str, key: bytes = KEY) -> tuple[str, Counter]:
     found: Counter = Counter()
     if not (DIGIT.search(text) or "@" in text or "=" in text or "AKIA" in text or ":" in text):
         return text, found
-    taken: list[tuple[int, int, str]] = []
+    taken: list[tuple[int, int, str]] = []  # in order and apart, so that a search by halves finds what overlaps
     for kind, sign, pattern, change in KINDS:
         if sign not in text and not (sign == "=" and ":" in text):
             continue
+        fresh = []
         for m in pattern.finditer(text):
             i, j = m.span(1 if m.lastindex else 0)
-            if any(a < j and i < b for a, b, _ in taken):
+            k = bisect_left(taken, (j,))
+            if k and taken[k - 1][1] > i:
                 continue
             new = change(key, text[i:j])
             if new is not None:
-                taken.append((i, j, new))
-                found[kind] += 1
+                fresh.append((i, j, new))
+        if fresh:
+            found[kind] += len(fresh)
+            taken = list(merge(taken, fresh))
     if not taken:
         return text, found
     out, at = [], 0
-    for i, j, new in sorted(taken):
+    for i, j, new in taken:
         out += [text[at:i], new]
         at = j
     return "".join([*out, text[at:]]), found
 
 
+def session_key(spark: SparkSession) -> bytes:
+    """The key that the session names; without one the trial key, with a warning."""
+    named = spark.conf.get(KEY_SETTING, None)
+    if not named:
+        warnings.warn(f"{KEY_SETTING} is not set: pseudonyms are made with the public trial key", stacklevel=2)
+    return named.encode() if named else KEY
+
+
 def apply(df: DataFrame, text: str = "text", key: bytes = KEY) -> DataFrame:
     """df with its text pseudonymised, and pii_count (long) and pii_kinds (kind=number, by name) beside it."""
     kept = [c for c in df.columns if c not in ("pii_count", "pii_kinds")]

@@ -35,7 +35,7 @@ def op7_ogg(spark, sf_dir):
 
 
 def op8_pii(spark, sf_dir):
-    return pii.apply(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pii.apply(read(spark, sf_dir, "documents").select("doc_id", "text"), key=pii.session_key(spark))
 
 
 def op9_token_files(spark, sf_dir):
