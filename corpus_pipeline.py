@@ -36,7 +36,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with pseudonyms in their texts."""
-    changed = pii.apply(docs)
+    changed = pii.apply(docs, key=pii.session_key(spark))
     length = F.when(F.col("pii_count") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return changed.withColumn("n_chars", length).select(*docs.columns)
 
