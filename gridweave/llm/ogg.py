@@ -5,8 +5,12 @@ stream; a second one, interleaved with it, describes it. Reading checks each pag
 together from lacing values across pages, keeps logical streams apart by serial number and takes
 times from granule positions.
 
-Null text counts as empty: one packet of bytes 255. Equal texts give equal media. A page with a wrong
-sum, a missing page or a packet without an end raises ValueError. An empty table gives no rows.
+Null text counts as empty: one packet of bytes 255. Equal texts give equal media. Each stream begins
+with its first page and ends with its last, and the number of samples is the one that the second stream
+tells; a page with a wrong sum, a short or missing page (the last ones too), a packet without an end or
+a missing stream raises ValueError. Rows stay one for one, those without doc_id and repeated ones too. A
+text of any length is stored whole; one above the batch bound comes alone. Of other columns, whatever
+their names, none is read. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,6 +29,7 @@ from pyspark.sql import functions as F
 from gridweave.llm.common import chunks
 
 HEAD = struct.Struct("<4sBBqIIIB")
+PCM = struct.Struct("<8sIB")
 CONTINUED, FIRST, LAST = 1, 2, 4
 SAMPLES, RATE = 576, 8000
 SOUND, NOTES = 1, 2
@@ -85,17 +90,24 @@ def demultiplex(raw: bytes) -> dict[int, list[tuple[bytes, int]]]:
     streams: dict[int, list[tuple[bytes, int]]] = {}
     open_: dict[int, list[bytes]] = {}
     expected: dict[int, int] = {}
+    ended: set[int] = set()
     at = 0
     while at < len(raw):
-        mark, _, flags, granule, serial, sequence, crc, n = HEAD.unpack_from(raw, at)
+        if len(raw) - at < HEAD.size:
+            raise ValueError(f"the page at byte {at} is cut short")
+        mark, version, flags, granule, serial, sequence, crc, n = HEAD.unpack_from(raw, at)
         table = raw[at + 27 : at + 27 + n]
         start = at + 27 + n
         end = start + sum(table)
-        if mark != b"OggS" or end > len(raw) or page_sum(raw[at : at + 22] + b"\0\0\0\0" + raw[at + 26 : end]) != crc:
+        if mark != b"OggS" or version or end > len(raw) or page_sum(raw[at : at + 22] + b"\0\0\0\0" + raw[at + 26 : end]) != crc:
             raise ValueError(f"the page at byte {at} is damaged")
-        if sequence != expected.get(serial, 0) or bool(flags & CONTINUED) != (serial in open_):
+        if sequence != expected.get(serial, 0) or bool(flags & CONTINUED) != (serial in open_) or bool(flags & FIRST) != (sequence == 0):
             raise ValueError(f"a page of stream {serial} is missing before byte {at}")
+        if serial in ended:
+            raise ValueError(f"the page at byte {at} follows the last one of stream {serial}")
         expected[serial] = sequence + 1
+        if flags & LAST:
+            ended.add(serial)
         packets, begin = streams.setdefault(serial, []), start
         for size in table:
             start += size
@@ -104,11 +116,13 @@ def demultiplex(raw: bytes) -> dict[int, list[tuple[bytes, int]]]:
                 begin = start
         if begin < start:
             open_.setdefault(serial, []).append(raw[begin:start])
-        if granule >= 0:
+        if granule >= 0 and packets:
             packets[-1] = (packets[-1][0], granule)
         at = end
     if open_:
         raise ValueError("a packet has no end")
+    if ended != set(streams):
+        raise ValueError(f"the last pages of streams {sorted(set(streams) - ended)} are missing")
     return streams
 
 
@@ -119,7 +133,7 @@ def from_text(raw: bytes) -> bytes:
     about = json.dumps({"bytes": len(raw), "samples": len(whole)}).encode()
     return multiplex(
         [
-            (SOUND, [struct.pack("<8sIB", b"PCM8\0\0\0\0", RATE, 8), *packets], [0, *range(SAMPLES, len(whole) + 1, SAMPLES)]),
+            (SOUND, [PCM.pack(b"PCM8\0\0\0\0", RATE, 8), *packets], [0, *range(SAMPLES, len(whole) + 1, SAMPLES)]),
             (NOTES, [b"NOTES\0\0\0", about], [0, 0]),
         ]
     )
@@ -128,9 +142,16 @@ def from_text(raw: bytes) -> bytes:
 def read_media(raw: bytes) -> tuple[int, bytes, float]:
     """Length of the text in bytes, the whole payload, its seconds."""
     streams = demultiplex(raw)
+    if set(streams) != {SOUND, NOTES} or len(streams[SOUND]) < 2 or len(streams[NOTES]) != 2:
+        raise ValueError("a logical stream is missing")
     (head, _), *sound = streams[SOUND]
-    _, rate, _ = struct.unpack("<8sIB", head)
-    return json.loads(streams[NOTES][1][0])["bytes"], b"".join(p for p, _ in sound), sound[-1][1] / rate
+    if len(head) != PCM.size or not head.startswith(b"PCM8"):
+        raise ValueError("the first packet isn't a head of 8-bit samples")
+    _, rate, _ = PCM.unpack(head)
+    about, payload = json.loads(streams[NOTES][1][0]), b"".join(p for p, _ in sound)
+    if not about["bytes"] <= about["samples"] == len(payload) == sound[-1][1]:
+        raise ValueError(f"{len(payload)} samples are there, {about['samples']} were written")
+    return about["bytes"], payload, sound[-1][1] / rate
 
 
 def feature(payload: bytes, seconds: float) -> str:

@@ -53,6 +53,50 @@ def test_ogg_pages():
             ogg.demultiplex(bad)
 
 
+def page_bounds(raw):
+    at = [0]
+    while at[-1] < len(raw):
+        n = raw[at[-1] + 26]
+        at.append(at[-1] + 27 + n + sum(raw[at[-1] + 27 : at[-1] + 27 + n]))
+    return at
+
+
+@pytest.mark.parametrize("size", [0, 10, 576, 100_000, 900_000])
+def test_no_loss_passes(size):
+    """Cuts at every page's edge and inside pages, every page left out, doubled or exchanged with the next."""
+    raw = ogg.from_text(b"w" * size)
+    assert ogg.read_media(raw)[0] == size
+    at = page_bounds(raw)
+    pages = [raw[i:j] for i, j in zip(at, at[1:], strict=False)]
+    bad = [raw[:i] for i in at[:-1]] + [raw[: i + k] for i in at[:-1] for k in (1, 5, 26, 27, 28)]
+    bad += [b"".join(pages[:k] + pages[k + 1 :]) for k in range(len(pages))] + [b"".join(pages[: k + 1] + pages[k:]) for k in range(len(pages))]
+    bad += [raw + ogg.from_text(b"x"), ogg.multiplex([(ogg.NOTES, [b"NOTES\0\0\0", b"{}"], [0, 0])]), raw + b"OggS"]
+    for k, damaged in enumerate(bad):
+        with pytest.raises(ValueError):
+            ogg.read_media(damaged)
+            pytest.fail(f"damage {k} passes")
+
+
+def test_feature_and_digest(docs):
+    import numpy as np
+
+    media = {r.doc_id: bytes(r.media) for r in ogg.encode(docs).collect()}
+    for r in ogg.describe(ogg.encode(docs)).collect():
+        assert (r.media_bytes, r.media_sha256) == (len(media[r.doc_id]), hashlib.sha256(media[r.doc_id]).hexdigest())
+        x = np.frombuffer(ogg.read_media(media[r.doc_id])[1], np.uint8).astype(float) - 128
+        high = x >= 0
+        _, n = np.unique(x, return_counts=True)
+        want = (len(x) / 8000, np.sqrt((x**2).mean()), (high[1:] != high[:-1]).mean(), -(n / len(x) * np.log2(n / len(x))).sum())
+        got = dict(p.split("=") for p in r.feature.split(";"))
+        assert [float(got[k]) for k in ("seconds", "rms", "crossings", "entropy")] == pytest.approx(want, abs=1e-4)
+
+
+def test_ogg_of_a_text_above_the_batch_bound(spark):
+    text = "long text " * 600_000
+    r = ogg.describe(ogg.encode(spark.createDataFrame([(1, text), (2, "x"), (3, text)], "doc_id long, text string"))).orderBy("doc_id").collect()
+    assert [x.n_bytes for x in r] == [6_000_000, 1, 6_000_000] and r[0][1:] == r[2][1:]
+
+
 def test_warc(spark):
     rows = [(i, f"https://{h}.example.{t}/p/{i % 7}", html) for i, (h, t, html) in enumerate(
         (random.Random(1).choice("abc"), "com", x) for x in ["one", "two", "", None, "one", "one", "two", "big" * 50_000] * 60)]
