@@ -5,11 +5,15 @@ embedding; learned filters see twelve bytes, every four bytes, and beside them h
 bytes at hand recur in the chunk. Each filter's responses are max-pooled over the chunk; a text's
 greatest and mean responses over its chunks are combined into one probability.
 
-It learns from at most ``TRAIN_ROWS`` labelled rows, those first in the order of a hash of doc_id,
-with texts of at most ``TRAIN_BYTES`` bytes and never from held-out rows; of several labels of a
-doc_id the greatest counts. A share of the good texts is seen as passages of some words. Text is its only input. Every whole text gets a score; null text counts as
-empty, and equal texts have equal scores. Without labelled rows every score is 0.5. Rows stay one for
-one; an empty table gives no rows.
+It learns from at most ``TRAIN_ROWS`` labelled rows, those first in the order of a hash of doc_id, and
+never from held-out rows. Of a text of more than ``TRAIN_BYTES`` bytes it sees passages that lie evenly
+over the whole of it; of several labels of a doc_id the greatest counts, of several texts the least. A
+share of the good texts is seen as passages of some words. Text is its only input.
+
+Every whole text gets a score, whatever its length; null text counts as empty, and equal texts have
+equal scores. Without labelled rows every score is 0.5. Rows stay one for one, those without doc_id and
+repeated ones too; columns beside the text stay as they are, one of the score's name is replaced. An
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,6 +28,8 @@ from pyspark.sql import functions as F
 from gridweave.llm.common import chunks, release
 
 TRAIN_ROWS, TRAIN_BYTES = 4000, 65_536
+#: A longer text is learned from as so many passages.
+TRAIN_PASSAGES = 16
 THRESHOLD = 0.3
 BLOCK, WIDTH, EMBEDDING, FILTERS = 4, 3, 4, 16
 CHUNK_BLOCKS, STEP_BLOCKS = 512, 496
@@ -156,12 +162,21 @@ def held_out(doc_id="doc_id"):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
 
 
+def shortened(text: str, max_bytes: int):
+    """A text, or where it is longer than max_bytes passages from its begin to its end, together no longer."""
+    text, n, size = F.col(text), F.length(text), max_bytes // TRAIN_PASSAGES // 4 - 1
+    start = lambda k: (k * (n - size) / (TRAIN_PASSAGES - 1)).cast("int") + 1
+    passages = F.transform(F.sequence(F.lit(0), F.lit(TRAIN_PASSAGES - 1)), lambda k: F.substring(text, start(k), F.lit(size)))
+    return F.when(F.octet_length(text) > max_bytes, F.array_join(passages, " ")).otherwise(text)
+
+
 def train(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, max_bytes: int = TRAIN_BYTES) -> Network | None:
     """From labels (doc_id, quality) outside the held-out fold; None where there are none."""
     usable = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("quality").alias("label"))
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    texts = documents.select("doc_id", "text").where(F.octet_length("text") <= max_bytes)
-    found = texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()  # at most ``rows`` rows
+    texts = documents.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id")
+    texts = texts.select("doc_id", "label", shortened("text", max_bytes).alias("text"))
+    found = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label")).orderBy("doc_id").collect()  # at most ``rows`` rows of max_bytes
     if not found:
         return None
     return Network().fit([r.text.encode() for r in found], np.array([float(r.label) for r in found]))

@@ -317,6 +317,19 @@ def test_quality(spark):
     assert quality.classify(docs.where("false"), labels).count() == 0
 
 
+def test_long_texts_are_learned_from(spark):
+    """Passages cover a long text from begin to end; a label of a text above the bound still counts."""
+    rows = [(1, "short"), (2, "b" + "é" * 60_000 + "middle" + "é" * 60_000 + "e"), (3, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.t for r in df.select("doc_id", quality.shortened("text", 4096).alias("t")).collect()}
+    assert got[1] == "short" and got[3] is None
+    assert len(got[2].encode()) <= 4096 and got[2][0] == "b" and got[2][-1] == "e" and got[2].count(" ") == quality.TRAIN_PASSAGES - 1
+    kept = [i for i in range(100) if zlib.crc32(str(i).encode()) % 5][:20]
+    docs = spark.createDataFrame([(i, ("good text " if i % 2 else "BAD!! ") * 9000) for i in kept], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in kept], "doc_id long, quality int")
+    assert all(r.predicted == r.doc_id % 2 for r in quality.classify(docs, labels).collect())
+
+
 def test_cropped_passages():
     import numpy as np
 
