@@ -32,9 +32,11 @@ def bounded(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset, as in tests, a new temporary one."""
+    """The folder of spark.checkpoint.dir; where it is unset and all runs on one machine, as in tests, a new temporary one. On a cluster that raises RuntimeError."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="gridweave-")
         spark.conf.set("spark.checkpoint.dir", found)
     if "://" not in found:
@@ -57,6 +59,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, with strokes before it where df has a column of that name, in capitals or not."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def filesystem(uri: str):
     """pyarrow's file system for a folder of the shared storage, and the path in it."""
     from pyarrow import fs

@@ -52,20 +52,23 @@ def queries() -> dict:
 
 
 OP1_SQL = r"""
-WITH doc AS (SELECT DISTINCT doc_id, regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+') AS w FROM documents),
+WITH doc AS (SELECT DISTINCT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
 item AS (
   SELECT * FROM (SELECT DISTINCT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark) WHERE len(w) >= 5),
-seed AS (SELECT DISTINCT array_to_string(w[o:o + 4], ' ') AS x, o, len(w) AS n FROM (SELECT w, unnest(range(1, len(w) - 3)) AS o FROM item)),
-spot AS (SELECT doc_id, w, i, array_to_string(w[i:i + 4], ' ') AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM doc)),
-win AS (
-  SELECT DISTINCT doc_id, b - 1 AS b, w[b:e] AS w FROM (SELECT doc_id, w, greatest(i - o + 1, 1) AS b, least(i - o + n, len(w)) AS e FROM spot JOIN seed ON seed.x = spot.x)),
-text_ AS (SELECT DISTINCT w FROM win),
-in_win AS (SELECT w, x, count(*) AS n FROM (SELECT w, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS x FROM text_) GROUP BY 1, 2),
 in_item AS (SELECT item_id, w, x, count(*) AS n FROM (SELECT item_id, w, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS x FROM item) GROUP BY 1, 2, 3),
-shared AS (SELECT a.w, item_id, len(a.w) + len(b.w) - 8 AS total, sum(least(a.n, b.n)) AS n FROM in_win a JOIN in_item b ON a.x = b.x GROUP BY a.w, item_id, b.w),
-good AS (SELECT w, item_id, round(CAST(n AS DOUBLE) / (total - n), 6) AS similarity FROM shared WHERE 100 * n >= 75 * (total - n))
+in_doc AS (SELECT doc_id, w, x, count(*) AS n FROM (SELECT doc_id, w, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS x FROM doc) GROUP BY 1, 2, 3),
+pair AS (
+  SELECT doc_id, item_id, d.w AS dw, i.w AS iw FROM in_doc d JOIN in_item i ON i.x = d.x GROUP BY 1, 2, 3, 4 HAVING 100 * sum(least(d.n, i.n)) >= 75 * (len(i.w) - 4)),
+win AS (
+  SELECT doc_id, item_id, iw, greatest(s, 1) - 1 AS b, dw[greatest(s, 1):least(s + len(iw) - 1, len(dw))] AS w, s FROM (SELECT *, unnest(range(6 - len(iw), len(dw) - 3)) AS s FROM pair)),
+begun AS (
+  SELECT win.* FROM win LEFT JOIN in_item i ON i.item_id IS NOT DISTINCT FROM win.item_id AND i.w = win.iw AND i.x = array_to_string(win.w[1:5], ' ') WHERE len(win.w) >= 5 AND (s < 1 OR i.x IS NOT NULL)),
+in_win AS (SELECT item_id, iw, w, x, count(*) AS n FROM (SELECT item_id, iw, w, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS x FROM (SELECT DISTINCT item_id, iw, w FROM begun)) GROUP BY 1, 2, 3, 4),
+shared AS (SELECT a.item_id, iw, a.w, len(a.w) + len(iw) - 8 AS total, sum(least(a.n, b.n)) AS n FROM in_win a JOIN in_item b ON a.x = b.x AND a.item_id IS NOT DISTINCT FROM b.item_id AND a.iw = b.w GROUP BY 1, 2, 3),
+good AS (SELECT item_id, iw, w, round(CAST(n AS DOUBLE) / (total - n), 6) AS similarity FROM shared WHERE 100 * n >= 75 * (total - n))
 SELECT doc_id, item_id, similarity, CAST(b AS INTEGER) AS start_word, CAST(len(w) AS INTEGER) AS n_words FROM (
-  SELECT doc_id, item_id, similarity, b, win.w, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, b, len(win.w) DESC) AS k FROM win JOIN good ON good.w = win.w) WHERE k = 1
+  SELECT doc_id, g.item_id, similarity, b, g.w, row_number() OVER (PARTITION BY doc_id, g.item_id ORDER BY similarity DESC, b, len(g.w) DESC) AS k
+  FROM begun JOIN good g ON g.item_id IS NOT DISTINCT FROM begun.item_id AND g.iw = begun.iw AND g.w = begun.w) WHERE k = 1
 """
 OP2_SQL = r"""
 WITH RECURSIVE word AS (
@@ -95,5 +98,5 @@ FROM size GROUP BY conv_id
 
 
 def oracle_sql() -> dict:
-    """SQL compares whole windows where op1 looks fingerprints up first. The rest needs a library, a trained model or a file format: tests hold it against plain versions."""
+    """SQL slides windows over every place where op1 lays a few. The rest needs a library, a trained model or a file format: tests hold it against plain versions."""
     return {"op1_decontamination": OP1_SQL, "op2_near_duplicates": OP2_SQL, "op4_chat": OP4_SQL}

@@ -190,6 +190,68 @@ def test_no_match_is_lost_at_the_threshold(spark):
     assert len(got) == len(want) and all(0.75 <= r.similarity <= 1 for r in got)
 
 
+def best_windows(docs, bench):
+    """{(doc, item): (similarity, start, words)}: windows at every place, those that begin with a shared shingle or reach beyond the document's begin."""
+    want = {}
+    for i, t in bench:
+        n, own = len(t), Counter(tuple(t[k : k + 5]) for k in range(len(t) - 4))
+        for d, w in docs:
+            for s in range(5 - n, len(w) - 4):
+                part = w[max(s, 0) : s + n]
+                if s >= 0 and tuple(part[:5]) not in own:
+                    continue
+                found = Counter(tuple(part[k : k + 5]) for k in range(len(part) - 4))
+                both = (found & own).total()
+                if both and 100 * both >= 75 * (found | own).total():
+                    want[d, i] = max(want.get((d, i), (0, 0, 0)), (round(both / (found | own).total(), 6), -max(s, 0), len(part)))
+    return {k: (a, -b, c) for k, (a, b, c) in want.items()}
+
+
+@pytest.mark.parametrize(("step", "limit"), [(1024, 1 << 24), (7, 1 << 24), (16, 0)])
+def test_windows_against_all_starts(spark, monkeypatch, step, limit):
+    """Turned halves, exchanged thirds, edited tails, repeats; short blocks; a benchmark too large to be broadcast."""
+    monkeypatch.setattr(decontam, "STEP", step)
+    monkeypatch.setattr(decontam, "BROADCAST_BYTES", limit)
+    bench, docs, rnd = [], [], random.Random(77)
+    for i in range(10):
+        own, other = words(18 + 9 * i, 60_000 + i, "abcdefghijkl"), words(200, 61_000 + i, "mnopqrstuvwx")
+        bench.append((i, own))
+        half, third = len(own) // 2, len(own) // 3
+        docs += [own[half:] + own[:half], other[:30] + own[half:] + own[:half] + other[30:60], other[:3] + own[2 * third :] + own[:third] + own[third : 2 * third] + other[3:20]]
+        docs += [other[:20] + own[third:] + own[:third] + other[20:30], other[:9] + own[: len(own) - rnd.randint(1, 8)] + other[9:30], own[rnd.randint(1, 8) :] + other[:40]]
+        docs += [own[:third] + other[-1:] + own[third + 1 :] + other[:50], own[:half] + other[:1] + own[half:], own + own, other]
+    verse = words(9, 63_000, "abcdefghijkl")
+    bench += [(50, verse * 4), (51, verse * 2 + words(20, 63_001, "abcdefghijkl") + verse), (52, ["again"] * 12), (53, bench[0][1] + words(30, 63_002))]
+    docs += [verse * 9, verse * 3, verse[3:] + verse * 3 + words(9, 63_003), ["again"] * 40, ["so", *["again"] * 9], bench[-1][1]]
+    want = best_windows(list(enumerate(docs)), bench)
+    df = spark.createDataFrame([(d, " ".join(w), "x") for d, w in enumerate(docs)], "doc_id long, text string, leak string")
+    table = spark.createDataFrame([(i, " ".join(t)) for i, t in bench], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.similarity, r.start_word, r.n_words) for r in decontam.matches(df, table).collect()}
+    assert got == want and len(want) > 60
+    kept = decontam.decontaminate(df, table)
+    assert {r.doc_id for r in kept.collect()} == set(range(len(docs))) - {d for d, _ in want} and kept.columns == df.columns
+
+
+def test_edited_tails_are_all_found(spark):
+    """400 items whose last words are replaced, at a similarity of 0.75 or just above."""
+    bench, docs = [], []
+    for i in range(400):
+        own = words((40, 60, 100)[i % 3], 70_000 + i, "abcdefghijkl")
+        gone = (len(own) - 4) // 7
+        bench.append((i, " ".join(own)))
+        docs.append((i, " ".join(words(25, 71_000 + i, "mnopqrstuvwx") + own[: len(own) - gone] + words(gone + 30, 72_000 + i, "mnopqrstuvwx"))))
+    got = {r.doc_id for r in decontam.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")).collect()}
+    assert got == set(range(400))
+
+
+def test_leak_in_a_very_long_text(spark):
+    bench = [(1, " ".join(words(40, 80_000, "abcdefghijkl")))]
+    filler = " ".join(words(900, 80_001, "mnopqrstuvwx"))
+    text = " ".join([filler] * 1000 + [bench[0][1]] + [filler] * 200)
+    got = decontam.matches(spark.createDataFrame([(1, text), (2, filler)], "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")).collect()
+    assert len(text) > decontam.stored.__globals__["CHUNK_BYTES"] and [(r.doc_id, r.similarity, r.start_word) for r in got] == [(1, 1.0, 900_000)]
+
+
 def test_windows_between_the_diagonals(spark):
     """Trimmed passages with words put in, heads of passages that a document begins with, and repeated shingles, against all starts."""
     bench, docs = [], []
@@ -232,8 +294,8 @@ def test_blocks_hold_the_radius(spark):
             y ^= 1 << b
         pairs.append(tuple(v - (1 << 64) if v >> 63 else v for v in (x, y)))
     df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "id int, a long, b long")
-    one = decontam.entries(df.selectExpr("id", "a AS fp"), "id", 1)
-    two = decontam.entries(df.selectExpr("id", "b AS fp"), "id", 2)
+    one = decontam.entries(df.selectExpr("id", "a AS fp"), "id", 0)
+    two = decontam.entries(df.selectExpr("id", "b AS fp"), "id", decontam.TURNED)
     assert one.join(two.withColumnRenamed("fp", "other"), ["id", "entry"]).select("id").distinct().count() == 200
 
 
