@@ -2,21 +2,27 @@
 
 1. Each text's set of five-word shingles gives a digest and a signature of 64 MinHash values of 16
    bits. Texts with equal sets are one class, represented by its least doc_id.
-2. The signature is split into 12 chunks of five values. Of two signatures that differ in at most 23
-   of these 60 values one chunk at least differs in at most one (pigeonhole). Each way to leave out one
-   value of a chunk is a key, so all such pairs share a key: 60 keys a class.
-3. Classes that share a key and whose two-bit signatures differ in at most 26 of 64 values are
-   candidates. At a similarity of 0.75 a pair is lost with a probability of 2e-5, at 0.8 of 3e-7.
-   What leaves a bucket is a forest that connects its candidates, not their pairs.
+2. The distance of two signatures is the number of values in which they differ; at most 31 is near. The
+   signature is split into 16 chunks of four values, so of two near ones a chunk differs in at most one
+   value (pigeonhole). Each way to leave out one value of a chunk is a key: 64 keys a class, and all near
+   pairs share one.
+3. Classes that share a key and differ in at most 31 values of three bits are candidates: all near pairs,
+   and few others. At a similarity of 0.75 two signatures aren't near with a probability of 2e-5, which
+   the keys beyond the guarantee and the shorter values bring down to 1e-6 for being no candidates. What
+   leaves a bucket is a forest that connects its candidates, not their pairs.
 4. The components of these forests are groups; no candidate pair crosses them. The full sets of a
    group's classes meet, in pairs of blocks where the group is large, and every pair in it is compared:
    linked where 100 * intersection >= 75 * union. Again a forest leaves the task.
 5. The components of the links, over classes, give each document its component.
 
-A bucket of more than ``BUCKET`` classes connects all of them, without looking at signatures: the
-group grows, and no pair is lost. Texts without words (null or empty) are linked with nothing. Rows
-without doc_id are too; their component is null and they are kept. Rows that repeat a doc_id and text
-have the same component; different texts of one doc_id may be one node. An empty table gives no rows.
+A bucket of more than ``BUCKET`` classes comes in parts. Each is compared within itself; the parts of a
+bucket that the forests so far don't connect are then compared in pairs, by the same distance, so what
+a bucket finds doesn't depend on its size.
+
+Texts without words (null or empty) are linked with nothing. Rows without doc_id are too; their component
+is null and they are kept. Rows that repeat a doc_id and text have the same component; different texts of
+one doc_id may be one node. A text of any length is taken whole; one above the batch bound comes alone.
+Columns beside doc_id and text are not read, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,9 +39,15 @@ from gridweave.llm.common import chunks, partitions, release, stored
 from gridweave.llm.shingles import shingle_sets
 from gridweave.operators.components import components
 
-VALUES, CHUNK_VALUES, CHUNKS_USED = 64, 5, 12
-MOST_DIFFERENT = 26
+VALUES, CHUNK_VALUES = 64, 4
+CHUNKS = VALUES // CHUNK_VALUES
+#: The radius that the keys guarantee.
+MOST_DIFFERENT = 2 * CHUNKS - 1
+SKETCH_BITS = 3
+SKETCH = [f"sketch_{k}" for k in range(SKETCH_BITS)]
 BUCKET = 4096
+#: Rows that are taken from a batch at a time.
+SLICE = 2048
 #: Classes and bytes of sets in a block; a task compares two blocks at most.
 BLOCK_ROWS, BLOCK_BYTES = 1500, 8 << 20
 #: Texts are profiled in batches of this many bytes.
@@ -58,27 +70,26 @@ def signatures(sets: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def keys_of(signature: np.ndarray) -> np.ndarray:
     """The keys of each signature: hashes of a chunk, a value to leave out and the other values."""
-    used = signature[:, : CHUNKS_USED * CHUNK_VALUES].astype(np.uint64).reshape(-1, CHUNKS_USED, CHUNK_VALUES)
+    chunked = signature.astype(np.uint64).reshape(-1, CHUNKS, CHUNK_VALUES)
     out = []
     for left in range(CHUNK_VALUES):
         rest = [k for k in range(CHUNK_VALUES) if k != left]
-        word = used[:, :, rest[0]]
+        word = chunked[:, :, rest[0]]
         for k in rest[1:]:
-            word = (word * np.uint64(0x9E3779B97F4A7C15)) ^ (word >> np.uint64(29)) ^ used[:, :, k]
-        out.append((word * np.uint64(0xD6E8FEB86659FD93)) ^ np.arange(left, CHUNKS_USED * CHUNK_VALUES, CHUNK_VALUES, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
+            word = (word * np.uint64(0x9E3779B97F4A7C15)) ^ (word >> np.uint64(29)) ^ chunked[:, :, k]
+        out.append((word * np.uint64(0xD6E8FEB86659FD93)) ^ np.arange(left, VALUES, CHUNK_VALUES, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
     return np.concatenate(out, 1).view(np.int64)
 
 
-def two_bits(signature: np.ndarray) -> np.ndarray:
-    """Two bits of each value, as two 64-bit words."""
-    bits = (signature & 3).astype(np.uint64).reshape(-1, 2, 32)
-    return np.bitwise_or.reduce(bits << (np.arange(32, dtype=np.uint64) * np.uint64(2)), axis=2)
+def sketch_of(signature: np.ndarray) -> np.ndarray:
+    """The lowest bits of each value, a 64-bit word for each bit."""
+    place = np.arange(VALUES, dtype=np.uint64)
+    return np.stack([np.bitwise_or.reduce((signature.astype(np.uint64) >> np.uint64(k) & np.uint64(1)) << place, axis=1) for k in range(SKETCH_BITS)], 1)
 
 
 def differ(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """In how many values the two-bit signatures differ."""
-    x = a ^ b
-    return np.bitwise_count((x | x >> np.uint64(1)) & np.uint64(0x5555555555555555)).sum(-1, dtype=np.int64)
+    """In how many values two sketches differ; never more than their signatures do."""
+    return np.bitwise_count(np.bitwise_or.reduce(a ^ b, axis=-1)).astype(np.int64)
 
 
 def profile(documents: DataFrame) -> DataFrame:
@@ -115,13 +126,17 @@ def whole(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
     return batches[0] if len(batches) == 1 else pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
 
 
-def runs(batches: Iterator[pa.RecordBatch], by: list[str], limit: int | None = None) -> Iterator[tuple[pa.RecordBatch, bool]]:
-    """Rows sorted by the columns ``by``, in batches of whole runs of equal values.
+def sliced(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    return (b.slice(i, rows) for b in batches for i in range(0, b.num_rows, rows))
+
+
+def runs(batches: Iterator[pa.RecordBatch], by: list[str], limit: int | None = None) -> Iterator[tuple[pa.RecordBatch, int]]:
+    """Rows sorted by the columns ``by``, in batches of whole runs of equal values, and 0.
 
-    A run of more than ``limit`` rows comes in parts, each with the run's first row before it, and True.
+    A run of more than ``limit`` rows comes in parts, numbered from 1, all but the first with the run's first row before them.
     """
     held: list[pa.RecordBatch] = []
-    last, n, long = None, 0, False
+    last, n, part = None, 0, 0
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -134,69 +149,124 @@ def runs(batches: Iterator[pa.RecordBatch], by: list[str], limit: int | None = N
         last = tuple(batch.column(c)[-1].as_py() for c in by)
         cut = np.flatnonzero(change)
         if len(cut):
-            if long:
-                yield whole([*held, batch.slice(0, cut[0])]), True
+            if part:
+                yield whole([*held, batch.slice(0, cut[0])]), part + 1
                 done = batch.slice(cut[0], cut[-1] - cut[0])
                 if done.num_rows:
-                    yield done, False
+                    yield done, 0
             else:
-                yield whole([*held, batch.slice(0, cut[-1])]), False
-            held, n, long = [batch.slice(cut[-1])], batch.num_rows - cut[-1], False
+                yield whole([*held, batch.slice(0, cut[-1])]), 0
+            held, n, part = [batch.slice(cut[-1])], batch.num_rows - cut[-1], 0
         else:
             held.append(batch)
             n += batch.num_rows
         if limit is not None and n > limit:
-            yield whole(held), True
-            held, n, long = [held[0].slice(0, 1)], 1, True
+            part += 1
+            yield whole(held), part
+            held, n = [held[0].slice(0, 1)], 1
     if held:
-        yield whole(held), long
+        yield whole(held), part and part + 1
 
 
-def candidates(classes: DataFrame) -> DataFrame:
-    """Forests (a, b) over the classes (rep, signature) that share a key."""
+def sketches(batch: pa.RecordBatch) -> np.ndarray:
+    return np.stack([batch.column(c).to_numpy() for c in SKETCH], 1).view(np.uint64)
+
+
+def near_forest(sketch: np.ndarray) -> np.ndarray:
+    """Labels of a forest that connects all rows that differ in at most MOST_DIFFERENT values."""
+    forest = Forest(len(sketch))
+    for k in range(len(sketch) - 1):
+        rest = np.flatnonzero(forest.label[k + 1 :] != forest.label[k]) + k + 1
+        if len(rest):
+            forest.join(k, rest[differ(sketch[k], sketch[rest]) <= MOST_DIFFERENT])
+    return forest.label
+
+
+def in_buckets(classes: DataFrame) -> DataFrame:
+    """Forests (a, b) of each bucket or part of one; and where a bucket has parts, its rows: key, part, a, sketch."""
+    columns = ["a", "b", "key", "part", *SKETCH]
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 signature = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint16).reshape(-1, VALUES)
-                keys, sketch = keys_of(signature), two_bits(signature).view(np.int64)
-                again = [np.repeat(x, keys.shape[1]) for x in (batch.column("rep").to_numpy(), sketch[:, 0], sketch[:, 1])]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys.ravel(), *again)], names=["key", "rep", "sketch_a", "sketch_b"])
+                keys, sketch = keys_of(signature), sketch_of(signature).view(np.int64)
+                again = [np.repeat(x, keys.shape[1]) for x in (batch.column("rep").to_numpy(), *sketch.T)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys.ravel(), *again)], names=["key", "rep", *SKETCH])
+
+    def rows(a: np.ndarray, b: np.ndarray | None, key: np.ndarray | None = None, part: int = 0, sketch: np.ndarray | None = None) -> pa.RecordBatch:
+        none = pa.nulls(len(a), pa.int64())
+        rest = [none, pa.nulls(len(a), pa.int32()), *[none] * SKETCH_BITS] if key is None else [pa.array(key), pa.array(np.full(len(a), part, np.int32)), *(pa.array(x.copy()) for x in sketch.view(np.int64).T)]
+        return pa.RecordBatch.from_arrays([pa.array(a), none if b is None else pa.array(b), *rest], names=columns)
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, long in runs(batches, ["key"], BUCKET):
-            key, rep = (batch.column(c).to_numpy() for c in ("key", "rep"))
-            sketch = np.stack([batch.column(c).to_numpy() for c in ("sketch_a", "sketch_b")], 1).view(np.uint64)
+        for batch, part in runs(sliced(batches, SLICE), ["key"], BUCKET):
+            key, rep, sketch = batch.column("key").to_numpy(), batch.column("rep").to_numpy(), sketches(batch)
             first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             count = np.diff(np.append(first, len(key)))
-            pair = first[count == 2] if not long else first[:0]
+            pair = first[count == 2]
             pair = pair[differ(sketch[pair], sketch[pair + 1]) <= MOST_DIFFERENT]
             a, b = [rep[pair]], [rep[pair + 1]]
-            several = count > (0 if long else 2)
-            for i, n in zip(first[several].tolist(), count[several].tolist(), strict=True):
-                if long or n > BUCKET:
-                    a.append(np.full(n, rep[i]))
-                    b.append(rep[i : i + n])
-                    continue
-                forest = Forest(n)
-                for k in range(n - 1):
-                    rest = np.flatnonzero(forest.label[k + 1 :] != forest.label[k]) + k + 1
-                    if len(rest):
-                        forest.join(k, rest[differ(sketch[i + k], sketch[i + rest]) <= MOST_DIFFERENT])
-                moved = np.flatnonzero(forest.label != np.arange(n))
+            for i, n in zip(first[count > 2].tolist(), count[count > 2].tolist(), strict=True):
+                label = near_forest(sketch[i : i + n])
+                moved = np.flatnonzero(label != np.arange(n))
                 a.append(rep[i + moved])
-                b.append(rep[i + forest.label[moved]])
+                b.append(rep[i + label[moved]])
             edges = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0)
             edges = edges[edges[:, 0] != edges[:, 1]]
             if len(edges):
-                yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0].copy()), pa.array(edges[:, 1].copy())], names=["a", "b"])
+                yield rows(edges[:, 0].copy(), edges[:, 1].copy())
+            if part:
+                own = slice(part > 1, None)  # without the first row, which is in the first part
+                yield rows(rep[own], None, key[own], part, sketch[own])
         release()
 
-    each = classes.select("rep", "signature").mapInArrow(keyed, "key long, rep long, sketch_a long, sketch_b long")
+    each = classes.select("rep", "signature").mapInArrow(keyed, f"key long, rep long, {', '.join(f'{c} long' for c in SKETCH)}")
     spread = each.repartition(partitions(classes.sparkSession), "key").sortWithinPartitions("key", "rep")
+    return spread.mapInArrow(step, f"a long, b long, key long, part int, {', '.join(f'{c} long' for c in SKETCH)}")
+
+
+def across_parts(overfull: DataFrame, edges: DataFrame) -> DataFrame:
+    """Forests (a, b) over pairs of parts of the buckets that ``edges`` leave unconnected."""
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, _ in runs(sliced(batches, SLICE), ["key", "i", "j"]):
+            key, i, j, part, rep, component = (batch.column(c).to_numpy() for c in ("key", "i", "j", "part", "a", "component"))
+            sketch = sketches(batch)
+            first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
+            a, b = [rep[:0]], [rep[:0]]
+            for f, t in zip(first.tolist(), np.append(first[1:], len(key)).tolist(), strict=True):
+                forest = Forest(t - f)
+                _, where, back = np.unique(component[f:t], return_index=True, return_inverse=True)
+                forest.label = where[back]
+                begun = forest.label.copy()
+                right = np.flatnonzero(part[f:t] == j[f])
+                for k in np.flatnonzero(part[f:t] == i[f]):
+                    rest = right[forest.label[right] != forest.label[k]]
+                    if len(rest):
+                        forest.join(k, rest[differ(sketch[f + k], sketch[f + rest]) <= MOST_DIFFERENT])
+                moved = np.flatnonzero(forest.label != begun)
+                a.append(rep[f + moved])
+                b.append(rep[f + forest.label[moved]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+        release()
+
+    label = components(edges)
+    named = overfull.join(label, F.col("a") == F.col("node"), "left").withColumn("component", F.coalesce("component", "a"))
+    several = named.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.max("part").alias("parts")).where("least < most").select("key", "parts")
+    open_ = named.join(several, "key").select("key", "part", "a", "component", *SKETCH, F.explode(F.sequence(F.lit(1), F.col("parts"))).alias("other")).where("part <> other")
+    paired = open_.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "a", "component", *SKETCH)
+    spread = paired.repartition(partitions(edges.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j", "a")
     return spread.mapInArrow(step, "a long, b long")
 
 
+def candidates(classes: DataFrame) -> DataFrame:
+    """Forests (a, b) that connect all candidates among the classes (rep, signature)."""
+    found = stored(in_buckets(classes), "candidates")
+    edges, overfull = found.where("part is null").select("a", "b"), found.where("part is not null").drop("b")
+    return edges if overfull.isEmpty() else edges.union(across_parts(overfull, edges))
+
+
 def linked(sizes: np.ndarray, left: np.ndarray, counts: np.ndarray, own: int) -> np.ndarray:
     """Which of the sets ``left`` have 100 * intersection >= 75 * union with one of size ``own``."""
     return left[100 * counts >= 75 * (sizes[left] + own - counts)]
@@ -245,8 +315,7 @@ def links(documents: DataFrame, members: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("grp", "blocks", "rep")), pa.array(found, pa.binary())], names=["grp", "blocks", "rep", "shingles"]).filter(same)
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        small = (b.slice(i, 256) for b in batches for i in range(0, b.num_rows, 256))
-        for batch, _ in runs(small, ["grp", "i", "j"]):
+        for batch, _ in runs(sliced(batches, 256), ["grp", "i", "j"]):
             grp, i, j, block, rep = (batch.column(c).to_numpy() for c in ("grp", "i", "j", "block", "rep"))
             first = np.flatnonzero(np.concatenate([[True], (grp[1:] != grp[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
             sets = [np.frombuffer(x, np.uint64) for x in batch.column("shingles").to_pylist()]
@@ -287,6 +356,8 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     members = member.join(member.groupBy("grp").agg(blocks.alias("blocks")), "grp").select("rep", "digest", "grp", "blocks")
     found = components(links(documents, members)).withColumnRenamed("node", "rep")
     placed = stored(classes.join(found, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component")), "components")
-    out = profiled.select("doc_id", "n_shingles", "digest").join(placed, "digest", "left")
+    # texts without words have no class; each looks for one under its own id, so that they don't meet in one task
+    look = F.coalesce("digest", F.col("doc_id").cast("string").cast("binary"))
+    out = profiled.select("doc_id", "n_shingles", look.alias("digest")).join(placed, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -79,21 +79,53 @@ def test_small_blocks_and_buckets_lose_nothing(spark, texts, monkeypatch):
     """Blocks of a few classes, and buckets beyond their limit."""
     monkeypatch.setattr(neardup, "BLOCK_ROWS", 4)
     monkeypatch.setattr(neardup, "BUCKET", 3)
+    monkeypatch.setattr(neardup, "SLICE", 2)
     _, label = plain_components(texts)
     got = neardup.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")).collect()
     assert {r.doc_id: r.component_id for r in got} == label
 
 
+def some_signatures(n, seed):
+    """Groups about centres, each signature with some values drawn anew."""
+    rnd = np.random.default_rng(seed)
+    centre = rnd.integers(0, 1 << 16, (6, neardup.VALUES))
+    out = centre[rnd.integers(0, 6, n)]
+    for row in out:
+        at = rnd.permutation(neardup.VALUES)[: rnd.integers(0, 40)]
+        row[at] = rnd.integers(0, 1 << 16, len(at))
+    return out.astype(np.uint16)
+
+
+@pytest.mark.parametrize("bucket", [3, 20, 4096])
+def test_candidates_do_not_depend_on_the_size_of_buckets(spark, monkeypatch, bucket):
+    """The forests connect all pairs within the radius, and only pairs that share a key and whose sketches are within it."""
+    monkeypatch.setattr(neardup, "BUCKET", bucket)
+    monkeypatch.setattr(neardup, "SLICE", max(1, bucket // 2))
+    signature = some_signatures(150, 3)
+    sketch, keys = neardup.sketch_of(signature), neardup.keys_of(signature)
+    label = np.arange(150)
+    for a in range(150):
+        for b in range(a + 1, 150):
+            near = neardup.differ(sketch[a], sketch[b]) <= neardup.MOST_DIFFERENT and np.intersect1d(keys[a], keys[b]).size
+            assert near or (signature[a] != signature[b]).sum() > neardup.MOST_DIFFERENT
+            if near:
+                label[label == max(label[a], label[b])] = min(label[a], label[b])
+    rows = [(i, bytearray(x.tobytes())) for i, x in enumerate(signature)]
+    got = components.components(neardup.candidates(spark.createDataFrame(rows, "rep long, signature binary"))).collect()
+    found = {r.node: r.component for r in got}
+    assert [found.get(i, i) for i in range(150)] == label.tolist() and 1 < len(set(label.tolist())) < 150
+
+
 def test_keys_hold_the_radius():
-    """Signatures within the radius share a key wherever the differences lie."""
+    """Signatures within the radius share a key wherever the differences lie, and their sketches are within it too."""
     rnd = np.random.default_rng(5)
-    radius = 2 * neardup.CHUNKS_USED - 1
     one = rnd.integers(0, 1 << 16, (1, neardup.VALUES)).astype(np.uint16)
     for _ in range(300):
         other = one.copy()
-        at = rnd.permutation(neardup.CHUNKS_USED * neardup.CHUNK_VALUES)[:radius]
-        other[0, at] ^= rnd.integers(1, 1 << 16, radius).astype(np.uint16)
+        at = rnd.permutation(neardup.VALUES)[: neardup.MOST_DIFFERENT]
+        other[0, at] ^= rnd.integers(1, 1 << 16, neardup.MOST_DIFFERENT).astype(np.uint16)
         assert np.intersect1d(neardup.keys_of(one), neardup.keys_of(other)).size
+        assert neardup.differ(neardup.sketch_of(one), neardup.sketch_of(other))[0] <= neardup.MOST_DIFFERENT
 
 
 def test_runs():
@@ -110,6 +142,8 @@ def test_runs():
                 if not long:
                     for k in set(batch.column("k").to_pylist()):
                         assert batch.column("k").to_pylist().count(k) == key.count(k)
+                else:
+                    assert len(set(batch.column("k").to_pylist())) == 1
             assert sorted(seen) == list(range(len(key))) and all(key[v] == k for v, x in seen.items() for k, _ in x)
 
 
