@@ -349,3 +349,18 @@ def test_chunks_are_bounded():
     batch = pa.RecordBatch.from_pydict({"text": ["a" * 10, None, "b" * 90, "c" * 200, "", "d"], "n": list(range(6))})
     parts = list(chunks(iter([batch, batch.slice(0, 0)]), "text", 100))
     assert [p.column("n").to_pylist() for p in parts] == [[0, 1, 2], [3], [4, 5]]
+
+
+def test_clashing_names_and_empty_tables(spark):
+    """Columns of the names that the operators use themselves; tables without rows."""
+    talk = "conv_id long, turn long, role string, text string, piece string, formatted string, n_turns long"
+    rows = [(1, 0, "user", "a", "p", "f", 9), (1, 1, "assistant", "b", "q", "g", 9)]
+    plain = chat.digests(spark.createDataFrame([r[:4] for r in rows], "conv_id long, turn long, role string, text string")).collect()
+    assert chat.digests(spark.createDataFrame(rows, talk)).collect() == plain
+    assert chat.digests(spark.createDataFrame([], talk)).count() == 0 and chat.pieces(spark.createDataFrame([], talk)).count() == 0
+    pages = "page_id long, url string, html string, digest string, payload string, payload_digest string, refers_to long, host string, verdict string, score double"
+    rows = [(i, f"http://h{i % 2}.example.org/{i}", "same" if i < 3 else f"own {i}", "d", "p", "x", 1, "h", "v", 0.5) for i in range(6)]
+    bare = spark.createDataFrame([r[:3] for r in rows], "page_id long, url string, html string")
+    assert sorted(warc.write_and_read(spark.createDataFrame(rows, pages)).collect()) == sorted(warc.write_and_read(bare).collect())
+    assert sorted(urls.judge(spark.createDataFrame(rows, pages)).collect()) == sorted(urls.judge(bare).collect())
+    assert warc.write_and_read(spark.createDataFrame([], pages)).count() == 0 and urls.judge(spark.createDataFrame([], pages)).count() == 0

@@ -364,3 +364,56 @@ def test_pipeline(spark, tmp_path):
     assert {i: r.token_ids for i, r in got.items()} == want
     assert all(r.n_tokens == len(r.token_ids) for r in got.values())
     assert 0 in got and not {420, 421, 422, 424} & set(got) and 423 in got
+
+
+CLASHING = "doc_id long, text string, lang string, source string, n_chars long, kept_id long, leak string, matched string, quality_score double, place int, kept boolean, score double"
+
+
+def clashing(spark, rows):
+    return spark.createDataFrame([(i, t, "en", s, len(t or ""), 7, "leak", "m", 0.5, 3, False, 0.1) for i, t, s in rows], CLASHING)
+
+
+@pytest.fixture
+def side_tables(spark, tmp_path):
+    spark.createDataFrame([(1, " ".join(words(40, 5000, "qrstuvwx")))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    return str(tmp_path)
+
+
+def test_stages_with_clashing_columns_and_repeats(spark, side_tables):
+    import corpus_pipeline
+
+    one, other, leak = " ".join(words(50, 1)), " ".join(words(50, 2)), " ".join(words(40, 5000, "qrstuvwx"))
+    rows = [(1, one, "a"), (1, one, "b"), (1, one, "a"), (2, one, "a"), (3, other, "a"), (3, leak, "a"), (None, one, "a"), (None, None, "a"), (4, None, "a"), (5, "", "a"), (6, "ip 10.1.2.3", "a")]
+    docs = clashing(spark, rows)
+    stage = dict(corpus_pipeline.STAGES)
+    assert sorted(map(str, stage["quality"](spark, docs, side_tables).collect())) == sorted(map(str, docs.collect()))
+    distinct = stage["near_duplicates"](spark, docs, side_tables)
+    assert distinct.schema == docs.schema
+    assert sorted([(r.doc_id, r.text, r.source) for r in distinct.collect()], key=str) == sorted([(1, one, "a"), (3, other, "a"), (3, leak, "a"), (None, one, "a"), (None, None, "a"), (4, None, "a"), (5, "", "a"), (6, "ip 10.1.2.3", "a")], key=str)
+    left = stage["decontamination"](spark, docs, side_tables)
+    assert left.schema == docs.schema and sorted((str(r.doc_id), str(r.text)) for r in left.collect()) == sorted((str(i), str(t)) for i, t, _ in rows if i != 3)
+    hidden = stage["pseudonyms"](spark, docs, side_tables)
+    assert hidden.schema == docs.schema and [r.n_chars == len(r.text) and r.text != rows[-1][1] for r in hidden.where("doc_id = 6").collect()] == [True]
+    assert hidden.where("doc_id <> 6 or doc_id is null").exceptAll(docs).count() == 0
+    coded = stage["tokens"](spark, docs, side_tables).collect()
+    assert len(coded) == len(rows) and [r.n_tokens for r in coded if r.doc_id in (4, 5)] == [0, 0]
+
+
+def test_stages_of_empty_tables(spark, side_tables):
+    import corpus_pipeline
+
+    docs = clashing(spark, [])
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, side_tables).count() == 0
+    docs.write.parquet(f"{side_tables}/documents.parquet")
+    assert corpus_pipeline.run(spark, side_tables).count() == 0
+
+
+def test_near_duplicates_of_long_texts(spark):
+    """Texts above the batch bound, whole: they differ only at the end, or in more than the threshold."""
+    base = words(700_000, 4, "abcdefghijklmnop")
+    rows = [(1, " ".join(base)), (2, " ".join(base[:-5] + ["other"] * 5)), (3, " ".join(base[: len(base) // 2] + words(350_000, 5, "abcdefghijklmnop"))), (4, "short text of some six words")]
+    assert len(rows[0][1]) > 3 << 20
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4}

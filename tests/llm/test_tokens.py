@@ -70,6 +70,22 @@ def test_token_files(docs, library):
 def test_no_documents(docs):
     assert tokenfile.write_and_read(docs.where("false")).count() == 0
     assert bpe.digests(docs.where("false")).count() == 0
+    assert bpe.decode(bpe.encode(docs.where("false"))).count() == 0
+
+
+def test_texts_above_the_batch_bound(spark, library):
+    """Longer than a batch, alone and beside short ones; repeated rows."""
+    long = "the river bank, " * 400_000
+    rows = [(2, long), (1, "a"), (3, "b"), (3, "b"), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = library.encode(long[:1600], add_special_tokens=False).ids
+    got = bpe.encode(df).orderBy("doc_id").collect()
+    assert [len(r.token_ids) for r in got[:2]] == [0, 1] and got[3].token_ids == got[4].token_ids
+    assert got[2].token_ids[: len(want) - 5] == want[:-5]
+    assert bpe.decode(bpe.encode(df.where("doc_id = 2"))).first().decoded == long
+    files = {r.doc_id: r for r in tokenfile.write_and_read(df.where("doc_id < 3")).collect()}
+    assert files[2].n_tokens == len(got[2].token_ids) + 1 and files[2].start == 2
+    assert files[2].ids_crc32 == zlib.crc32(np.array([*got[2].token_ids, 0], "<u4").tobytes())
 
 
 @pytest.mark.parametrize("n", [1, 2, 255, 256, 257, 2000])
