@@ -2,26 +2,34 @@
 
 A url's host is what follows the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased;
 its path what follows up to ``?``, ``#`` or the end. A rule fits its host and all subdomains, if the
-path starts with the rule's; the longest that fits decides. Where none fits, the host's labels are
-split into words by unigram Viterbi and a multinomial naive Bayes model scores the words of host and
-path; it has learned to tell the urls that a rule blocks from all others.
-
-The unigram model counts the words of all titles; the Bayes model counts the words of all urls. Either keeps its ``model_words`` most frequent words, which bounds what the driver and
-the tasks hold. Null urls and urls without ``://`` have an empty host and path and no words, so the
-prior decides. Ties go to allow. Repeated rows all stay. An empty table gives no rows.
+path starts with the rule's; the longest that fits decides. Where none fits, the runs of letters in the
+host are split into words by unigram Viterbi, and a multinomial naive Bayes model scores the words of
+host and path. It learns from the urls that a rule decides: what those that are blocked have in common
+against those that are allowed. Both verdicts count as equally likely beforehand, as the rules' share says
+nothing about other urls.
+
+The unigram model counts the words of all titles, and of each different host the runs of letters once.
+Counts stay in tables: Viterbi is given the words that occur within a run of letters, found by a join,
+and scores are sums of weights found by a join, so no vocabulary is cut and none goes to the driver.
+Weights are whole multiples of 2 ** -20, so that sums don't depend on their order.
+
+Null urls and urls without ``://`` have an empty host and path and no words, so they are allowed, as all
+ties. Without urls that a rule decides all others are allowed. Urls and words of any length are taken
+whole. Rows stay one for one, those without page_id and repeated ones too. Other columns are not read,
+whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import math
-import re
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridweave.llm.common import stored
+
 #: (verdict, host, path).
 RULES = [
     ("block", "com", "/en/"),
@@ -31,8 +39,12 @@ RULES = [
     ("block", "org", "/es/"),
 ]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-MODEL_WORDS = 50_000
-LONGEST_WORD = 24
+#: A run of digits or of letters.
+TOKEN = r"(\p{Nd}+|\p{L}+)"
+#: Weights are whole numbers of this part.
+PART = 1 << 20
+#: Rows that a step hands on at a time.
+ROWS = 1 << 16
 
 
 def split_url(df: DataFrame, url: str = "url") -> DataFrame:
@@ -50,105 +62,123 @@ def with_rule(df: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataF
 
 
 class Segmenter:
-    """Splits a run of letters into its most probable words; an unknown word of n letters has probability 1 / (total * 10 ** n)."""
+    """Splits a run of letters into its most probable words; an unknown word of n letters has probability 1 / (total * 10 ** n). Of equally probable splits the one whose last words are shortest is taken."""
 
-    def __init__(self, counts: dict[str, int]):
-        self.total = sum(counts.values()) + 1
+    def __init__(self, counts: dict[str, int], total: int | None = None):
+        self.total = (sum(counts.values()) if total is None else total) + 1
         self.score = {w: math.log(n / self.total) for w, n in counts.items()}
+        self.lengths = sorted({len(w) for w in counts}, reverse=True)
 
     def __call__(self, letters: str) -> list[str]:
-        best = [(0.0, 0)]
-        unknown, each = -math.log(self.total), math.log(10)
+        each = math.log(10)
+        begin = -math.log(self.total) - each
+        best, from_ = [0.0], [0]
+        unknown, since = -math.inf, 0  # the best split whose last word is unknown, and where that word begins
         for j in range(1, len(letters) + 1):
-            best.append(max((best[i][0] + self.score.get(letters[i:j], unknown - (j - i) * each), i) for i in range(max(0, j - LONGEST_WORD), j)))
+            unknown, since = max((unknown - each, since), (best[j - 1] + begin, j - 1))
+            found = (unknown, since)
+            for n in self.lengths:
+                if n <= j and (known := self.score.get(letters[j - n : j])) is not None:
+                    found = max(found, (best[j - n] + known, j - n))
+            best.append(found[0])
+            from_.append(found[1])
         out, j = [], len(letters)
         while j:
-            i = best[j][1]
-            out.append(letters[i:j])
-            j = i
+            out.append(letters[from_[j] : j])
+            j = from_[j]
         return out[::-1]
 
 
-NUMBER = re.compile(r"\d+|[^\W\d_]+")
+def tokens(column: str) -> Column:
+    return F.regexp_extract_all(column, F.lit(TOKEN), F.lit(1))
+
+
+def is_number(token: Column) -> Column:
+    return token.rlike(r"^\p{Nd}")
+
 
+def path_words(path: str = "path") -> Column:
+    """Runs of letters, lower-cased; of numbers their length and first digit."""
+    number = lambda t: F.array(F.concat(F.lit("p:#"), F.length(t).cast("string")), F.concat(F.lit("p:#"), F.substring(t, 1, 1), F.lit("..")))
+    return F.flatten(F.transform(tokens(path), lambda t: F.when(is_number(t), number(t)).otherwise(F.array(F.concat(F.lit("p:"), F.lower(t))))))
 
-def words(host: str, path: str, split: Segmenter) -> list[str]:
-    """The words of a url: of host labels those that Viterbi finds, of the path each run of letters; of numbers the first digit and the length."""
-    out = [w for label in host.split(".") for x in NUMBER.findall(label) for w in ([f"#{len(x)}"] if x.isdigit() else split(x))]
-    return [f"h:{w}" for w in out] + [f"p:{w}" for x in NUMBER.findall(path) for w in ([f"#{len(x)}", f"#{x[0]}.."] if x.isdigit() else [x.lower()])]
 
+def host_tokens(hosts: DataFrame) -> DataFrame:
+    """(host, pos, token) of different hosts."""
+    return hosts.select("host").distinct().select("host", F.posexplode(F.transform(tokens("host"), F.lower)).alias("pos", "token"))
 
-def unigrams(pages: DataFrame, limit: int = MODEL_WORDS) -> dict[str, int]:
-    """Counts of the most frequent words of all pages' titles."""
+
+def unigrams(pages: DataFrame, parts: DataFrame) -> DataFrame:
+    """(word, n): how often a word occurs in titles and as a run of letters of different hosts."""
     title = F.lower(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1))
-    each = pages.select(F.explode(F.split(title, r"[^\p{L}]+")).alias("word")).where("word <> ''").groupBy("word").count()
-    return {r.word: r["count"] for r in each.orderBy(F.desc("count"), "word").limit(limit).collect()}
+    titles = pages.select(F.explode(F.split(title, r"[^\p{L}]+")).alias("word")).where("word <> ''")
+    return titles.union(parts.where(~is_number(F.col("token"))).select("token")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
-def learn(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, limit: int = MODEL_WORDS) -> tuple[dict[str, int], dict[str, tuple[int, int]]]:
-    """Unigram counts, and per url word how often it occurs in urls that a rule blocks and in others; the empty word counts urls."""
-    counts = unigrams(pages, limit)
+def segments(parts: DataFrame, counts: DataFrame) -> DataFrame:
+    """(token, words) of each different run of letters in hosts."""
+    runs = parts.where(~is_number(F.col("token"))).select("token").distinct()
+    row = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.collect_set(F.length("word")).alias("lengths")).first()  # some dozen lengths
+    total, lengths = row.total, sorted(row.lengths)
 
-    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, seen, known = Segmenter(counts), Counter(), {}
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        token, word = [], []
         for batch in batches:
-            for host, path, verdict in zip(*(batch.column(c).to_pylist() for c in ("host", "path", "rule_verdict")), strict=True):
-                if host not in known:
-                    known = {} if len(known) > MODEL_WORDS else known
-                    known[host] = words(host, "", split)
-                seen.update((w, verdict == "block") for w in ["", *known[host], *words("", path, split)])
-            if len(seen) > 4 * MODEL_WORDS:
-                yield rows(seen)
-                seen.clear()
-        yield rows(seen)
-
-    def rows(seen: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array([w for w, _ in seen], pa.string()), pa.array([n * (not b) for (_, b), n in seen.items()], pa.int64()), pa.array([n * b for (_, b), n in seen.items()], pa.int64())],
-            names=["word", "allowed", "blocked"],
-        )
-
-    decided = with_rule(split_url(pages.select("url")), rules).select("host", "path", "rule_verdict")
-    table = decided.mapInArrow(step, "word string, allowed long, blocked long").groupBy("word").agg(F.sum("allowed").alias("allowed"), F.sum("blocked").alias("blocked"))
-    top = table.orderBy(F.col("word") != "", F.desc(F.col("allowed") + F.col("blocked")), "word").limit(limit + 1).collect()
-    return counts, {r.word: (r.allowed, r.blocked) for r in top}
-
-
-class Bayes:
-    """Multinomial naive Bayes with add-one smoothing."""
-
-    def __init__(self, counts: dict[str, tuple[int, int]]):
-        urls = counts.get("", (0, 0))
-        kept = {w: n for w, n in counts.items() if w}
-        total = [sum(n[k] for n in kept.values()) + len(kept) + 1 for k in (0, 1)]
-        self.prior = math.log(urls[1] + 1) - math.log(urls[0] + 1)
-        self.weight = {w: math.log((b + 1) / total[1]) - math.log((a + 1) / total[0]) for w, (a, b) in kept.items()}
-
-    def score(self, found: list[str]) -> float:
-        """The log odds of block against allow; words it doesn't know say nothing."""
-        return self.prior + sum(self.weight.get(w, 0.0) for w in found)
-
-
-def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES, limit: int = MODEL_WORDS) -> DataFrame:
-    """page_id, host, path, rule, verdict, score (log odds of block) and host_words of every page (page_id, url, html)."""
-    counts, seen = learn(pages, rules, limit)
-    model = pages.sparkSession.sparkContext.broadcast((counts, seen))  # at most limit words each
-    names = ["page_id", "host", "path", "rule", "verdict", "score", "host_words"]
-
-    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, bayes, known = Segmenter(model.value[0]), Bayes(model.value[1]), {}
+            for t in batch.column("token").to_pylist():
+                for n in lengths:
+                    if n > len(t):
+                        break
+                    found = {t[i : i + n] for i in range(len(t) - n + 1)}
+                    token += [t] * len(found)
+                    word += found
+                    if len(word) > ROWS:
+                        yield pa.RecordBatch.from_arrays([pa.array(token, pa.string()), pa.array(word, pa.string())], names=["token", "word"])
+                        token, word = [], []
+        yield pa.RecordBatch.from_arrays([pa.array(token, pa.string()), pa.array(word, pa.string())], names=["token", "word"])
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores, hosts = [], []
-            for host, path in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist(), strict=True):
-                if host not in known:
-                    known = {} if len(known) > MODEL_WORDS else known
-                    known[host] = words(host, "", split)
-                scores.append(bayes.score(known[host] + words("", path, split)))
-                hosts.append(" ".join(w[2:] for w in known[host]))
-            verdict = [r or ("block" if s > 0 else "allow") for r, s in zip(batch.column("rule_verdict").to_pylist(), scores, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in names[:4]), pa.array(verdict, pa.string()), pa.array(scores, pa.float64()), pa.array(hosts, pa.string())], names=names
-            )
-
-    found = with_rule(split_url(pages.select("page_id", "url")), rules).select("page_id", "host", "path", "rule", "rule_verdict")
-    return found.mapInArrow(step, "page_id long, host string, path string, rule string, verdict string, score double, host_words string")
+            out = [Segmenter({k["word"]: k["n"] for k in known or ()}, total)(t) for t, known in zip(batch.column("token").to_pylist(), batch.column("known").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("token"), pa.array(out, pa.list_(pa.string()))], names=["token", "words"])
+
+    known = runs.mapInArrow(within, "token string, word string").join(counts, "word").groupBy("token").agg(F.collect_list(F.struct("word", "n")).alias("known"))
+    return runs.join(known, "token", "left").mapInArrow(split, "token string, words array<string>")
+
+
+def host_words(parts: DataFrame, split: DataFrame) -> DataFrame:
+    """(host, words) of hosts with tokens; of numbers their length."""
+    each = parts.join(split, "token", "left").withColumn("words", F.coalesce("words", F.array(F.concat(F.lit("#"), F.length("token").cast("string")))))
+    listed = each.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("pos", "words"))).alias("all"))
+    return listed.select("host", F.flatten(F.transform("all", lambda x: x["words"])).alias("words"))
+
+
+def weights(urls: DataFrame, words: DataFrame) -> DataFrame:
+    """(word, weight) of urls (host, path, rule_verdict) that a rule decides: the log odds of block against allow, with add-one smoothing."""
+    decided = urls.where("rule_verdict is not null")
+    count = lambda key: decided.groupBy(key).agg(F.count_if(F.col("rule_verdict") == "allow").alias("allowed"), F.count_if(F.col("rule_verdict") == "block").alias("blocked"))
+    of_host = count("host").join(words, "host").select(F.explode("words").alias("word"), "allowed", "blocked").withColumn("word", F.concat(F.lit("h:"), "word"))
+    of_path = count("path").select(F.explode(path_words()).alias("word"), "allowed", "blocked")
+    table = stored(of_host.union(of_path).groupBy("word").agg(F.sum("allowed").alias("allowed"), F.sum("blocked").alias("blocked")), "url-words")
+    row = table.agg(F.count(F.lit(1)), F.coalesce(F.sum("allowed"), F.lit(0)), F.coalesce(F.sum("blocked"), F.lit(0))).first()
+    share = lambda c, total: F.log((F.col(c) + 1) / F.lit(float(total + row[0] + 1)))
+    return table.select("word", F.round((share("blocked", row[2]) - share("allowed", row[1])) * PART).cast("long").alias("weight"))
+
+
+def sums(words: DataFrame, key: str, weight: DataFrame) -> DataFrame:
+    """(key, sum) of (key, word); words without weight say nothing."""
+    return words.join(weight, "word").groupBy(key).agg(F.sum("weight").alias(f"{key}_sum"))
+
+
+def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
+    """page_id, host, path, rule, verdict, score (log odds of block) and host_words of every page (page_id, url, html)."""
+    urls = with_rule(split_url(pages.select("page_id", "url")), rules).select("page_id", "host", "path", "rule", "rule_verdict")
+    parts = stored(host_tokens(urls), "host-tokens")
+    counts = stored(unigrams(pages, parts), "unigrams")
+    words = stored(host_words(parts, segments(parts, counts)), "host-words")
+    weight = weights(urls, words)
+    of_host = sums(words.select("host", F.explode(F.transform("words", lambda w: F.concat(F.lit("h:"), w))).alias("word")), "host", weight)
+    of_path = sums(urls.select("path").distinct().select("path", F.explode(path_words()).alias("word")), "path", weight)
+    score = (F.coalesce("host_sum", F.lit(0)) + F.coalesce("path_sum", F.lit(0))) / F.lit(float(PART))
+    scored = urls.join(words.join(of_host, "host", "left"), "host", "left").join(of_path, "path", "left").withColumn("score", score)
+    verdict = F.coalesce("rule_verdict", F.when(F.col("score") > 0, "block").otherwise("allow"))
+    return scored.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score", F.array_join(F.coalesce("words", F.array().cast("array<string>")), " ").alias("host_words"))

@@ -2,10 +2,11 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 
@@ -173,6 +174,60 @@ def test_segmenter():
     split = urls.Segmenter({"river": 5, "bank": 5, "riverb": 1, "ank": 1})
     assert split("riverbank") == ["river", "bank"]
     assert "".join(split("q" * 100 + "bank")) == "q" * 100 + "bank" and split("") == []
+    assert split("x" * 30_000 + "bank")[-1] == "bank"
+
+
+def all_splits(letters):
+    for cuts in range(1 << max(0, len(letters) - 1)):
+        at = [0, *(i + 1 for i in range(len(letters) - 1) if cuts >> i & 1), len(letters)]
+        yield [letters[i:j] for i, j in zip(at, at[1:], strict=False)]
+
+
+def probability(words, counts, total):
+    return sum(math.log(counts[w] / (total + 1)) if w in counts else -math.log(total + 1) - len(w) * math.log(10) for w in words)
+
+
+def test_segmenter_against_all_splits():
+    rnd = random.Random(12)
+    for _ in range(150):
+        counts = {"".join(rnd.choice("abc") for _ in range(rnd.randint(1, 6))): rnd.randint(1, 40) for _ in range(rnd.randint(0, 25))}
+        letters = "".join(rnd.choice("abcd") for _ in range(rnd.randint(1, 11)))
+        total = sum(counts.values())
+        best = max(probability(w, counts, total) for w in all_splits(letters))
+        found = urls.Segmenter(counts)(letters)
+        assert "".join(found) == letters and probability(found, counts, total) == pytest.approx(best, abs=1e-9)
+
+
+def test_urls_against_plain_models(spark):
+    """Counts, splits, weights and verdicts of every url, in plain Python."""
+    rnd = random.Random(13)
+    bits = ["river", "bank", "an", "the", "ex", "ample", "shop", "tree"]
+    word = lambda k: "".join(rnd.choice(bits) for _ in range(k))
+    rows = []
+    for i in range(400):
+        host = ".".join([word(rnd.randint(1, 2)) + rnd.choice(["", "7", "2024"]), *rnd.choice([["example"], ["www", "example"], [word(1)]]), rnd.choice(["com", "net", "org"])])
+        path = f"/{rnd.choice(['en', 'de', 'es', 'fr'])}/{rnd.randint(1, 999)}{rnd.choice(['', '/Tree', '-the_shop.html'])}"
+        rows.append((i, f"http://{host}{path}", f"<title>{' '.join(rnd.choice(bits) for _ in range(5))} {'very' * 20}long</title>"))
+    rows += [(None, None, None), (7, "http://", None), (8, "none", "<title>a b</title>"), rows[3], (500, "http://" + "riverbank" * 40 + ".org/", None)]
+    split = [plain_url(u, urls.RULES) for _, u, _ in rows]
+    hosts = {h for h, *_ in split}
+    counts = Counter(w for _, _, t in rows if t for w in re.findall(r"[^\W\d_]+", re.search("<title>(.*)</title>", t)[1].lower()))
+    counts.update(w for h in hosts for w in re.findall(r"[^\W\d_]+", h))
+    cut = urls.Segmenter(counts)
+    own = lambda h: [w for x in re.findall(r"\d+|[^\W\d_]+", h) for w in ([f"#{len(x)}"] if x[0].isdigit() else cut(x))]
+    rest = lambda p: [w for x in re.findall(r"\d+|[^\W\d_]+", p) for w in ([f"p:#{len(x)}", f"p:#{x[0]}.."] if x[0].isdigit() else [f"p:{x.lower()}"])]
+    every = lambda h, p: [f"h:{w}" for w in own(h)] + rest(p)
+    seen = {k: Counter(w for h, p, _, v in split if v == k for w in every(h, p)) for k in ("allow", "block")}
+    vocabulary = set(seen["allow"]) | set(seen["block"])
+    share = lambda k, w: math.log((seen[k][w] + 1) / (seen[k].total() + len(vocabulary) + 1))
+    score = lambda h, p: sum(share("block", w) - share("allow", w) for w in every(h, p) if w in vocabulary)
+    got = urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted((str(r.page_id), r.host, r.path) for r in got) == sorted((str(i), h, p) for (i, _, _), (h, p, _, _) in zip(rows, split, strict=True))
+    rules = {(h, p): v for h, p, _, v in split}
+    for r in got:
+        assert r.host_words == " ".join(own(r.host)) and r.score == pytest.approx(score(r.host, r.path), abs=1e-4)
+        assert r.verdict == (rules[r.host, r.path] or ("block" if r.score > 0 else "allow"))
+    assert {r.verdict for r in got if not r.rule} == {"allow", "block"} and any(len(r.host_words.split()) > 4 for r in got)
 
 
 def test_permutation():
