@@ -178,7 +178,9 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFr
     weight = weights(urls, words)
     of_host = sums(words.select("host", F.explode(F.transform("words", lambda w: F.concat(F.lit("h:"), w))).alias("word")), "host", weight)
     of_path = sums(urls.select("path").distinct().select("path", F.explode(path_words()).alias("word")), "path", weight)
+    # tables of their own, so that adaptive execution can split the pages of a hot host or path in these joins
+    of_host, of_path = stored(words.join(of_host, "host", "left"), "host-scores"), stored(of_path, "path-scores")
     score = (F.coalesce("host_sum", F.lit(0)) + F.coalesce("path_sum", F.lit(0))) / F.lit(float(PART))
-    scored = urls.join(words.join(of_host, "host", "left"), "host", "left").join(of_path, "path", "left").withColumn("score", score)
+    scored = urls.join(of_host, "host", "left").join(of_path, "path", "left").withColumn("score", score)
     verdict = F.coalesce("rule_verdict", F.when(F.col("score") > 0, "block").otherwise("allow"))
     return scored.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score", F.array_join(F.coalesce("words", F.array().cast("array<string>")), " ").alias("host_words"))
