@@ -99,6 +99,34 @@ def ring_contains(ring: Column | str, lat, lon) -> Column:
     return (_crossings(ring, lat, lon) % 2 == 1) & ~_on_border(ring, lat, lon)
 
 
+def ring_edges(ring: Column | str) -> Column:
+    """Pairs of consecutive points: array of struct(a_lat, a_lon, b_lat, b_lon)."""
+    return _edges(_c(ring), lambda p, q: F.struct(p["lat"].alias("a_lat"), p["lon"].alias("a_lon"), q["lat"].alias("b_lat"), q["lon"].alias("b_lon")))
+
+
+def lon_at(e: Column, lat: Column) -> Column:
+    """Where an edge that isn't level crosses a latitude."""
+    return (e["b_lon"] - e["a_lon"]) * (lat - e["a_lat"]) / F.when(e["b_lat"] == e["a_lat"], F.lit(1.0)).otherwise(e["b_lat"] - e["a_lat"]) + e["a_lon"]
+
+
+def lat_at(e: Column, lon: Column) -> Column:
+    return (e["b_lat"] - e["a_lat"]) * (lon - e["a_lon"]) / F.when(e["b_lon"] == e["a_lon"], F.lit(1.0)).otherwise(e["b_lon"] - e["a_lon"]) + e["a_lat"]
+
+
+def crossings_between(edges: Column, lat: Column, lon: Column, c_lat: Column, c_lon: Column) -> Column:
+    """How many edges the way from a point along its latitude and then along c_lon to (c_lat, c_lon) crosses; no edge may end at c_lon."""
+    level = lambda e: ((e["a_lat"] > lat) != (e["b_lat"] > lat)) & ((lon_at(e, lat) > lon) != (lon_at(e, lat) > c_lon))
+    upright = lambda e: ((e["a_lon"] > c_lon) != (e["b_lon"] > c_lon)) & ((lat_at(e, c_lon) > lat) != (lat_at(e, c_lon) > c_lat))
+    return F.aggregate(edges, F.lit(0), lambda n, e: n + level(e).cast("int") + upright(e).cast("int"))
+
+
+def on_edges(edges: Column, lat: Column, lon: Column) -> Column:
+    """Whether a point lies on one of the edges."""
+    between = lambda x, a, b: x.between(F.least(a, b), F.greatest(a, b))
+    off = lambda e: (e["b_lon"] - e["a_lon"]) * (lat - e["a_lat"]) - (lon - e["a_lon"]) * (e["b_lat"] - e["a_lat"])
+    return F.exists(edges, lambda e: (off(e) == 0.0) & between(lat, e["a_lat"], e["b_lat"]) & between(lon, e["a_lon"], e["b_lon"]))
+
+
 def ring_box(ring: Column | str) -> list[Column]:
     """lat_min, lat_max, lon_min, lon_max."""
     ring = _c(ring)

@@ -8,15 +8,41 @@ minima per node are gathered, so a node with any number of edges is summed befor
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def checkpoint_folder(spark: SparkSession) -> None:
-    """Checkpoints go to spark.checkpoint.dir; where it is unset, as in tests, to a temporary folder."""
+    """Checkpoints go to spark.checkpoint.dir; where it is unset and all runs on one machine, as in tests, to a temporary folder. On a cluster that raises RuntimeError."""
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gridweave-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="gridweave-"))
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df, written as parquet below the checkpoint folder and read again: later reads take the columns and rows that they need."""
+    spark = df.sparkSession
+    checkpoint_folder(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def indexed(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """df with its place in the order, from 0. Ranges are sorted by themselves; only their sizes go to the driver, so no task holds all rows."""
+    checkpoint_folder(df.sparkSession)
+    placed = df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()).checkpoint()
+    before, at = [], 0
+    for r in placed.groupBy("_range").count().orderBy("_range").collect():
+        before.append((r["_range"], at))
+        at += r["count"]
+    offsets = df.sparkSession.createDataFrame(before, "_range int, _before long")
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
+    return placed.withColumn("_own", own).join(F.broadcast(offsets), "_range").withColumn(name, F.col("_own") + F.col("_before")).drop("_range", "_own", "_before")
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -31,8 +57,9 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select("a", "b", "m")
         linked = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        current = linked.union(least.select("a", F.col("m").alias("b"))).distinct().checkpoint()
-        state = current.agg(F.count(F.lit(1)), F.sum(F.hash("a", "b").cast("long"))).first()
+        seen = Observation()
+        current = linked.union(least.select("a", F.col("m").alias("b"))).distinct().observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.hash("a", "b").cast("long")).alias("h")).checkpoint()
+        state = seen.get
         if state == before:
             break
         before = state

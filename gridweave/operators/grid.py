@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridweave.functions import geo
+from gridweave.operators.components import indexed
 
 
 class TypeLookupError(LookupError):
@@ -145,7 +146,7 @@ def transformer_nodes(transformers: DataFrame, nodes: DataFrame, kv: list[float]
 
 def mv_grid(routes: DataFrame, nodes: DataFrame, types: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes and lines of ring cells: routes (cell_id, a_id, b_id, dist_m), nodes (cell_id, node_id, lat, lon, v_rated_kv, is_transition). A cell's number is its subnet; the transition node is the slack."""
-    order = nodes.select("cell_id").distinct().withColumn("n", F.row_number().over(Window.orderBy("cell_id")))
+    order = indexed(nodes.select("cell_id").distinct(), ["cell_id"], "n").withColumn("n", (F.col("n") + 1).cast("int"))
     placed = nodes.join(order, "cell_id").select("cell_id", "node_id", "lat", "lon", "v_rated_kv", F.col("is_transition").alias("slack"), F.col("n").alias("subnet"))
     at = placed.select("cell_id", F.col("node_id").alias("a_id"), F.col("v_rated_kv").alias("v_kv"), F.col("subnet"))
     number = F.row_number().over(Window.partitionBy("cell_id").orderBy("a_id", "b_id"))

@@ -2,8 +2,8 @@
 
 Things are entered in every grid cell that they cover; a point looks in its own cell and the eight
 around it. What it finds is nearest for sure if it lies within one cell size; the other points look
-again with twice the size. So the answer doesn't depend on the cell size, which should be about the
-usual distance.
+again with larger cells, at last with cells that hold the whole earth. So the answer doesn't depend on
+the cell size, which should be about the usual distance, and no point is left without one.
 """
 
 from __future__ import annotations
@@ -26,26 +26,39 @@ def covered(lats: list[str], lons: list[str], size: float) -> list[Column]:
     return [F.explode(F.sequence(geo.cell(F.least(*cs), size), geo.cell(F.greatest(*cs), size))) for cs in (lats, lons)]
 
 
-def nearest(points: DataFrame, key: str, things: DataFrame, thing_lats: list[str], thing_lons: list[str], measured, order: list[str], size: float, most_rounds: int = 12, by: tuple[str, ...] = ()) -> DataFrame:
+#: From a cell of this many degrees on, a point's cell and those around it hold every place.
+WHOLE = 360.0
+
+
+def sizes(size: float) -> list[float]:
+    """Cell sizes of the rounds: twice the first, then four times the one before, until all is seen."""
+    out = [size]
+    while out[-1] < WHOLE:
+        out.append(min(WHOLE, out[-1] * (2 if len(out) == 1 else 4)))
+    return out
+
+
+def nearest(points: DataFrame, key: str, things: DataFrame, thing_lats: list[str], thing_lons: list[str], measured, order: list[str], size: float, by: tuple[str, ...] = ()) -> DataFrame:
     """For each point (key, lat, lon) the row of ``things`` with the least dist_m, ties by ``order``, among those with equal ``by`` columns.
 
-    measured: takes the joined rows and adds dist_m (rounded to 1e-6 m) and what else is wanted. Points
-    stay without a row only if there is nothing within 2 ** most_rounds cell sizes.
+    measured: takes the joined rows and adds dist_m (rounded to 1e-6 m) and what else is wanted. A point
+    has no row only if there is no thing at all with its ``by`` columns.
     """
     checkpoint_folder(points.sparkSession)
     left, found = points, []
-    for k in range(most_rounds):
-        cell_deg = size * 2**k
+    best = Window.partitionBy(key).orderBy(F.asc_nulls_last("dist_m"), *order)
+    for cell_deg in sizes(size):
         p = left.withColumn("_y", around("lat", "lon", cell_deg)[0]).withColumn("_x", around("lat", "lon", cell_deg)[1])
         y, x = covered(thing_lats, thing_lons, cell_deg)
         t = things.withColumn("_y", y).withColumn("_x", x)
-        best = measured(p.join(t, ["_y", "_x", *by])).withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy("dist_m", *order))).where("_n = 1").drop("_n", "_y", "_x")
-        # one degree of longitude is shorter the farther from the equator
-        sure = F.col("dist_m") <= F.lit(cell_deg * METRES_PER_DEGREE) * F.least(F.lit(1.0), F.cos(F.radians(F.abs("lat") + cell_deg)))
-        best = best.where(sure).checkpoint()
-        found.append(best)
-        left = left.join(best.select(key), key, "left_anti").checkpoint()
-        if left.isEmpty():
+        ranked = measured(p.join(t, ["_y", "_x", *by], "left")).withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n", "_y", "_x")
+        # one degree of longitude is shorter the farther from the equator; near a pole nothing is sure before the last round
+        narrow = F.cos(F.radians(F.least(F.abs("lat") + cell_deg, F.lit(90.0))))
+        sure = F.lit(True) if cell_deg >= WHOLE else F.col("dist_m") <= F.lit(cell_deg * METRES_PER_DEGREE) * narrow
+        ranked = ranked.withColumn("_sure", F.coalesce(sure & F.col("dist_m").isNotNull(), F.lit(False))).checkpoint()
+        found.append(ranked.where("_sure").drop("_sure"))
+        left = ranked.where("not _sure").select(*points.columns)
+        if left.isEmpty() or (len(found) == 1 and things.isEmpty()):
             break
     out = found[0]
     for f in found[1:]:
@@ -74,14 +87,46 @@ def nearest_node(points: DataFrame, key: str, nodes: DataFrame, size: float = 2e
 
 def inside_any(points: DataFrame, key: str, rings: DataFrame, size: float = 0.02) -> DataFrame:
     """Points (key, lat, lon) that some ring (ring) covers, border included. Without rings there are none."""
-    return point_in_rings(points, key, rings.select(F.monotonically_increasing_id().alias("_ring"), "ring"), "_ring", size).select(key).distinct()
+    return point_in_rings(points, key, rings.select(F.xxhash64("ring").alias("_ring"), "ring"), "_ring", size).select(key).distinct()
+
+
+#: Where in a cell its reference point lies; no map's points have such places.
+OFF_Y, OFF_X = 0.4871938713, 0.5128061287
+
+
+def ring_cells(rings: DataFrame, ring_key: str, size: float) -> DataFrame:
+    """(ring_key, _r, _y, _x, edges, inside): each cell that a ring's border or interior touches, with the edges that pass it and whether its reference point lies in the ring.
+
+    A cell in the interior has no edges; no row holds a whole ring.
+    """
+    named = rings.select(ring_key, F.xxhash64("ring").alias("_r"), "ring").dropDuplicates([ring_key, "_r"])  # before the edges part, so that none carries the ring
+    own = named.select(ring_key, "_r", F.explode(geo.ring_edges("ring")).alias("e"))
+    e, near = F.col("e"), size * 1e-3  # an edge is entered in cells that it just misses too
+    low, high = F.least("e.a_lat", "e.b_lat"), F.greatest("e.a_lat", "e.b_lat")
+    rows = own.withColumn("_y", F.explode(F.sequence(geo.cell(low - near, size), geo.cell(high + near, size))))
+    level = F.col("e.a_lat") == F.col("e.b_lat")
+    ends = [geo.lon_at(e, F.least(F.greatest(low, F.col("_y") * size), high)), geo.lon_at(e, F.greatest(F.least(high, (F.col("_y") + 1) * size), low))]
+    west = F.when(level, F.least("e.a_lon", "e.b_lon")).otherwise(F.least(*ends))
+    east = F.when(level, F.greatest("e.a_lon", "e.b_lon")).otherwise(F.greatest(*ends))
+    border = rows.withColumn("_x", F.explode(F.sequence(geo.cell(west - near, size), geo.cell(east + near, size))))
+
+    middle = (F.col("_y") + OFF_Y) * size
+    crossed = rows.where((F.col("e.a_lat") > middle) != (F.col("e.b_lat") > middle)).groupBy(ring_key, "_r", "_y").agg(F.array_sort(F.collect_list(geo.lon_at(e, middle))).alias("at"))
+    first = lambda k: F.ceil(F.get("at", k) / size - OFF_X)
+    spans = F.transform(F.sequence(F.lit(1), F.floor(F.size("at") / 2).cast("int")), lambda k: F.struct(first(2 * k - 2).alias("a"), first(2 * k - 1).alias("b")))
+    interior = crossed.where(F.size("at") > 1).select(ring_key, "_r", "_y", F.explode(spans).alias("s")).where("s.a < s.b").select(ring_key, "_r", "_y", F.explode(F.sequence(F.col("s.a"), F.col("s.b") - 1)).alias("_x"))
+    each = border.select(ring_key, "_r", "_y", "_x", "e", F.lit(0).alias("inside")).unionByName(interior.withColumn("inside", F.lit(1)), allowMissingColumns=True)
+    return each.groupBy(ring_key, "_r", "_y", "_x").agg(F.collect_list("e").alias("edges"), F.max("inside").alias("inside"))
 
 
 def point_in_rings(points: DataFrame, key: str, rings: DataFrame, ring_key: str, size: float = 0.02) -> DataFrame:
-    """All pairs (key, ring_key) of points and rings that cover them."""
-    box = rings.select(ring_key, "ring", *geo.ring_box("ring")).where("lat_min is not null")
-    y, x = covered(["lat_min", "lat_max"], ["lon_min", "lon_max"], size)
-    placed = box.withColumn("_y", y).withColumn("_x", x).select(ring_key, "ring", "_y", "_x", "lat_min", "lat_max", "lon_min", "lon_max")
+    """All pairs (key, ring_key) of points and rings that cover them.
+
+    Points meet the cells of rings. From a point to its cell's reference point only edges of that cell
+    can be crossed; an odd number of them parts the two.
+    """
     at = points.select(key, "lat", "lon", geo.cell("lat", size).alias("_y"), geo.cell("lon", size).alias("_x"))
-    met = at.join(placed, ["_y", "_x"]).where("lat between lat_min and lat_max and lon between lon_min and lon_max")
-    return met.where(geo.ring_covers("ring", "lat", "lon")).select(key, ring_key)
+    met = at.join(ring_cells(rings, ring_key, size), ["_y", "_x"])
+    crossed = geo.crossings_between(F.col("edges"), F.col("lat"), F.col("lon"), (F.col("_y") + OFF_Y) * size, (F.col("_x") + OFF_X) * size)
+    inside = F.when(F.size("edges") == 0, F.col("inside") == 1).otherwise(((F.col("inside") + crossed) % 2 == 1) | geo.on_edges(F.col("edges"), F.col("lat"), F.col("lon")))
+    return met.where(inside).select(key, ring_key)

@@ -84,22 +84,25 @@ def way_members_or_null(ways: DataFrame, nodes: DataFrame) -> DataFrame:
     return way_nodes(ways).join(nodes.select("node_id", "lat", "lon"), "node_id", "left").select("way_id", "pos", "node_id", "lat", "lon")
 
 
-def relation_members(relations: DataFrame, ways: DataFrame, nodes: DataFrame, most_levels: int = 8) -> DataFrame:
-    """All entities below each relation (rel_id, type, id), through relations in relations of up to so many levels.
+def relation_members(relations: DataFrame, ways: DataFrame, nodes: DataFrame) -> DataFrame:
+    """All entities below each relation (rel_id, type, id), through relations in relations of any depth.
 
-    A relation that contains itself adds nothing new; members that aren't there or of unknown type are left out.
+    Each round doubles the depth that is reached, until nothing is added, so a relation that contains
+    itself ends the search too; members that aren't there or of unknown type are left out.
     """
-    direct = relations.select("rel_id", F.explode("members").alias("m")).select("rel_id", F.lower("m.type").alias("type"), F.col("m.id").alias("id"))
-    known = direct.where("type in ('node', 'way', 'relation')").distinct()
     checkpoint_folder(relations.sparkSession)
-    level = found = known = known.checkpoint()
-    below = known.where("type in ('node', 'way', 'relation')").select(F.col("rel_id").alias("id"), F.col("type").alias("sub_type"), F.col("id").alias("sub_id"))
-    for _ in range(most_levels - 1):
-        level = level.where("type = 'relation'").join(below, "id").select("rel_id", F.col("sub_type").alias("type"), F.col("sub_id").alias("id")).distinct()
-        level = level.join(found, ["rel_id", "type", "id"], "left_anti").checkpoint()
-        if level.isEmpty():
+    direct = relations.select("rel_id", F.explode("members").alias("m")).select("rel_id", F.lower("m.type").alias("type"), F.col("m.id").alias("id"))
+    known = direct.where("type in ('node', 'way', 'relation')").distinct().checkpoint()
+    reach = known.where("type = 'relation'").select("rel_id", "id").checkpoint()
+    size = reach.count()
+    while size:
+        further = reach.select(F.col("rel_id").alias("id"), F.col("id").alias("next"))
+        reach = reach.union(reach.join(further, "id").select("rel_id", F.col("next").alias("id"))).distinct().checkpoint()
+        before, size = size, reach.count()
+        if size == before:
             break
-        found = found.union(level)
+    below = reach.join(known.withColumnRenamed("rel_id", "sub").withColumnRenamed("id", "member"), F.col("id") == F.col("sub")).select("rel_id", "type", F.col("member").alias("id"))
+    found = known.union(below).distinct()
     refs = found.where("type = 'way'").join(way_nodes(ways), F.col("id") == F.col("way_id")).select("rel_id", F.lit("node").alias("type"), F.col("node_id").alias("id"))
     everything = found.union(refs).distinct()
     there = entities(*[d.select("*") for d in (nodes, ways, relations)]).select("type", "id")

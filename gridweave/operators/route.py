@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridweave.functions import geo
@@ -155,9 +155,9 @@ def central_node(nodes: DataFrame) -> DataFrame:
     size = nodes.groupBy("grid_id").agg(F.count(F.lit(1)).alias("n"))
     centre = hull_centroids(nodes).withColumnsRenamed({"lat": "c_lat", "lon": "c_lon"})
     d = F.when(F.col("n") < 3, F.lit(0.0)).otherwise(F.round(geo.haversine("lat", "lon", "c_lat", "c_lon"), 6))
-    best = Window.partitionBy("grid_id").orderBy("dist_m", "node_id")
-    found = nodes.join(size, "grid_id").join(centre, "grid_id").withColumn("dist_m", d).withColumn("k", F.row_number().over(best))
-    return found.where("k = 1").select("grid_id", "node_id", "lat", "lon")
+    found = nodes.join(size, "grid_id").join(centre, "grid_id").withColumn("dist_m", d)
+    best = F.min(F.struct("dist_m", "node_id", "lat", "lon")).alias("best")  # summed before it is shuffled, as a grid may be the whole map
+    return found.groupBy("grid_id").agg(best).select("grid_id", "best.node_id", "best.lat", "best.lon")
 
 
 def voronoi_assign(nodes: DataFrame, sites: DataFrame, size: float = 0.05) -> DataFrame:

@@ -51,6 +51,27 @@ def test_members(world):
     assert got == [(r, t, i) for r in (231, 232) for t, i in inner]
 
 
+def test_members_of_any_depth(spark):
+    """A chain of 40 relations that ends in a node, and a ring of three."""
+    members = "rel_id long, members array<struct<id:long,type:string,role:string>>, tags map<string,string>"
+    rels = [(i, [(i + 1, "relation", "")], {}) for i in range(1, 40)] + [(40, [(7, "node", "")], {})] + [(100 + i, [(100 + (i + 1) % 3, "relation", "")], {}) for i in range(3)]
+    nodes = spark.createDataFrame([(7, 0.0, 0.0, {})], "node_id long, lat double, lon double, tags map<string,string>")
+    ways = spark.createDataFrame([], "way_id long, nodes array<long>, tags map<string,string>")
+    got = {(r.rel_id, r.type, r.id) for r in osm.relation_members(spark.createDataFrame(rels, members), ways, nodes).collect()}
+    want = {(i, "relation", j) for i in range(1, 41) for j in range(i + 1, 41)} | {(i, "node", 7) for i in range(1, 41)} | {(100 + i, "relation", 100 + j) for i in range(3) for j in range(3)}
+    assert got == want
+    assert osm.relation_members(spark.createDataFrame([], members), ways, nodes).count() == 0
+
+
+def test_places_in_order(spark):
+    from gridweave.operators.components import indexed
+
+    df = spark.range(5000).selectExpr("(id * 7919) % 5003 AS k")
+    got = {r.k: r.i for r in indexed(df, ["k"], "i").collect()}
+    assert got == {k: i for i, k in enumerate(sorted(got))} and len(got) == 5000
+    assert indexed(df.where("false"), ["k"], "i").count() == 0
+
+
 def test_merge(world):
     every = osm.entities(*world)
     assert osm.merge((every, osm.ROLES), (every, osm.ROLES))[0].count() == 2 * every.count()
@@ -228,6 +249,64 @@ def test_nearest_does_not_depend_on_the_cell(spark):
     assert nearest.nearest_node(p, "p_id", n.where("false"), 1.0).count() == 0
 
 
+def test_no_point_is_too_far(spark):
+    """A point with nothing near it, one across the earth, one at a pole; points whose group has nothing."""
+    p = spark.createDataFrame([(1, 10.0, 10.0), (2, -40.0, -140.0), (3, 90.0, 0.0), (4, 40.0, 40.0), (5, -90.0, 7.0)], "p_id long, lat double, lon double")
+    n = spark.createDataFrame([(8, 40.0, 40.0), (9, 41.0, 40.0)], "node_id long, lat double, lon double")
+    got = {r.p_id: (r.node_id, r.dist_m) for r in nearest.nearest_node(p, "p_id", n).collect()}
+    assert {k: v for k, (v, _) in got.items()} == {1: 8, 2: 9, 3: 9, 4: 8, 5: 8}
+    assert got[1][1] == pytest.approx(metres((10.0, 10.0), (40.0, 40.0)))
+    assert {r.node_id for r in route.voronoi_assign(p.withColumnRenamed("p_id", "node_id"), n.withColumnRenamed("node_id", "site_id")).collect()} == {1, 2, 3, 4, 5}
+    grouped = lambda df: df.withColumn("grp", df[df.columns[0]] % 2)
+    other = n.where("node_id = 8").selectExpr("node_id", "lat AS n_lat", "lon AS n_lon", "0L AS grp")
+    measured = lambda df: df.withColumn("dist_m", geo.haversine("lat", "lon", "n_lat", "n_lon"))
+    found = nearest.nearest(grouped(p), "p_id", other, ["n_lat", "n_lat"], ["n_lon", "n_lon"], measured, ["node_id"], 0.01, by=("grp",))
+    assert {r.p_id for r in found.collect()} == {2, 4}
+
+
+def star(points, seed, lat, lon, radius, least=0.3):
+    """A ring about a place, without crossings, its points on a grid of 1e-7 degrees."""
+    rnd = random.Random(seed)
+    ring = [(t, radius * rnd.uniform(least, 1)) for t in sorted(rnd.uniform(0, 2 * np.pi) for _ in range(points))]
+    ring = [(round(float(lat + r * np.sin(t)), 7), round(float(lon + r * np.cos(t)), 7)) for t, r in ring]
+    return [*ring, ring[0]]
+
+
+def test_points_in_rings(spark):
+    """Against a walk over every edge: stars, boxes on the cells' edges, points on borders and corners, in cells of several sizes."""
+    rnd = random.Random(21)
+    rings = {k: star(5 + 9 * k, 50 + k, 50 + rnd.random(), 7 + rnd.random(), 0.05 + 0.1 * k) for k in range(8)}
+    rings[20] = [(50.0, 7.0), (50.0, 7.5), (50.5, 7.5), (50.5, 7.0), (50.0, 7.0)]
+    rings[21] = [(50.2, 7.2), (50.2, 7.21), (50.21, 7.21), (50.21, 7.2), (50.2, 7.2)]
+    rings[22] = [(50.0, 7.0), (50.6, 7.6), (50.0, 7.6), (50.0, 7.0)]
+    points = [(round(rnd.uniform(49.8, 51.2), 3), round(rnd.uniform(6.8, 8.2), 3)) for _ in range(400)]
+    points += [p for r in rings.values() for p in r[:6]] + [(50.25, 7.0), (50.25, 7.5), (50.5, 7.25), (50.3, 7.3), (50.2, 7.3), (50.0, 6.9), (50.5, 7.6), (50.5, 6.9)]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(points)], "p_id long, lat double, lon double")
+    table = spark.createDataFrame([(k, [{"lat": a, "lon": o} for a, o in r]) for k, r in rings.items()] + [(20, [{"lat": a, "lon": o} for a, o in rings[20]])], f"area_id long, ring {region.RING}")
+    want = {(r.p_id, r.area_id) for r in df.crossJoin(table.where("ring is not null").dropDuplicates()).where(geo.ring_covers("ring", "lat", "lon")).collect()}
+    for size in (0.005, 0.02, 0.1, 5.0):
+        got = nearest.point_in_rings(df, "p_id", table, "area_id", size).collect()
+        assert {(r.p_id, r.area_id) for r in got} == want and len(got) == len(want), size
+    assert len(want) > 150 and nearest.point_in_rings(df, "p_id", table.where("false"), "area_id").count() == 0
+
+
+def test_ring_of_a_country(spark):
+    """50 000 points about eight degrees: cells hold a few edges each, and the answer is that of a walk over all."""
+    ring = star(50_000, 3, 51.0, 10.0, 4.0, 0.997)
+    table = spark.createDataFrame([(1, [{"lat": a, "lon": o} for a, o in ring])], f"area_id long, ring {region.RING}")
+    rnd = random.Random(5)
+    points = [(i, rnd.uniform(46, 56), rnd.uniform(5, 15)) for i in range(600)]
+    lat, lon = np.array(ring).T
+    inside = set()
+    for i, a, o in points:
+        straddles = (lat[:-1] > a) != (lat[1:] > a)
+        x = (lon[1:] - lon[:-1])[straddles] * (a - lat[:-1][straddles]) / (lat[1:] - lat[:-1])[straddles] + lon[:-1][straddles]
+        if (x > o).sum() % 2:
+            inside.add(i)
+    got = nearest.point_in_rings(spark.createDataFrame(points, "p_id long, lat double, lon double"), "p_id", table, "area_id", 0.02)
+    assert {r.p_id for r in got.collect()} == inside and 50 < len(inside) < 550
+
+
 def test_voronoi(spark):
     rnd = random.Random(3)
     sites = [(i, rnd.uniform(50, 51), rnd.uniform(7, 9)) for i in range(12)]
