@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridweave.functions import geo
+from gridweave.functions import geo, naming
 from gridweave.operators.components import indexed
 
 
@@ -33,36 +33,56 @@ def building_loads(buildings: DataFrame, density_w_m2: float) -> DataFrame:
 
 
 def vertex_loads(connections: DataFrame) -> DataFrame:
-    """All loads of a vertex together: (node_id, n_buildings, power_kw, is_substation) of (node_id, building_id, power_kw, is_substation). What is a substation and a building is a substation only."""
+    """All loads of a vertex together: (node_id, n_buildings, power_kw, is_substation, building) of (node_id, building_id, power_kw, is_substation); building is the least of them. What is a substation and a building is a substation only."""
     power = F.when(F.col("is_substation"), F.lit(0.0)).otherwise(F.col("power_kw"))
-    return connections.groupBy("node_id").agg(F.count_if(~F.col("is_substation")).alias("n_buildings"), F.sum(power).alias("power_kw"), F.max("is_substation").alias("is_substation"))
+    least = F.min(F.when(~F.col("is_substation"), F.col("building_id"))).alias("building")
+    return connections.groupBy("node_id").agg(F.count_if(~F.col("is_substation")).alias("n_buildings"), F.sum(power).alias("power_kw"), F.max("is_substation").alias("is_substation"), least)
+
+
+def optional(df: DataFrame, name: str, default: str) -> F.Column:
+    """A column, or where df has none of that name another."""
+    return F.col(name if name in df.columns else default)
 
 
 def lv_nodes(vertices: DataFrame, v_rated_kv: float) -> DataFrame:
-    """Nodes of vertices (grid_id, node_id, lat, lon, n_buildings, is_substation, degree): substations, buildings and crossings; others are none."""
+    """Nodes of vertices (grid_id, node_id, lat, lon, n_buildings, is_substation, degree): substations, buildings and crossings; others are none.
+
+    Names: of a building by its id (building), of a crossing by its node's (street_node), of a substation
+    by its place; a name that a vertex has (name) is kept. Without these columns the vertex's id serves.
+    """
     kind = F.when(F.col("is_substation"), "substation").when(F.col("n_buildings") > 0, "building").when(F.col("degree") > 2, "crossing")
     chosen = vertices.withColumn("kind", kind).where("kind is not null")
+    made = F.when(F.col("kind") == "building", naming.building_node_name(optional(vertices, "building", "node_id")))
+    made = made.when(F.col("kind") == "crossing", naming.highway_node_name(F.lit("a"), optional(vertices, "street_node", "node_id"), F.lit(None)))
+    name = F.coalesce(F.col("name"), made) if "name" in vertices.columns else made
     return chosen.select(
-        uuid_of(F.lit("node"), "grid_id", "node_id").alias("uuid"), "grid_id", "node_id", "kind", "lat", "lon",
+        uuid_of(F.lit("node"), "grid_id", "node_id").alias("uuid"), naming.coordinate_name(F.when(F.col("kind") != "substation", name), F.col("lat"), F.col("lon")).alias("id"),
+        "grid_id", "node_id", "kind", "lat", "lon",
         F.lit(1.0).alias("v_target"), F.lit(False).alias("slack"), F.lit(float(v_rated_kv)).alias("v_rated_kv"), F.lit(1).alias("subnet"),
     )
 
 
+def line_geometry() -> F.Column:
+    """The straight line between the places a and b, as text."""
+    place = lambda k: F.concat_ws(" ", F.col(f"{k}_lon").cast("string"), F.col(f"{k}_lat").cast("string"))
+    return F.concat(F.lit("LINESTRING ("), place("a"), F.lit(", "), place("b"), F.lit(")"))
+
+
 def lines(edges: DataFrame, nodes: DataFrame, line_type: str) -> DataFrame:
-    """Lines of edges (grid_id, a_id, b_id, dist_m) between nodes (grid_id, node_id); one line in parallel, length in metres."""
-    at = lambda k: nodes.select("grid_id", F.col("node_id").alias(f"{k}_id"))
-    found = edges.join(at("a"), ["grid_id", "a_id"], "left_semi").join(at("b"), ["grid_id", "b_id"], "left_semi")
+    """Lines of edges (grid_id, a_id, b_id, dist_m) between nodes (grid_id, node_id, lat, lon); one line in parallel, length in metres."""
+    at = lambda k: nodes.select("grid_id", F.col("node_id").alias(f"{k}_id"), F.col("lat").alias(f"{k}_lat"), F.col("lon").alias(f"{k}_lon"))
+    found = edges.join(at("a"), ["grid_id", "a_id"]).join(at("b"), ["grid_id", "b_id"])
     number = F.row_number().over(Window.partitionBy("grid_id").orderBy("a_id", "b_id"))
     return found.select(
         uuid_of(F.lit("line"), "grid_id", "a_id", "b_id").alias("uuid"), F.concat_ws("_", "grid_id", number).alias("id"), "grid_id", "a_id", "b_id",
-        F.lit(1).alias("parallel"), F.lit(line_type).alias("type"), F.round("dist_m", 6).alias("length_m"),
+        F.lit(1).alias("parallel"), F.lit(line_type).alias("type"), F.round("dist_m", 6).alias("length_m"), line_geometry().alias("geometry"),
     )
 
 
 def loads(vertices: DataFrame) -> DataFrame:
-    """A load for each vertex (grid_id, node_id, n_buildings, power_kw) with buildings: profile h0, cos phi 1."""
+    """A load for each vertex (grid_id, node_id, n_buildings, power_kw) with buildings: profile h0, cos phi 1; named by the building, as nodes are."""
     return vertices.where("n_buildings > 0").select(
-        uuid_of(F.lit("load"), "grid_id", "node_id").alias("uuid"), "grid_id", "node_id", F.lit("h0").alias("profile"),
+        uuid_of(F.lit("load"), "grid_id", "node_id").alias("uuid"), naming.load_name(optional(vertices, "building", "node_id")).alias("id"), "grid_id", "node_id", F.lit("h0").alias("profile"),
         F.lit(0.0).alias("e_cons_wh"), F.col("power_kw").alias("s_rated_kva"), F.lit(1.0).alias("cos_phi"),
     )
 
@@ -75,12 +95,13 @@ def prune_grids(vertices: DataFrame) -> DataFrame:
 
 def substation_elements(substations: DataFrame, mv_kv: float, lv_kv: float, transformer_type: str, mv_subnet: int = 100) -> tuple[DataFrame, DataFrame]:
     """For each substation (grid_id, substation_id, lat, lon) a medium-voltage slack node at its place, and a transformer from it to the substation's node."""
+    name = naming.coordinate_name(F.lit(""), F.col("lat"), F.col("lon"))
     mv = substations.select(
-        uuid_of(F.lit("mv"), "grid_id", "substation_id").alias("uuid"), "grid_id", F.col("substation_id").alias("node_id"), F.lit("mv").alias("kind"), "lat", "lon",
+        uuid_of(F.lit("mv"), "grid_id", "substation_id").alias("uuid"), naming.mv_node_name(name).alias("id"), "grid_id", F.col("substation_id").alias("node_id"), F.lit("mv").alias("kind"), "lat", "lon",
         F.lit(1.0).alias("v_target"), F.lit(True).alias("slack"), F.lit(float(mv_kv)).alias("v_rated_kv"), F.lit(mv_subnet).alias("subnet"),
     )
     transformers = substations.select(
-        uuid_of(F.lit("trafo"), "grid_id", "substation_id").alias("uuid"), "grid_id", uuid_of(F.lit("mv"), "grid_id", "substation_id").alias("node_a"),
+        uuid_of(F.lit("trafo"), "grid_id", "substation_id").alias("uuid"), naming.transformer_name(naming.mv_node_name(name), name).alias("id"), "grid_id", uuid_of(F.lit("mv"), "grid_id", "substation_id").alias("node_a"),
         uuid_of(F.lit("node"), "grid_id", "substation_id").alias("node_b"), F.lit(1).alias("parallel"), F.lit(transformer_type).alias("type"),
         F.lit(float(mv_kv)).alias("v_a_kv"), F.lit(float(lv_kv)).alias("v_b_kv"), F.lit(0).alias("tap_pos"), F.lit(False).alias("auto_tap"),
     )
@@ -162,12 +183,13 @@ def dummy_hv_node(centre: DataFrame, hv_kv: float, mv_kv: float, transformer_typ
     """
     if centre.isEmpty():
         raise GridError("there is no medium-voltage node to feed")
+    name = naming.coordinate_name(F.lit(""), F.col("lat"), F.col("lon"))
     hv = centre.select(
-        uuid_of(F.lit("hv"), "node_id").alias("uuid"), F.lit("dummyHvGrid").alias("grid_name"), "node_id", "lat", "lon", F.lit(1.0).alias("v_target"), F.lit(True).alias("slack"),
+        uuid_of(F.lit("hv"), "node_id").alias("uuid"), name.alias("id"), F.lit("dummyHvGrid").alias("grid_name"), "node_id", "lat", "lon", F.lit(1.0).alias("v_target"), F.lit(True).alias("slack"),
         F.lit(float(hv_kv)).alias("v_rated_kv"), (F.col("subnet") + 1000).alias("subnet"),
     )
     transformer = centre.select(
-        uuid_of(F.lit("hvmv"), "node_id").alias("uuid"), uuid_of(F.lit("hv"), "node_id").alias("node_a"), F.col("node_id").cast("string").alias("node_b"), F.lit(2).alias("parallel"),
+        uuid_of(F.lit("hvmv"), "node_id").alias("uuid"), naming.transformer_name(name, name).alias("id"), uuid_of(F.lit("hv"), "node_id").alias("node_a"), F.col("node_id").cast("string").alias("node_b"), F.lit(2).alias("parallel"),
         F.lit(transformer_type).alias("type"), F.lit(float(hv_kv)).alias("v_a_kv"), F.lit(float(mv_kv)).alias("v_b_kv"), F.lit(0).alias("tap_pos"), F.lit(True).alias("auto_tap"),
     )
     return hv, transformer

@@ -53,14 +53,14 @@ def cut_rings(sequence: list[int]) -> list[list[int]]:
 
 
 def assemble_rings(members: DataFrame, strict: bool = True) -> DataFrame:
-    """Rings of relations: (rel_id, member_pos, pos, node_id, lat, lon) of their ways' nodes to (rel_id, ring_no, ring).
+    """Rings of relations: (rel_id, member_pos, pos, node_id, lat, lon) of their ways' nodes to (rel_id, ring_no, ring, problem).
 
     Nodes without place are left out. Where ways don't meet or a ring has fewer than four points, strict
-    raises RingError with the relation's id; else what can't be used is left out.
+    raises RingError with the relation's id; else what can't be used is left out, and a row without ring tells the problem.
     """
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        rel = int(pdf.rel_id.iloc[0])
+        rel, problem = int(pdf.rel_id.iloc[0]), None
         place = {int(n): (a, o) for n, a, o in pdf[["node_id", "lat", "lon"]].itertuples(index=False) if not pd.isna(a)}
         sequence: list[int] = []
         for _, way in pdf.sort_values(["member_pos", "pos"]).groupby("member_pos", sort=True):
@@ -68,19 +68,20 @@ def assemble_rings(members: DataFrame, strict: bool = True) -> DataFrame:
             try:
                 sequence = joined(sequence, nodes)
             except RingError as e:
-                if strict:
-                    raise RingError(f"relation {rel}: {e}") from None
+                problem = problem or f"relation {rel}: {e}"
         rings = [r for r in cut_rings(sequence) if len(r) > 3]
-        if strict and sequence and not rings:
-            raise RingError(f"relation {rel} has no closed ring")
-        rows = [(rel, i, [{"lat": place[n][0], "lon": place[n][1]} for n in r]) for i, r in enumerate(rings)]
-        return pd.DataFrame(rows, columns=["rel_id", "ring_no", "ring"])
+        if sequence and not rings:
+            problem = problem or f"relation {rel} has no closed ring"
+        if strict and problem:
+            raise RingError(problem)
+        rows = [(rel, i, [{"lat": place[n][0], "lon": place[n][1]} for n in r], None) for i, r in enumerate(rings)]
+        return pd.DataFrame(rows + [(rel, None, None, problem)] * (problem is not None), columns=["rel_id", "ring_no", "ring", "problem"]).astype({"ring_no": "Int32"})
 
-    return members.groupBy("rel_id").applyInPandas(build, f"rel_id long, ring_no int, ring {RING}")
+    return members.groupBy("rel_id").applyInPandas(build, f"rel_id long, ring_no int, ring {RING}, problem string")
 
 
 def boundary_rings(relations: DataFrame, ways: DataFrame, nodes: DataFrame, level: int, strict: bool = True) -> DataFrame:
-    """(area_id, ring_no, ring) of the boundary relations of an administrative level. Roles of members are not looked at."""
+    """(area_id, ring_no, ring, problem) of the boundary relations of an administrative level. Roles of members are not looked at."""
     chosen = relations.where(F.col("tags")["admin_level"] == str(level))
     members = chosen.select("rel_id", F.posexplode("members").alias("member_pos", "m")).where(F.lower("m.type") == "way")
     refs = members.select("rel_id", "member_pos", F.col("m.id").alias("way_id")).join(ways.select("way_id", F.posexplode("nodes").alias("pos", "node_id")), "way_id")

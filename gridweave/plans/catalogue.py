@@ -5,12 +5,16 @@ A query without SQL is one that needs a search or an optimiser; tests hold those
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridweave.functions import geo, naming
 from gridweave.operators import cluster, graph, grid, merge, nearest, osm, region, route
+from gridweave.operators.components import checkpoint_folder
 from gridweave.plans.demo import TAGS, Map, haversine, sql
+from gridweave.sources import assets, osm_pbf
 
 FOUND: dict[str, tuple] = {}
 DENSITY, FACTOR, RATED_KVA, MIN_DISTANCE = 500.0, 0.2, 630.0, 10.0
@@ -169,10 +173,92 @@ def relation_members(m):
     return osm.relation_members(rels, ways(m), nodes)
 
 
-@query(sql("SELECT sub_id AS node_id, 'Substation ' || sub_id AS name FROM substation"))
-def substation_names(m):
-    named = m.substation.select(F.col("sub_id").alias("node_id"), F.lit("substation").alias("kind"), F.lit(None).cast("string").alias("way_name"))
-    return named.select("node_id", naming.highway_node_name().alias("name"))
+@query(sql("SELECT building_id, kind, 'Building connection: '||building_id AS building_name, CASE kind WHEN 'new' THEN 'Highway node between: '||a_id||' and '||b_id WHEN 'a' THEN 'Highway node: '||a_id ELSE 'Highway node: '||b_id END AS street_name FROM snapped", SNAP_SQL))
+def connection_names(m):
+    """What the nodes of house connections are called."""
+    found = connections(m)
+    street = naming.highway_node_name(F.col("snap_kind"), F.col("a_id"), F.col("b_id"))
+    return found.select("building_id", F.col("snap_kind").alias("kind"), naming.building_node_name(F.col("building_id")).alias("building_name"), street.alias("street_name"))
+
+
+@query(sql("SELECT w.way_id, CAST(row_number() OVER (PARTITION BY w.way_id ORDER BY w.pos)-1 AS INT) AS pos, w.node_id, n.node_id IS NULL AS lost FROM way_node w LEFT JOIN (SELECT * FROM osm_node WHERE node_id%10<>0) n ON n.node_id=w.node_id"))
+def member_expand_lenient(m):
+    return osm.way_members_or_null(ways(m), m.osm_node.where("node_id % 10 <> 0")).select("way_id", "pos", "node_id", F.col("lat").isNull().alias("lost"))
+
+
+@query(sql("SELECT role, CAST(3*count(*) AS BIGINT) AS n FROM role GROUP BY role", ROLE_SQL))
+def role_merge_all(m):
+    roles = osm.with_roles(entities(m))
+    merged, _ = osm.merge_all([(roles, osm.ROLES)] * 3)
+    return merged.groupBy("role").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- files ---
+
+
+def written_map(m: Map, packing: str = "zlib") -> str:
+    """A map file of the demonstration map's nodes and ways, and of its areas as relations of two ways; small, so the driver writes it."""
+    path = f"{checkpoint_path(m)}/map-{uuid.uuid4().hex}.pbf"
+    nodes = [(r.node_id, r.lat, r.lon, {"ref": str(r.r)} if r.c == 0 else {}) for r in m.osm_node.orderBy("node_id").collect()]
+    lines = [(r.way_id, list(r.nodes), dict(r.tags)) for r in ways(m).orderBy("way_id").collect()]
+    relations = []
+    for r in m.boundary.orderBy("area_id").collect():
+        at = [(CORNER + 4 * r.area_id + k, a, o, {}) for k, (a, o) in enumerate(((r.lat0, r.lon0), (r.lat0, r.lon1), (r.lat1, r.lon1), (r.lat1, r.lon0)))]
+        nodes += at
+        ids = [n[0] for n in at]
+        lines += [(CORNER + 2 * r.area_id, ids[:3], {}), (CORNER + 2 * r.area_id + 1, [ids[0], ids[3], ids[2]], {})]
+        level = {"boundary": "administrative", "admin_level": "8" if r.area_id % 2 else "6"}
+        relations.append((r.area_id, [(CORNER + 2 * r.area_id + k, "way", "outer") for k in range(2)], level))
+    osm_pbf.write(path, nodes, lines, relations, packing=packing)
+    return path
+
+
+CORNER = 50_000_000
+
+
+def checkpoint_path(m: Map) -> str:
+    checkpoint_folder(m.spark)
+    return m.spark.sparkContext.getCheckpointDir()
+
+
+@query(sql("SELECT 'node' AS type, node_id AS id, round(lat,7) AS lat, round(lon,7) AS lon, CASE WHEN c=0 THEN CAST(r AS VARCHAR) END AS tag, CAST(0 AS INT) AS n_refs FROM osm_node"
+    " UNION ALL SELECT 'way', way_id, NULL, NULL, 'residential', CAST(count(*) AS INT) FROM way_node GROUP BY way_id UNION ALL SELECT 'relation', area_id, NULL, NULL, CASE WHEN area_id%2=1 THEN '8' ELSE '6' END, 2 FROM boundary"))
+def pbf_scan(m):
+    """The map from a map file, decoded once into tables by type."""
+    nodes, lines, relations = osm_pbf.read_once(m.spark, written_map(m, "zstd"))
+    none = F.lit(None).cast("double")
+    parts = [
+        nodes.select(F.lit("node").alias("type"), F.col("node_id").alias("id"), F.round("lat", 7).alias("lat"), F.round("lon", 7).alias("lon"), F.col("tags")["ref"].alias("tag"), F.lit(0).alias("n_refs")),
+        lines.select(F.lit("way").alias("type"), F.col("way_id").alias("id"), none.alias("lat"), none.alias("lon"), F.col("tags")["highway"].alias("tag"), F.size("nodes").alias("n_refs")),
+        relations.select(F.lit("relation").alias("type"), F.col("rel_id").alias("id"), none.alias("lat"), none.alias("lon"), F.col("tags")["admin_level"].alias("tag"), F.size("members").alias("n_refs")),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).where(f"id < {CORNER}")
+
+
+AREA_OF_BOX = "round(abs(radians(lon1-lon0)*(sin(radians(lat1))-sin(radians(lat0))))*40680631590769e0,-1)"
+
+
+@query(sql(f"SELECT area_id, 5 AS n_points, {AREA_OF_BOX} AS area_m2 FROM (SELECT area_id, round(lat0,7) AS lat0, round(lat1,7) AS lat1, round(lon0,7) AS lon0, round(lon1,7) AS lon1 FROM boundary) WHERE area_id%2=1"))
+def boundary_rings(m):
+    """Rings of one administrative level, from a map file."""
+    nodes, lines, relations = osm_pbf.read_once(m.spark, written_map(m))
+    found = region.boundary_rings(relations, lines, nodes, 8)
+    return found.select("area_id", F.size("ring").alias("n_points"), F.round(geo.ring_area_m2("ring"), -1).alias("area_m2"))
+
+
+@query(sql("SELECT 'L'||p_partkey AS id, CAST(row_number() OVER (ORDER BY p_partkey) AS INT) AS file_order, CASE p_partkey%3 WHEN 0 THEN 0.4e0 WHEN 1 THEN 10e0 ELSE 110e0 END AS v_rated FROM part WHERE p_partkey<=500"))
+def asset_scan(m):
+    """Line types from files, in the files' order."""
+    place = f"{checkpoint_path(m)}/types-{uuid.uuid4().hex}"
+    rows = [(k, 0.4 if k % 3 == 0 else 10.0 if k % 3 == 1 else 110.0) for (k,) in m.base("part").where("p_partkey <= 500").select(F.col("p_partkey").cast("long")).orderBy("p_partkey").collect()]
+    lines = ["uuid,b,g,i_max,id,r,v_rated,x", *(f"u{k},0,0,235,L{k},0.3,{v},0.1" for k, v in rows)]
+    transformer = ["uuid,b_m,d_phi,d_v,g_m,id,r_sc,s_rated,tap_max,tap_min,tap_neutr,tap_side,v_rated_a,v_rated_b,x_sc", "t1,0,0,0.5,0,20/0.4,10,630,10,-10,0,false,20,0.4,23"]
+    for name, text in (("line_type_input", lines), ("transformer_2_w_type_input", transformer)):
+        fs, path = osm_pbf.file_system(f"{place}/{name}.csv")
+        fs.create_dir(path.rsplit("/", 1)[0])
+        with fs.open_output_stream(path) as f:
+            f.write(chr(10).join([*text, ""]).encode())
+    return assets.read_types(m.spark, place)["line_type_input"].select("id", "file_order", "v_rated")
 
 
 # --- streets ---
@@ -404,7 +490,14 @@ def edge_crossings(m):
     return graph.edge_crossings(seg, 2e-3)
 
 
-@query()
+PATH_SQL = (
+    "hop AS (SELECT a_id AS a, b_id AS b, dist_m AS d FROM made UNION ALL SELECT b_id, a_id, dist_m FROM made),"
+    "path(a, b, d) USING KEY (a, b) AS (SELECT a, b, min(d) FROM hop GROUP BY 1,2 UNION"
+    " SELECT p.a, h.b, min(p.d+h.d) FROM path p JOIN hop h ON h.a=p.b LEFT JOIN recurring.path r ON r.a=p.a AND r.b=h.b WHERE h.b<>p.a AND (r.d IS NULL OR p.d+h.d<r.d-1e-7) GROUP BY 1,2)"
+)
+
+
+@query(sql("SELECT CAST(floor(a/350) AS BIGINT) AS grid_id, a AS a_id, b AS b_id, round(d,3) AS dist_m FROM path", EDGE_SQL, DEGREE_SQL, CHAIN_SQL, PATH_SQL, recursive=True))
 def shortest_paths(m):
     own = edges(m)
     small = banded(graph.contract(own, kept(m, own)))
@@ -502,7 +595,7 @@ def central_node(m):
     return route.central_node(cells(m).withColumnRenamed("cell_id", "grid_id")).select("grid_id", "node_id")
 
 
-@query()
+@query(sql(f"SELECT area_id AS rel_id, CAST(0 AS INT) AS ring_no, 5 AS n_points, {AREA_OF_BOX} AS area_m2 FROM boundary"))
 def ring_assembly(m):
     """Each rectangle's border as four ways, every other one turned."""
     corner = F.array(*[F.struct((F.col("area_id") * 4 + k).alias("node_id"), F.col(a).alias("lat"), F.col(o).alias("lon")) for k, (a, o) in enumerate((("lat0", "lon0"), ("lat0", "lon1"), ("lat1", "lon1"), ("lat1", "lon0")))])
@@ -510,31 +603,31 @@ def ring_assembly(m):
     two = F.array(F.get("c", F.col("member_pos")), F.get("c", (F.col("member_pos") + 1) % 4))
     turned = F.when((F.col("rel_id") + F.col("member_pos")) % 2 == 0, two).otherwise(F.reverse(two))
     points = sides.select("rel_id", "member_pos", F.posexplode(turned).alias("pos", "p")).select("rel_id", "member_pos", "pos", "p.node_id", "p.lat", "p.lon")
-    return region.assemble_rings(points).select("rel_id", "ring_no", F.size("ring").alias("n_points"), F.round(geo.ring_area_m2("ring"), 1).alias("area_m2"))
+    return region.assemble_rings(points).select("rel_id", "ring_no", F.size("ring").alias("n_points"), F.round(geo.ring_area_m2("ring"), -1).alias("area_m2"))
 
 
 # --- elements ---
 
 
-@query(sql("SELECT md5('node|'||grid_id||'|'||node_id)[1:8] AS head, grid_id, node_id, CASE WHEN is_substation THEN 'substation' WHEN n_buildings>0 THEN 'building' ELSE 'crossing' END AS kind FROM vertex WHERE is_substation OR n_buildings>0 OR degree>2", EDGE_SQL, DEGREE_SQL, VERTEX_SQL))
+@query(sql("SELECT md5('node|'||grid_id||'|'||node_id)[1:8] AS head, CASE WHEN is_substation THEN 'Node ('||lon||' '||lat||')' WHEN n_buildings>0 THEN 'Building connection: '||node_id ELSE 'Highway node: '||node_id END AS id, grid_id, node_id, CASE WHEN is_substation THEN 'substation' WHEN n_buildings>0 THEN 'building' ELSE 'crossing' END AS kind FROM vertex WHERE is_substation OR n_buildings>0 OR degree>2", EDGE_SQL, DEGREE_SQL, VERTEX_SQL))
 def lv_nodes(m):
-    return grid.lv_nodes(vertices(m), 0.4).select(F.substring("uuid", 1, 8).alias("head"), "grid_id", "node_id", "kind")
+    return grid.lv_nodes(vertices(m), 0.4).select(F.substring("uuid", 1, 8).alias("head"), "id", "grid_id", "node_id", "kind")
 
 
-LV_NODE_SQL = "lv AS (SELECT grid_id, node_id FROM vertex WHERE is_substation OR n_buildings>0 OR degree>2)"
+LV_NODE_SQL = "lv AS (SELECT grid_id, node_id, lat, lon FROM vertex WHERE is_substation OR n_buildings>0 OR degree>2)"
 
 
-@query(sql("SELECT grid_id||'_'||row_number() OVER (PARTITION BY grid_id ORDER BY a_id,b_id) AS id, grid_id, a_id, b_id, round(dist_m,3) AS length_m FROM (SELECT CAST(floor(a_id/350) AS BIGINT) AS grid_id, * FROM edge WHERE a_id IN (SELECT node_id FROM lv) AND b_id IN (SELECT node_id FROM lv))", EDGE_SQL, DEGREE_SQL, VERTEX_SQL, LV_NODE_SQL))
+@query(sql("SELECT grid_id||'_'||row_number() OVER (PARTITION BY grid_id ORDER BY a_id,b_id) AS id, grid_id, a_id, b_id, round(dist_m,3) AS length_m, 'LINESTRING ('||a_lon||' '||a_lat||', '||b_lon||' '||b_lat||')' AS geometry FROM (SELECT CAST(floor(a_id/350) AS BIGINT) AS grid_id, edge.*, a.lat AS a_lat, a.lon AS a_lon, b.lat AS b_lat, b.lon AS b_lon FROM edge JOIN lv a ON a.node_id=a_id JOIN lv b ON b.node_id=b_id)", EDGE_SQL, DEGREE_SQL, VERTEX_SQL, LV_NODE_SQL))
 def lv_lines(m):
-    return grid.lines(banded(edges(m)), grid.lv_nodes(vertices(m), 0.4), "NS_2").select("id", "grid_id", "a_id", "b_id", F.round("length_m", 3).alias("length_m"))
+    return grid.lines(banded(edges(m)), grid.lv_nodes(vertices(m), 0.4), "NS_2").select("id", "grid_id", "a_id", "b_id", F.round("length_m", 3).alias("length_m"), "geometry")
 
 
-@query(sql("SELECT grid_id, node_id, 'h0' AS profile, n_buildings*2.5e0 AS s_rated_kva FROM vertex WHERE n_buildings>0", EDGE_SQL, DEGREE_SQL, VERTEX_SQL))
+@query(sql("SELECT 'Load of building: '||node_id AS id, grid_id, node_id, 'h0' AS profile, n_buildings*2.5e0 AS s_rated_kva FROM vertex WHERE n_buildings>0", EDGE_SQL, DEGREE_SQL, VERTEX_SQL))
 def lv_loads(m):
-    return grid.loads(vertices(m)).select("grid_id", "node_id", "profile", "s_rated_kva")
+    return grid.loads(vertices(m)).select("id", "grid_id", "node_id", "profile", "s_rated_kva")
 
 
-@query(sql("SELECT node_id, CAST(count(*) FILTER (WHERE NOT sub) AS BIGINT) AS n_buildings, round(sum(CASE WHEN sub THEN 0e0 ELSE kw END),2) AS power_kw, bool_or(sub) AS is_substation FROM (SELECT a_id AS node_id, building_id%13=0 AS sub, building_id%10+0.5e0 AS kw FROM snapped) GROUP BY node_id", SNAP_SQL))
+@query(sql("SELECT node_id, CAST(count(*) FILTER (WHERE NOT sub) AS BIGINT) AS n_buildings, round(sum(CASE WHEN sub THEN 0e0 ELSE kw END),2) AS power_kw, bool_or(sub) AS is_substation, min(CASE WHEN NOT sub THEN building_id END) AS building FROM (SELECT a_id AS node_id, building_id, building_id%13=0 AS sub, building_id%10+0.5e0 AS kw FROM snapped) GROUP BY node_id", SNAP_SQL))
 def vertex_loads(m):
     rows = connections(m).select(F.col("a_id").alias("node_id"), "building_id", (F.col("building_id") % 10 + 0.5).alias("power_kw"), (F.col("building_id") % 13 == 0).alias("is_substation"))
     return grid.vertex_loads(rows).withColumn("power_kw", F.round("power_kw", 2))
@@ -600,6 +693,48 @@ def mv_lines(m):
     return grid.mv_grid(routes, nodes, types)[1].select("cell_id", "id", "a_id", "b_id", F.round("length_m", 3).alias("length_m"), "type")
 
 
+@query(sql("SELECT 'T2' AS low, 'T3' AS high, 'L'||min(CAST(p_partkey AS BIGINT)) AS line FROM part"))
+def first_types(m):
+    """The first transformer types of given voltages and the first line type, in the order of their files."""
+    p = F.col("p_partkey").cast("long")
+    lines = m.base("part").select(p.alias("file_order"), F.concat(F.lit("L"), p.cast("string")).alias("id"))
+    row = (grid.first_transformer_type(transformer_types(m), 10.0, 0.4), grid.first_transformer_type(transformer_types(m), 110.0, 10.0), grid.first_line_type(lines))
+    return m.spark.createDataFrame([row], "low string, high string, line string")
+
+
+@query(sql("SELECT md5('hv|'||sub_id)[1:8] AS head, 'Node ('||lon||' '||lat||')' AS id, sub_id AS node_id, 110e0 AS v_rated_kv, 1007 AS subnet, true AS slack, 2 AS parallel, true AS auto_tap, 110e0 AS v_a_kv, 10e0 AS v_b_kv FROM substation ORDER BY sub_id LIMIT 1"))
+def dummy_hv(m):
+    """The high-voltage node above a grid's central node, with its transformers; two nodes have the lesser as centre."""
+    two = m.substation.orderBy("sub_id").limit(2).select(F.lit(1).cast("long").alias("grid_id"), F.col("sub_id").alias("node_id"), "lat", "lon")
+    hv, transformer = grid.dummy_hv_node(route.central_node(two).withColumn("subnet", F.lit(7)), 110.0, 10.0, "T3")
+    both = hv.join(transformer.select(F.col("node_a").alias("uuid"), "parallel", "auto_tap", "v_a_kv", "v_b_kv"), "uuid")
+    return both.select(F.substring("uuid", 1, 8).alias("head"), "id", "node_id", "v_rated_kv", "subnet", "slack", "parallel", "auto_tap", "v_a_kv", "v_b_kv")
+
+
+@query(sql("SELECT 'given' AS origin, sub_id AS node_id FROM substation WHERE sub_id%7=0 UNION ALL SELECT 'central', sub_id FROM substation WHERE sub_id=5 UNION ALL SELECT 'first', min(sub_id) FROM substation"))
+def transition_choice(m):
+    """Where rings begin: at nodes of given high-voltage grids, at the central node, or at the first."""
+    nodes = m.substation.select(F.col("sub_id").alias("node_id"), "lat", "lon")
+    given, central, none = nodes.where("node_id % 7 = 0"), nodes.where("node_id = 5"), nodes.where("false")
+    cases = {"given": (given, central), "central": (none, central), "first": (None, none)}
+    parts = [grid.transition_nodes(nodes, *c).select(F.lit(name).alias("origin"), "node_id") for name, c in cases.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query(sql("SELECT site_id, round(sum(dx*dx+dy*dy),6) AS spread, CAST(count(*) AS BIGINT) AS n FROM (SELECT n.node_id, s.sub_id AS site_id, n.lat-s.lat AS dx, n.lon-s.lon AS dy, row_number() OVER (PARTITION BY n.node_id ORDER BY sqrt((n.lat-s.lat)*(n.lat-s.lat)+(n.lon-s.lon)*(n.lon-s.lon)), s.sub_id) AS k FROM osm_node n JOIN site s ON true) WHERE k=1 GROUP BY 1", "site AS (SELECT * FROM substation WHERE sub_id%10=0)"))
+def voronoi_cells(m):
+    """Nodes in the cells' polygons, on a border in that of the least site: as many, and as far from the sites, as by distance."""
+    sites = m.substation.where("sub_id % 10 = 0").orderBy("sub_id")
+    polygons = route.voronoi_polygons([(r.sub_id, r.lat, r.lon) for r in sites.collect()], margin=5.0)
+    rows = [(k, [{"lat": a, "lon": o} for a, o in [*c, c[0]]]) for k, c in polygons.items()]
+    rings = m.spark.createDataFrame(rows, f"site_id long, ring {region.RING}")
+    inside = nearest.point_in_rings(m.osm_node, "node_id", rings, "site_id").join(m.osm_node.select("node_id", "lat", "lon"), "node_id")
+    at = inside.join(sites.select(F.col("sub_id").alias("site_id"), F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon")), "site_id")
+    d = (F.col("lat") - F.col("s_lat")) ** 2 + (F.col("lon") - F.col("s_lon")) ** 2
+    best = at.groupBy("node_id").agg(F.min(F.struct(F.sqrt(d), "site_id", d.alias("d"))).alias("b"))
+    return best.groupBy("b.site_id").agg(F.round(F.sum("b.d"), 6).alias("spread"), F.count(F.lit(1)).alias("n"))
+
+
 # --- numbers and joint grids ---
 
 NODE_SQL = "gn AS (SELECT CAST(c_nationkey AS BIGINT) AS grid_id, 'n'||c_custkey AS uuid, CASE WHEN c_custkey%10<7 THEN 0.4e0 WHEN c_custkey%10<9 THEN 10e0 ELSE 0.23e0 END AS v_rated_kv, CAST(1 AS INT) AS subnet, c_custkey%50=0 AS slack FROM customer)"
@@ -649,6 +784,41 @@ def grid_check(m):
     return merge.check({"nodes": own, "lines": lines})
 
 
+ALL_SQL = (
+    "lvl AS (SELECT grid_id, uuid, v_rated_kv, CASE WHEN CAST(substr(uuid,2) AS BIGINT)%3=0 THEN 'mv' WHEN CAST(substr(uuid,2) AS BIGINT)%101=1 THEN 'hv' ELSE 'lv' END AS level FROM gn WHERE v_rated_kv<>0.23e0),"
+    "pick AS (SELECT level, grid_id, v_rated_kv AS v_kv FROM (SELECT level, grid_id, v_rated_kv, row_number() OVER (PARTITION BY level, grid_id ORDER BY count(*) DESC, v_rated_kv) AS k FROM lvl GROUP BY 1,2,3) WHERE k=1),"
+    "place AS (SELECT *, row_number() OVER (PARTITION BY level ORDER BY grid_id)-1 AS i FROM pick),"
+    "begin_ AS (SELECT (SELECT count(*) FROM place WHERE level='lv')+2 AS mv, (SELECT count(*) FROM place WHERE level='lv')+(SELECT count(*) FROM place WHERE level='mv')+3 AS hv, (SELECT count(*) FROM place WHERE level='hv') AS n_hv)"
+)
+
+
+@query(sql("SELECT uuid, CAST(CASE WHEN v_rated_kv=v_kv THEN i+CASE l.level WHEN 'lv' THEN 1 WHEN 'mv' THEN mv ELSE hv END WHEN v_rated_kv>v_kv THEN CASE l.level WHEN 'lv' THEN mv WHEN 'mv' THEN hv ELSE hv+n_hv+1 END ELSE 1 END AS INT) AS subnet FROM lvl l JOIN place p ON p.level=l.level AND p.grid_id=l.grid_id CROSS JOIN begin_", NODE_SQL, ALL_SQL))
+def number_all(m):
+    """Subnets of low-, medium- and high-voltage grids in one count."""
+    c = F.substring("uuid", 2, 12).cast("long")
+    own = grid_nodes(m).where("v_rated_kv <> 0.23")
+    level = F.when(c % 3 == 0, "mv").when(c % 101 == 1, "hv").otherwise("lv")
+    of = lambda name: own.where(level == name)
+    return merge.number_all(of("lv"), of("mv"), None, of("hv")).select("uuid", "subnet")
+
+
+@query(sql("SELECT uuid, subnet, v_rated_kv, slack FROM numbered", NODE_SQL, DOMINANT_SQL, NUMBER_SQL))
+def grid_write_read(m):
+    """A grid's nodes, written as CSV and read back."""
+    kinds = "grid_id long, uuid string, v_rated_kv double, subnet int, slack boolean"
+    own = merge.assign_subnets(grid_nodes(m), 42)[0].select("grid_id", "uuid", "v_rated_kv", "subnet", "slack")
+    place = assets.output_directory(checkpoint_path(m), f"grid-{uuid.uuid4().hex}", timestamp=False)
+    paths = assets.write_grid({"nodes": own}, place, ";", hierarchic=True)
+    return assets.read_grid(m.spark, paths, {"nodes": kinds}, ";")["nodes"].select("uuid", "subnet", "v_rated_kv", "slack")
+
+
+@query(sql("SELECT grid_id, CAST(count(*) AS BIGINT) AS n FROM gn WHERE grid_id%5<>3 GROUP BY 1", NODE_SQL))
+def merged_results(m):
+    own = grid_nodes(m)
+    found = {k: own.where(F.col("grid_id") % 5 == k) for k in (0, 1, 2, 4)}
+    return merge.merge_results({0, 1, 2, 4}, found).groupBy("grid_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query()
 def lv_grids(m):
     """The whole low-voltage step over the map: how many elements of each kind a grid has."""

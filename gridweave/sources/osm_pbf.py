@@ -7,7 +7,9 @@ entity: type, id, lat, lon, nodes, members, tags, meta. ``write`` makes such fil
 from __future__ import annotations
 
 import datetime
+import lzma
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 from functools import reduce
@@ -15,6 +17,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from gridweave.operators.components import checkpoint_folder
+
 META = "struct<version:int,timestamp:timestamp,changeset:long,user_id:int,user:string>"
 SCHEMA = f"type string, id long, lat double, lon double, nodes array<long>, members array<struct<id:long,type:string,role:string>>, tags map<string,string>, meta {META}"
 #: The order of member types in the format.
@@ -28,7 +32,9 @@ class OsmReadError(ValueError):
 def file_system(uri: str):
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}")
+    if "://" not in uri:  # a path, or as Hadoop writes that of a local file
+        uri = f"file://{uri.removeprefix('file:')}"
+    return fs.FileSystem.from_uri(uri)
 
 
 def varint(raw: bytes, at: int) -> tuple[int, int]:
@@ -124,7 +130,13 @@ def unpack(raw: bytes) -> bytes:
         return fields[1][0]
     if 3 in fields:
         return zlib.decompress(fields[3][0])
-    raise OsmReadError("a blob is neither raw nor zlib")
+    if 4 in fields:
+        return lzma.decompress(fields[4][0])
+    if 7 in fields:
+        import zstandard
+
+        return zstandard.ZstdDecompressor().decompress(fields[7][0], max_output_size=fields.get(2, [0])[0])
+    raise OsmReadError("a blob is neither raw nor packed by zlib, lzma or zstd")
 
 
 def meta(version, stamp, changeset, uid, user) -> tuple:
@@ -223,7 +235,19 @@ def read(spark: SparkSession, uri: str) -> tuple[DataFrame, DataFrame, DataFrame
     except Exception as e:
         raise OsmReadError(f"Reading failed due to: {e}") from e
     spark.dataSource.register(OsmPbf)
-    rows = spark.read.format("osm_pbf").load(uri)
+    return by_type(spark.read.format("osm_pbf").load(uri))
+
+
+def read_once(spark: SparkSession, uri: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """As ``read``, but the file is decoded once, into tables by type in the shared folder: each later read takes one type's rows and the columns it needs."""
+    read(spark, uri)
+    checkpoint_folder(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/map-{uuid.uuid4().hex}"
+    spark.read.format("osm_pbf").load(uri).write.partitionBy("type").parquet(path)
+    return by_type(spark.read.schema(SCHEMA).parquet(path))
+
+
+def by_type(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     of = lambda kind, *columns: rows.where(rows.type == kind).selectExpr(*columns, "tags", "meta")
     return of("node", "id AS node_id", "lat", "lon"), of("way", "id AS way_id", "nodes"), of("relation", "id AS rel_id", "members")
 
@@ -255,11 +279,18 @@ def differences(values: list[int]) -> list[int]:
     return [zigzag(b - a) for a, b in zip([0, *values], values, strict=False)]
 
 
-def write(path: str, nodes=(), ways=(), relations=(), dense: bool = True, per_block: int = 8000) -> None:
-    """A file of nodes (id, lat, lon, tags), ways (id, node ids, tags) and relations (id, [(id, type, role)], tags)."""
+def write(path: str, nodes=(), ways=(), relations=(), dense: bool = True, per_block: int = 8000, packing: str = "zlib") -> None:
+    """A file of nodes (id, lat, lon, tags), ways (id, node ids, tags) and relations (id, [(id, type, role)], tags); blobs are raw or packed by zlib, lzma or zstd."""
+
+    def pack(raw: bytes) -> bytes:
+        if packing == "zstd":
+            import zstandard
+
+            return put(7, zstandard.ZstdCompressor().compress(raw))
+        return {"raw": lambda: put(1, raw), "zlib": lambda: put(3, zlib.compress(raw)), "lzma": lambda: put(4, lzma.compress(raw))}[packing]()
 
     def blob(kind: str, raw: bytes) -> bytes:
-        body = put(2, len(raw)) + put(3, zlib.compress(raw))
+        body = put(2, len(raw)) + pack(raw)
         head = put(1, kind.encode()) + put(3, len(body))
         return struct.pack(">I", len(head)) + head + body
 

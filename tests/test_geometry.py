@@ -78,12 +78,15 @@ def test_household_power(spark):
 
 
 def test_names(spark):
-    rows = [("substation", None, 1), ("node", "Main St", 2), ("node", "", 3), ("node", None, 4)]
-    df = spark.createDataFrame(rows, "kind string, way_name string, node_id long")
-    got = [r[0] for r in df.orderBy("node_id").select(naming.highway_node_name()).collect()]
-    assert got == ["Substation 1", "Node highway Main St: 2", "Node highway: 3", "Node 4"]
-    places = spark.createDataFrame([("", 1.5, 2.5), ("own", 1.5, 2.5)], "name string, lat double, lon double")
-    assert [r[0] for r in places.select(naming.coordinate_name("name", "lat", "lon")).collect()] == ["Node (2.5 1.5)", "own"]
+    from pyspark.sql import functions as F
+
+    rows = [("new", 1, 2), ("a", 1, 2), ("b", 1, 2)]
+    df = spark.createDataFrame(rows, "kind string, a long, b long").select(naming.highway_node_name(F.col("kind"), F.col("a"), F.col("b")).alias("x"))
+    assert [r.x for r in df.collect()] == ["Highway node between: 1 and 2", "Highway node: 1", "Highway node: 2"]
+    one = spark.range(1).select(naming.building_node_name(F.lit(7)), naming.load_name(F.lit(7)), naming.transformer_name(naming.mv_node_name(F.lit("x")), F.lit("x"))).first()
+    assert list(one) == ["Building connection: 7", "Load of building: 7", "Transformer between Mv node to lv node x and x"]
+    places = spark.createDataFrame([("", 1.5, 2.5), ("own", 1.5, 2.5), (None, 1.0, -2.0)], "name string, lat double, lon double")
+    assert [r[0] for r in places.select(naming.coordinate_name(F.col("name"), F.col("lat"), F.col("lon"))).collect()] == ["Node (2.5 1.5)", "own", "Node (-2.0 1.0)"]
     assert naming.voltages(None, 0.4) == [0.4] and naming.voltages([], 0.4) == [0.4] and naming.voltages([10.0, 20.0], 10.0) == [10.0, 20.0]
 
 

@@ -44,6 +44,17 @@ def test_pbf_round_trip(spark, tmp_path, dense):
     assert (row.rel_id, [tuple(m) for m in row.members], row.tags) == relations[0]
 
 
+@pytest.mark.parametrize("packing", ["raw", "zlib", "lzma", "zstd"])
+def test_map_is_decoded_once(spark, tmp_path, packing):
+    """Tables by type in the shared folder hold what the file holds; a read of one type takes that type's rows alone."""
+    path = str(tmp_path / "map.pbf")
+    osm_pbf.write(path, [(1, 50.0, 7.0, {"a": "b"}), (2, 50.1, 7.1, {})], [(1, [1, 2], {"highway": "x"})], [(1, [(1, "way", "outer")], {})], packing=packing)
+    for one, other in zip(osm_pbf.read(spark, path), osm_pbf.read_once(spark, path), strict=True):
+        assert one.schema == other.schema and sorted(map(str, one.collect())) == sorted(map(str, other.collect()))
+    plan = osm_pbf.read_once(spark, path)[1]._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(type" in plan and "BatchScan" not in plan
+
+
 def test_broken_maps(spark, tmp_path):
     (tmp_path / "text.pbf").write_text("this is not a map")
     (tmp_path / "none.pbf").write_bytes(b"")
@@ -118,7 +129,7 @@ def test_config_rules(tmp_path):
 # --- the whole run ---
 
 
-def village(path):
+def village(path, broken=()):
     """Two areas side by side, each with a ladder of streets, twelve houses and one substation; a landuse covers all but one house."""
     rnd = random.Random(4)
     nodes, ways, at = [], [], {}
@@ -150,9 +161,19 @@ def village(path):
         a, b = len(ways) + 1, len(ways) + 2
         ways += [(a, c[:3], {}), (b, [c[0], c[3], c[2]], {})]
         relations.append((area + 1, [(a, "way", "outer"), (b, "way", "outer")], {"boundary": "administrative", "admin_level": "8"}))
+    relations += broken
     osm_pbf.write(path, nodes, ways, relations)
 
 
+def test_broken_boundaries_are_told(spark, types, tmp_path):
+    village(str(tmp_path / "village.pbf"), [(77, [(1, "way", "outer"), (9, "way", "outer")], {"boundary": "administrative", "admin_level": "6"})])
+    cfg = good_config(
+        input={"pbf": str(tmp_path / "village.pbf"), "asset": {"directory": types}}, output={"csv": {"directory": str(tmp_path / "out")}, "mv": False, "hv": False}, lv={"average_power_density": 500.0, "min_distance": 5.0}
+    )
+    _, problems, _ = pipeline.run_and_write(spark, cfg)
+    assert [r.problem[:34] for r in problems.collect()] == ["boundary left out: relation 77: a "]
+
+
 def test_whole_run(spark, types, tmp_path):
     village(str(tmp_path / "village.pbf"))
     cfg = good_config(
@@ -174,6 +195,11 @@ def test_whole_run(spark, types, tmp_path):
     assert out["nodes"].where("lat > 51.5").count() == 0
     back = spark.read.option("header", True).csv(paths["nodes"])
     assert back.count() == out["nodes"].count() and merge.summary(out["nodes"], strict=False).count() == summary.count()
+    names = {k: {r.id.split(":")[0].split(" (")[0] for r in out[k].select("id").collect()} for k in ("nodes", "loads", "transformers")}
+    assert names["nodes"] >= {"Building connection", "Node", "Mv node to lv node Node"} and names["loads"] == {"Load of building"} and names["transformers"] >= {"Transformer between Mv node to lv node Node"}
+    houses = {r.id for r in out["loads"].select("id").collect()}
+    assert len(houses) == 24 and all(0 < int(x.split(": ")[1]) < 100 for x in houses)
+    assert out["lines"].where("geometry not rlike '^LINESTRING \\\\([-0-9.E]+ [-0-9.E]+, [-0-9.E]+ [-0-9.E]+\\\\)$'").count() == 0
     # both areas are separate grids: no low-voltage line joins them
     side = out["nodes"].where("kind <> 'mv' and kind <> 'hv'").selectExpr("uuid", "lon > 7.015 AS east")
     lines = out["lines"].where("type = 'LOW'")
