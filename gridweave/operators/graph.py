@@ -190,6 +190,14 @@ def edge_crossings(segments: DataFrame, cell_deg: float = 0.01) -> DataFrame:
     return once.where(crossing).select(F.col("l_edge_id").alias("first"), F.col("r_edge_id").alias("second"))
 
 
+def adjacency(a_ids, b_ids, metres) -> dict[int, list[tuple[int, float]]]:
+    near: dict[int, list[tuple[int, float]]] = {}
+    for a, b, m in zip(a_ids, b_ids, metres, strict=True):
+        near.setdefault(int(a), []).append((int(b), float(m)))
+        near.setdefault(int(b), []).append((int(a), float(m)))
+    return near
+
+
 def dijkstra(near: dict[int, list[tuple[int, float]]], source: int) -> dict[int, float]:
     done: dict[int, float] = {}
     heap = [(0.0, source)]
@@ -203,18 +211,24 @@ def dijkstra(near: dict[int, list[tuple[int, float]]], source: int) -> dict[int,
     return done
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame) -> DataFrame:
+#: Sources that a task searches from.
+SOURCES = 256
+
+
+def shortest_paths(edges: DataFrame, sources: DataFrame, share: int = SOURCES) -> DataFrame:
     """Shortest path lengths (grid_id, a_id, b_id, dist_m) from each source (grid_id, node_id) to all vertices of its grid (grid_id, a_id, b_id, dist_m).
 
-    A task searches for a share of a grid's sources and holds that grid's edges. A vertex that can't be reached raises GraphError.
+    A task searches from a share of a grid's sources and holds that grid's edges. A vertex that can't be
+    reached raises GraphError. What is returned is a row for each source and vertex.
     """
-    shared = sources.select("grid_id", F.col("node_id").alias("a_id"), F.lit(None).cast("long").alias("b_id"), F.lit(None).cast("double").alias("dist_m"))
+    shares = sources.groupBy("grid_id").agg(F.ceil(F.count(F.lit(1)) / share).cast("int").alias("_shares"))
+    own = sources.select("grid_id", "node_id").distinct().join(shares, "grid_id")
+    asked = own.select("grid_id", F.pmod(F.xxhash64("node_id"), F.col("_shares")).cast("int").alias("share"), F.col("node_id").alias("a_id"), F.lit(None).cast("long").alias("b_id"), F.lit(None).cast("double").alias("dist_m"))
+    spread = edges.join(shares, "grid_id").select("grid_id", F.explode(F.sequence(F.lit(0), F.col("_shares") - 1)).alias("share"), "a_id", "b_id", "dist_m")
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        near: dict[int, list[tuple[int, float]]] = {}
-        for a, b, m in pdf.loc[pdf.b_id.notna(), ["a_id", "b_id", "dist_m"]].itertuples(index=False):
-            near.setdefault(int(a), []).append((int(b), m))
-            near.setdefault(int(b), []).append((int(a), m))
+        own = pdf[pdf.b_id.notna()]
+        near = adjacency(own.a_id, own.b_id, own.dist_m)
         rows = []
         for s in sorted({int(x) for x in pdf.loc[pdf.b_id.isna(), "a_id"]}):
             found = dijkstra(near, s)
@@ -223,8 +237,7 @@ def shortest_paths(edges: DataFrame, sources: DataFrame) -> DataFrame:
             rows += [(int(pdf.grid_id.iloc[0]), s, v, d) for v, d in found.items() if v != s]
         return pd.DataFrame(rows, columns=["grid_id", "a_id", "b_id", "dist_m"])
 
-    both = edges.select("grid_id", "a_id", "b_id", "dist_m").union(shared)
-    return both.groupBy("grid_id").applyInPandas(search, "grid_id long, a_id long, b_id long, dist_m double")
+    return spread.union(asked).groupBy("grid_id", "share").applyInPandas(search, "grid_id long, a_id long, b_id long, dist_m double")
 
 
 def bypass(edges: DataFrame, common: int) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridweave.functions import geo
@@ -85,12 +85,37 @@ class Ring:
         return self.edges, open_
 
 
-def ring_routes(points: DataFrame) -> DataFrame:
-    """The ring of each cell: points (cell_id, node_id, lat, lon, is_transition) to edges (cell_id, a_id, b_id, dist_m, joined).
+#: Nodes of a ring. A cell of more has several rings, all through its transition point.
+RING_NODES = 1000
+
+
+def z_order(lat: str, lon: str, bits: int = 20) -> Column:
+    """A place's number on a curve that keeps near places together."""
+    parts = [(F.least(F.greatest((F.col(c) + shift) / width, F.lit(0.0)), F.lit(1.0)) * ((1 << bits) - 1)).cast("long") for c, shift, width in ((lat, 90, 180), (lon, 180, 360))]
+    out = F.lit(0).cast("long")
+    for k in range(bits):
+        for i, x in enumerate(parts):
+            out = out.bitwiseOR(F.shiftleft(F.shiftright(x, k).bitwiseAND(F.lit(1).cast("long")), 2 * k + i))
+    return out
+
+
+def ring_parts(points: DataFrame, most: int) -> DataFrame:
+    """points with the number of their ring: along the curve, as many equal parts as rings of ``most`` nodes need; the transition point is in each."""
+    first = points.groupBy("cell_id").agg(F.min_by("node_id", F.struct(~F.col("is_transition"), "node_id")).alias("_first"), F.ceil(F.greatest(F.count(F.lit(1)) - 1, F.lit(1)) / max(1, most - 1)).cast("int").alias("_rings"))
+    marked = points.join(first, "cell_id").withColumn("is_transition", F.col("node_id") == F.col("_first"))
+    place = Window.partitionBy("cell_id").orderBy(z_order("lat", "lon"), "node_id")
+    others = marked.where("not is_transition").withColumn("ring_no", F.floor((F.row_number().over(place) - 1) / max(1, most - 1)).cast("int"))
+    shared = marked.where("is_transition").withColumn("ring_no", F.explode(F.sequence(F.lit(0), F.col("_rings") - 1)))
+    return others.unionByName(shared).drop("_first", "_rings")
+
+
+def ring_routes(points: DataFrame, most: int = RING_NODES) -> DataFrame:
+    """The rings of each cell: points (cell_id, node_id, lat, lon, is_transition) to edges (cell_id, a_id, b_id, dist_m, joined).
 
     A cell has one transition point; with none the least node_id is it, of several the least. A cell of
     one node has no edge, of two one edge. Nodes that can't be joined without a crossing come as rows
-    without b_id. A cell has to fit one task.
+    without b_id. A cell of more than ``most`` nodes has several rings, each of nodes near each other, so
+    that a task holds one ring of bounded size.
     """
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -104,7 +129,8 @@ def ring_routes(points: DataFrame) -> DataFrame:
         out.insert(0, "cell_id", int(pdf.cell_id.iloc[0]))
         return out
 
-    return points.groupBy("cell_id").applyInPandas(solve, "cell_id long, a_id long, b_id long, dist_m double, joined boolean")
+    parts = ring_parts(points.select("cell_id", "node_id", "lat", "lon", "is_transition"), most)
+    return parts.groupBy("cell_id", "ring_no").applyInPandas(solve, "cell_id long, a_id long, b_id long, dist_m double, joined boolean")
 
 
 def hull(places: list[tuple[float, float]]) -> list[tuple[float, float]]:

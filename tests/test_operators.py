@@ -353,6 +353,58 @@ def test_pam(spark):
         cluster.pam(spark.createDataFrame([], "grid_id long, a_id long, b_id long, dist_m double"), spark.createDataFrame(nodes[:1], "grid_id long, node_id long, load_kva double, is_substation boolean"), 630.0, 1.0).collect()
 
 
+def test_network_medoids(spark):
+    """Against distances of all pairs: owners, distances, and no better place for a medoid within its cluster."""
+    for seed in range(3):
+        edges = random_edges(seed, 60, 80)
+        edges |= {(i, i + 1): 5.0 + i % 3 for i in range(59)}
+        d = np.full((60, 60), np.inf)
+        np.fill_diagonal(d, 0)
+        for (a, b), m in edges.items():
+            d[a, b] = d[b, a] = min(m, d[a, b])
+        for k in range(60):
+            d = np.minimum(d, d[:, k : k + 1] + d[k : k + 1])
+        df = frame(spark, edges).selectExpr("7L AS grid_id", "*")
+        nodes = spark.createDataFrame([(7, i, 60.0, seed == 1 and i == 11) for i in range(60)], "grid_id long, node_id long, load_kva double, is_substation boolean")
+        got = {r.node_id: r for r in cluster.network_pam(df, nodes, 630.0, 1.0).collect()}
+        chosen = sorted({r.substation_id for r in got.values()})
+        assert len(got) == 60 and len(chosen) == 6 and (seed != 1 or 11 in chosen)
+        cost = lambda c: d[:, c].min(1).sum()
+        for i, r in got.items():
+            assert r.dist_m == pytest.approx(d[i, chosen].min()) and r.dist_m == pytest.approx(d[i, r.substation_id])
+            m = r.substation_id
+            assert (seed == 1 and m == 11) or 0.99 * cost(chosen) < cost([i if c == m else c for c in chosen]) + 1e-9
+    one = cluster.network_pam(df, nodes.withColumn("load_kva", nodes.load_kva / 100), 630.0, 1.0).collect()
+    assert {r.substation_id for r in one} == {int(d.sum(1).argmin())} or d[one[0].substation_id].sum() <= d.sum(1).min() * 1.011
+    with pytest.raises(Exception, match="no path"):
+        cluster.network_pam(df.where("a_id > 2"), nodes.withColumn("load_kva", nodes.load_kva / 100), 630.0, 1.0).collect()
+
+
+def test_paths_in_shares(spark):
+    edges = random_edges(5, 30, 90)
+    df = frame(spark, edges).selectExpr("1L AS grid_id", "*")
+    sources = df.selectExpr("grid_id", "explode(array(a_id, b_id)) AS node_id").distinct()
+    one, many = (sorted(map(tuple, graph.shortest_paths(df, sources, k).collect())) for k in (1000, 4))
+    assert one == many and len(one) == sources.count() * (sources.count() - 1)
+
+
+def test_large_cells_have_several_rings(spark):
+    rnd = random.Random(8)
+    rows = [(1, i, 50 + rnd.random(), 7 + rnd.random(), i == 17) for i in range(60)] + [(2, 100 + i, 40 + rnd.random(), rnd.random(), False) for i in range(5)]
+    df = spark.createDataFrame(rows, "cell_id long, node_id long, lat double, lon double, is_transition boolean")
+    got = route.ring_routes(df, 20).collect()
+    at = {}
+    for r in got:
+        if r.joined:
+            at.setdefault(r.a_id, []).append(r.b_id)
+            at.setdefault(r.b_id, []).append(r.a_id)
+    left = {r.a_id for r in got if not r.joined}
+    assert set(at) | left == {r[1] for r in rows} and len(at[17]) == 2 * 4
+    assert all(len(x) == 2 for k, x in at.items() if k != 17)
+    whole = lambda most: sorted((r.a_id, r.b_id or 0) for r in route.ring_routes(df, most).collect())
+    assert whole(60) == whole(10**6)
+
+
 def test_medoids_reach_the_best_single_swap():
     rnd = np.random.default_rng(1)
     p = rnd.random((12, 2))
