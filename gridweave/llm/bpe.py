@@ -5,7 +5,10 @@ pair that merges to the positions where it occurs. The ranks are taken in ascend
 positions of a rank merge at once, and the pairs that arise left and right of them join the lists of
 their own ranks. The ids of words that this worker has seen are kept.
 
-Null and empty texts have no ids. Ids outside the vocabulary raise KeyError when decoded.
+Null and empty texts have no ids. Ids outside the vocabulary raise KeyError when decoded. Texts of any
+length are encoded whole; one above the batch bound comes alone. Rows stay one for one, repeated ones
+and those without doc_id too. Columns beside the text stay as they are, and one of the name of the
+result is replaced. An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -10,7 +10,9 @@ A conversation is a sequence of pieces, each of consecutive turns, so that one o
 over tasks. The loss mask of a piece lists where assistant texts begin and end in it, in bytes.
 
 Null text or role is empty. Turns are ordered by turn, role, text, nulls first; repeated rows all
-stay. Rows without conv_id form one conversation. An empty table gives no rows.
+stay. Rows without conv_id form one conversation. Texts of any length are taken whole; one above the
+batch bound is a piece of its own. Columns beside conv_id, turn, role and text are not read, whatever
+their names. An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ low bits of each value packed and the high bits in unary; a sample of every 256t
 ``select`` find a value without a table of 64-bit offsets.
 
 Null text is an empty document: the end id alone. Rows without doc_id come first. Rows that repeat a
-doc_id all stay, ordered by text. An empty table gives no rows.
+doc_id all stay, ordered by text. Texts of any length are encoded whole; one above the batch bound comes
+alone. Columns beside doc_id and text are not read, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations

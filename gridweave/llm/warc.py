@@ -8,7 +8,9 @@ binary search in the directory, the entry by binary search in the block, and rea
 Of records with equal payloads of at least ``min_bytes`` bytes the one with the smallest page_id
 holds the payload; the others are revisits. Null html is an empty payload, a null url an empty key.
 Rows that repeat a page_id with the same payload are of the same type. A row without page_id is a
-revisit where a page with an id has its payload, else a response. An empty table gives no rows.
+revisit where a page with an id has its payload, else a response. Payloads of any length are stored
+whole; one above the batch bound comes alone. Columns beside page_id, url and html are not read, whatever
+their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
