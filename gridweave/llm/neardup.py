@@ -11,8 +11,10 @@
    the keys beyond the guarantee and the shorter values bring down to 1e-6 for being no candidates. What
    leaves a bucket is a forest that connects its candidates, not their pairs.
 4. The components of these forests are groups; no candidate pair crosses them. The full sets of a
-   group's classes meet, in pairs of blocks where the group is large, and every pair in it is compared:
-   linked where 100 * intersection >= 75 * union. Again a forest leaves the task.
+   group's classes meet and are compared: linked where 100 * intersection >= 75 * union. Again a forest
+   leaves the task. A large group comes in blocks. Each is compared within itself and with the first one;
+   what that leaves unconnected is compared with the whole of its group, so no link between two
+   components is missed, and a group that hangs together costs rows in proportion to its size.
 5. The components of the links, over classes, give each document its component.
 
 A bucket of more than ``BUCKET`` classes comes in parts. Each is compared within itself; the parts of a
@@ -32,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridweave.llm.common import chunks, partitions, release, stored
@@ -303,43 +305,75 @@ def compare(sets: list[np.ndarray], side: np.ndarray, across: bool) -> np.ndarra
     return forest.label
 
 
-def links(documents: DataFrame, members: DataFrame) -> DataFrame:
-    """Forests (a, b) over the links within groups; members: rep, digest, grp, blocks."""
+def compared(documents: DataFrame, members: DataFrame) -> DataFrame:
+    """Forests (grp, a, b) over the links between blocks; members: rep, digest, grp, block, upto, own. A block meets those below ``upto``, and itself where ``own``."""
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["grp", "block", "upto", "own", "rep"]
         for batch in chunks(batches, "text", BATCH_BYTES):
             sets, at = shingle_sets([t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()])
             raw, to = sets.tobytes(), (at * 8).tolist()
             found = [raw[i:j] for i, j in zip(to, to[1:], strict=False)]
             same = pa.array([hashlib.blake2b(x, digest_size=16).digest() == d for x, d in zip(found, batch.column("digest").to_pylist(), strict=True)])
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("grp", "blocks", "rep")), pa.array(found, pa.binary())], names=["grp", "blocks", "rep", "shingles"]).filter(same)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(found, pa.binary())], names=[*names, "shingles"]).filter(same)
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, _ in runs(sliced(batches, 256), ["grp", "i", "j"]):
             grp, i, j, block, rep = (batch.column(c).to_numpy() for c in ("grp", "i", "j", "block", "rep"))
             first = np.flatnonzero(np.concatenate([[True], (grp[1:] != grp[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
             sets = [np.frombuffer(x, np.uint64) for x in batch.column("shingles").to_pylist()]
-            a, b = [], []
+            of, a, b = [], [], []
             for f, t in zip(first, np.append(first[1:], len(grp)), strict=True):
                 if t - f > 1:
                     label = compare(sets[f:t], (block[f:t] == j[f]).astype(np.int8), bool(i[f] != j[f]))
                     moved = np.flatnonzero(label != np.arange(t - f))
+                    of.append(grp[f + moved])
                     a.append(rep[f + moved])
                     b.append(rep[f + label[moved]])
             if a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (of, a, b)], names=["grp", "a", "b"])
         release()
 
     # by shuffle at any size: members grow with the documents, so no broadcast of them is bounded
-    texts = documents.select(F.col("doc_id").alias("rep"), "text").join(members.hint("merge"), "rep").select("grp", "blocks", "rep", "digest", "text")
-    sets = texts.mapInArrow(sets_of, "grp long, blocks int, rep long, shingles binary")
-    block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    blocked = sets.withColumn("block", block).select(
-        "grp", "block", "rep", "shingles", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    )  # a row for each block that its own is compared with: itself, and all others
-    paired = blocked.select("grp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "shingles")
+    texts = documents.select(F.col("doc_id").alias("rep"), "text").join(members.hint("merge"), "rep").select("grp", "block", "upto", "own", "rep", "digest", "text")
+    sets = texts.mapInArrow(sets_of, "grp long, block int, upto int, own boolean, rep long, shingles binary")
+    below = F.sequence(F.lit(0), F.col("upto") - 1)
+    others = F.when(F.col("own") & (F.col("block") >= F.col("upto")), F.concat(below, F.array("block"))).otherwise(below)
+    paired = sets.select("grp", "block", "rep", "shingles", F.explode(others).alias("other"))
+    paired = paired.select("grp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "shingles")
     spread = paired.repartition(partitions(documents.sparkSession), "grp", "i", "j").sortWithinPartitions("grp", "i", "j", "rep")
-    return spread.mapInArrow(step, "a long, b long")
+    return spread.mapInArrow(step, "grp long, a long, b long")
+
+
+def block_count(rows: Column, shingles: Column) -> Column:
+    return F.greatest(F.ceil(rows / BLOCK_ROWS), F.ceil(shingles * 8 / BLOCK_BYTES)).cast("int")
+
+
+def links(documents: DataFrame, members: DataFrame) -> DataFrame:
+    """Forests (a, b) that connect all that links within groups connect; members: rep, digest, n_shingles, grp."""
+    share = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
+    # tables of large groups alone, so that adaptive execution can split a hot group in these joins
+    large = stored(members.groupBy("grp").agg(block_count(F.count(F.lit(1)), F.sum("n_shingles")).alias("blocks")).where("blocks > 1"), "large-groups")
+    block = F.coalesce(share(F.col("blocks")), F.lit(0))
+    begun = members.join(large, "grp", "left").select("rep", "digest", "grp", block.alias("block"), "blocks")
+    upto = F.when(F.col("block") == 0, F.coalesce("blocks", F.lit(1))).otherwise(1).cast("int")
+    first = stored(compared(documents, begun.select("rep", "digest", "grp", "block", upto.alias("upto"), F.lit(True).alias("own"))), "links")
+    if large.isEmpty():
+        return first.select("a", "b")
+
+    label = components(first.join(large, "grp", "left_semi").select("a", "b"))
+    named = members.join(large, "grp", "left_semi").join(label, F.col("rep") == F.col("node"), "left").withColumn("component", F.coalesce("component", "rep"))
+    parts = named.groupBy("grp", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("s"))
+    main = parts.groupBy("grp").agg(F.max(F.struct("n", "component", "s")).alias("main"), F.count(F.lit(1)).alias("parts"), F.sum("n").alias("n"), F.sum("s").alias("s")).where("parts > 1")
+    rest, most = block_count(F.col("n") - F.col("main.n"), F.col("s") - F.col("main.s")), block_count(F.col("main.n"), F.col("main.s"))
+    unfinished = stored(main.select("grp", F.col("main.component").alias("main"), rest.alias("rest"), most.alias("most")), "unfinished-groups")
+    # the largest component's blocks come after the others and don't meet each other
+    own = named.select("rep", "digest", "grp", "component").join(unfinished, "grp")
+    in_main = F.col("component") == F.col("main")
+    block = F.when(in_main, F.col("rest") + share(F.col("most"))).otherwise(share(F.col("rest")))
+    upto = F.when(in_main, F.col("rest")).otherwise(F.col("rest") + F.col("most"))
+    second = compared(documents, own.select("rep", "digest", "grp", block.alias("block"), upto.alias("upto"), F.lit(False).alias("own")))
+    return first.union(second).select("a", "b")
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
@@ -352,9 +386,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     groups = components(candidates(own))
     member = groups.withColumnsRenamed({"node": "rep", "component": "grp"}).join(own.drop("signature"), "rep")
     member = stored(member, "members")
-    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("n_shingles") * 8 / BLOCK_BYTES)).cast("int")
-    members = member.join(member.groupBy("grp").agg(blocks.alias("blocks")), "grp").select("rep", "digest", "grp", "blocks")
-    found = components(links(documents, members)).withColumnRenamed("node", "rep")
+    found = components(links(documents, member)).withColumnRenamed("node", "rep")
     placed = stored(classes.join(found, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component")), "components")
     # texts without words have no class; each looks for one under its own id, so that they don't meet in one task
     look = F.coalesce("digest", F.col("doc_id").cast("string").cast("binary"))

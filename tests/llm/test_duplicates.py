@@ -75,9 +75,10 @@ def test_near_duplicates(spark, texts):
     assert neardup.near_duplicates(df.where("false")).count() == 0
 
 
-def test_small_blocks_and_buckets_lose_nothing(spark, texts, monkeypatch):
+@pytest.mark.parametrize("rows", [2, 4])
+def test_small_blocks_and_buckets_lose_nothing(spark, texts, monkeypatch, rows):
     """Blocks of a few classes, and buckets beyond their limit."""
-    monkeypatch.setattr(neardup, "BLOCK_ROWS", 4)
+    monkeypatch.setattr(neardup, "BLOCK_ROWS", rows)
     monkeypatch.setattr(neardup, "BUCKET", 3)
     monkeypatch.setattr(neardup, "SLICE", 2)
     _, label = plain_components(texts)
@@ -85,6 +86,26 @@ def test_small_blocks_and_buckets_lose_nothing(spark, texts, monkeypatch):
     assert {r.doc_id: r.component_id for r in got} == label
 
 
+def test_a_large_group_is_compared_in_proportion(spark, monkeypatch):
+    """Near copies meet the first block and their own; only what that leaves apart meets the whole group."""
+    monkeypatch.setattr(neardup, "BLOCK_ROWS", 5)
+    base = words(300, 7)
+    copies = [(n, " ".join(edited(base, n, 1))) for n in range(80)]
+    apart = [(100 + n, " ".join(edited(base, 50 + n, 9 + n))) for n in range(12)]
+    rows = copies + apart
+    seen, plain = [], neardup.compared
+    monkeypatch.setattr(neardup, "compared", lambda documents, members: seen.append(members) or plain(documents, members))
+    members = [(i, bytearray(neardup.hashlib.blake2b(shingles.shingle_sets([t.encode()])[0].tobytes(), digest_size=16).digest()), len(plain_set(t)), 1) for i, t in rows]
+    edges = neardup.links(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(members, "rep long, digest binary, n_shingles long, grp long"))
+    found = {r.node: r.component for r in components.components(edges).collect()}
+    _, label = plain_components(rows)
+    assert {i: found.get(i, i) for i, _ in rows} == label and 3 < len(set(label.values())) < 13
+    met = lambda m: m.selectExpr("sum(upto + int(own and block >= upto))").first()[0]
+    several = -(-len(rows) // 5)
+    assert met(seen[0]) < 4 * len(rows) < several * len(rows)
+    assert len(seen) == 2 and met(seen[1]) <= several * len(rows) / 2
+
+
 def some_signatures(n, seed):
     """Groups about centres, each signature with some values drawn anew."""
     rnd = np.random.default_rng(seed)
