@@ -50,6 +50,8 @@ SKETCH = [f"sketch_{k}" for k in range(SKETCH_BITS)]
 BUCKET = 4096
 #: Rows that are taken from a batch at a time.
 SLICE = 2048
+#: Classes whose keys are made at a time; each has VALUES rows.
+KEYED_ROWS = 512
 #: Classes and bytes of sets in a block; a task compares two blocks at most.
 BLOCK_ROWS, BLOCK_BYTES = 1500, 8 << 20
 #: Texts are profiled in batches of this many bytes.
@@ -189,12 +191,12 @@ def in_buckets(classes: DataFrame) -> DataFrame:
     columns = ["a", "b", "key", "part", *SKETCH]
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                signature = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint16).reshape(-1, VALUES)
-                keys, sketch = keys_of(signature), sketch_of(signature).view(np.int64)
-                again = [np.repeat(x, keys.shape[1]) for x in (batch.column("rep").to_numpy(), *sketch.T)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys.ravel(), *again)], names=["key", "rep", *SKETCH])
+        for batch in sliced(batches, KEYED_ROWS):
+            signature = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint16).reshape(-1, VALUES)
+            keys, sketch = keys_of(signature), sketch_of(signature).view(np.int64)
+            again = [np.repeat(x, keys.shape[1]) for x in (batch.column("rep").to_numpy(), *sketch.T)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys.ravel(), *again)], names=["key", "rep", *SKETCH])
+        release()
 
     def rows(a: np.ndarray, b: np.ndarray | None, key: np.ndarray | None = None, part: int = 0, sketch: np.ndarray | None = None) -> pa.RecordBatch:
         none = pa.nulls(len(a), pa.int64())
@@ -316,6 +318,7 @@ def compared(documents: DataFrame, members: DataFrame) -> DataFrame:
             found = [raw[i:j] for i, j in zip(to, to[1:], strict=False)]
             same = pa.array([hashlib.blake2b(x, digest_size=16).digest() == d for x, d in zip(found, batch.column("digest").to_pylist(), strict=True)])
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(found, pa.binary())], names=[*names, "shingles"]).filter(same)
+        release()
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, _ in runs(sliced(batches, 256), ["grp", "i", "j"]):
