@@ -40,8 +40,8 @@ EPOCHS, BATCH, RATE = 12, 64, 0.02
 CROPPED, LEAST_CROP, MOST_CROP = 0.35, 12, 400
 
 
-def cut(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Chunks as rows of bytes, how many bytes of each row are text, and each chunk's text."""
+def places(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All bytes, where in them each chunk begins, how many bytes of it are text, and each chunk's text."""
     size = np.array([len(t) for t in texts], np.int64)
     step, overlap = STEP_BLOCKS * BLOCK, (CHUNK_BLOCKS - STEP_BLOCKS) * BLOCK
     count = np.maximum(1, -(-(size - overlap) // step))
@@ -49,10 +49,20 @@ def cut(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     start = (np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)) * step
     length = np.minimum(size[owner] - start, CHUNK_BLOCKS * BLOCK)
     flat = np.frombuffer(b"".join(texts) + bytes(ROW), np.uint8)
-    at = (np.cumsum(size) - size)[owner] + start
+    return flat, (np.cumsum(size) - size)[owner] + start, length, owner
+
+
+def rows_of(flat: np.ndarray, at: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Chunks as rows of bytes, zero beyond their length."""
     rows = flat[np.minimum(at[:, None] + np.arange(ROW), len(flat) - 1)]
     rows[np.arange(ROW) >= length[:, None]] = 0
-    return rows, length, owner
+    return rows
+
+
+def cut(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Chunks as rows of bytes, how many bytes of each row are text, and each chunk's text."""
+    flat, at, length, owner = places(texts)
+    return rows_of(flat, at, length), length, owner
 
 
 def recurrence(rows: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -101,8 +111,9 @@ class Network:
     def score(self, texts: list[bytes], batch: int = 128) -> np.ndarray:
         if not texts:
             return np.zeros(0)
-        rows, length, owner = cut(texts)
-        pooled = np.concatenate([np.maximum(self.respond(rows[i : i + batch], length[i : i + batch])[1].max(1), 0) for i in range(0, len(rows), batch)])
+        flat, at, length, owner = places(texts)
+        each = (slice(i, i + batch) for i in range(0, len(at), batch))  # so that a long text's chunks aren't all rows at once
+        pooled = np.concatenate([np.maximum(self.respond(rows_of(flat, at[k], length[k]), length[k])[1].max(1), 0) for k in each])
         logit = self.combine(pooled.astype(np.float64), owner) @ self.p["outputs"].astype(np.float64) + float(self.p["bias"][0])
         return np.round(1 / (1 + np.exp(-np.clip(logit, -30, 30))), 6)
 

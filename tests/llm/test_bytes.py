@@ -8,6 +8,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from gridweave.llm import chat, ogg, pii, quality, urls, warc
@@ -353,6 +354,14 @@ def test_pii_table(spark):
     assert pii.apply(df.where("false")).count() == 0
 
 
+def test_quality_scores_do_not_depend_on_the_batch():
+    net = quality.Network()
+    net.p["outputs"] = np.random.default_rng(3).normal(size=2 * quality.FILTERS).astype(np.float32)
+    texts = [np.random.default_rng(n).bytes(n) for n in (0, 1, 5, 2047, 2048, 2049, 5000, 300_000)]
+    alone = np.concatenate([net.score([t], batch=7) for t in texts])
+    assert np.allclose(net.score(texts), alone, atol=2e-6) and len(set(alone)) > 4
+
+
 def test_quality(spark):
     rnd = random.Random(3)
     word = lambda: "".join(rnd.choice(["th", "er", "on", "an", "in", "ed"]) for _ in range(rnd.randint(1, 4)))
