@@ -9,6 +9,8 @@ from __future__ import annotations
 import numpy as np
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+#: Bytes that are hashed at a time, or one word where it is longer.
+PIECE = 1 << 20
 SPACES = np.isin(np.arange(256), [32, *range(9, 14)])
 _random = np.random.default_rng(20_240_229)
 BYTE_VALUE = _random.integers(1, 1 << 63, 256, np.uint64)
@@ -24,7 +26,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Powers:
-    """Powers of the factor and of its inverse, as many as the longest batch so far needs."""
+    """Powers of the factor and of its inverse, as many as the longest piece so far needs."""
 
     def __init__(self):
         self.up = self.down = np.ones(1, np.uint64)
@@ -41,14 +43,28 @@ powers = Powers()
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The hashes of all words in order, and where each text's begin; the last entry is their number."""
     raw = np.frombuffer((b" ".join(texts) + b" ").translate(LOWER), np.uint8)
-    space = SPACES[raw]
-    edge = np.diff(np.concatenate([[True], space]).astype(np.int8))
+    hashes, starts, at = [], [], 0
+    while at < len(raw):
+        # a piece ends with a space, so that no word is cut
+        to = min(at + PIECE, len(raw)) - 1
+        while not SPACES[raw[to : to + PIECE]].any():
+            to += PIECE
+        to += int(SPACES[raw[to : to + PIECE]].argmax()) + 1
+        found, start = piece_hashes(raw[at:to])
+        hashes.append(found)
+        starts.append(start + at)
+        at = to
+    begin = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    return np.concatenate(hashes), np.searchsorted(np.concatenate(starts), begin)
+
+
+def piece_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the words in these bytes, which end with a space, and where each word begins."""
+    edge = np.diff(np.concatenate([[True], SPACES[raw]]).astype(np.int8))
     start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     up, down = powers.get(len(raw))
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(BYTE_VALUE[raw] * up)])
-    hashes = mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
-    begin = np.cumsum([0, *(len(t) + 1 for t in texts)])
-    return hashes, np.searchsorted(start, begin)
+    return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64)), start
 
 
 def combine(hashes: np.ndarray, start: np.ndarray, n: int) -> np.ndarray:

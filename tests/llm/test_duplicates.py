@@ -177,6 +177,17 @@ def test_shingle_sets_do_not_depend_on_the_batch(texts):
         assert len(alone) == len(plain_set(texts[i][1]))
 
 
+@pytest.mark.parametrize("piece", [1, 7, 64])
+def test_word_hashes_do_not_depend_on_the_pieces(monkeypatch, piece):
+    rnd = random.Random(5)
+    texts = [bytes(rnd.choice(b"aZ \t\n\xc3\xa4") for _ in range(rnd.randrange(300))) for _ in range(40)] + [b"", b" ", b"x" * 500]
+    whole = shingles.word_hashes(texts)
+    monkeypatch.setattr(shingles, "PIECE", piece)
+    cut = shingles.word_hashes(texts)
+    assert all(np.array_equal(a, b) for a, b in zip(whole, cut, strict=True))
+    assert len(whole[0]) == sum(len(re.findall(rb"[^\x20\x09-\x0D]+", t)) for t in texts)
+
+
 def test_components(spark):
     rnd = random.Random(1)
     edges = [(i, i + 1) for i in range(200)] + [(1000 + rnd.randrange(300), 1000 + rnd.randrange(300)) for _ in range(250)] + [(5000, 5000 + i) for i in range(1, 400)] + [(9, 9)]
