@@ -266,7 +266,7 @@ def across_parts(overfull: DataFrame, edges: DataFrame) -> DataFrame:
 
 def candidates(classes: DataFrame) -> DataFrame:
     """Forests (a, b) that connect all candidates among the classes (rep, signature)."""
-    found = stored(in_buckets(classes), "candidates")
+    found = stored(in_buckets(classes).distinct(), "candidates")  # a pair shares many keys; what is left of it lies in few files
     edges, overfull = found.where("part is null").select("a", "b"), found.where("part is not null").drop("b")
     return edges if overfull.isEmpty() else edges.union(across_parts(overfull, edges))
 
@@ -360,7 +360,7 @@ def links(documents: DataFrame, members: DataFrame) -> DataFrame:
     block = F.coalesce(share(F.col("blocks")), F.lit(0))
     begun = members.join(large, "grp", "left").select("rep", "digest", "grp", block.alias("block"), "blocks")
     upto = F.when(F.col("block") == 0, F.coalesce("blocks", F.lit(1))).otherwise(1).cast("int")
-    first = stored(compared(documents, begun.select("rep", "digest", "grp", "block", upto.alias("upto"), F.lit(True).alias("own"))), "links")
+    first = stored(compared(documents, begun.select("rep", "digest", "grp", "block", upto.alias("upto"), F.lit(True).alias("own"))).distinct(), "links")
     if large.isEmpty():
         return first.select("a", "b")
 
