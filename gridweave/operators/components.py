@@ -7,34 +7,15 @@ minima per node are gathered, so a node with any number of edges is summed befor
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, Observation, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-
-def checkpoint_folder(spark: SparkSession) -> None:
-    """Checkpoints go to spark.checkpoint.dir; where it is unset and all runs on one machine, as in tests, to a temporary folder. On a cluster that raises RuntimeError."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="gridweave-"))
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df, written as parquet below the checkpoint folder and read again: later reads take the columns and rows that they need."""
-    spark = df.sparkSession
-    checkpoint_folder(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from gridweave.storage import shared_dir
 
 
 def indexed(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """df with its place in the order, from 0. Ranges are sorted by themselves; only their sizes go to the driver, so no task holds all rows."""
-    checkpoint_folder(df.sparkSession)
+    shared_dir(df.sparkSession)
     placed = df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()).checkpoint()
     before, at = [], 0
     for r in placed.groupBy("_range").count().orderBy("_range").collect():
@@ -47,7 +28,7 @@ def indexed(df: DataFrame, order: list[str], name: str) -> DataFrame:
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """edges (a, b) of long ids to (node, component), component being the least node that a node reaches. Nodes without edges are absent."""
-    checkpoint_folder(edges.sparkSession)
+    shared_dir(edges.sparkSession)
     current = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().checkpoint()
     before = None
     for _ in range(most_rounds):

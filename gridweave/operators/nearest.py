@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridweave.functions import geo
-from gridweave.operators.components import checkpoint_folder
+from gridweave.storage import shared_dir
 
 METRES_PER_DEGREE = 111_319.0
 
@@ -44,7 +44,7 @@ def nearest(points: DataFrame, key: str, things: DataFrame, thing_lats: list[str
     measured: takes the joined rows and adds dist_m (rounded to 1e-6 m) and what else is wanted. A point
     has no row only if there is no thing at all with its ``by`` columns.
     """
-    checkpoint_folder(points.sparkSession)
+    shared_dir(points.sparkSession)
     left, found = points, []
     best = Window.partitionBy(key).orderBy(F.asc_nulls_last("dist_m"), *order)
     for cell_deg in sizes(size):

@@ -11,7 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridweave.operators.components import checkpoint_folder
+from gridweave.storage import shared_dir
+
 
 #: A filter: tag keys with the values allowed; an empty list allows any.
 Filter = dict[str, list[str]]
@@ -90,7 +91,7 @@ def relation_members(relations: DataFrame, ways: DataFrame, nodes: DataFrame) ->
     Each round doubles the depth that is reached, until nothing is added, so a relation that contains
     itself ends the search too; members that aren't there or of unknown type are left out.
     """
-    checkpoint_folder(relations.sparkSession)
+    shared_dir(relations.sparkSession)
     direct = relations.select("rel_id", F.explode("members").alias("m")).select("rel_id", F.lower("m.type").alias("type"), F.col("m.id").alias("id"))
     known = direct.where("type in ('node', 'way', 'relation')").distinct().checkpoint()
     reach = known.where("type = 'relation'").select("rel_id", "id").checkpoint()

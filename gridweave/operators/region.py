@@ -6,8 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridweave.operators.components import checkpoint_folder
 from gridweave.operators.nearest import point_in_rings
+from gridweave.storage import shared_dir
 
 #: The administrative levels of a boundary.
 ADMIN_LEVELS = [2, 4, 5, 6, 7, 8, 9, 10, 11, 12]
@@ -125,7 +125,7 @@ def partition(points: DataFrame, areas_of_level, starting: int, lowest: int, siz
     """
     if starting not in ADMIN_LEVELS or lowest not in ADMIN_LEVELS or starting > lowest:
         raise ValueError(f"levels {starting} to {lowest} are not levels in ascending order")
-    checkpoint_folder(points.sparkSession)
+    shared_dir(points.sparkSession)
     placed = points.select("role", "id").distinct().withColumn("region", F.array().cast("array<long>")).checkpoint()
     level: int | None = starting
     while level is not None and level <= lowest:

@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from gridweave.functions import geo, naming
 from gridweave.operators import cluster, graph, grid, merge, nearest, osm, region, route
-from gridweave.operators.components import checkpoint_folder
 from gridweave.plans.demo import TAGS, Map, haversine, sql
 from gridweave.sources import assets, osm_pbf
+from gridweave.storage import shared_dir
 
 FOUND: dict[str, tuple] = {}
 DENSITY, FACTOR, RATED_KVA, MIN_DISTANCE = 500.0, 0.2, 630.0, 10.0
@@ -217,8 +217,7 @@ CORNER = 50_000_000
 
 
 def checkpoint_path(m: Map) -> str:
-    checkpoint_folder(m.spark)
-    return m.spark.sparkContext.getCheckpointDir()
+    return shared_dir(m.spark)
 
 
 @query(sql("SELECT 'node' AS type, node_id AS id, round(lat,7) AS lat, round(lon,7) AS lon, CASE WHEN c=0 THEN CAST(r AS VARCHAR) END AS tag, CAST(0 AS INT) AS n_refs FROM osm_node"

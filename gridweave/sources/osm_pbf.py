@@ -9,7 +9,6 @@ from __future__ import annotations
 import datetime
 import lzma
 import struct
-import uuid
 import zlib
 from collections.abc import Iterator
 from functools import reduce
@@ -17,7 +16,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from gridweave.operators.components import checkpoint_folder
+from gridweave.storage import work_path
+
 
 META = "struct<version:int,timestamp:timestamp,changeset:long,user_id:int,user:string>"
 SCHEMA = f"type string, id long, lat double, lon double, nodes array<long>, members array<struct<id:long,type:string,role:string>>, tags map<string,string>, meta {META}"
@@ -241,8 +241,7 @@ def read(spark: SparkSession, uri: str) -> tuple[DataFrame, DataFrame, DataFrame
 def read_once(spark: SparkSession, uri: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """As ``read``, but the file is decoded once, into tables by type in the shared folder: each later read takes one type's rows and the columns it needs."""
     read(spark, uri)
-    checkpoint_folder(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/map-{uuid.uuid4().hex}"
+    path = work_path(spark, "map")
     spark.read.format("osm_pbf").load(uri).write.partitionBy("type").parquet(path)
     return by_type(spark.read.schema(SCHEMA).parquet(path))
 
