@@ -5,14 +5,14 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from gridweave.storage import shared_dir, stored, work_path  # noqa: F401  the operators take them from here
+
 #: Bytes of text that one Python step holds at a time; a longer text comes alone.
 CHUNK_BYTES = 4 << 20
 
@@ -31,34 +31,6 @@ def bounded(spark: SparkSession) -> None:
     spark.conf.set(ARROW_BYTES, str(CHUNK_BYTES))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset and all runs on one machine, as in tests, a new temporary one. On a cluster that raises RuntimeError."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="gridweave-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    if "://" not in found:
-        found = f"file://{found}"
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def work_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder and read again: later steps neither repeat its work nor lose it with an executor."""
-    spark = df.sparkSession
-    path = work_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def fresh(df: DataFrame, name: str) -> str:
     """The name, with strokes before it where df has a column of that name, in capitals or not."""
     taken = {c.lower() for c in df.columns}
