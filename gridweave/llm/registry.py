@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridweave.llm import bpe, chat, decontam, neardup, ogg, pii, quality, tokenfile, urls, warc
+from gridweave.llm import bpe, chat, decontam, neardup, ogg, pii, quality, stamps, tokenfile, urls, warc
 from gridweave.llm.common import read
 
 
@@ -46,8 +46,12 @@ def op10_warc(spark, sf_dir):
     return warc.write_and_read(read(spark, sf_dir, "pages"))
 
 
+def op12_stamps(spark, sf_dir):
+    return stamps.normalise(read(spark, sf_dir, "stamps"))
+
+
 def queries() -> dict:
-    every = (op1_decontamination, op2_near_duplicates, op3_bpe, op4_chat, op5_quality, op6_urls, op7_ogg, op8_pii, op9_token_files, op10_warc)
+    every = (op1_decontamination, op2_near_duplicates, op3_bpe, op4_chat, op5_quality, op6_urls, op7_ogg, op8_pii, op9_token_files, op10_warc, op12_stamps)
     return {f.__name__: f for f in every}
 
 
@@ -95,8 +99,37 @@ SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns, sha256(string_agg(role || c
   sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256, CAST(sum(n) AS BIGINT) AS formatted_chars
 FROM size GROUP BY conv_id
 """
+OP12_SQL = r"""
+WITH text AS (SELECT stamp_id, source, zone, regexp_replace(raw, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS t FROM stamps),
+part AS (
+  SELECT *, regexp_extract(t, '^(?:(20\d\d)-(\d\d)-(\d\d)|(20\d\d)(\d\d)(\d\d)|(\d\d)[.](\d\d)[.](20\d\d)|(\d\d) (Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec) (20\d\d)|(\d\d)/(\d\d)/(20\d\d))(?:[T ](\d\d):(\d\d)(?::(\d\d))?(?: ?([AP]M))?(?: ?(Z|[+-]\d\d:?\d\d))?)?$',
+    ['y1', 'm1', 'd1', 'y2', 'm2', 'd2', 'd3', 'm3', 'y3', 'd4', 'b4', 'y4', 's1', 's2', 'y5', 'h', 'mi', 'se', 'half', 'off']) AS p FROM text),
+field AS (
+  SELECT stamp_id, source, zone, t, p.off AS off, nullif(p.y1 || p.y2 || p.y3 || p.y4 || p.y5, '') AS y, p.s1 AS s1, p.s2 AS s2,
+    CASE WHEN p.b4 <> '' THEN lpad(CAST((position(p.b4 IN 'JanFebMarAprMayJunJulAugSepOctNovDec') + 2) // 3 AS VARCHAR), 2, '0') ELSE p.m1 || p.m2 || p.m3 END AS m, p.d1 || p.d2 || p.d3 || p.d4 AS d,
+    CASE WHEN p.h = '' THEN 0 WHEN try_cast(p.mi AS INT) > 59 OR try_cast(coalesce(nullif(p.se, ''), '0') AS INT) > 59 THEN NULL
+      WHEN p.half = '' AND try_cast(p.h AS INT) <= 23 THEN try_cast(p.h AS INT) WHEN p.half <> '' AND try_cast(p.h AS INT) BETWEEN 1 AND 12 THEN try_cast(p.h AS INT) % 12 + CASE p.half WHEN 'PM' THEN 12 ELSE 0 END END * 3600
+      + try_cast(coalesce(nullif(p.mi, ''), '0') AS INT) * 60 + try_cast(coalesce(nullif(p.se, ''), '0') AS INT) AS clock,
+    CASE WHEN p.off IN ('', 'Z') THEN 0 WHEN try_cast(p.off[2:3] AS INT) <= 14 AND try_cast(p.off[-2:] AS INT) <= 59 THEN (try_cast(p.off[2:3] AS INT) * 60 + try_cast(p.off[-2:] AS INT)) * CASE p.off[1] WHEN '-' THEN -60 ELSE 60 END END AS shift FROM part),
+wall AS (
+  SELECT *, CASE WHEN clock IS NOT NULL AND shift IS NOT NULL THEN epoch(try_cast(y || '-' || m || '-' || d AS DATE)) END + clock AS sure,
+    CASE WHEN s1 <> '' AND clock IS NOT NULL AND shift IS NOT NULL THEN epoch(try_cast(y || '-' || s2 || '-' || s1 AS DATE)) END + clock AS day1,
+    CASE WHEN s1 <> '' AND clock IS NOT NULL AND shift IS NOT NULL THEN epoch(try_cast(y || '-' || s1 || '-' || s2 AS DATE)) END + clock AS month1 FROM field),
+vote AS (SELECT source, count(day1) AS dv, count(month1) AS mv FROM wall WHERE (day1 IS NULL) <> (month1 IS NULL) GROUP BY source),
+chosen AS (
+  SELECT stamp_id, zone, off, shift, CASE WHEN regexp_full_match(t, '[0-9]{10}') THEN try_cast(t AS BIGINT) * 1000000 WHEN regexp_full_match(t, '[0-9]{13}') THEN try_cast(t AS BIGINT) * 1000 END AS ep,
+    CAST(coalesce(sure, CASE WHEN day1 <> month1 AND coalesce(dv, 0) > coalesce(mv, 0) THEN day1 WHEN day1 <> month1 THEN month1 ELSE coalesce(day1, month1) END) AS BIGINT) AS w,
+    CASE WHEN day1 <> month1 AND coalesce(dv, 0) <> coalesce(mv, 0) THEN 'votes' WHEN day1 <> month1 THEN 'default' ELSE 'plain' END AS rule
+  FROM wall LEFT JOIN vote ON vote.source IS NOT DISTINCT FROM wall.source),
+a AS (SELECT *, date_diff('second', make_timestamp((w - 86400) * 1000000), timezone(zone, to_timestamp(w - 86400))) AS b, date_diff('second', make_timestamp((w + 86400) * 1000000), timezone(zone, to_timestamp(w + 86400))) AS c FROM chosen),
+fit AS (
+  SELECT *, date_diff('second', make_timestamp((w - b) * 1000000), timezone(zone, to_timestamp(w - b))) = b AS fits_b, date_diff('second', make_timestamp((w - c) * 1000000), timezone(zone, to_timestamp(w - c))) = c AS fits_c FROM a)
+SELECT stamp_id, coalesce(ep, CASE WHEN off <> '' THEN w - shift WHEN fits_c AND NOT fits_b THEN w - c ELSE w - b END * 1000000) AS utc_us,
+  CASE WHEN ep IS NOT NULL THEN 'epoch' WHEN w IS NULL THEN 'bad' ELSE rule END AS rule,
+  ep IS NULL AND w IS NOT NULL AND (rule <> 'plain' OR (off = '' AND b <> c AND fits_b = fits_c)) AS ambiguous FROM fit
+"""
 
 
 def oracle_sql() -> dict:
     """SQL slides windows over every place where op1 lays a few. The rest needs a library, a trained model or a file format: tests hold it against plain versions."""
-    return {"op1_decontamination": OP1_SQL, "op2_near_duplicates": OP2_SQL, "op4_chat": OP4_SQL}
+    return {"op1_decontamination": OP1_SQL, "op2_near_duplicates": OP2_SQL, "op4_chat": OP4_SQL, "op12_stamps": OP12_SQL}
