@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridweave.llm import bpe, chat, decontam, neardup, ogg, pii, quality, stamps, tokenfile, urls, warc
+from gridweave.llm import bpe, chat, decontam, neardup, ogg, pii, quality, repeats, stamps, tokenfile, urls, warc
 from gridweave.llm.common import read
 
 
@@ -46,12 +46,16 @@ def op10_warc(spark, sf_dir):
     return warc.write_and_read(read(spark, sf_dir, "pages"))
 
 
+def op11_repeats(spark, sf_dir):
+    return repeats.digests(read(spark, sf_dir, "documents"))
+
+
 def op12_stamps(spark, sf_dir):
     return stamps.normalise(read(spark, sf_dir, "stamps"))
 
 
 def queries() -> dict:
-    every = (op1_decontamination, op2_near_duplicates, op3_bpe, op4_chat, op5_quality, op6_urls, op7_ogg, op8_pii, op9_token_files, op10_warc, op12_stamps)
+    every = (op1_decontamination, op2_near_duplicates, op3_bpe, op4_chat, op5_quality, op6_urls, op7_ogg, op8_pii, op9_token_files, op10_warc, op11_repeats, op12_stamps)
     return {f.__name__: f for f in every}
 
 
@@ -99,6 +103,14 @@ SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns, sha256(string_agg(role || c
   sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256, CAST(sum(n) AS BIGINT) AS formatted_chars
 FROM size GROUP BY conv_id
 """
+OP11_SQL = r"""
+WITH word AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM word)),
+first_ AS (SELECT x, min(doc_id) AS source FROM win GROUP BY x),
+gone AS (SELECT win.doc_id, list_distinct(flatten(list(range(i, i + 50)))) AS g FROM win JOIN first_ ON first_.x = win.x AND source < win.doc_id GROUP BY 1),
+kept AS (SELECT word.doc_id, w, coalesce(g, []) AS g, CASE WHEN g IS NULL THEN w ELSE list_transform(list_filter(list_zip(w, range(1, len(w) + 1)), lambda p: NOT list_contains(g, p[2])), lambda p: p[1]) END AS k FROM word LEFT JOIN gone ON gone.doc_id = word.doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(g) AS BIGINT) AS n_removed, sha256(array_to_string(k, ' ')) AS kept_sha256 FROM kept
+"""
 OP12_SQL = r"""
 WITH text AS (SELECT stamp_id, source, zone, regexp_replace(raw, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS t FROM stamps),
 part AS (
@@ -132,4 +144,4 @@ SELECT stamp_id, coalesce(ep, CASE WHEN off <> '' THEN w - shift WHEN fits_c AND
 
 def oracle_sql() -> dict:
     """SQL slides windows over every place where op1 lays a few. The rest needs a library, a trained model or a file format: tests hold it against plain versions."""
-    return {"op1_decontamination": OP1_SQL, "op2_near_duplicates": OP2_SQL, "op4_chat": OP4_SQL, "op12_stamps": OP12_SQL}
+    return {"op1_decontamination": OP1_SQL, "op2_near_duplicates": OP2_SQL, "op4_chat": OP4_SQL, "op11_repeats": OP11_SQL, "op12_stamps": OP12_SQL}

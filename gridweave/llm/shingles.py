@@ -40,9 +40,10 @@ class Powers:
 powers = Powers()
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of all words in order, and where each text's begin; the last entry is their number."""
-    raw = np.frombuffer((b" ".join(texts) + b" ").translate(LOWER), np.uint8)
+def word_hashes(texts: list[bytes], fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all words in order, and where each text's begin; the last entry is their number. fold: A-Z count as small letters."""
+    together = b" ".join(texts) + b" "
+    raw = np.frombuffer(together.translate(LOWER) if fold else together, np.uint8)
     hashes, starts, at = [], [], 0
     while at < len(raw):
         # a piece ends with a space, so that no word is cut
