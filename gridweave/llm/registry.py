@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridweave.llm import bpe, chat, decontam, neardup, ogg, pii, quality, repeats, stamps, tokenfile, urls, warc
+from gridweave.llm import bpe, chat, decontam, neardup, ogg, phrases, pii, quality, repeats, stamps, tokenfile, urls, warc
 from gridweave.llm.common import read
 
 
@@ -54,8 +54,12 @@ def op12_stamps(spark, sf_dir):
     return stamps.normalise(read(spark, sf_dir, "stamps"))
 
 
+def op13_phrases(spark, sf_dir):
+    return phrases.collocations(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    every = (op1_decontamination, op2_near_duplicates, op3_bpe, op4_chat, op5_quality, op6_urls, op7_ogg, op8_pii, op9_token_files, op10_warc, op11_repeats, op12_stamps)
+    every = (op1_decontamination, op2_near_duplicates, op3_bpe, op4_chat, op5_quality, op6_urls, op7_ogg, op8_pii, op9_token_files, op10_warc, op11_repeats, op12_stamps, op13_phrases)
     return {f.__name__: f for f in every}
 
 
@@ -140,8 +144,24 @@ SELECT stamp_id, coalesce(ep, CASE WHEN off <> '' THEN w - shift WHEN fits_c AND
   CASE WHEN ep IS NOT NULL THEN 'epoch' WHEN w IS NULL THEN 'bad' ELSE rule END AS rule,
   ep IS NULL AND w IS NOT NULL AND (rule <> 'plain' OR (off = '' AND b <> c AND fits_b = fits_c)) AS ambiguous FROM fit
 """
+OP13_SQL = r"""
+WITH piece AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+word AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM piece),
+total AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM word GROUP BY lang),
+gram AS (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM word CROSS JOIN (VALUES (1), (2), (3), (4), (5)) s(m) WHERE len(w) >= m)),
+freq AS (SELECT lang, m, phrase, string_split(phrase, ' ') AS w, count(*) AS a FROM gram GROUP BY 1, 2, 3 HAVING count(*) >= 100),
+cut AS (SELECT lang, phrase, a, k, array_to_string(w[1:k], ' ') AS head, array_to_string(w[k + 1:], ' ') AS tail FROM (SELECT *, unnest(range(1, m)) AS k FROM freq WHERE m > 1)),
+score AS (
+  SELECT c.lang, c.phrase, c.a, c.k, x.a AS l, y.a AS r, t.n, CAST((CAST(1000 AS HUGEINT) * c.a * t.n) // (CAST(x.a AS HUGEINT) * y.a) AS BIGINT) AS score
+  FROM cut c JOIN total t ON t.lang = c.lang JOIN freq x ON x.lang = c.lang AND x.phrase = c.head JOIN freq y ON y.lang = c.lang AND y.phrase = c.tail),
+low AS (SELECT * FROM score QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inner_ AS (SELECT lang, a, array_to_string(w[i:i + n - 1], ' ') AS phrase FROM (SELECT *, unnest(range(1, m - n + 2)) AS i FROM (SELECT *, unnest(range(2, m)) AS n FROM freq WHERE m > 2))),
+kept AS (SELECT * FROM low WHERE NOT EXISTS (SELECT 1 FROM inner_ i WHERE i.lang = low.lang AND i.phrase = low.phrase AND 100 * i.a >= 100 * low.a))
+SELECT lang, rank, phrase, a, l, r, n, score FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept) WHERE rank <= 2000
+"""
 
 
 def oracle_sql() -> dict:
     """SQL slides windows over every place where op1 lays a few. The rest needs a library, a trained model or a file format: tests hold it against plain versions."""
-    return {"op1_decontamination": OP1_SQL, "op2_near_duplicates": OP2_SQL, "op4_chat": OP4_SQL, "op11_repeats": OP11_SQL, "op12_stamps": OP12_SQL}
+    return {"op1_decontamination": OP1_SQL, "op2_near_duplicates": OP2_SQL, "op4_chat": OP4_SQL, "op11_repeats": OP11_SQL, "op12_stamps": OP12_SQL, "op13_phrases": OP13_SQL}
