@@ -4,8 +4,9 @@ Words are runs of characters other than space and 0x09 to 0x0D, unchanged. A win
 words. Windows are the edges of a De Bruijn graph over words; its nodes are the 49 words that two
 windows share.
 
-1. Candidates. Each window's least hash among its runs of 20 words is its mark. Equal windows have equal
-   marks, so only windows whose mark occurs in several documents can repeat; the others leave the graph.
+1. Candidates. Of documents with the same words the least stays in the graph; the others are copies of it.
+   Each window's least hash among its runs of 20 words is its mark. Equal windows have equal marks, so only
+   windows whose mark occurs in several texts can repeat; the others leave the graph.
 2. Compaction. An edge that is preceded, or followed, by different words in different places ends a
    path there. Where it isn't, all occurrences go on alike, so they have the same documents. Such edges
    are found by an aggregation over all occurrences and joined back to the documents that hold them, and
@@ -93,38 +94,48 @@ def normal(text: str = "text") -> Column:
     return F.regexp_replace(F.regexp_replace(whole, rf"^{SPACE}+|{SPACE}+\z", ""), f"{SPACE}+", " ")
 
 
-def marks_of(documents: DataFrame, window: int, run: int) -> DataFrame:
-    """(doc_id, mark): the different marks of each document."""
+def marks_of(rows: DataFrame, window: int, run: int) -> DataFrame:
+    """(text_hash, mark): the different marks of each row (text_hash, words)."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks([batch], "words"):
-                keys, out, count = part.column("doc_id").to_numpy(zero_copy_only=False), [], []
+                keys, out, count = part.column("text_hash").to_numpy(zero_copy_only=False), [], []
                 for words in documents_of(part):
                     found = np.unique(windows(words, window, run)[1])
                     out.append(found)
                     count.append(len(found))
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(keys, count)), signed(np.concatenate(out))], names=["doc_id", "mark"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(keys, count)), signed(np.concatenate(out))], names=["text_hash", "mark"])
 
-    return documents.mapInArrow(step, "doc_id long, mark long")
+    return rows.select("text_hash", "words").mapInArrow(step, "text_hash long, mark long")
 
 
-def candidates(documents: DataFrame, window: int, run: int) -> DataFrame:
-    """doc_id, words, text_hash of every row, and marks: those that other documents have too, null where there are none."""
-    rows = documents.select("doc_id", normal().alias("words"))
+def candidates(documents: DataFrame, window: int, run: int, whole: bool) -> DataFrame:
+    """doc_id, text_hash, n_words, kept_sha256 (of all words), first (the least doc_id with the same words), marks and words of every row.
+
+    marks: those that other texts have too; null where there are none, and in copies of a smaller document.
+    words: null where marks is, unless ``whole``.
+    """
+    words = normal()
+    rows = documents.select("doc_id", words.alias("words"))
+    rows = rows.withColumns({"text_hash": F.xxhash64("words"), "digest": F.unhex(F.md5("words"))})
     marks = stored(marks_of(rows.where("doc_id is not null"), window, run), "marks")
-    shared = marks.groupBy("mark").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("mark")
-    held = marks.join(shared, "mark").groupBy("doc_id").agg(F.collect_set("mark").alias("marks"))
-    return rows.join(held, "doc_id", "left").withColumn("text_hash", F.xxhash64("words"))
+    shared = marks.groupBy("mark").agg(F.min("text_hash").alias("a"), F.max("text_hash").alias("b")).where("a < b").select("mark")
+    held = marks.join(shared, "mark").groupBy("text_hash").agg(F.collect_set("mark").alias("marks"))
+    known = rows.groupBy("digest", "text_hash").agg(F.min("doc_id").alias("first")).join(held, "text_hash", "left").select("digest", "first", "marks")
+    own = F.when(F.col("doc_id") == F.col("first"), F.col("marks"))
+    n = F.when(F.col("words") == "", 0).otherwise(F.length("words") - F.length(F.translate("words", " ", "")) + 1).cast("long")
+    met = rows.join(known, "digest").select("doc_id", "text_hash", n.alias("n_words"), F.sha2("words", 256).alias("kept_sha256"), "first", own.alias("marks"), "words")
+    return met if whole else met.withColumn("words", F.when(F.col("marks").isNotNull(), F.col("words")))
 
 
 def graph(rows: DataFrame, window: int, run: int) -> DataFrame:
-    """(doc_id, edge, before, after): the different candidate windows of each document, with the words beside them; 0 where there is none."""
+    """(text_hash, edge, before, after): the different candidate windows of each document, with the words beside them; 0 where there is none."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks([batch], "words"):
-                keys, out, count = part.column("doc_id").to_numpy(zero_copy_only=False), [], []
+                keys, out, count = part.column("text_hash").to_numpy(zero_copy_only=False), [], []
                 for words, shared in zip(documents_of(part), part.column("marks").to_pylist(), strict=True):
                     hashes, marks = windows(words, window, run)
                     at = np.flatnonzero(np.isin(marks, unsigned(shared)))
@@ -133,16 +144,16 @@ def graph(rows: DataFrame, window: int, run: int) -> DataFrame:
                     out.append(found)
                     count.append(len(found))
                 each = np.concatenate(out)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(keys, count)), *(signed(np.ascontiguousarray(each[:, k])) for k in range(3))], names=["doc_id", "edge", "before", "after"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(keys, count)), *(signed(np.ascontiguousarray(each[:, k])) for k in range(3))], names=["text_hash", "edge", "before", "after"])
 
-    return rows.select("doc_id", "words", "marks").mapInArrow(step, "doc_id long, edge long, before long, after long")
+    return rows.select("text_hash", "words", "marks").mapInArrow(step, "text_hash long, edge long, before long, after long")
 
 
 def cuts(edges: DataFrame) -> DataFrame:
-    """(doc_id, starts, ends): the edges of each document before and after which paths end."""
+    """(text_hash, starts, ends): the edges of each document before and after which paths end."""
     beside = edges.groupBy("edge").agg((F.min("before") < F.max("before")).alias("starts"), (F.min("after") < F.max("after")).alias("ends"))
-    held = edges.select("doc_id", "edge").join(beside.where("starts or ends"), "edge")
-    return held.groupBy("doc_id").agg(*[F.collect_set(F.when(F.col(k), F.col("edge"))).alias(k) for k in ("starts", "ends")])
+    held = edges.select("text_hash", "edge").join(beside.where("starts or ends"), "edge")
+    return held.groupBy("text_hash").agg(*[F.collect_set(F.when(F.col(k), F.col("edge"))).alias(k) for k in ("starts", "ends")])
 
 
 def pieces(rows: DataFrame, window: int, run: int) -> DataFrame:
@@ -173,47 +184,57 @@ def pieces(rows: DataFrame, window: int, run: int) -> DataFrame:
     return rows.select("doc_id", "text_hash", "words", "marks", "starts", "ends").mapInArrow(step, "digest binary, doc_id long, text_hash long, start_word long, n_words long")
 
 
-def traced(documents: DataFrame, window: int, run: int) -> tuple[DataFrame, DataFrame]:
-    """The candidates, and the spans that repeat."""
-    rows = stored(candidates(documents, window, run), "candidates")
+def traced(documents: DataFrame, window: int, run: int, whole: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The rows, and the spans of candidates that repeat."""
+    rows = stored(candidates(documents, window, run, whole), "candidates")
     marked = rows.where("marks is not null")
-    found = stored(graph(marked, window, run), "edges")
-    parts = stored(pieces(marked.join(cuts(found), "doc_id", "left"), window, run), "pieces")
+    parts = stored(pieces(marked.join(cuts(graph(marked, window, run)), "text_hash", "left"), window, run), "pieces")
     source = parts.groupBy("digest").agg(F.min(F.struct("doc_id", "start_word")).alias("source"))
     repeated = parts.join(source, "digest").where(F.col("source.doc_id") < F.col("doc_id"))
     return rows, repeated.select("doc_id", "text_hash", "start_word", "n_words", F.col("source.doc_id").alias("source_doc_id"), F.col("source.start_word").alias("source_start"))
 
 
+def is_copy(window: int) -> Column:
+    """Whether a smaller document has the same words, as many as a window at least."""
+    return F.coalesce((F.col("doc_id") > F.col("first")) & (F.col("n_words") >= window), F.lit(False))
+
+
 def repeated_spans(documents: DataFrame, window: int = WINDOW, run: int = RUN) -> DataFrame:
     """doc_id, start_word, n_words, source_doc_id, source_start: spans of documents (doc_id, text) whose windows all begin in a smaller document too, with their first source. Spans may overlap."""
-    return traced(documents, window, run)[1].drop("text_hash").distinct()
+    rows, spans = traced(documents, window, run)
+    nought = F.lit(0).cast("long")
+    copies = rows.where(is_copy(window)).select("doc_id", nought.alias("start_word"), "n_words", F.col("first").alias("source_doc_id"), nought.alias("source_start"))
+    return spans.drop("text_hash").unionByName(copies).distinct()
 
 
-def remove(documents: DataFrame, window: int = WINDOW, run: int = RUN) -> DataFrame:
-    """doc_id, words (what is left, one space between), n_words and n_removed of every row (doc_id, text)."""
-    rows, spans = traced(documents, window, run)
+def remove(documents: DataFrame, window: int = WINDOW, run: int = RUN, whole: bool = True) -> DataFrame:
+    """doc_id, words (what is left, one space between), n_words, n_removed and kept_sha256 of every row (doc_id, text). Without ``whole`` the words of rows that stay as they are are null."""
+    rows, spans = traced(documents, window, run, whole)
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks([batch], "words"):
-                texts, count, gone = [], [], []
+                texts, gone = [], []
                 for text, spans in zip(part.column("words").to_pylist(), part.column("spans").to_pylist(), strict=True):
-                    words = text.split(" ") if text else []
+                    words = text.split(" ")
                     kept = np.ones(len(words), bool)
-                    for s in spans or ():
+                    for s in spans:
                         kept[s["start_word"] : s["start_word"] + s["n_words"]] = False
-                    texts.append(" ".join(w for w, k in zip(words, kept.tolist(), strict=True) if k) if spans else text)
-                    count.append(len(words))
+                    texts.append(" ".join(w for w, k in zip(words, kept.tolist(), strict=True) if k))
                     gone.append(len(words) - int(kept.sum()))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(texts, pa.string()), pa.array(count, pa.int64()), pa.array(gone, pa.int64())], names=["doc_id", "words", "n_words", "n_removed"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(texts, pa.string()), part.column("n_words"), pa.array(gone, pa.int64())], names=["doc_id", "words", "n_words", "n_removed"])
 
-    kind = "doc_id long, words string, n_words long, n_removed long"
     listed = spans.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start_word", "n_words")).alias("spans"))
-    touched = rows.where("marks is not null").join(listed, ["doc_id", "text_hash"], "left").select("doc_id", "words", "spans").mapInArrow(step, kind)
-    n = F.when(F.col("words") == "", 0).otherwise(F.length("words") - F.length(F.translate("words", " ", "")) + 1).cast("long")
-    return touched.unionByName(rows.where("marks is null").select("doc_id", "words", n.alias("n_words"), F.lit(0).cast("long").alias("n_removed")))
+    met = stored(rows.where("marks is not null").join(listed, ["doc_id", "text_hash"], "left"), "spans")
+    cut = met.where("spans is not null").select("doc_id", "words", "n_words", "spans").mapInArrow(step, "doc_id long, words string, n_words long, n_removed long")
+    columns = ["doc_id", "words", "n_words", "n_removed", "kept_sha256"]
+    copy = is_copy(window)
+    nought = F.lit(0).cast("long")
+    other = rows.where("marks is null").withColumns({"words": F.when(copy, "").otherwise(F.col("words")), "n_removed": F.when(copy, F.col("n_words")).otherwise(nought), "kept_sha256": F.when(copy, F.sha2(F.lit(""), 256)).otherwise(F.col("kept_sha256"))})
+    as_they_are = met.where("spans is null").withColumn("n_removed", nought)
+    return cut.withColumn("kept_sha256", F.sha2("words", 256)).select(columns).unionByName(as_they_are.select(columns)).unionByName(other.select(columns))
 
 
 def digests(documents: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of every row."""
-    return remove(documents).select("doc_id", "n_words", "n_removed", F.sha2("words", 256).alias("kept_sha256"))
+    return remove(documents, whole=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
