@@ -11,13 +11,14 @@ at least 100 occurrences within pieces, overlapping ones included.
 2. Automata. A task takes its texts in shards. The sequences of a shard that the sketch leaves are compiled
    into an Aho-Corasick automaton, each between spaces, so that words match as wholes; pieces are parted by
    a line feed, which no sequence has. The automaton scans the shard and counts every match.
-3. Counts of all shards are summed by text, and the threshold is applied to the sums. So the sketch and its
-   hashes choose what is counted, and never what is returned.
+3. Counts leave a shard packed, a row for each bucket of phrases by hash; buckets of all shards are summed by
+   text one after the other, and the threshold is applied to the sums. So the sketch and its hashes choose what
+   is counted, and never what is returned.
 4. Every cut of a phrase into two parts is scored in exact decimals, the lowest score counts. Phrases
    inside a longer one with as many occurrences go.
 
-The sketch grows with the input up to MOST_CELLS a row, which bounds the memory; beyond, its bounds are looser and more
-sequences are counted, with the same result. The automata are bounded by SHARD_BYTES, or one longer text.
+The sketch has a fixed size, which bounds the memory; the more sequences a cell has, the looser are its bounds and
+the more are counted, with the same result. Automata are bounded by SHARD_BYTES, or one longer text.
 
 Null texts are empty. Rows stay apart, repeated ones count again. Texts of any length are read whole. Other
 columns are not read, whatever their names. An empty table gives no rows.
@@ -25,6 +26,7 @@ columns are not read, whatever their names. An empty table gives no rows.
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -43,12 +45,13 @@ MARKS = b".,;:!?\n\x0b\x0c\r"
 #: A-Z to small letters, tabs to spaces, marks to a byte that no text has.
 PLAIN = bytes(255 if b in MARKS else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 BOUND = b" \xff "
-#: Cells of a row of the sketch: a power of two near one for this many sequences, within bounds.
-LOAD, FEWEST_CELLS, MOST_CELLS = 32, 1 << 16, 1 << 26
-ROWS = 2
+#: Cells of a row of the sketch, a power of two; a task holds a byte for each.
+CELLS, ROWS = 1 << 25, 2
 BLOCK = 1 << 16
 #: Bytes of text that make an automaton.
 SHARD_BYTES = 8 << 20
+#: Counts are summed in so many buckets at least, and in one for so many bytes of text.
+FEWEST_BUCKETS, BUCKET_BYTES = 256, 32 << 20
 #: Parts in which a language's phrases are ranked before they meet.
 SALTS = 64
 
@@ -111,10 +114,9 @@ def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Sequences]]
         yield from each()
 
 
-def width_for(documents: DataFrame) -> int:
-    """Cells of a row, by the bytes of all texts at six a word."""
+def buckets_for(documents: DataFrame) -> int:
     size = documents.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    return min(MOST_CELLS, max(FEWEST_CELLS, 1 << (size // 6 * LONGEST // LOAD).bit_length()))
+    return max(FEWEST_BUCKETS, size // BUCKET_BYTES)
 
 
 def sketch(documents: DataFrame, width: int, least: int) -> str:
@@ -200,19 +202,52 @@ def count(text: bytes, sequences: list[str]) -> Counter:
     return Counter(map(itemgetter(1), automaton.iter(f" {text.replace(BOUND.strip(), b'\n').decode()} ")))
 
 
-def counts(documents: DataFrame, path: str, width: int) -> DataFrame:
-    """(lang, phrase, n) of each shard; the empty phrase has the number of all words."""
+def packed(lang: str, times: dict[str, int], buckets: int) -> pa.RecordBatch:
+    """A row for each bucket: phrases in order, and their counts."""
+    by: dict[int, list[str]] = {}
+    for phrase in sorted(times):
+        by.setdefault(zlib.crc32(phrase.encode()) % buckets, []).append(phrase)
+    lists = [pa.compress("\n".join(own).encode(), "zstd", asbytes=True) for own in by.values()]
+    sizes = [sum(len(p.encode()) + 1 for p in own) - 1 for own in by.values()]
+    numbers = [np.array([times[p] for p in own], np.int64).tobytes() for own in by.values()]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(list(by), pa.int64()), pa.array([lang] * len(by), pa.string()), pa.array(lists, pa.binary()), pa.array(sizes, pa.int64()), pa.array(numbers, pa.binary())],
+        names=["bucket", "lang", "phrases", "size", "counts"],
+    )
 
-    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def counts(documents: DataFrame, path: str, width: int, least: int, buckets: int) -> DataFrame:
+    """(lang, phrase, a) of all phrases that reach the threshold; the empty phrase has the number of all words."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = bits_of(path, width)
         for lang, own in shards(batches):
             sequences = left(own, bits, width)
-            found = count(own.text, sequences)
-            phrases, times = ["", *(sequences[k] for k in found)], [int(own.inside.sum()), *found.values()]
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(phrases), pa.string()), pa.array(phrases, pa.string()), pa.array(times, pa.int64())], names=["lang", "phrase", "n"])
+            times = {sequences[k]: n for k, n in count(own.text, sequences).items()}
+            yield packed(lang, times | {"": int(own.inside.sum())}, buckets)
         release()
 
-    return documents.mapInArrow(step, "lang string, phrase string, n long")
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sums = None, {}
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for lang, times in sums.items():
+                kept = [(p, n) for p, n in times.items() if n >= least or not p]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(kept), pa.string()), pa.array([p for p, _ in kept], pa.string()), pa.array([n for _, n in kept], pa.int64())], names=["lang", "phrase", "a"])
+
+        for batch in batches:
+            for bucket, lang, phrases, size, numbers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if bucket != now:
+                    yield from flush()
+                    now, sums = bucket, {}
+                own = sums.setdefault(lang, Counter())
+                for p, n in zip(pa.decompress(phrases, size, "zstd", asbytes=True).decode().split("\n"), np.frombuffer(numbers, np.int64).tolist(), strict=True):
+                    own[p] += n
+        yield from flush()
+
+    rows = documents.mapInArrow(scan, "bucket long, lang string, phrases binary, size long, counts binary")
+    spread = rows.repartition(partitions(documents.sparkSession), "bucket").sortWithinPartitions("bucket")
+    return spread.mapInArrow(total, "lang string, phrase string, a long")
 
 
 def part(words: str, begin: Column, n: Column) -> Column:
@@ -242,12 +277,10 @@ def contained(frequent: DataFrame, percent: int) -> DataFrame:
     return frequent.join(most, ["lang", "phrase"]).where(F.col("most") * 100 >= F.col("a") * percent).select("lang", "phrase")
 
 
-def collocations(documents: DataFrame, least: int = LEAST, top: int = TOP, percent: int = 100, width: int | None = None) -> DataFrame:
+def collocations(documents: DataFrame, least: int = LEAST, top: int = TOP, percent: int = 100, width: int = CELLS) -> DataFrame:
     """lang, rank, phrase, a, l, r, n and score: each language's first phrases by score, occurrences and text."""
     texts = documents.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    width = width or width_for(documents)
-    table = counts(texts, sketch(texts, width, least), width).groupBy("lang", "phrase").agg(F.sum("n").alias("a"))
-    found = stored(table.where(f"a >= {int(least)} or phrase = ''"), "phrases")
+    found = stored(counts(texts, sketch(texts, width, least), width, least, buckets_for(texts)), "phrases")
     total = found.where("phrase = ''").select("lang", F.col("a").alias("n"))
     frequent = found.where("phrase <> ''").join(total, "lang").select("lang", "phrase", "a", "n", F.split("phrase", " ").alias("words"))
     kept = scored(frequent).join(contained(frequent, percent), ["lang", "phrase"], "left_anti")

@@ -64,7 +64,7 @@ def test_against_all_sequences(spark, seed):
 def test_a_crowded_sketch_changes_nothing(spark):
     rows = made(7)
     df = spark.createDataFrame(rows, SCHEMA)
-    assert result(df, 5, 1000, width=phrases.BLOCK) == plain(rows, 5, 1000) == result(df, 5, 1000, width=1 << 20)
+    assert result(df, 5, 1000, width=phrases.BLOCK) == plain(rows, 5, 1000) == result(df, 5, 1000, width=1 << 22)
     assert result(df, 5, 1000, 60) == plain(rows, 5, 1000, 60)
 
 
@@ -72,9 +72,10 @@ def test_many_shards_and_partitions(spark, monkeypatch):
     rows = made(9, 400)
     monkeypatch.setattr(phrases, "SHARD_BYTES", 1)
     texts = spark.createDataFrame(rows, SCHEMA).repartition(7)
-    width = phrases.width_for(texts)
-    assert width == phrases.FEWEST_CELLS
-    assert result(texts, 20, 2000) == plain(rows, 20, 2000)
+    assert phrases.buckets_for(texts) == phrases.FEWEST_BUCKETS
+    assert result(texts, 20, 2000, width=1 << 18) == plain(rows, 20, 2000)
+    monkeypatch.setattr(phrases, "FEWEST_BUCKETS", 1)
+    assert result(texts, 20, 2000, width=1 << 18) == plain(rows, 20, 2000)
 
 
 def test_bounds_are_never_below(spark):
