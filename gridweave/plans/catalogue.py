@@ -564,6 +564,22 @@ def pam_clusters(m):
     return cluster.pam(graph.straight_connections(several, "grid_id"), nodes, RATED_KVA, FACTOR).withColumn("dist_m", F.round("dist_m", 3))
 
 
+@query(sql(
+    "SELECT CAST(floor(v/350) AS BIGINT) AS grid_id, v AS node_id, s AS substation_id, dist_m FROM (SELECT v, s, dist_m, row_number() OVER (PARTITION BY v ORDER BY dist_m, s) AS n FROM"
+    " (SELECT a AS v, b AS s, round(d,3) AS dist_m FROM path WHERE b IN (SELECT sub_id*20 FROM substation) UNION ALL SELECT a, a, 0e0 FROM path WHERE a IN (SELECT sub_id*20 FROM substation))) WHERE n=1",
+    EDGE_SQL, DEGREE_SQL, CHAIN_SQL, PATH_SQL, recursive=True,
+))
+def network_medoids(m):
+    """Vertices by the nearest of the given substations along streets: as many medoids as there are given ones."""
+    own = edges(m)
+    small = banded(graph.contract(own, kept(m, own))).withColumn("dist_m", F.round("dist_m", 6))
+    sub = m.substation.select((F.col("sub_id") * 20).alias("node_id"), F.lit(True).alias("is_substation"))
+    nodes = banded(small.select(F.explode(F.array("a_id", "b_id")).alias("node_id")).distinct(), "node_id").join(sub, "node_id", "left").withColumn("load_kva", F.lit(1e-3))
+    supplied = nodes.where("is_substation").select("grid_id").distinct()
+    found = cluster.network_pam(small, nodes.join(supplied, "grid_id", "left_semi"), RATED_KVA, FACTOR)
+    return found.withColumn("dist_m", F.round("dist_m", 3))
+
+
 # --- medium voltage ---
 
 

@@ -5,9 +5,11 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gridweave.functions import geo
 from gridweave.operators import cluster, graph, grid, merge, nearest, osm, region, route
+from gridweave.operators.graph import GraphError
 from tests.test_geometry import PLACES
 
 
@@ -353,31 +355,81 @@ def test_pam(spark):
         cluster.pam(spark.createDataFrame([], "grid_id long, a_id long, b_id long, dist_m double"), spark.createDataFrame(nodes[:1], "grid_id long, node_id long, load_kva double, is_substation boolean"), 630.0, 1.0).collect()
 
 
+def plain_medoids(d, near, count, fixed, order):
+    """The rounds of network_pam with a matrix of distances. near: edges (a, b): metres."""
+    n = len(d)
+    medoids = [*fixed, *(v for v in order if v not in fixed)][: max(count, len(fixed))]
+
+    def assigned(chosen):
+        chosen = sorted(chosen)
+        owner = [min(chosen, key=lambda c: (d[v, c], c)) for v in range(n)]
+        return owner, [d[v, owner[v]] for v in range(n)]
+
+    owner, dist = assigned(medoids)
+    for _ in range(50):
+        moved = []
+        for m in sorted(set(owner)):
+            cell = [v for v in range(n) if owner[v] == m]
+            inner = np.full((n, n), np.inf)
+            np.fill_diagonal(inner, 0)
+            rest = np.full(n, np.inf)
+            for (a, b), x in near.items():
+                for p, q in ((a, b), (b, a)):
+                    if owner[p] == owner[q] == m:
+                        inner[p, q] = min(x, inner[p, q])
+                    elif owner[p] == m:
+                        rest[p] = min(rest[p], dist[q] + x)
+            for k in cell:
+                inner = np.minimum(inner, inner[:, k : k + 1] + inner[k : k + 1])
+            rest = np.array([min(rest[p] + inner[p, v] for p in cell) for v in range(n)])
+            best = min(cell, key=lambda c: (round(sum(min(inner[c, v], rest[v]) for v in cell), 6), c != m, c))
+            moved.append(m if m in fixed else best)
+        new_owner, new_dist = assigned(moved)
+        if set(moved) == set(owner) or sum(new_dist) > 0.99 * sum(dist):
+            break
+        owner, dist = new_owner, new_dist
+    return owner, dist
+
+
+def matrix(n, edges):
+    d = np.full((n, n), np.inf)
+    np.fill_diagonal(d, 0)
+    for (a, b), m in edges.items():
+        d[a, b] = d[b, a] = min(m, d[a, b])
+    for k in range(n):
+        d = np.minimum(d, d[:, k : k + 1] + d[k : k + 1])
+    return d
+
+
+NODES = "grid_id long, node_id long, load_kva double, is_substation boolean"
+
+
 def test_network_medoids(spark):
-    """Against distances of all pairs: owners, distances, and no better place for a medoid within its cluster."""
-    for seed in range(3):
-        edges = random_edges(seed, 60, 80)
-        edges |= {(i, i + 1): 5.0 + i % 3 for i in range(59)}
-        d = np.full((60, 60), np.inf)
-        np.fill_diagonal(d, 0)
-        for (a, b), m in edges.items():
-            d[a, b] = d[b, a] = min(m, d[a, b])
-        for k in range(60):
-            d = np.minimum(d, d[:, k : k + 1] + d[k : k + 1])
-        df = frame(spark, edges).selectExpr("7L AS grid_id", "*")
-        nodes = spark.createDataFrame([(7, i, 60.0, seed == 1 and i == 11) for i in range(60)], "grid_id long, node_id long, load_kva double, is_substation boolean")
-        got = {r.node_id: r for r in cluster.network_pam(df, nodes, 630.0, 1.0).collect()}
-        chosen = sorted({r.substation_id for r in got.values()})
-        assert len(got) == 60 and len(chosen) == 6 and (seed != 1 or 11 in chosen)
-        cost = lambda c: d[:, c].min(1).sum()
-        for i, r in got.items():
-            assert r.dist_m == pytest.approx(d[i, chosen].min()) and r.dist_m == pytest.approx(d[i, r.substation_id])
-            m = r.substation_id
-            assert (seed == 1 and m == 11) or 0.99 * cost(chosen) < cost([i if c == m else c for c in chosen]) + 1e-9
-    one = cluster.network_pam(df, nodes.withColumn("load_kva", nodes.load_kva / 100), 630.0, 1.0).collect()
-    assert {r.substation_id for r in one} == {int(d.sum(1).argmin())} or d[one[0].substation_id].sum() <= d.sum(1).min() * 1.011
-    with pytest.raises(Exception, match="no path"):
-        cluster.network_pam(df.where("a_id > 2"), nodes.withColumn("load_kva", nodes.load_kva / 100), 630.0, 1.0).collect()
+    """Two grids at once, against distances of all pairs; blocks of any size give the same."""
+    n, edges = 60, {}
+    for seed in range(2):
+        edges[seed] = {k: float(round(m)) for k, m in random_edges(seed, n, 80).items()} | {(i, i + 1): 5.0 + i % 3 for i in range(n - 1)}
+    rows = [(7 + g, a, b, m) for g, own in edges.items() for (a, b), m in own.items()]
+    df = spark.createDataFrame(rows, "grid_id long, a_id long, b_id long, dist_m double")
+    nodes = spark.createDataFrame([(7 + g, i, 60.0, g == 1 and i == 11) for g in edges for i in range(n)], NODES)
+    order = [r.node_id for r in spark.range(n).withColumnRenamed("id", "node_id").orderBy(F.xxhash64("node_id"), "node_id").collect()]
+    for block in (10_000, 40):
+        got = {(r.grid_id - 7, r.node_id): (r.substation_id, r.dist_m) for r in cluster.network_pam(df, nodes, 630.0, 1.0, block).collect()}
+        for g, own in edges.items():
+            owner, dist = plain_medoids(matrix(n, own), own, 6, [11] if g else [], order)
+            assert [got[g, i][0] for i in range(n)] == owner
+            assert [got[g, i][1] for i in range(n)] == pytest.approx(dist)
+
+
+def test_network_medoids_of_one_cell_and_errors(spark):
+    df = frame(spark, {(i, i + 1): 5.0 for i in range(20)}).selectExpr("7L AS grid_id", "*")
+    nodes = spark.createDataFrame([(7, i, 0.6, None) for i in range(21)], NODES)
+    assert {r.substation_id for r in cluster.network_pam(df, nodes, 630.0, 1.0).collect()} == {10}
+    assert {r.substation_id for r in cluster.network_pam(df, nodes, 0.1, 1.0, 5).collect()} == set(range(21))
+    with pytest.raises(GraphError, match="no path"):
+        cluster.network_pam(df.where("a_id > 2"), nodes, 630.0, 1.0)
+    with pytest.raises(cluster.ClusterError, match="clusters need two"):
+        cluster.network_pam(df, nodes.where("node_id = 1"), 630.0, 1.0)
 
 
 def test_paths_in_shares(spark):
