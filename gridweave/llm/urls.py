@@ -8,9 +8,11 @@ host and path. It learns from the urls that a rule decides: what those that are
 against those that are allowed. Both verdicts count as equally likely beforehand, as the rules' share says
 nothing about other urls.
 
-The unigram model counts the words of all titles, and of each different host the runs of letters once.
+The unigram model counts the words of all titles, and of each different host the runs of letters once. A run
+can't vouch for itself: where it is split, its own occurrences in hosts don't count, only those in titles.
 Counts stay in tables: Viterbi is given the words that occur within a run of letters, found by a join,
-and scores are sums of weights found by a join, so no vocabulary is cut and none goes to the driver.
+and scores are sums of weights found by a join, so no vocabulary is cut and none goes to the driver. The join sees
+every substring of a run that is as long as some word: of a run of n letters at most n * (n + 1) / 2.
 Weights are whole multiples of 2 ** -20, so that sums don't depend on their order.
 
 Null urls and urls without ``://`` have an empty host and path and no words, so they are allowed, as all
@@ -109,10 +111,11 @@ def host_tokens(hosts: DataFrame) -> DataFrame:
 
 
 def unigrams(pages: DataFrame, parts: DataFrame) -> DataFrame:
-    """(word, n): how often a word occurs in titles and as a run of letters of different hosts."""
+    """(word, n, own): how often a word occurs in titles and as a run of letters of different hosts, and of these the latter."""
     title = F.lower(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1))
     titles = pages.select(F.explode(F.split(title, r"[^\p{L}]+")).alias("word")).where("word <> ''")
-    return titles.union(parts.where(~is_number(F.col("token"))).select("token")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    runs = parts.where(~is_number(F.col("token"))).select(F.col("token").alias("word"), F.lit(1).alias("own"))
+    return titles.select("word", F.lit(0).alias("own")).union(runs).groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.sum("own").alias("own"))
 
 
 def segments(parts: DataFrame, counts: DataFrame) -> DataFrame:
@@ -141,7 +144,9 @@ def segments(parts: DataFrame, counts: DataFrame) -> DataFrame:
             out = [Segmenter({k["word"]: k["n"] for k in known or ()}, total)(t) for t, known in zip(batch.column("token").to_pylist(), batch.column("known").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("token"), pa.array(out, pa.list_(pa.string()))], names=["token", "words"])
 
-    known = runs.mapInArrow(within, "token string, word string").join(counts, "word").groupBy("token").agg(F.collect_list(F.struct("word", "n")).alias("known"))
+    known = runs.mapInArrow(within, "token string, word string").join(counts, "word")
+    known = known.withColumn("n", F.when(F.col("word") == F.col("token"), F.col("n") - F.col("own")).otherwise(F.col("n"))).where("n > 0")
+    known = known.groupBy("token").agg(F.collect_list(F.struct("word", "n")).alias("known"))
     return runs.join(known, "token", "left").mapInArrow(split, "token string, words array<string>")
 
 
