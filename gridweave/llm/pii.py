@@ -175,7 +175,7 @@ def security(key: bytes, text: str) -> str | None:
 
 
 def date(key: bytes, text: str) -> str | None:
-    """Year first, or day first with points, or month first with strokes; years 1900 to 2099."""
+    """Year first, or day first with points, or month first with strokes; years 1900 to 2099. One that is written without leading zeros stays so."""
     a, b, c = (int(x) for x in re.split(r"[-./]", text))
     order = "ymd" if a > 31 else "mdy" if "/" in text and a <= 12 else "dmy"
     part = dict(zip(order, (a, b, c), strict=True))
@@ -189,7 +189,8 @@ def date(key: bytes, text: str) -> str | None:
     # a first number above 12 with strokes is a day, and has to be read as one again
     good = lambda x: order != "dmy" or "/" not in text or datetime.date.fromordinal(FIRST_DAY + x).day > 12
     new = datetime.date.fromordinal(FIRST_DAY + moved(key, "date", size, day - FIRST_DAY, good))
-    put_in = {"y": f"{new.year:04}", "m": f"{new.month:02}", "d": f"{new.day:02}"}
+    width = 1 if re.search(r"(?<!\d)\d(?!\d)", text) else 2
+    put_in = {"y": f"{new.year:04}", "m": f"{new.month:0{width}}", "d": f"{new.day:0{width}}"}
     mark = re.sub(r"\d", "", text)
     return put_in[order[0]] + mark[0] + put_in[order[1]] + mark[1] + put_in[order[2]]
 
@@ -206,8 +207,12 @@ def iban(key: bytes, text: str) -> str | None:
 
 
 def secret(key: bytes, text: str) -> str:
-    hexadecimal = not re.search("[g-zA-Z]", text)
-    return characters(key, "secret", text, "abcdef" if hexadecimal else "abcdefghijklmnopqrstuvwxyz")
+    """A hexadecimal one becomes a hexadecimal one; others never do, so that no two secrets share a pseudonym."""
+    if not (other := re.compile("[g-zA-Z]")).search(text):
+        return characters(key, "secret", text, "abcdef")
+    while not other.search(text := characters(key, "secret", text)):
+        pass
+    return text
 
 
 #: Kind, what a text must hold for a search to be worth it, pattern (group 1, or all of it, is replaced), replacement.
