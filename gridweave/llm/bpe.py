@@ -162,6 +162,7 @@ class PairIndexCodec(Segments):
         self.flat_bytes = np.frombuffer(b"".join(pieces), np.uint8)
         self.words = regex.compile(PATTERN)
         self.apart = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.opening = {t[0] for t in self.special}
 
     def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The rank of each pair, -1 where it doesn't merge."""
@@ -229,7 +230,7 @@ class PairIndexCodec(Segments):
         number, found, count = numbers.__getitem__, [], []
         for piece in pieces:
             before = len(found)
-            if self.apart is not None and "<" in piece and len(parts := self.apart.split(piece)) > 1:
+            if not self.opening.isdisjoint(piece) and len(parts := self.apart.split(piece)) > 1:
                 for i, part in enumerate(parts):
                     if i % 2:
                         found.append(-1 - special.setdefault(part, self.special[part]))
