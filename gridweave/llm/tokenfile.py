@@ -37,19 +37,19 @@ READ_DOCS = 2048
 
 
 class EliasFano:
-    """A non-decreasing sequence of integers from 0 up."""
+    """A non-decreasing sequence of integers from 0 to 2 ** 64 - 1; select gives them modulo 2 ** 64, as signed ones."""
 
     def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, samples: np.ndarray):
         self.n, self.low_bits, self.low, self.high, self.samples = n, low_bits, low, high, samples
 
     @classmethod
     def build(cls, values: np.ndarray) -> EliasFano:
-        values = np.asarray(values, np.int64)
+        values = np.asarray(values).astype(np.uint64)
         n = len(values)
         top = int(values[-1]) if n else 0
         bits = max(0, (top // n).bit_length() - 1) if n else 0
-        low = np.packbits((values[:, None] >> np.arange(bits) & 1).astype(np.uint8).ravel(), bitorder="little")
-        ones = (values >> bits) + np.arange(n)
+        low = np.packbits((values[:, None] >> np.arange(bits, dtype=np.uint64) & np.uint64(1)).astype(np.uint8).ravel(), bitorder="little")
+        ones = (values >> np.uint64(bits)).astype(np.int64) + np.arange(n)
         high = np.zeros((top >> bits) + n + 1, np.uint8)
         high[ones] = 1
         return cls(n, bits, low, np.packbits(high, bitorder="little"), ones[::SAMPLE].astype(np.uint32))
@@ -79,8 +79,8 @@ class EliasFano:
             return high
         k = self.low_bits
         raw = np.unpackbits(self.low[i * k // 8 : j * k // 8 + 1], bitorder="little")
-        raw = raw[i * k % 8 :][: (j - i) * k].reshape(-1, k).astype(np.int64)
-        return high << k | raw @ (1 << np.arange(k, dtype=np.int64))
+        raw = raw[i * k % 8 :][: (j - i) * k].reshape(-1, k).astype(np.uint64)
+        return (high.astype(np.uint64) << np.uint64(k) | raw @ (np.uint64(1) << np.arange(k, dtype=np.uint64))).view(np.int64)
 
 
 class LibraryEncoder(Segments):
@@ -166,7 +166,7 @@ def write(df: DataFrame, root: str, path: str | None = None, end_id: int = 0) ->
             return
         ends, keys = np.cumsum(np.concatenate(counts)), np.concatenate(doc_ids)
         base = int(keys[0]) if len(keys) else 0
-        bounds, docs = EliasFano.build(ends).dump(), EliasFano.build(keys - base).dump()
+        bounds, docs = EliasFano.build(ends).dump(), EliasFano.build(keys.view(np.uint64) - np.int64(base).view(np.uint64)).dump()
         footer = json.dumps({"n_docs": len(ends), "n_ids": int(ends[-1]), "nulls": nulls, "base": base, "id_bytes": own.id_bytes, "bounds": len(bounds), "docs": len(docs)}).encode()
         out.write(bounds + docs + footer + struct.pack("<I", len(footer)) + MAGIC)
         out.close()
