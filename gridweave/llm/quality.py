@@ -5,10 +5,10 @@ embedding; learned filters see twelve bytes, every four bytes, and beside them h
 bytes at hand recur in the chunk. Each filter's responses are max-pooled over the chunk; a text's
 greatest and mean responses over its chunks are combined into one probability.
 
-It learns from at most ``TRAIN_ROWS`` labelled rows, those first in the order of a hash of doc_id, and
-never from held-out rows. Of a text of more than ``TRAIN_BYTES`` bytes it sees passages that lie evenly
-over the whole of it; of several labels of a doc_id the greatest counts, of several texts the least. A
-share of the good texts is seen as passages of some words. Text is its only input.
+It learns from a bounded sample of labelled rows, those first in the order of a hash of doc_id: at most
+``TRAIN_ROWS`` of them, and so many that their texts have ``TRAIN_BYTES`` bytes together; never from
+held-out rows. Their texts are seen whole, a batch of chunks at a time. Of several labels of a doc_id the greatest counts, of
+several texts the least. A share of the good texts is seen as passages of some words. Text is its only input.
 
 Every whole text gets a score, whatever its length; null text counts as empty, and equal texts have
 equal scores. Without labelled rows every score is 0.5. Rows stay one for one, those without doc_id and
@@ -22,14 +22,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridweave.llm.common import chunks, release
 
-TRAIN_ROWS, TRAIN_BYTES = 4000, 65_536
-#: A longer text is learned from as so many passages.
-TRAIN_PASSAGES = 16
+TRAIN_ROWS, TRAIN_BYTES = 4000, 128 << 20
+#: Chunks that are rows at a time.
+ROWS = 128
 THRESHOLD = 0.3
 BLOCK, WIDTH, EMBEDDING, FILTERS = 4, 3, 4, 16
 CHUNK_BLOCKS, STEP_BLOCKS = 512, 496
@@ -108,7 +108,7 @@ class Network:
         count = np.diff(np.append(first, len(owner)))
         return np.concatenate([np.maximum.reduceat(pooled, first), np.add.reduceat(pooled, first) / count[:, None]], 1)
 
-    def score(self, texts: list[bytes], batch: int = 128) -> np.ndarray:
+    def score(self, texts: list[bytes], batch: int = ROWS) -> np.ndarray:
         if not texts:
             return np.zeros(0)
         flat, at, length, owner = places(texts)
@@ -117,13 +117,24 @@ class Network:
         logit = self.combine(pooled.astype(np.float64), owner) @ self.p["outputs"].astype(np.float64) + float(self.p["bias"][0])
         return np.round(1 / (1 + np.exp(-np.clip(logit, -30, 30))), 6)
 
+    def peaks(self, texts: list[bytes], batch: int = ROWS) -> tuple[np.ndarray, ...]:
+        """Each chunk's text, its pooled responses, and the inputs and bytes that each filter has at its greatest response."""
+        flat, at, length, owner = places(texts)
+        parts = []
+        for i in range(0, len(at), batch):
+            k = slice(i, i + batch)
+            rows = rows_of(flat, at[k], length[k])
+            x, h = self.respond(rows, length[k])
+            best = h.argmax(1)
+            one = np.arange(len(x))[:, None, None]
+            pooled = np.maximum(np.take_along_axis(h, best[:, None], 1)[:, 0], 0)
+            parts.append((pooled, x[one, best[:, :, None] + np.arange(WIDTH)], rows[one, best[:, :, None] * BLOCK + np.arange(WIDTH * BLOCK)]))
+        return owner, *(np.concatenate(p) for p in zip(*parts, strict=True))
+
     def gradient(self, texts: list[bytes], labels: np.ndarray) -> dict[str, np.ndarray]:
         """Of the mean logistic loss; through a maximum only the greatest response has one."""
         p = self.p
-        rows, length, owner = cut(texts)
-        x, h = self.respond(rows, length)
-        best = h.argmax(1)
-        pooled = np.maximum(np.take_along_axis(h, best[:, None], 1)[:, 0], 0)
+        owner, pooled, seen, byte = self.peaks(texts)  # seen: chunk, filter, block, input
         vector = self.combine(pooled, owner)
         delta = (1 / (1 + np.exp(-np.clip(vector @ p["outputs"] + p["bias"], -30, 30))) - labels) / len(labels)
         delta *= np.where(labels > 0, 1, (1 - THRESHOLD) / THRESHOLD)  # even odds then fall on the threshold
@@ -132,11 +143,9 @@ class Network:
         at_top = (pooled == vector[owner, :FILTERS]) & (pooled > 0)
         to_pool = (back[owner, :FILTERS] * at_top + back[owner, FILTERS:] / count[owner, None]) * (pooled > 0)
         out = {"outputs": vector.T @ delta, "bias": np.array([delta.sum()]), "offsets": to_pool.sum(0)}
-        seen = x[np.arange(len(x))[:, None, None], best[:, :, None] + np.arange(WIDTH)]  # chunk, filter, block, input
         out["filters"] = np.einsum("cf,cfki->kif", to_pool, seen)
         out["embedding"] = np.zeros_like(p["embedding"])
-        to_input = np.einsum("cf,kif->cfki", to_pool, p["filters"])[..., :-1].reshape(*best.shape, WIDTH * BLOCK, EMBEDDING)
-        byte = rows[np.arange(len(x))[:, None, None], best[:, :, None] * BLOCK + np.arange(WIDTH * BLOCK)]
+        to_input = np.einsum("cf,kif->cfki", to_pool, p["filters"])[..., :-1].reshape(*pooled.shape, WIDTH * BLOCK, EMBEDDING)
         np.add.at(out["embedding"], byte, to_input)
         return out
 
@@ -173,21 +182,15 @@ def held_out(doc_id="doc_id"):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
 
 
-def shortened(text: str, max_bytes: int):
-    """A text, or where it is longer than max_bytes passages from its begin to its end, together no longer."""
-    text, n, size = F.col(text), F.length(text), max_bytes // TRAIN_PASSAGES // 4 - 1
-    start = lambda k: (k * (n - size) / (TRAIN_PASSAGES - 1)).cast("int") + 1
-    passages = F.transform(F.sequence(F.lit(0), F.lit(TRAIN_PASSAGES - 1)), lambda k: F.substring(text, start(k), F.lit(size)))
-    return F.when(F.octet_length(text) > max_bytes, F.array_join(passages, " ")).otherwise(text)
-
-
-def train(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, max_bytes: int = TRAIN_BYTES) -> Network | None:
+def train(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, most_bytes: int = TRAIN_BYTES) -> Network | None:
     """From labels (doc_id, quality) outside the held-out fold; None where there are none."""
     usable = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("quality").alias("label"))
-    chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    order = F.xxhash64("doc_id")
+    chosen = usable.orderBy(order, "doc_id").limit(rows)
     texts = documents.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id")
-    texts = texts.select("doc_id", "label", shortened("text", max_bytes).alias("text"))
-    found = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label")).orderBy("doc_id").collect()  # at most ``rows`` rows of max_bytes
+    each = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
+    before = F.sum(F.octet_length("text")).over(Window.orderBy(order, "doc_id"))  # of at most ``rows`` rows
+    found = each.withColumn("bytes", before).where(F.col("bytes") <= most_bytes).orderBy("doc_id").select("text", "label").collect()  # at most most_bytes
     if not found:
         return None
     return Network().fit([r.text.encode() for r in found], np.array([float(r.label) for r in found]))
