@@ -212,9 +212,10 @@ def test_urls_against_plain_models(spark):
     rows += [(None, None, None), (7, "http://", None), (8, "none", "<title>a b</title>"), rows[3], (500, "http://" + "riverbank" * 40 + ".org/", None)]
     split = [plain_url(u, urls.RULES) for _, u, _ in rows]
     hosts = {h for h, *_ in split}
-    counts = Counter(w for _, _, t in rows if t for w in re.findall(r"[^\W\d_]+", re.search("<title>(.*)</title>", t)[1].lower()))
-    counts.update(w for h in hosts for w in re.findall(r"[^\W\d_]+", h))
-    cut = urls.Segmenter(counts)
+    titles = Counter(w for _, _, t in rows if t for w in re.findall(r"[^\W\d_]+", re.search("<title>(.*)</title>", t)[1].lower()))
+    counts = titles + Counter(w for h in hosts for w in re.findall(r"[^\W\d_]+", h))
+    # a run's own occurrences don't count where it is split
+    cut = lambda run: urls.Segmenter({w: n for w, n in (counts | {run: titles[run]}).items() if n}, counts.total())(run)
     own = lambda h: [w for x in re.findall(r"\d+|[^\W\d_]+", h) for w in ([f"#{len(x)}"] if x[0].isdigit() else cut(x))]
     rest = lambda p: [w for x in re.findall(r"\d+|[^\W\d_]+", p) for w in ([f"p:#{len(x)}", f"p:#{x[0]}.."] if x[0].isdigit() else [f"p:{x.lower()}"])]
     every = lambda h, p: [f"h:{w}" for w in own(h)] + rest(p)
@@ -237,6 +238,17 @@ def test_permutation():
     assert [pii.permute(b"k", "f", 10**6, x) for x in range(50)] != [pii.permute(b"l", "f", 10**6, x) for x in range(50)]
 
 
+def test_concatenated_names_are_split(spark):
+    """Of known words, whatever else the hosts have; counted as often as the hosts repeat."""
+    words = ["book", "store", "deals", "flower", "shop", "world", "best", "buy", "news", "garden"]
+    rnd = random.Random(3)
+    names = sorted({tuple(rnd.sample(words, rnd.randint(2, 3))) for _ in range(40)})
+    rows = [(i, f"http://{host}{''.join(n)}.com/{i}", f"<title>{' '.join(n)} {' '.join(rnd.sample(words, 3))}</title>") for i, n in enumerate(names) for host in ("", "www.", "m.", "a.b.")]
+    got = urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    for r in got:
+        assert tuple(w for w in r.host_words.split() if w in words) == names[r.page_id]
+
+
 def test_pii_forms():
     good = lambda d: pii.luhn(d[:-1]) == d[-1]
     text = (
@@ -296,6 +308,21 @@ def test_secrets_in_pieces_are_a_permutation(monkeypatch):
     assert len({pii.characters(b"k", "f", f"{i:04}") for i in range(10_000)}) == 10_000
 
 
+def test_no_two_secrets_share_a_pseudonym():
+    """Of the same shape, hexadecimal or not."""
+    texts = [f"{a}{b}{i:06}" for a in "abcdefghijklmnopqrstuvwxyz" for b in "aefgz" for i in range(40)]
+    new = [pii.secret(b"k", t) for t in texts]
+    assert len(set(new)) == len(texts)
+    assert all(bool(re.search("[g-zA-Z]", a)) == bool(re.search("[g-zA-Z]", b)) for a, b in zip(texts, new, strict=True))
+
+
+def test_dates_keep_their_style():
+    for text, pattern in (("5.3.1984", r"[1-9]\d?\.[1-9]\d?\.\d{4}"), ("05.03.1984", r"\d\d\.\d\d\.\d{4}"), ("1984-3-05", r"\d{4}-[1-9]\d?-[1-9]\d?"), ("3/25/1984", r"[1-9]\d?/[1-9]\d?/\d{4}")):
+        keys = [str(i).encode() for i in range(50)]
+        assert all(re.fullmatch(pattern, pii.date(k, text)) for k in keys)
+    assert pii.date(b"k", "5.3.1984") == ".".join(str(int(x)) for x in pii.date(b"k", "05.03.1984").split("."))
+
+
 def test_wide_permutation_keeps_its_domain():
     for bits in (500, 1023, 1024, 1025, 1100, 3000):
         size = 1 << bits | 5
@@ -382,18 +409,85 @@ def test_quality(spark):
 
 
 def test_long_texts_are_learned_from(spark):
-    """Passages cover a long text from begin to end; a label of a text above the bound still counts."""
-    rows = [(1, "short"), (2, "b" + "é" * 60_000 + "middle" + "é" * 60_000 + "e"), (3, None)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r.t for r in df.select("doc_id", quality.shortened("text", 4096).alias("t")).collect()}
-    assert got[1] == "short" and got[3] is None
-    assert len(got[2].encode()) <= 4096 and got[2][0] == "b" and got[2][-1] == "e" and got[2].count(" ") == quality.TRAIN_PASSAGES - 1
+    """Whole: what tells good from bad stands in the middle of texts of many chunks."""
     kept = [i for i in range(100) if zlib.crc32(str(i).encode()) % 5][:20]
-    docs = spark.createDataFrame([(i, ("good text " if i % 2 else "BAD!! ") * 9000) for i in kept], "doc_id long, text string")
+    text = lambda i: "some words " * 6000 + ("good text " if i % 2 else "BAD!! ##") * 800 + "some words " * 6000
+    docs = spark.createDataFrame([(i, text(i)) for i in kept], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in kept], "doc_id long, quality int")
     assert all(r.predicted == r.doc_id % 2 for r in quality.classify(docs, labels).collect())
 
 
+def test_the_sample_is_bounded(spark):
+    docs = spark.createDataFrame([(i, "x" * 1000) for i in range(50)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(50)], "doc_id long, quality int")
+    assert quality.train(docs, labels, most_bytes=999) is None
+    assert quality.train(docs, labels, rows=0) is None
+    assert quality.train(docs, labels, rows=3, most_bytes=2500) is not None
+
+
+def plain_network(net, text):
+    """Responses, pooling and combination of one text, value by value."""
+    step, size = quality.STEP_BLOCKS * quality.BLOCK, quality.CHUNK_BLOCKS * quality.BLOCK
+    tops, at = [], 0
+    while True:
+        chunk = text[at : at + size]
+        raw = chunk + bytes(quality.ROW - len(chunk))
+        slot = lambda i: (int.from_bytes(raw[i : i + 8], "little") * 0x9E3779B97F4A7C15 % (1 << 64)) >> 52  # noqa: B023, E731
+        seen = Counter(slot(i) for i in range(len(chunk) - 7))
+        level = lambda i: (min(seen[slot(i)], 17) - 1) / 16 if i <= len(chunk) - 8 else 0.0  # noqa: B023, E731
+        blocks = []
+        for b in range(quality.ROW // quality.BLOCK):
+            own = raw[b * quality.BLOCK : (b + 1) * quality.BLOCK]
+            blocks.append([float(v) for c in own for v in net.p["embedding"][c]] + [max(level(b * quality.BLOCK + k) for k in range(quality.BLOCK))])
+        best = [0.0] * quality.FILTERS
+        for b in range(max(1, -(-len(chunk) // quality.BLOCK))):
+            for f in range(quality.FILTERS):
+                h = float(net.p["offsets"][f]) + sum(blocks[b + k][i] * float(net.p["filters"][k, i, f]) for k in range(quality.WIDTH) for i in range(len(blocks[0])))
+                best[f] = max(best[f], h)
+        tops.append(best)
+        at += step
+        if at + size - step >= len(text):
+            break
+    vector = [max(t[f] for t in tops) for f in range(quality.FILTERS)] + [sum(t[f] for t in tops) / len(tops) for f in range(quality.FILTERS)]
+    logit = sum(v * float(w) for v, w in zip(vector, net.p["outputs"], strict=True)) + float(net.p["bias"][0])
+    return 1 / (1 + math.exp(-logit))
+
+
+def test_quality_against_a_plain_network():
+    import numpy as np
+
+    net, rnd = quality.Network(4), np.random.default_rng(5)
+    net.p["outputs"], net.p["offsets"] = rnd.normal(size=2 * quality.FILTERS).astype(np.float32), rnd.normal(0, 0.2, quality.FILTERS).astype(np.float32)
+    texts = [b"", b"a", b"the river bank " * 9, rnd.bytes(700), ("é word. " * 330).encode()]
+    assert [plain_network(net, t) for t in texts] == pytest.approx(net.score(texts).tolist(), abs=2e-5)
+
+
+def test_quality_gradient_is_the_slope_of_the_loss():
+    import numpy as np
+
+    net, rnd = quality.Network(6), np.random.default_rng(7)
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    net.p["outputs"] = rnd.normal(size=2 * quality.FILTERS)
+    texts, labels = [rnd.bytes(400), b"the river bank and " * 40, rnd.bytes(5000), b"x"], np.array([1.0, 0.0, 0.0, 1.0])
+
+    def loss():
+        owner, pooled, *_ = net.peaks(texts, batch=2)
+        logit = net.combine(pooled, owner) @ net.p["outputs"] + net.p["bias"]
+        weight = np.where(labels > 0, 1, (1 - quality.THRESHOLD) / quality.THRESHOLD)
+        return float((weight * (np.logaddexp(0, logit) - labels * logit)).mean())
+
+    for name, g in net.gradient(texts, labels).items():
+        for _ in range(6):
+            at = tuple(rnd.integers(0, n) for n in g.shape)
+            before, d = float(net.p[name][at]), 1e-3
+            net.p[name][at] = before + d
+            up = loss()
+            net.p[name][at] = before - d
+            slope = (up - loss()) / (2 * d)
+            net.p[name][at] = before
+            assert float(g[at]) == pytest.approx(slope, rel=0.08, abs=3e-4), name
+
+
 def test_cropped_passages():
     import numpy as np
 

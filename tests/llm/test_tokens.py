@@ -95,3 +95,39 @@ def test_elias_fano(n, step):
     own = tokenfile.EliasFano.load(tokenfile.EliasFano.build(values).dump())
     for i, j in [(0, n), (n // 2, n), (n // 3, n // 3 + 1), (n, n)]:
         assert own.select(i, j).tolist() == values[i:j].tolist()
+
+
+def test_doc_ids_of_any_width(spark, library):
+    ids = [-(2**63), -6 * 10**18, -1, 0, 1, 6 * 10**18, 2**63 - 1]
+    df = spark.createDataFrame([(i, f"text {i}") for i in ids], "doc_id long, text string").coalesce(1)
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        got = sorted(tokenfile.write_and_read(df).collect(), key=lambda r: r.start)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert [r.doc_id for r in got] == ids
+    assert [r.n_tokens for r in got] == [len(library.encode(f"text {i}", add_special_tokens=False).ids) + 1 for i in ids]
+
+
+def test_elias_fano_of_64_bits():
+    values = np.array([0, 1, 2**63 - 1, 2**63, 2**64 - 2, 2**64 - 1, 2**64 - 1], np.uint64)
+    own = tokenfile.EliasFano.load(tokenfile.EliasFano.build(values).dump())
+    assert own.select(0, 7).view(np.uint64).tolist() == values.tolist() and own.select(3, 5).view(np.uint64).tolist() == values[3:5].tolist()
+
+
+def test_special_tokens_of_any_look(tmp_path):
+    """Not only those that begin with a bracket of one kind."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    with open(bpe.default_tokenizer(), encoding="utf-8") as f:
+        spec = json.load(f)
+    last = max([*spec["model"]["vocab"].values(), *(t["id"] for t in spec["added_tokens"])])
+    spec["added_tokens"] += [{"id": last + 1 + k, "content": c, "single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": True} for k, c in enumerate(["[PAD]", "§§"])]
+    path = tmp_path / "more.json"
+    path.write_text(json.dumps(spec))
+    library = Tokenizer.from_file(str(path))
+    texts = ["a [PAD] b§§c", "[PAD]", "[PA", "no special", "§", "<|x|> [PAD]"]
+    found = bpe.PairIndexCodec(str(path)).encode(texts)
+    assert [x.tolist() for x in found] == [library.encode(t, add_special_tokens=False).ids for t in texts]
