@@ -40,7 +40,7 @@ from gridweave.llm.shingles import mix, powers, word_hashes
 WINDOW, RUN = 50, 20
 #: Windows that are hashed at a time.
 BLOCK = 1 << 17
-SPACE = r"[\x20\x09-\x0D]"
+SPACES = "\t\n\x0b\x0c\r"
 
 
 def rolling(words: np.ndarray, n: int) -> np.ndarray:
@@ -89,25 +89,30 @@ def unsigned(values: list[int] | None) -> np.ndarray:
 
 
 def normal(text: str = "text") -> Column:
-    """The words with one space between."""
-    whole = F.coalesce(F.col(text), F.lit(""))
-    return F.regexp_replace(F.regexp_replace(whole, rf"^{SPACE}+|{SPACE}+\z", ""), f"{SPACE}+", " ")
+    """The words with one space between. Plain replacements come first, as most texts need no pattern then."""
+    spaced = F.coalesce(F.col(text), F.lit(""))
+    for c in SPACES:
+        spaced = F.replace(spaced, F.lit(c), F.lit(" "))
+    return F.trim(F.when(F.contains(spaced, F.lit("  ")), F.regexp_replace(spaced, " {2,}", " ")).otherwise(spaced))
 
 
 def marks_of(rows: DataFrame, window: int, run: int) -> DataFrame:
-    """(text_hash, mark): the different marks of each row (text_hash, words)."""
+    """A row (text_hash, digest, doc_id) for each row (doc_id, text_hash, words), and rows (text_hash, mark): the different marks of those with doc_id."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks([batch], "words"):
-                keys, out, count = part.column("text_hash").to_numpy(zero_copy_only=False), [], []
-                for words in documents_of(part):
-                    found = np.unique(windows(words, window, run)[1])
+                ids, keys, out, count = part.column("doc_id"), part.column("text_hash").to_numpy(zero_copy_only=False), [], []
+                for words, named in zip(documents_of(part), ids.is_valid().to_pylist(), strict=True):
+                    found = np.unique(windows(words, window, run)[1]) if named else np.zeros(0, np.uint64)
                     out.append(found)
                     count.append(len(found))
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(keys, count)), signed(np.concatenate(out))], names=["text_hash", "mark"])
+                n = sum(count)
+                digests = [hashlib.md5(t.encode(), usedforsecurity=False).digest() for t in part.column("words").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("text_hash"), pa.nulls(len(ids), pa.int64()), ids, pa.array(digests, pa.binary())], names=["text_hash", "mark", "doc_id", "digest"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(keys, count)), signed(np.concatenate(out)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], names=["text_hash", "mark", "doc_id", "digest"])
 
-    return rows.select("text_hash", "words").mapInArrow(step, "text_hash long, mark long")
+    return rows.select("doc_id", "text_hash", "words").mapInArrow(step, "text_hash long, mark long, doc_id long, digest binary")
 
 
 def candidates(documents: DataFrame, window: int, run: int, whole: bool) -> DataFrame:
@@ -116,16 +121,15 @@ def candidates(documents: DataFrame, window: int, run: int, whole: bool) -> Data
     marks: those that other texts have too; null where there are none, and in copies of a smaller document.
     words: null where marks is, unless ``whole``.
     """
-    words = normal()
-    rows = documents.select("doc_id", words.alias("words"))
-    rows = rows.withColumns({"text_hash": F.xxhash64("words"), "digest": F.unhex(F.md5("words"))})
-    marks = stored(marks_of(rows.where("doc_id is not null"), window, run), "marks")
+    rows = documents.select("doc_id", normal().alias("words")).withColumn("text_hash", F.xxhash64("words"))
+    table = stored(marks_of(rows, window, run), "marks")
+    marks = table.where("mark is not null").select("text_hash", "mark")
     shared = marks.groupBy("mark").agg(F.min("text_hash").alias("a"), F.max("text_hash").alias("b")).where("a < b").select("mark")
     held = marks.join(shared, "mark").groupBy("text_hash").agg(F.collect_set("mark").alias("marks"))
-    known = rows.groupBy("digest", "text_hash").agg(F.min("doc_id").alias("first")).join(held, "text_hash", "left").select("digest", "first", "marks")
+    known = table.where("mark is null").groupBy("digest", "text_hash").agg(F.min("doc_id").alias("first")).join(held, "text_hash", "left").select("digest", "first", "marks")
     own = F.when(F.col("doc_id") == F.col("first"), F.col("marks"))
-    n = F.when(F.col("words") == "", 0).otherwise(F.length("words") - F.length(F.translate("words", " ", "")) + 1).cast("long")
-    met = rows.join(known, "digest").select("doc_id", "text_hash", n.alias("n_words"), F.sha2("words", 256).alias("kept_sha256"), "first", own.alias("marks"), "words")
+    n = F.when(F.col("words") == "", 0).otherwise(F.length("words") - F.length(F.replace("words", F.lit(" "), F.lit(""))) + 1).cast("long")
+    met = rows.withColumn("digest", F.unhex(F.md5("words"))).join(known, "digest").select("doc_id", "text_hash", n.alias("n_words"), F.sha2("words", 256).alias("kept_sha256"), "first", own.alias("marks"), "words")
     return met if whole else met.withColumn("words", F.when(F.col("marks").isNotNull(), F.col("words")))
 
 
@@ -157,7 +161,7 @@ def cuts(edges: DataFrame) -> DataFrame:
 
 
 def pieces(rows: DataFrame, window: int, run: int) -> DataFrame:
-    """(digest, doc_id, text_hash, start_word, n_words): the paths of each document (doc_id, text_hash, words, marks, starts, ends)."""
+    """(digest, doc_id, text_hash, at, n_words): the paths of each document (doc_id, text_hash, words, marks, starts, ends), and all words where one begins."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -176,12 +180,14 @@ def pieces(rows: DataFrame, window: int, run: int) -> DataFrame:
                     end = stops[np.searchsorted(stops, begin, "right")] + window - 1
                     raw = text.encode()
                     gaps = np.concatenate([[-1], np.flatnonzero(np.frombuffer(raw, np.uint8) == 32), [len(raw)]])
+                    places: dict[tuple[bytes, int], list[int]] = {}
                     for i, j in zip(begin.tolist(), end.tolist(), strict=True):
-                        out.append((hashlib.md5(raw[gaps[i] + 1 : gaps[j]], usedforsecurity=False).digest(), doc_id, text_hash, i, j - i))
+                        places.setdefault((hashlib.md5(raw[gaps[i] + 1 : gaps[j]], usedforsecurity=False).digest(), j - i), []).append(i)
+                    out += [(digest, doc_id, text_hash, at, n) for (digest, n), at in places.items()]
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["digest", "doc_id", "text_hash", "start_word", "n_words"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64()), strict=True)], names=["digest", "doc_id", "text_hash", "at", "n_words"])
 
-    return rows.select("doc_id", "text_hash", "words", "marks", "starts", "ends").mapInArrow(step, "digest binary, doc_id long, text_hash long, start_word long, n_words long")
+    return rows.select("doc_id", "text_hash", "words", "marks", "starts", "ends").mapInArrow(step, "digest binary, doc_id long, text_hash long, at array<long>, n_words long")
 
 
 def traced(documents: DataFrame, window: int, run: int, whole: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -189,9 +195,9 @@ def traced(documents: DataFrame, window: int, run: int, whole: bool = False) ->
     rows = stored(candidates(documents, window, run, whole), "candidates")
     marked = rows.where("marks is not null")
     parts = stored(pieces(marked.join(cuts(graph(marked, window, run)), "text_hash", "left"), window, run), "pieces")
-    source = parts.groupBy("digest").agg(F.min(F.struct("doc_id", "start_word")).alias("source"))
+    source = parts.groupBy("digest").agg(F.min(F.struct("doc_id", F.get("at", F.lit(0)).alias("start_word"))).alias("source"))
     repeated = parts.join(source, "digest").where(F.col("source.doc_id") < F.col("doc_id"))
-    return rows, repeated.select("doc_id", "text_hash", "start_word", "n_words", F.col("source.doc_id").alias("source_doc_id"), F.col("source.start_word").alias("source_start"))
+    return rows, repeated.select("doc_id", "text_hash", F.explode("at").alias("start_word"), "n_words", F.col("source.doc_id").alias("source_doc_id"), F.col("source.start_word").alias("source_start"))
 
 
 def is_copy(window: int) -> Column:
