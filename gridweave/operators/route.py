@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridweave.functions import geo
 from gridweave.operators.nearest import nearest
+from gridweave.storage import stored
 
 NEIGHBOURS = 5
 
@@ -85,52 +86,154 @@ class Ring:
         return self.edges, open_
 
 
-#: Nodes of a ring. A cell of more has several rings, all through its transition point.
+#: Nodes that one task makes a ring of. A cell of more is made of such rings, which are then joined.
 RING_NODES = 1000
+#: Edges of either side that a junction is looked for among, at first.
+JUNCTION_EDGES = 200
 
 
-def z_order(lat: str, lon: str, bits: int = 20) -> Column:
-    """A place's number on a curve that keeps near places together."""
-    parts = [(F.least(F.greatest((F.col(c) + shift) / width, F.lit(0.0)), F.lit(1.0)) * ((1 << bits) - 1)).cast("long") for c, shift, width in ((lat, 90, 180), (lon, 180, 360))]
-    out = F.lit(0).cast("long")
-    for k in range(bits):
-        for i, x in enumerate(parts):
-            out = out.bitwiseOR(F.shiftleft(F.shiftright(x, k).bitwiseAND(F.lit(1).cast("long")), 2 * k + i))
+def halves(points: DataFrame, most: int) -> tuple[DataFrame, list[DataFrame]]:
+    """points with their part, and the lines that part them: (cell_id, part, level, at, width), a table for each round.
+
+    Parts of more than ``most`` nodes are halved at the median of their longer side. Each has a rectangle
+    of its own, so that no straight line between nodes of one crosses one of another. The halves of part p
+    are 2 p and 2 p + 1; nodes at one and the same place stay together.
+    """
+    parts, lines = points.withColumn("part", F.lit(1).cast("long")), []
+    while True:
+        box = [f(c).alias(f"{n}_{c}") for c in ("lat", "lon") for n, f in (("min", F.min), ("max", F.max), ("mid", lambda c: F.percentile_approx(c, 0.5)))]
+        sizes = parts.groupBy("cell_id", "part").agg(F.count(F.lit(1)).alias("n"), *box).where(F.col("n") > most)
+        tall, wide = F.col("max_lat") - F.col("min_lat"), F.col("max_lon") - F.col("min_lon")
+        upright = tall >= wide
+        side = lambda name: F.when(upright, F.col(f"{name}_lat")).otherwise(F.col(f"{name}_lon"))  # noqa: B023, E731
+        at = F.when(side("mid") < side("max"), side("mid")).otherwise((side("min") + side("max")) / 2)
+        width = F.greatest(4 * F.sqrt(tall * wide / F.col("n")), 8 * F.greatest(tall, wide) / F.col("n"))
+        lines.append(stored(sizes.where(side("min") < side("max")).select("cell_id", "part", upright.alias("upright"), at.alias("at"), width.alias("width")), "lines"))
+        if lines[-1].isEmpty():
+            return parts, lines[:-1]
+        where = F.when(F.col("upright"), F.col("lat")).otherwise(F.col("lon"))
+        moved = parts.join(lines[-1].drop("width"), ["cell_id", "part"], "left").withColumn("part", F.when(F.col("at").isNull(), F.col("part")).otherwise(F.col("part") * 2 + (where > F.col("at")).cast("long")))
+        parts = stored(moved.drop("upright", "at"), "parts")
+
+
+def crossing(p: np.ndarray, q: np.ndarray, r: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """As ``cross``, of one segment p-q and many r-s."""
+    turn = lambda a, b, c: (b[..., 1] - a[..., 1]) * (c[..., 0] - a[..., 0]) - (b[..., 0] - a[..., 0]) * (c[..., 1] - a[..., 1])
+    between = lambda x, a, b: ((np.minimum(a, b) <= x) & (x <= np.maximum(a, b))).all(-1)
+    sides = [turn(p, q, r), turn(p, q, s), turn(r, s, p), turn(r, s, q)]
+    proper = (np.sign(sides[0]) * np.sign(sides[1]) < 0) & (np.sign(sides[2]) * np.sign(sides[3]) < 0)
+    touching = sum(((x == 0) & between(*w)).astype(int) for x, w in zip(sides, ((r, p, q), (s, p, q), (p, r, s), (q, r, s)), strict=True))
+    return proper | (touching > 2)
+
+
+#: An edge of a ring: its ends and their places. Both ends are one node where a ring has no other; twice: a ring of two nodes goes along it twice.
+EDGE = "part long, a_id long, b_id long, a_lat double, a_lon double, b_lat double, b_lon double, twice boolean"
+FIELDS = [c.split()[0] for c in EDGE.split(", ")]
+
+
+def junction(pdf: pd.DataFrame) -> pd.DataFrame:
+    """What joins two rings on either side of a line into one: an edge of each goes, two between them come.
+
+    Of the edges nearest to the line, those whose exchange adds least and crosses nothing; none if there are
+    no such. done tells what goes (false) and what comes.
+    """
+    pdf = pdf.sort_values(["part", "a_id", "b_id"], ignore_index=True)
+    upright, at, tries = bool(pdf.upright.iloc[0]), float(pdf["at"].iloc[0]), int(pdf.tries.iloc[0])
+    a, b = pdf[["a_lat", "a_lon"]].to_numpy(), pdf[["b_lat", "b_lon"]].to_numpy()
+    far = np.minimum(abs(a[:, 1 - upright] - at), abs(b[:, 1 - upright] - at))
+    left = pdf.part.to_numpy() % 2 == 0
+    near = lambda own: np.flatnonzero(own)[np.argsort(far[own], kind="stable")[: JUNCTION_EDGES << tries]]
+    one, two = near(left), near(~left)
+    scale = np.array([1.0, np.cos(np.radians(a[:, 0].mean()))])
+    length = lambda x, y: np.sqrt((((x - y) * scale) ** 2).sum(-1))
+    gone = length(a[one], b[one])[:, None] + length(a[two], b[two])
+    way = lambda x, y: length(x[one][:, None], y[two][None])
+    cost = np.stack([way(a, a) + way(b, b), way(a, b) + way(b, a)]) - gone
+    order, ids = np.argsort(cost.ravel(), kind="stable"), pdf[["a_id", "b_id"]].to_numpy()
+    out = pd.DataFrame(columns=["cell_id", "done", *FIELDS])
+    for k in order.tolist():
+        turned, i, j = np.unravel_index(k, cost.shape)
+        i, j = int(one[i]), int(two[j])
+        c, d = (b, a) if turned else (a, b)
+        stays = np.ones(len(pdf), bool)
+        stays[[i, j]] = pdf.twice.to_numpy()[[i, j]]
+        dots = bool((ids[[i, j], 0] == ids[[i, j], 1]).all())  # two nodes become a ring of two
+        if crossing(a[i], c[j], a[stays], b[stays]).any() or crossing(b[i], d[j], a[stays], b[stays]).any() or not dots and bool(crossing(a[i], c[j], b[i][None], d[j][None])[0]):
+            continue
+        cell, up = int(pdf.cell_id.iloc[0]), int(pdf.part.iloc[0]) // 2
+        ends = (ids[j][::-1] if turned else ids[j]).tolist()
+        rows = [(cell, False, int(pdf.part[k]), *ids[k].tolist(), *a[k], *b[k], bool(pdf.twice[k])) for k in (i, j)]
+        rows += [(cell, True, up, *ids[k].tolist(), *a[k], *b[k], False) for k in (i, j) if pdf.twice[k] and ids[k][0] != ids[k][1]]
+        rows.append((cell, True, up, int(ids[i][0]), ends[0], *a[i], *c[j], dots))
+        rows += [] if dots else [(cell, True, up, int(ids[i][1]), ends[1], *b[i], *d[j], False)]
+        return pd.DataFrame(rows, columns=out.columns)
     return out
 
 
-def ring_parts(points: DataFrame, most: int) -> DataFrame:
-    """points with the number of their ring: along the curve, as many equal parts as rings of ``most`` nodes need; the transition point is in each."""
-    first = points.groupBy("cell_id").agg(F.min_by("node_id", F.struct(~F.col("is_transition"), "node_id")).alias("_first"), F.ceil(F.greatest(F.count(F.lit(1)) - 1, F.lit(1)) / max(1, most - 1)).cast("int").alias("_rings"))
-    marked = points.join(first, "cell_id").withColumn("is_transition", F.col("node_id") == F.col("_first"))
-    place = Window.partitionBy("cell_id").orderBy(z_order("lat", "lon"), "node_id")
-    others = marked.where("not is_transition").withColumn("ring_no", F.floor((F.row_number().over(place) - 1) / max(1, most - 1)).cast("int"))
-    shared = marked.where("is_transition").withColumn("ring_no", F.explode(F.sequence(F.lit(0), F.col("_rings") - 1)))
-    return others.unionByName(shared).drop("_first", "_rings")
+def join_rings(edges: DataFrame, lines: DataFrame, begin: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """edges (cell_id, EDGE), with the rings on either side of each line (cell_id, part, upright, at, width) made one, part's; and (cell_id, node_id, lat, lon) that nothing joins.
+
+    A task holds the edges in a band about a line, and of no more is a junction looked for; the band is
+    widened where none is found, at last to all edges of both rings. Where every junction crosses an edge,
+    the ring without the cell's transition point (begin: cell_id, leaf, the part that holds it) goes.
+    """
+    open_, spread, tries = lines, 1.0, 0
+    while True:
+        own = edges.withColumn("_up", F.floor(F.col("part") / 2)).join(open_.withColumnRenamed("part", "_up"), ["cell_id", "_up"])
+        low, high = (f(F.when(F.col("upright"), F.col("a_lat")).otherwise(F.col("a_lon")), F.when(F.col("upright"), F.col("b_lat")).otherwise(F.col("b_lon"))) for f in (F.least, F.greatest))
+        near = own.where((high >= F.col("at") - F.col("width") * spread) & (low <= F.col("at") + F.col("width") * spread)).withColumn("tries", F.lit(tries))
+        both = near.groupBy("cell_id", "_up").agg(F.countDistinct("part").alias("_n")).where("_n = 2").drop("_n")
+        found = stored(near.join(both, ["cell_id", "_up"], "left_semi").groupBy("cell_id", "_up").applyInPandas(junction, f"cell_id long, done boolean, {EDGE}"), "junctions")
+        gone = found.where("not done").select("cell_id", "a_id", "b_id", "part")
+        joined = stored(found.where("done").select("cell_id", F.col("part").alias("_up")).distinct(), "joined")
+        kept = edges.join(gone, ["cell_id", "part", "a_id", "b_id"], "left_anti").withColumn("_up", F.floor(F.col("part") / 2)).join(joined.withColumn("_in", F.lit(True)), ["cell_id", "_up"], "left")
+        kept = kept.withColumn("part", F.when(F.col("_in"), F.col("_up")).otherwise(F.col("part"))).select("cell_id", *FIELDS)
+        edges = stored(kept.unionByName(found.where("done").drop("done")), "rings")
+        open_ = stored(open_.join(joined.withColumnRenamed("_up", "part"), ["cell_id", "part"], "left_anti"), "lines")
+        if open_.isEmpty():
+            return edges, edges.where("false").select("cell_id", F.col("a_id").alias("node_id"))
+        if spread > 1e9:
+            break
+        spread, tries = spread * (4 if tries < 6 else 1e9), tries + 1
+    second = F.col("part") * 2 + 1
+    lost = open_.join(begin, "cell_id").select("cell_id", F.when(F.startswith(F.bin("leaf"), F.bin(second)), second - 1).otherwise(second).alias("part"))
+    at = edges.join(lost, ["cell_id", "part"], "left_semi")
+    held = edges.join(lost, ["cell_id", "part"], "left_anti").withColumn("_up", F.floor(F.col("part") / 2)).join(open_.select("cell_id", F.col("part").alias("_up"), F.lit(True).alias("_in")), ["cell_id", "_up"], "left")
+    held = held.withColumn("part", F.when(F.col("_in"), F.col("_up")).otherwise(F.col("part"))).select("cell_id", *FIELDS)
+    return held, at.select("cell_id", F.explode(F.array("a_id", "b_id")).alias("node_id")).distinct()
 
 
 def ring_routes(points: DataFrame, most: int = RING_NODES) -> DataFrame:
-    """The rings of each cell: points (cell_id, node_id, lat, lon, is_transition) to edges (cell_id, a_id, b_id, dist_m, joined).
+    """The ring of each cell: points (cell_id, node_id, lat, lon, is_transition) to edges (cell_id, a_id, b_id, dist_m, joined).
 
     A cell has one transition point; with none the least node_id is it, of several the least. A cell of
     one node has no edge, of two one edge. Nodes that can't be joined without a crossing come as rows
-    without b_id. A cell of more than ``most`` nodes has several rings, each of nodes near each other, so
-    that a task holds one ring of bounded size.
+    without b_id. In a cell of more than ``most`` nodes the rings of its parts are joined, so no task holds
+    a cell; its ring crosses itself as little as another.
     """
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["is_transition", "node_id"], ascending=[False, True])
-        ids = [int(x) for x in pdf.node_id]
-        ring = Ring(list(zip(pdf.lat, pdf.lon, strict=True)))
-        edges, open_ = ring.solve()
-        rows = sorted((min(ids[a], ids[b]), max(ids[a], ids[b]), float(ring.d[a, b]), True) for a, b in edges)
-        rows += [(ids[i], None, None, False) for i in open_]
-        out = pd.DataFrame(rows, columns=["a_id", "b_id", "dist_m", "joined"]).astype({"b_id": "Int64"})
-        out.insert(0, "cell_id", int(pdf.cell_id.iloc[0]))
-        return out
-
-    parts = ring_parts(points.select("cell_id", "node_id", "lat", "lon", "is_transition"), most)
-    return parts.groupBy("cell_id", "ring_no").applyInPandas(solve, "cell_id long, a_id long, b_id long, dist_m double, joined boolean")
+        ids, places = [int(x) for x in pdf.node_id], list(zip(pdf.lat, pdf.lon, strict=True))
+        edges, open_ = Ring(places).solve()
+        alone = {0} if len(ids) == 1 else set()
+        ends = sorted((*sorted((a, b), key=ids.__getitem__), True) for a, b in edges) + [(i, i, True) for i in alone] + [(i, i, False) for i in open_]
+        rows = [(int(pdf.cell_id.iloc[0]), int(pdf.part.iloc[0]), ids[a], ids[b] if joined else None, *places[a], *places[b], len(ids) == 2) for a, b, joined in ends]
+        return pd.DataFrame(rows, columns=["cell_id", *FIELDS]).astype({"b_id": "Int64"})
+
+    own = points.select("cell_id", "node_id", "lat", "lon", F.coalesce("is_transition", F.lit(False)).alias("is_transition"))
+    parts, lines = halves(own, most)
+    first = own.groupBy("cell_id").agg(F.min_by("node_id", F.struct(~F.col("is_transition"), "node_id")).alias("_first"))
+    begun = parts.join(first, "cell_id").withColumn("is_transition", F.col("node_id") == F.col("_first")).drop("_first")
+    rings = stored(begun.groupBy("cell_id", "part").applyInPandas(solve, f"cell_id long, {EDGE}"), "rings")
+    edges, left = rings.where("b_id is not null"), rings.where("b_id is null").select("cell_id", F.col("a_id").alias("node_id"))
+    for level in reversed(lines):
+        edges, lost = join_rings(edges, level, begun.where("is_transition").select("cell_id", F.col("part").alias("leaf")))
+        left = left.unionByName(lost)
+    if lines:
+        left = left.unionByName(edges.where("a_id = b_id").join(lines[0].select("cell_id"), "cell_id", "left_semi").select("cell_id", F.col("a_id").alias("node_id")))
+    made = edges.where("a_id <> b_id").select("cell_id", F.least("a_id", "b_id").alias("a_id"), F.greatest("a_id", "b_id").alias("b_id"), geo.haversine("a_lat", "a_lon", "b_lat", "b_lon").alias("dist_m"), F.lit(True).alias("joined"))
+    return made.unionByName(left.select("cell_id", F.col("node_id").alias("a_id"), F.lit(None).cast("long").alias("b_id"), F.lit(None).cast("double").alias("dist_m"), F.lit(False).alias("joined")))
 
 
 def hull(places: list[tuple[float, float]]) -> list[tuple[float, float]]:

@@ -440,21 +440,37 @@ def test_paths_in_shares(spark):
     assert one == many and len(one) == sources.count() * (sources.count() - 1)
 
 
-def test_large_cells_have_several_rings(spark):
+@pytest.mark.parametrize(("most", "size"), [(20, 90), (1, 13)])
+def test_large_cells_have_one_ring(spark, most, size):
+    """Made of the rings of parts: one ring a cell, none of its edges cross, and no node is lost."""
     rnd = random.Random(8)
-    rows = [(1, i, 50 + rnd.random(), 7 + rnd.random(), i == 17) for i in range(60)] + [(2, 100 + i, 40 + rnd.random(), rnd.random(), False) for i in range(5)]
+    rows = [(1, i, 50 + rnd.random(), 7 + rnd.random(), i == 17) for i in range(max(18, size))] + [(2, 100 + i, 40 + rnd.random(), rnd.random(), False) for i in range(5)]
+    rows += [(3, 200 + i, 50 + i * 1e-3, 7.0, None) for i in range(size // 2)] + [(4, 300 + i, 50 + (i // 8) * 0.1, 7 + (i % 8) * 0.1, False) for i in range(size)]
     df = spark.createDataFrame(rows, "cell_id long, node_id long, lat double, lon double, is_transition boolean")
-    got = route.ring_routes(df, 20).collect()
-    at = {}
-    for r in got:
-        if r.joined:
-            at.setdefault(r.a_id, []).append(r.b_id)
-            at.setdefault(r.b_id, []).append(r.a_id)
-    left = {r.a_id for r in got if not r.joined}
-    assert set(at) | left == {r[1] for r in rows} and len(at[17]) == 2 * 4
-    assert all(len(x) == 2 for k, x in at.items() if k != 17)
-    whole = lambda most: sorted((r.a_id, r.b_id or 0) for r in route.ring_routes(df, most).collect())
-    assert whole(60) == whole(10**6)
+    got = route.ring_routes(df, most).collect()
+    place = {r[1]: r[2:4] for r in rows}
+    for cell in (1, 2, 3, 4):
+        own = [r for r in got if r.cell_id == cell]
+        edges, left = {(r.a_id, r.b_id) for r in own if r.joined}, {r.a_id for r in own if not r.joined}
+        at: dict[int, list[int]] = {}
+        for x, y in edges:
+            at.setdefault(x, []).append(y)
+            at.setdefault(y, []).append(x)
+        nodes = {r[1] for r in rows if r[0] == cell}
+        assert set(at) | left == nodes and not set(at) & left
+        if cell == 3:  # on a line every junction lies on an edge
+            continue
+        assert all(len(x) == 2 for x in at.values())
+        walk, before = [min(at)], None
+        while len(walk) == 1 or walk[-1] != walk[0]:
+            before, step = walk[-1], next(n for n in at[walk[-1]] if n != before) if len(walk) > 1 else at[walk[0]][0]
+            walk.append(step)
+        assert set(walk) == set(at), "one ring"
+        assert not any(route.cross(*(place[n] for n in (*e, *f))) for e, f in itertools.combinations(sorted(edges), 2))
+        assert all(r.dist_m == pytest.approx(metres(place[r.a_id], place[r.b_id])) for r in own if r.joined)
+    if most == 20:
+        whole = lambda most: sorted((r.cell_id, r.a_id, r.b_id or 0) for r in route.ring_routes(df, most).collect())
+        assert whole(90) == whole(10**6)
 
 
 def test_medoids_reach_the_best_single_swap():
