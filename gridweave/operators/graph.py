@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from gridweave.functions import geo
 from gridweave.operators.components import components
+from gridweave.operators.nearest import cells_passed, line
 
 
 class GraphError(ValueError):
@@ -176,18 +177,15 @@ def polygon_subgraph(edges: DataFrame, covered: DataFrame) -> DataFrame:
 def edge_crossings(segments: DataFrame, cell_deg: float = 0.01) -> DataFrame:
     """Pairs (first, second) of segments (edge_id, a_lat, a_lon, b_lat, b_lon) that cross, first < second.
 
-    Segments meet in the cells that their boxes cover; cell_deg should be about a segment's length.
+    Segments meet in the cells that they pass; cell_deg should be about a segment's length.
     """
-    spans = [F.sequence(geo.cell(F.least(f"a_{k}", f"b_{k}"), cell_deg), geo.cell(F.greatest(f"a_{k}", f"b_{k}"), cell_deg)) for k in ("lat", "lon")]
-    placed = segments.withColumn("y", F.explode(spans[0])).withColumn("x", F.explode(spans[1]))
     columns = ["edge_id", "a_lat", "a_lon", "b_lat", "b_lon"]
-    left, right = (placed.select("y", "x", *[F.col(c).alias(f"{side}_{c}") for c in columns]) for side in ("l", "r"))
-    corner = lambda f, k: geo.cell(f(*[F.least(f"{s}_a_{k}", f"{s}_b_{k}") for s in "lr"]), cell_deg)
-    met = left.join(right, ["y", "x"]).where("l_edge_id < r_edge_id")
-    once = met.where((F.col("y") == corner(F.greatest, "lat")) & (F.col("x") == corner(F.greatest, "lon")))  # of the cells they share, the first
+    placed = cells_passed(segments.select(columns), line(["a_lat", "b_lat"], ["a_lon", "b_lon"]), cell_deg)
+    left, right = (placed.select("_y", "_x", *[F.col(c).alias(f"{side}_{c}") for c in columns]) for side in ("l", "r"))
+    met = left.join(right, ["_y", "_x"]).where("l_edge_id < r_edge_id")
     point = lambda s, k: [F.col(f"{s}_{k}_lat"), F.col(f"{s}_{k}_lon")]
     crossing = geo.segments_cross(point("l", "a"), point("l", "b"), point("r", "a"), point("r", "b"))
-    return once.where(crossing).select(F.col("l_edge_id").alias("first"), F.col("r_edge_id").alias("second"))
+    return met.where(crossing).select(F.col("l_edge_id").alias("first"), F.col("r_edge_id").alias("second")).distinct()
 
 
 def adjacency(a_ids, b_ids, metres) -> dict[int, list[tuple[int, float]]]:

@@ -22,8 +22,20 @@ def around(lat: str, lon: str, size: float) -> list[Column]:
     return [F.explode(F.transform(F.array(*[F.lit(k) for k in (-1, 0, 1)]), lambda d: geo.cell(c, size) + d)) for c in (lat, lon)]  # noqa: B023
 
 
-def covered(lats: list[str], lons: list[str], size: float) -> list[Column]:
-    return [F.explode(F.sequence(geo.cell(F.least(*cs), size), geo.cell(F.greatest(*cs), size))) for cs in (lats, lons)]
+def cells_passed(df: DataFrame, e: Column, size: float) -> DataFrame:
+    """df by the cells (_y, _x) that a line e (a_lat, a_lon, b_lat, b_lon) passes or just misses: about its length in cells, not its box."""
+    near = size * 1e-3
+    low, high = F.least(e["a_lat"], e["b_lat"]), F.greatest(e["a_lat"], e["b_lat"])
+    rows = df.withColumn("_y", F.explode(F.sequence(geo.cell(low - near, size), geo.cell(high + near, size))))
+    level = e["a_lat"] == e["b_lat"]
+    ends = [geo.lon_at(e, F.least(F.greatest(low, F.col("_y") * size - near), high)), geo.lon_at(e, F.greatest(F.least(high, (F.col("_y") + 1) * size + near), low))]
+    west = F.when(level, F.least(e["a_lon"], e["b_lon"])).otherwise(F.least(*ends))
+    east = F.when(level, F.greatest(e["a_lon"], e["b_lon"])).otherwise(F.greatest(*ends))
+    return rows.withColumn("_x", F.explode(F.sequence(geo.cell(west - near, size), geo.cell(east + near, size))))
+
+
+def line(lats: list[str], lons: list[str]) -> Column:
+    return F.struct(*[F.col(c).alias(n) for c, n in zip((lats[0], lons[0], lats[1], lons[1]), ("a_lat", "a_lon", "b_lat", "b_lon"), strict=True)])
 
 
 #: From a cell of this many degrees on, a point's cell and those around it hold every place.
@@ -49,8 +61,7 @@ def nearest(points: DataFrame, key: str, things: DataFrame, thing_lats: list[str
     best = Window.partitionBy(key).orderBy(F.asc_nulls_last("dist_m"), *order)
     for cell_deg in sizes(size):
         p = left.withColumn("_y", around("lat", "lon", cell_deg)[0]).withColumn("_x", around("lat", "lon", cell_deg)[1])
-        y, x = covered(thing_lats, thing_lons, cell_deg)
-        t = things.withColumn("_y", y).withColumn("_x", x)
+        t = cells_passed(things, line(thing_lats, thing_lons), cell_deg)
         ranked = measured(p.join(t, ["_y", "_x", *by], "left")).withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n", "_y", "_x")
         # one degree of longitude is shorter the farther from the equator; near a pole nothing is sure before the last round
         narrow = F.cos(F.radians(F.least(F.abs("lat") + cell_deg, F.lit(90.0))))
@@ -101,14 +112,9 @@ def ring_cells(rings: DataFrame, ring_key: str, size: float) -> DataFrame:
     """
     named = rings.select(ring_key, F.xxhash64("ring").alias("_r"), "ring").dropDuplicates([ring_key, "_r"])  # before the edges part, so that none carries the ring
     own = named.select(ring_key, "_r", F.explode(geo.ring_edges("ring")).alias("e"))
-    e, near = F.col("e"), size * 1e-3  # an edge is entered in cells that it just misses too
-    low, high = F.least("e.a_lat", "e.b_lat"), F.greatest("e.a_lat", "e.b_lat")
-    rows = own.withColumn("_y", F.explode(F.sequence(geo.cell(low - near, size), geo.cell(high + near, size))))
-    level = F.col("e.a_lat") == F.col("e.b_lat")
-    ends = [geo.lon_at(e, F.least(F.greatest(low, F.col("_y") * size), high)), geo.lon_at(e, F.greatest(F.least(high, (F.col("_y") + 1) * size), low))]
-    west = F.when(level, F.least("e.a_lon", "e.b_lon")).otherwise(F.least(*ends))
-    east = F.when(level, F.greatest("e.a_lon", "e.b_lon")).otherwise(F.greatest(*ends))
-    border = rows.withColumn("_x", F.explode(F.sequence(geo.cell(west - near, size), geo.cell(east + near, size))))
+    e = F.col("e")
+    border = cells_passed(own, e, size)
+    rows = own.withColumn("_y", F.explode(F.sequence(geo.cell(F.least("e.a_lat", "e.b_lat"), size), geo.cell(F.greatest("e.a_lat", "e.b_lat"), size))))
 
     middle = (F.col("_y") + OFF_Y) * size
     crossed = rows.where((F.col("e.a_lat") > middle) != (F.col("e.b_lat") > middle)).groupBy(ring_key, "_r", "_y").agg(F.array_sort(F.collect_list(geo.lon_at(e, middle))).alias("at"))

@@ -245,19 +245,29 @@ def boundary_rings(m):
     return found.select("area_id", F.size("ring").alias("n_points"), F.round(geo.ring_area_m2("ring"), -1).alias("area_m2"))
 
 
-@query(sql("SELECT 'L'||p_partkey AS id, CAST(row_number() OVER (ORDER BY p_partkey) AS INT) AS file_order, CASE p_partkey%3 WHEN 0 THEN 0.4e0 WHEN 1 THEN 10e0 ELSE 110e0 END AS v_rated FROM part WHERE p_partkey<=500"))
+def write_types(df: DataFrame, place: str, name: str, schema: str) -> None:
+    """A type file with a row for each of df's, in its order; columns that df lacks are 0 or false."""
+    filled = [F.col(c) if c in df.columns else F.lit(False if kind == "boolean" else 0 if kind != "string" else "x").alias(c) for c, kind in (x.split() for x in schema.split(", "))]
+    df.select(*filled).coalesce(1).write.option("header", True).csv(f"{place}/{name}.csv")
+
+
+@query(sql(
+    "SELECT 'line' AS kind, 'L'||p_partkey AS id, CAST(row_number() OVER (ORDER BY p_partkey) AS INT) AS file_order, CASE p_partkey%3 WHEN 0 THEN 0.4e0 WHEN 1 THEN 10e0 ELSE 110e0 END AS v_rated FROM part"
+    " UNION ALL SELECT 'two windings', 'T'||s_suppkey, CAST(row_number() OVER (ORDER BY s_suppkey) AS INT), 10e0 FROM supplier UNION ALL SELECT 'three windings', 'W'||s_suppkey, CAST(row_number() OVER (ORDER BY s_suppkey) AS INT), 110e0 FROM supplier WHERE s_suppkey%2=0"
+))
 def asset_scan(m):
-    """Line types from files, in the files' order."""
+    """Types of lines and transformers from files, in the files' order."""
     place = f"{checkpoint_path(m)}/types-{uuid.uuid4().hex}"
-    rows = [(k, 0.4 if k % 3 == 0 else 10.0 if k % 3 == 1 else 110.0) for (k,) in m.base("part").where("p_partkey <= 500").select(F.col("p_partkey").cast("long")).orderBy("p_partkey").collect()]
-    lines = ["uuid,b,g,i_max,id,r,v_rated,x", *(f"u{k},0,0,235,L{k},0.3,{v},0.1" for k, v in rows)]
-    transformer = ["uuid,b_m,d_phi,d_v,g_m,id,r_sc,s_rated,tap_max,tap_min,tap_neutr,tap_side,v_rated_a,v_rated_b,x_sc", "t1,0,0,0.5,0,20/0.4,10,630,10,-10,0,false,20,0.4,23"]
-    for name, text in (("line_type_input", lines), ("transformer_2_w_type_input", transformer)):
-        fs, path = osm_pbf.file_system(f"{place}/{name}.csv")
-        fs.create_dir(path.rsplit("/", 1)[0])
-        with fs.open_output_stream(path) as f:
-            f.write(chr(10).join([*text, ""]).encode())
-    return assets.read_types(m.spark, place)["line_type_input"].select("id", "file_order", "v_rated")
+    p, s = F.col("p_partkey").cast("long"), F.col("s_suppkey").cast("long")
+    named = lambda letter, c: [F.concat(F.lit(f"u{letter}"), c).alias("uuid"), F.concat(F.lit(letter), c).alias("id")]
+    kv = F.when(p % 3 == 0, F.lit(0.4)).when(p % 3 == 1, F.lit(10.0)).otherwise(F.lit(110.0)).alias("v_rated")
+    two, three = m.base("supplier").orderBy(s), m.base("supplier").where(s % 2 == 0).orderBy(s)
+    write_types(m.base("part").orderBy(p).select(*named("L", p), kv), place, "line_type_input", assets.LINE_TYPE)
+    write_types(two.select(*named("T", s), F.lit(10.0).alias("v_rated_a")), place, "transformer_2_w_type_input", assets.TRANSFORMER_TYPE)
+    write_types(three.select(*named("W", s), F.lit(110.0).alias("v_rated_a")), place, "transformer_3_w_type_input", assets.TRANSFORMER_3W_TYPE)
+    found = assets.read_types(m.spark, place)
+    parts = [found[f].select(F.lit(kind).alias("kind"), "id", "file_order", F.col(c).alias("v_rated")) for kind, f, c in (("line", "line_type_input", "v_rated"), ("two windings", "transformer_2_w_type_input", "v_rated_a"), ("three windings", "transformer_3_w_type_input", "v_rated_a"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 # --- streets ---
@@ -677,6 +687,26 @@ def transformer_type_lookup(m):
     return grid.update_transformers(transformers(m), transformer_types(m)).select("uuid", "type")
 
 
+THREE_SQL = (
+    "wtype(file_order,id,va,vb,vc) AS (VALUES (1,'W1',110e0,20e0,10e0),(2,'W2',110e0,10e0,0.4e0),(3,'W3',110e0,20e0,10e0),(4,'W4',220e0,110e0,10e0)),"
+    "three AS (SELECT CAST(s_suppkey AS BIGINT) AS s, CASE WHEN s_suppkey%3=2 THEN 220e0 ELSE 110e0 END AS va, CASE s_suppkey%3 WHEN 0 THEN 20e0 WHEN 1 THEN 10e0 ELSE 110e0 END AS vb,"
+    " CASE WHEN s_suppkey%3=1 THEN 0.4e0 ELSE 10e0 END AS vc, 'W'||(s_suppkey%5) AS type FROM supplier)"
+)
+
+
+@query(sql("SELECT 'w'||s AS uuid, CASE WHEN EXISTS (SELECT 1 FROM wtype y WHERE y.id=t.type AND y.va=t.va AND y.vb=t.vb AND y.vc=t.vc) THEN type ELSE (SELECT arg_min(id,file_order) FROM wtype y WHERE y.va=t.va AND y.vb=t.vb AND y.vc=t.vc) END AS type FROM three t", THREE_SQL))
+def transformer_3w_type_lookup(m):
+    """Types of transformers with three windings by their voltages."""
+    s = F.col("s_suppkey").cast("long")
+    pick = lambda *kv: F.when(s % 3 == 0, F.lit(kv[0])).when(s % 3 == 1, F.lit(kv[1])).otherwise(F.lit(kv[2]))
+    own = m.base("supplier").select(
+        F.concat(F.lit("w"), s.cast("string")).alias("uuid"), F.concat(F.lit("W"), (s % 5).cast("string")).alias("type"), pick(110.0, 110.0, 220.0).alias("v_a_kv"), pick(20.0, 10.0, 110.0).alias("v_b_kv"), pick(10.0, 0.4, 10.0).alias("v_c_kv"),
+    )
+    rows = [(1, "W1", 110.0, 20.0, 10.0), (2, "W2", 110.0, 10.0, 0.4), (3, "W3", 110.0, 20.0, 10.0), (4, "W4", 220.0, 110.0, 10.0)]
+    types = m.spark.createDataFrame(rows, "file_order int, id string, v_rated_a double, v_rated_b double, v_rated_c double")
+    return grid.update_transformers(own, types, 3).select("uuid", "type")
+
+
 @query(sql("SELECT v AS v_rated, arg_min(id,file_order) AS type FROM lt GROUP BY v", "lt AS (SELECT CAST(p_partkey AS BIGINT) AS file_order, 'L'||p_partkey AS id, CASE p_partkey%3 WHEN 0 THEN 0.4e0 WHEN 1 THEN 10e0 ELSE 110e0 END AS v FROM part)"))
 def line_type_by_voltage(m):
     p = F.col("p_partkey").cast("long")

@@ -89,6 +89,20 @@ def test_types(spark, types, tmp_path):
         assets.read_types(spark, types + "/nowhere")
 
 
+def test_types_of_three_windings_and_broken_values(spark, types, tmp_path):
+    assert assets.read_types(spark, types)["transformer_3_w_type_input"].count() == 0
+    columns = [c.split()[0] for c in assets.TRANSFORMER_3W_TYPE.split(", ")]
+    rows = [["x", *map(str, range(1, len(columns)))], ["y", *map(str, range(1, len(columns)))]]
+    text = lambda rows: "\n".join(",".join(r) for r in [columns, *rows]) + "\n"
+    (tmp_path / "transformer_3_w_type_input.csv").write_text(text(rows))
+    got = assets.read_types(spark, types)["transformer_3_w_type_input"].orderBy("file_order").collect()
+    assert [(r.uuid, r.v_rated_a, r.v_rated_b, r.v_rated_c, r.file_order) for r in got] == [("x", 15.0, 16.0, 17.0, 1), ("y", 15.0, 16.0, 17.0, 2)]
+    rows[1][columns.index("v_rated_b")] = "20 kV"
+    (tmp_path / "transformer_3_w_type_input.csv").write_text(text(rows))
+    with pytest.raises(assets.AssetError, match="line 3: v_rated_b 20 kV"):
+        assets.read_types(spark, types)
+
+
 def test_written_grid_reads_back(spark, tmp_path):
     nodes = spark.createDataFrame([("a", 1.5, "x,y"), ("b", None, 'say "z"')], "uuid string, lat double, name string")
     for hierarchic in (False, True):
