@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridweave.functions import geo
-from gridweave.operators.nearest import nearest
+from gridweave.operators.nearest import around, nearest
 from gridweave.storage import stored
 
 NEIGHBOURS = 5
@@ -299,31 +301,73 @@ def voronoi_assign(nodes: DataFrame, sites: DataFrame, size: float = 0.05) -> Da
     return best.select("node_id", F.col("site_id").alias("cell_id"))
 
 
-def voronoi_polygons(sites: list[tuple[int, float, float]], margin: float = 1.0) -> dict[int, list[tuple[float, float]]]:
-    """Corners (lat, lon) of each site's cell (id, lat, lon), within the sites' box widened by ``margin`` times its greater side.
-
-    None for no sites; one site has no polygon, as its cell has no border.
+def clipped(cell: list[tuple[float, float]], site: tuple[float, float], other: tuple[float, float]) -> list[tuple[float, float]]:
+    """The part of a convex polygon that is nearer to a site than to another."""
+    (a, o), (a2, o2) = site, other
+    side = lambda p: (p[0] - (a + a2) / 2) * (a2 - a) + (p[1] - (o + o2) / 2) * (o2 - o)
+    cut = []
+    for p, q in zip(cell, cell[1:] + cell[:1], strict=True):
+        s, t = side(p), side(q)
+        if s <= 0:
+            cut.append(p)
+        if s * t < 0:
+            u = s / (s - t)
+            cut.append((p[0] + u * (q[0] - p[0]), p[1] + u * (q[1] - p[1])))
+    return cut
+
+
+RING_OF_CELL = "site_id long, lat double, lon double, cell array<struct<lat:double,lon:double>>"
+
+
+def clip(pdfs):
+    """The cells of sites without what is nearer to others."""
+    for pdf in pdfs:
+        cells = []
+        for a, o, cell, others in zip(pdf.lat, pdf.lon, pdf.cell, pdf.others, strict=True):
+            own = [(p["lat"], p["lon"]) for p in cell]
+            for other in sorted({(x["lat"], x["lon"]) for x in others}, key=lambda x: ((x[0] - a) ** 2 + (x[1] - o) ** 2, x)):
+                if other != (a, o):
+                    own = clipped(own, (a, o), other)
+            cells.append([{"lat": float(x), "lon": float(y)} for x, y in own])
+        yield pdf.assign(cell=cells)[["site_id", "lat", "lon", "cell"]]
+
+
+def voronoi_polygons(sites: DataFrame, margin: float = 1.0) -> DataFrame:
+    """(site_id, ring): the cell of each site (site_id, lat, lon) as a closed ring, within the sites' box widened by ``margin`` times its greater side.
+
+    Cells are cut by the sites in the grid cells about theirs, then by the sites that are nearest to their
+    corners, until each corner is as near to its own site as to any: then the cell is exact, as it is
+    convex. No task holds more than the neighbours of some sites. Sites at one place have the same ring; a
+    single site has none, as its cell has no border.
     """
-    if len(sites) < 2:
-        return {}
-    lat, lon = np.array([s[1] for s in sites]), np.array([s[2] for s in sites])
-    m = margin * max(np.ptp(lat), np.ptp(lon), 1e-9)
-    box = [(lat.min() - m, lon.min() - m), (lat.min() - m, lon.max() + m), (lat.max() + m, lon.max() + m), (lat.max() + m, lon.min() - m)]
-    out = {}
-    for key, a, o in sites:
-        cell = box
-        for k2, a2, o2 in sites:
-            if k2 == key or (a, o) == (a2, o2):
-                continue
-            side = lambda p, a=a, o=o, a2=a2, o2=o2: (p[0] - (a + a2) / 2) * (a2 - a) + (p[1] - (o + o2) / 2) * (o2 - o)
-            cut = []
-            for p, q in zip(cell, cell[1:] + cell[:1], strict=True):
-                s, t = side(p), side(q)
-                if s <= 0:
-                    cut.append(p)
-                if s * t < 0:
-                    u = s / (s - t)
-                    cut.append((p[0] + u * (q[0] - p[0]), p[1] + u * (q[1] - p[1])))
-            cell = cut
-        out[key] = [(float(x), float(y)) for x, y in cell]
-    return out
+    sites = stored(sites.select("site_id", "lat", "lon"), "sites")
+    box = sites.agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{c}{k}") for c in ("lat", "lon") for k, f in enumerate((F.min, F.max))]).first()
+    if box.n < 2:
+        return sites.where("false").select("site_id", F.lit(None).cast("array<struct<lat:double,lon:double>>").alias("ring"))
+    tall, wide = box.lat1 - box.lat0, box.lon1 - box.lon0
+    m = margin * max(tall, wide, 1e-9)
+    corner = lambda a, o: F.struct(F.lit(a).alias("lat"), F.lit(o).alias("lon"))
+    whole = F.array(corner(box.lat0 - m, box.lon0 - m), corner(box.lat0 - m, box.lon1 + m), corner(box.lat1 + m, box.lon1 + m), corner(box.lat1 + m, box.lon0 - m))
+    size = max((tall * wide / box.n) ** 0.5 * 2, max(tall, wide) / box.n, 1e-9)  # some four sites a cell
+    at = sites.select(F.struct("lat", "lon").alias("other"), geo.cell("lat", size).alias("_y"), geo.cell("lon", size).alias("_x"))
+    y, x = around("lat", "lon", size)
+    near = sites.withColumn("_y", y).withColumn("_x", x).join(at, ["_y", "_x"], "left").groupBy("site_id", "lat", "lon").agg(F.collect_list("other").alias("others"))
+    open_ = stored(near.withColumn("cell", whole).select("site_id", "lat", "lon", "cell", "others").mapInPandas(clip, RING_OF_CELL), "cells")
+    done = []
+    while True:
+        corners = open_.select("site_id", F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon"), F.posexplode("cell").alias("k", "p"))
+        # corners are named by hashes of their places, as cells share them
+        places = corners.select(F.xxhash64("p.lat", "p.lon").alias("node_id"), F.col("p.lat").alias("lat"), F.col("p.lon").alias("lon")).dropDuplicates(["node_id"])
+        owner = voronoi_assign(places, sites, size).join(sites.select(F.col("site_id").alias("cell_id"), F.col("lat").alias("o_lat"), F.col("lon").alias("o_lon")), "cell_id")
+        square = lambda lat, lon: (F.col("p.lat") - F.col(lat)) ** 2 + (F.col("p.lon") - F.col(lon)) ** 2
+        met = corners.withColumn("node_id", F.xxhash64("p.lat", "p.lon")).join(owner, "node_id")
+        # a corner is as near to some other sites as to its own: only what is nearer for sure cuts
+        nearer = met.where(square("o_lat", "o_lon") < square("s_lat", "s_lon") * (1 - 1e-9)).groupBy("site_id").agg(F.collect_set(F.struct(F.col("o_lat").alias("lat"), F.col("o_lon").alias("lon"))).alias("others"))
+        rest = stored(open_.join(nearer, "site_id", "left"), "cells")
+        done.append(rest.where("others is null"))
+        again = rest.where("others is not null")
+        if again.isEmpty():
+            break
+        open_ = stored(again.select("site_id", "lat", "lon", "cell", "others").mapInPandas(clip, RING_OF_CELL), "cells")
+    found = reduce(DataFrame.unionByName, [d.select("site_id", "cell") for d in done])
+    return found.select("site_id", F.concat("cell", F.array(F.get("cell", F.lit(0)))).alias("ring"))

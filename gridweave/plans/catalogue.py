@@ -769,10 +769,8 @@ def transition_choice(m):
 @query(sql("SELECT site_id, round(sum(dx*dx+dy*dy),6) AS spread, CAST(count(*) AS BIGINT) AS n FROM (SELECT n.node_id, s.sub_id AS site_id, n.lat-s.lat AS dx, n.lon-s.lon AS dy, row_number() OVER (PARTITION BY n.node_id ORDER BY sqrt((n.lat-s.lat)*(n.lat-s.lat)+(n.lon-s.lon)*(n.lon-s.lon)), s.sub_id) AS k FROM osm_node n JOIN site s ON true) WHERE k=1 GROUP BY 1", "site AS (SELECT * FROM substation WHERE sub_id%10=0)"))
 def voronoi_cells(m):
     """Nodes in the cells' polygons, on a border in that of the least site: as many, and as far from the sites, as by distance."""
-    sites = m.substation.where("sub_id % 10 = 0").orderBy("sub_id")
-    polygons = route.voronoi_polygons([(r.sub_id, r.lat, r.lon) for r in sites.collect()], margin=5.0)
-    rows = [(k, [{"lat": a, "lon": o} for a, o in [*c, c[0]]]) for k, c in polygons.items()]
-    rings = m.spark.createDataFrame(rows, f"site_id long, ring {region.RING}")
+    sites = m.substation.where("sub_id % 10 = 0")
+    rings = route.voronoi_polygons(sites.select(F.col("sub_id").alias("site_id"), "lat", "lon"), margin=5.0)
     inside = nearest.point_in_rings(m.osm_node, "node_id", rings, "site_id").join(m.osm_node.select("node_id", "lat", "lon"), "node_id")
     at = inside.join(sites.select(F.col("sub_id").alias("site_id"), F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon")), "site_id")
     d = (F.col("lat") - F.col("s_lat")) ** 2 + (F.col("lon") - F.col("s_lon")) ** 2

@@ -317,11 +317,51 @@ def test_voronoi(spark):
     s, n = (spark.createDataFrame(x, f"{k} long, lat double, lon double") for x, k in ((sites, "site_id"), (nodes, "node_id")))
     got = {r.node_id: r.cell_id for r in route.voronoi_assign(n, s, 0.02).collect()}
     assert got == {i: min(((a - b) ** 2 + (o - q) ** 2, j) for j, b, q in sites)[1] for i, a, o in nodes}
-    cells = route.voronoi_polygons(sites)
-    assert [len(route.voronoi_polygons(sites[:k])) for k in range(5)] == [0, 0, 2, 3, 4]
+    own = spark.createDataFrame(sites, "site_id long, lat double, lon double")
+    rings = {r.site_id: [(p.lat, p.lon) for p in r.ring] for r in route.voronoi_polygons(own).collect()}
     for i, a, o in nodes:
-        own = spark.range(1).select(geo.ring_covers(ring_column([*cells[got[i]], cells[got[i]][0]]), a, o)).first()[0] if i < 5 else True
-        assert own
+        assert i >= 5 or spark.range(1).select(geo.ring_covers(ring_column(rings[got[i]]), a, o)).first()[0]
+
+
+def plain_polygons(sites, margin):
+    """Each site's box, cut by every other site."""
+    lat, lon = [s[1] for s in sites], [s[2] for s in sites]
+    m = margin * max(max(lat) - min(lat), max(lon) - min(lon), 1e-9)
+    box = [(min(lat) - m, min(lon) - m), (min(lat) - m, max(lon) + m), (max(lat) + m, max(lon) + m), (max(lat) + m, min(lon) - m)]
+    out = {}
+    for key, a, o in sites:
+        cell = box
+        for _, a2, o2 in sites:
+            if (a, o) != (a2, o2):
+                cell = route.clipped(cell, (a, o), (a2, o2))
+        out[key] = cell
+    return out
+
+
+def spread_of(corners):
+    """Area and box of a polygon."""
+    pairs = list(zip(corners, corners[1:] + corners[:1], strict=True))
+    return [abs(sum(p[0] * q[1] - q[0] * p[1] for p, q in pairs)) / 2, *(f(c[k] for c in corners) for k in (0, 1) for f in (min, max))]
+
+
+def test_voronoi_polygons_against_all_sites(spark):
+    """Scattered, crowded, on a line, at one place, on a lattice: the same polygons as cut by every other site."""
+    rnd = random.Random(6)
+    cases = {
+        "scattered": [(i, 50 + rnd.random(), 7 + rnd.random()) for i in range(80)],
+        "crowded": [(i, 50 + rnd.random() ** 6, 7 + rnd.random() ** 6) for i in range(60)] + [(90, 50.0, 7.0), (91, 50.0, 7.0), (92, 50.0, 8.0)],
+        "line": [(i, 50.0, 7 + 0.1 * i) for i in range(7)],
+        "lattice": [(5 * i + k, 50 + 0.1 * i, 7 + 0.1 * k) for i in range(5) for k in range(5)],
+        "two": [(1, 50.0, 7.0), (2, 50.1, 7.2)],
+    }
+    for name, sites in cases.items():
+        df = spark.createDataFrame(sites, "site_id long, lat double, lon double")
+        got = {r.site_id: [(p.lat, p.lon) for p in r.ring] for r in route.voronoi_polygons(df).collect()}
+        want = plain_polygons(sites, 1.0)
+        assert set(got) == set(want), name
+        for k, ring in got.items():
+            assert ring[0] == ring[-1] and spread_of(ring[:-1]) == pytest.approx(spread_of(want[k]), rel=1e-6, abs=1e-9), (name, k)
+    assert [route.voronoi_polygons(df.limit(k)).count() for k in (0, 1)] == [0, 0]
 
 
 def ring_column(points):
