@@ -610,12 +610,34 @@ def ring_route(m):
     return route.ring_routes(cells(m)).withColumn("dist_m", F.round("dist_m", 3))
 
 
-@query()
+#: Corners of the hull of each cell's substations: those that have no other on both sides of every line through them. An edge of the hull has all others on its left; its ends in order give twice the area.
+HULL_SQL = (
+    "site AS (SELECT * FROM substation WHERE sub_id%10=0),"
+    "cell AS (SELECT cell_id, node_id, lat, lon FROM (SELECT s.sub_id AS cell_id, n.sub_id AS node_id, n.lat, n.lon, row_number() OVER (PARTITION BY n.sub_id ORDER BY sqrt((n.lat-s.lat)*(n.lat-s.lat)+(n.lon-s.lon)*(n.lon-s.lon)), s.sub_id) AS k FROM substation n JOIN site s ON true) WHERE k=1),"
+    "turn AS (SELECT p.cell_id, p.node_id AS p, q.node_id AS q, p.lat AS p_lat, p.lon AS p_lon, q.lat AS q_lat, q.lon AS q_lon, (q.lon-p.lon)*(r.lat-p.lat)-(q.lat-p.lat)*(r.lon-p.lon) AS t,"
+    " (r.lon-p.lon)*(q.lon-p.lon)+(r.lat-p.lat)*(q.lat-p.lat) AS along, (q.lon-p.lon)*(q.lon-p.lon)+(q.lat-p.lat)*(q.lat-p.lat) AS whole"
+    " FROM cell p JOIN cell q ON q.cell_id=p.cell_id AND (q.lat,q.lon)<>(p.lat,p.lon) JOIN cell r ON r.cell_id=p.cell_id),"
+    "side AS (SELECT cell_id, p, q, any_value(p_lat) AS p_lat, any_value(p_lon) AS p_lon, any_value(q_lat) AS q_lat, any_value(q_lon) AS q_lon FROM turn GROUP BY 1,2,3"
+    " HAVING min(CASE WHEN abs(t)<1e-16 THEN 0e0 ELSE t END)>=0e0 AND max(t)>1e-16 AND bool_and(abs(t)>=1e-16 OR (along>=0e0 AND along<=whole*(1e0+1e-12)))),"
+    "first_ AS (SELECT cell_id, min(lat) AS lat0, min(lon) AS lon0 FROM cell GROUP BY 1),"
+    "term AS (SELECT s.cell_id, (p_lon-lon0)*(q_lat-lat0)-(q_lon-lon0)*(p_lat-lat0) AS c, p_lat-lat0+q_lat-lat0 AS a, p_lon-lon0+q_lon-lon0 AS o FROM side s JOIN first_ f ON f.cell_id=s.cell_id),"
+    "mid AS (SELECT t.cell_id, any_value(lat0)+sum(a*c)/(3e0*sum(c)) AS lat, any_value(lon0)+sum(o*c)/(3e0*sum(c)) AS lon FROM term t JOIN first_ f ON f.cell_id=t.cell_id GROUP BY t.cell_id)"
+)
+
+
+@query(sql("SELECT cell_id AS grid_id, round(lat,7) AS lat, round(lon,7) AS lon FROM mid UNION ALL SELECT cell_id, round(avg(lat),7), round(avg(lon),7) FROM (SELECT DISTINCT cell_id, lat, lon FROM cell WHERE cell_id NOT IN (SELECT cell_id FROM mid)) GROUP BY cell_id", HULL_SQL))
 def hull_centroid(m):
     return route.hull_centroids(cells(m).select(F.col("cell_id").alias("grid_id"), "lat", "lon")).withColumns({c: F.round(c, 7) for c in ("lat", "lon")})
 
 
-@query()
+CENTRAL_SQL = (
+    "few AS (SELECT cell_id, count(*) AS n FROM cell GROUP BY 1),"
+    "centre AS (SELECT cell_id, lat, lon FROM mid UNION ALL SELECT cell_id, avg(lat), avg(lon) FROM (SELECT DISTINCT cell_id, lat, lon FROM cell WHERE cell_id NOT IN (SELECT cell_id FROM mid)) GROUP BY cell_id),"
+    f"central AS (SELECT cell_id, node_id, lat, lon FROM (SELECT c.*, row_number() OVER (PARTITION BY c.cell_id ORDER BY CASE WHEN n<3 THEN 0e0 ELSE round({haversine('c.', 'm.')},6) END, c.node_id) AS k FROM cell c JOIN centre m ON m.cell_id=c.cell_id JOIN few f ON f.cell_id=c.cell_id) WHERE k=1)"
+)
+
+
+@query(sql("SELECT cell_id AS grid_id, node_id FROM central", HULL_SQL, CENTRAL_SQL))
 def central_node(m):
     return route.central_node(cells(m).withColumnRenamed("cell_id", "grid_id")).select("grid_id", "node_id")
 
@@ -747,11 +769,14 @@ def first_types(m):
     return m.spark.createDataFrame([row], "low string, high string, line string")
 
 
-@query(sql("SELECT md5('hv|'||sub_id)[1:8] AS head, 'Node ('||lon||' '||lat||')' AS id, sub_id AS node_id, 110e0 AS v_rated_kv, 1007 AS subnet, true AS slack, 2 AS parallel, true AS auto_tap, 110e0 AS v_a_kv, 10e0 AS v_b_kv FROM substation ORDER BY sub_id LIMIT 1"))
+ALL_CELL_SQL = "cell AS (SELECT CAST(1 AS BIGINT) AS cell_id, sub_id AS node_id, lat, lon FROM substation)," + HULL_SQL[HULL_SQL.index("turn AS") :]
+
+
+@query(sql("SELECT md5('hv|'||node_id)[1:8] AS head, 'Node ('||lon||' '||lat||')' AS id, node_id, 110e0 AS v_rated_kv, 1007 AS subnet, true AS slack, 2 AS parallel, true AS auto_tap, 110e0 AS v_a_kv, 10e0 AS v_b_kv FROM central", ALL_CELL_SQL, CENTRAL_SQL))
 def dummy_hv(m):
-    """The high-voltage node above a grid's central node, with its transformers; two nodes have the lesser as centre."""
-    two = m.substation.orderBy("sub_id").limit(2).select(F.lit(1).cast("long").alias("grid_id"), F.col("sub_id").alias("node_id"), "lat", "lon")
-    hv, transformer = grid.dummy_hv_node(route.central_node(two).withColumn("subnet", F.lit(7)), 110.0, 10.0, "T3")
+    """The high-voltage node above the central one of all substations, with its transformers."""
+    subs = m.substation.select(F.lit(1).cast("long").alias("grid_id"), F.col("sub_id").alias("node_id"), "lat", "lon")
+    hv, transformer = grid.dummy_hv_node(route.central_node(subs).withColumn("subnet", F.lit(7)), 110.0, 10.0, "T3")
     both = hv.join(transformer.select(F.col("node_a").alias("uuid"), "parallel", "auto_tap", "v_a_kv", "v_b_kv"), "uuid")
     return both.select(F.substring("uuid", 1, 8).alias("head"), "id", "node_id", "v_rated_kv", "subnet", "slack", "parallel", "auto_tap", "v_a_kv", "v_b_kv")
 
