@@ -3,14 +3,19 @@
 Each round sends every edge to the least neighbour of one of its ends; the number of rounds grows
 with the logarithm of the longest path. Rounds are cut by checkpoints in the shared folder. Only
 minima per node are gathered, so a node with any number of edges is summed before it is shuffled.
+At most ``TASK_EDGES`` edges, a number that is checked, are joined by one task instead of some ten rounds of jobs; the result is the same.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from gridweave.storage import shared_dir
+from gridweave.storage import shared_dir, stored
 
 
 def indexed(df: DataFrame, order: list[str], name: str) -> DataFrame:
@@ -26,10 +31,31 @@ def indexed(df: DataFrame, order: list[str], name: str) -> DataFrame:
     return placed.withColumn("_own", own).join(F.broadcast(offsets), "_range").withColumn(name, F.col("_own") + F.col("_before")).drop("_range", "_own", "_before")
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+#: Edges that one task joins: some megabytes.
+TASK_EDGES = 250_000
+
+
+def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, component) of all edges (a, b) at once: labels sink to the least on either end, and on to the label of the label."""
+    held = list(batches)
+    ends = [np.concatenate([b.column(k).to_numpy() for b in held]) if held else np.zeros(0, np.int64) for k in ("a", "b")]
+    nodes, at = np.unique(np.concatenate(ends), return_inverse=True)
+    a, b = np.split(at, 2)
+    label, before = np.arange(len(nodes)), None
+    while before is None or (label != before).any():
+        before = label.copy()
+        least = np.minimum(label[a], label[b])
+        np.minimum.at(label, label[a], least)
+        np.minimum.at(label, label[b], least)
+        label = label[label]
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[label])], names=["node", "component"])
+
+
+def components(edges: DataFrame, most_rounds: int = 60, task_edges: int = TASK_EDGES) -> DataFrame:
     """edges (a, b) of long ids to (node, component), component being the least node that a node reaches. Nodes without edges are absent."""
-    shared_dir(edges.sparkSession)
-    current = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().checkpoint()
+    current = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    if current.count() <= task_edges:
+        return current.repartition(1).mapInArrow(joined, "node long, component long")
     before = None
     for _ in range(most_rounds):
         both = current.union(current.select("b", "a"))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridweave.functions import geo
-from gridweave.operators import cluster, graph, grid, merge, nearest, osm, region, route
+from gridweave.operators import cluster, components, graph, grid, merge, nearest, osm, region, route
 from gridweave.operators.graph import GraphError
 from tests.test_geometry import PLACES
 
@@ -444,6 +444,23 @@ def matrix(n, edges):
 NODES = "grid_id long, node_id long, load_kva double, is_substation boolean"
 
 
+def test_components_by_rounds_and_in_one_task(spark):
+    """A path in mixed order, random pairs, a star, a loop, repeated edges: the same components either way."""
+    rnd = random.Random(1)
+    path = rnd.sample(range(-300, 0), 300)
+    edges = list(itertools.pairwise(path)) + [(1000 + rnd.randrange(300), 1000 + rnd.randrange(300)) for _ in range(250)] + [(5000, 5000 + i) for i in range(1, 400)] + [(9, 9), (2**62, 2**62 + 1), (2**62, 2**62 + 1)]
+    label = {x: x for e in edges for x in e if e[0] != e[1]}
+    for _ in range(400):
+        for a, b in edges:
+            if a != b:
+                label[a] = label[b] = min(label[a], label[b])
+    df = spark.createDataFrame(edges, "a long, b long")
+    for most in (components.TASK_EDGES, 0):
+        got = components.components(df, task_edges=most).collect()
+        assert {r.node: r.component for r in got} == label and len(got) == len(label)
+        assert components.components(df.limit(0), task_edges=most).count() == 0
+
+
 def test_network_medoids(spark):
     """Two grids at once, against distances of all pairs; blocks of any size give the same."""
     n, edges = 60, {}
