@@ -30,6 +30,11 @@ def op6_urls(spark, sf_dir):
     return urls.judge(read(spark, sf_dir, "pages"))
 
 
+def url_rules(spark, sf_dir):
+    """The part of op6 that SQL can express."""
+    return urls.with_rule(urls.split_url(read(spark, sf_dir, "pages").select("page_id", "url"))).select("page_id", "host", "path", "rule")
+
+
 def op7_ogg(spark, sf_dir):
     return ogg.describe(ogg.encode(read(spark, sf_dir, "documents")))
 
@@ -59,7 +64,7 @@ def op13_phrases(spark, sf_dir):
 
 
 def queries() -> dict:
-    every = (op1_decontamination, op2_near_duplicates, op3_bpe, op4_chat, op5_quality, op6_urls, op7_ogg, op8_pii, op9_token_files, op10_warc, op11_repeats, op12_stamps, op13_phrases)
+    every = (op1_decontamination, op2_near_duplicates, op3_bpe, op4_chat, op5_quality, op6_urls, op7_ogg, op8_pii, op9_token_files, op10_warc, op11_repeats, op12_stamps, op13_phrases, url_rules)
     return {f.__name__: f for f in every}
 
 
@@ -107,6 +112,12 @@ SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns, sha256(string_agg(role || c
   sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256, CAST(sum(n) AS BIGINT) AS formatted_chars
 FROM size GROUP BY conv_id
 """
+URL_RULES_SQL = r"""
+WITH part AS (SELECT page_id, regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', ['host', 'path']) AS x FROM pages),
+page AS (SELECT page_id, translate(x.host, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, x.path AS path FROM part),
+fit(h, p) AS (VALUES ('com', '/en/'), ('example.com', '/en/7'), ('net', '/de/'), ('example.net', '/de/8'), ('org', '/es/'))
+SELECT page_id, host, path, (SELECT arg_max(h || p, length(h || p)) FROM fit WHERE (page.host = h OR ends_with(page.host, '.' || h)) AND starts_with(page.path, p)) AS rule FROM page
+"""
 OP11_SQL = r"""
 WITH word AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 win AS (SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM word)),
@@ -164,4 +175,4 @@ SELECT lang, rank, phrase, a, l, r, n, score FROM (SELECT *, row_number() OVER (
 
 def oracle_sql() -> dict:
     """SQL slides windows over every place where op1 lays a few. The rest needs a library, a trained model or a file format: tests hold it against plain versions."""
-    return {"op1_decontamination": OP1_SQL, "op2_near_duplicates": OP2_SQL, "op4_chat": OP4_SQL, "op11_repeats": OP11_SQL, "op12_stamps": OP12_SQL, "op13_phrases": OP13_SQL}
+    return {"op1_decontamination": OP1_SQL, "op2_near_duplicates": OP2_SQL, "op4_chat": OP4_SQL, "url_rules": URL_RULES_SQL, "op11_repeats": OP11_SQL, "op12_stamps": OP12_SQL, "op13_phrases": OP13_SQL}
