@@ -197,19 +197,20 @@ def role_merge_all(m):
 
 
 def written_map(m: Map, packing: str = "zlib") -> str:
-    """A map file of the demonstration map's nodes and ways, and of its areas as relations of two ways; small, so the driver writes it."""
-    path = f"{checkpoint_path(m)}/map-{uuid.uuid4().hex}.pbf"
-    nodes = [(r.node_id, r.lat, r.lon, {"ref": str(r.r)} if r.c == 0 else {}) for r in m.osm_node.orderBy("node_id").collect()]
-    lines = [(r.way_id, list(r.nodes), dict(r.tags)) for r in ways(m).orderBy("way_id").collect()]
-    relations = []
-    for r in m.boundary.orderBy("area_id").collect():
-        at = [(CORNER + 4 * r.area_id + k, a, o, {}) for k, (a, o) in enumerate(((r.lat0, r.lon0), (r.lat0, r.lon1), (r.lat1, r.lon1), (r.lat1, r.lon0)))]
-        nodes += at
-        ids = [n[0] for n in at]
-        lines += [(CORNER + 2 * r.area_id, ids[:3], {}), (CORNER + 2 * r.area_id + 1, [ids[0], ids[3], ids[2]], {})]
-        level = {"boundary": "administrative", "admin_level": "8" if r.area_id % 2 else "6"}
-        relations.append((r.area_id, [(CORNER + 2 * r.area_id + k, "way", "outer") for k in range(2)], level))
-    osm_pbf.write(path, nodes, lines, relations, packing=packing)
+    """A folder of map files of the demonstration map's nodes and ways, and of its areas as relations of two ways."""
+    path = f"{checkpoint_path(m)}/map-{uuid.uuid4().hex}"
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    tag = lambda key, value: F.create_map(F.lit(key), value.cast("string"))
+    nodes = m.osm_node.select("node_id", "lat", "lon", F.when(F.col("c") == 0, tag("ref", F.col("r"))).otherwise(none).alias("tags"))
+    area = F.col("area_id")
+    corner = F.array(*[F.struct((area * 4 + CORNER + k).alias("node_id"), F.col(a).alias("lat"), F.col(o).alias("lon")) for k, (a, o) in enumerate((("lat0", "lon0"), ("lat0", "lon1"), ("lat1", "lon1"), ("lat1", "lon0")))])
+    nodes = nodes.unionByName(m.boundary.select(F.explode(corner).alias("p")).select("p.*", none.alias("tags")))
+    half = lambda k, at: F.struct((area * 2 + CORNER + k).alias("way_id"), F.array(*[area * 4 + CORNER + i for i in at]).alias("nodes"))
+    sides = m.boundary.select(F.explode(F.array(half(0, (0, 1, 2)), half(1, (0, 3, 2)))).alias("w")).select("w.*", none.alias("tags"))
+    lines = ways(m).select("way_id", "nodes", "tags").unionByName(sides)
+    member = F.array(*[F.struct((area * 2 + CORNER + k).alias("id"), F.lit("way").alias("type"), F.lit("outer").alias("role")) for k in range(2)])
+    level = F.create_map(F.lit("boundary"), F.lit("administrative"), F.lit("admin_level"), F.when(area % 2 == 1, "8").otherwise("6"))
+    osm_pbf.write_tables(nodes, lines, m.boundary.select(area.alias("rel_id"), member.alias("members"), level.alias("tags")), path, packing)
     return path
 
 

@@ -55,6 +55,50 @@ def test_map_is_decoded_once(spark, tmp_path, packing):
     assert "PartitionFilters: [isnotnull(type" in plan and "BatchScan" not in plan
 
 
+def test_types_are_pushed_down(spark, tmp_path, monkeypatch):
+    """A read of relations decodes no node: the plan shows the filter as taken, and a broken group of nodes goes unnoticed."""
+    path = str(tmp_path / "map.pbf")
+    osm_pbf.write(path, [(i, 50.0, 7.0, {"a": "b"}) for i in range(100)], [(1, [1, 2], {"highway": "x"})], [(1, [(1, "way", "outer")], {})], per_block=10)
+    nodes, ways, relations = osm_pbf.read(spark, path)
+    assert (nodes.count(), ways.count(), relations.count()) == (100, 1, 1)
+    plan = relations._jdf.queryExecution().executedPlan().toString()
+    assert "type" not in plan[plan.index("Filter") if "Filter" in plan else len(plan) :].split("BatchScan")[0].replace("isnotnull(type", "")
+    block = next(osm_pbf.unpack(open(path, "rb").read()[at : at + size]) for kind, at, size in osm_pbf.blobs(path) if kind == "OSMData")
+    assert sum(b.num_rows for b in osm_pbf.entities(block)) == 10
+    monkeypatch.setattr(osm_pbf, "summed", lambda values: 1 / 0)
+    assert list(osm_pbf.entities(block, frozenset({"relation"}))) == []
+    reader = osm_pbf.PbfReader(path)
+    left = list(reader.pushFilters([osm_pbf.EqualTo(("type",), "way"), osm_pbf.EqualTo(("id",), 3), osm_pbf.In(("type",), ("way", "node"))]))
+    assert left == [osm_pbf.EqualTo(("id",), 3)] and reader.kinds == {"way"}
+
+
+def test_varints_and_tags_in_numpy():
+    rnd = random.Random(2)
+    values = [rnd.randrange(1 << rnd.randrange(1, 65)) for _ in range(500)] + [0, 127, 128, (1 << 64) - 1]
+    assert osm_pbf.varints(b"".join(map(osm_pbf.number_bytes, values))).tolist() == values and osm_pbf.varints(b"").tolist() == []
+    with pytest.raises(osm_pbf.OsmReadError):
+        osm_pbf.varints(b"\x01\x80")
+    import numpy as np
+
+    text = ["", "a", "b", "c"]
+    for words, want in (([1, 2, 0, 0, 3, 1, 2, 2, 0], [{"a": "b"}, {}, {"c": "a", "b": "b"}]), ([1, 0, 0, 0, 0], [{"a": ""}, {}, {}]), ([], [{}, {}, {}])):
+        assert [dict(t) for t in osm_pbf.tag_maps(np.array(words, np.uint64), 3, text).to_pylist()] == want
+
+
+def test_folder_of_map_files(spark, tmp_path):
+    """Written in tasks, read as one map."""
+    nodes = spark.range(0, 1000, 1, 5).selectExpr("id AS node_id", "50 + id * 1e-4 AS lat", "7 + id * 1e-4 AS lon", "IF(id % 3 = 0, map('name', concat('é', id)), map()) AS tags")
+    ways = spark.range(0, 40, 1, 3).selectExpr("id AS way_id", "array(id, id + 1) AS nodes", "map('highway', 'x') AS tags")
+    relations = spark.range(2).selectExpr("id AS rel_id", "array(named_struct('id', id, 'type', 'way', 'role', 'outer')) AS members", "map('boundary', 'administrative') AS tags")
+    path = str(tmp_path / "maps")
+    osm_pbf.write_tables(nodes, ways, relations, path)
+    n, w, r = osm_pbf.read(spark, path)
+    got = {x.node_id: x for x in n.collect()}
+    assert len(got) == 1000 and got[999].tags == {"name": "é999"} and got[1].tags == {} and got[500].lat == pytest.approx(50.05)
+    assert sorted((x.way_id, x.nodes) for x in w.collect()) == [(i, [i, i + 1]) for i in range(40)]
+    assert sorted((x.rel_id, [tuple(m) for m in x.members]) for x in r.collect()) == [(i, [(i, "way", "outer")]) for i in range(2)]
+
+
 def test_broken_maps(spark, tmp_path):
     (tmp_path / "text.pbf").write_text("this is not a map")
     (tmp_path / "none.pbf").write_bytes(b"")
