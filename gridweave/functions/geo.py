@@ -127,12 +127,6 @@ def on_edges(edges: Column, lat: Column, lon: Column) -> Column:
     return F.exists(edges, lambda e: (off(e) == 0.0) & between(lat, e["a_lat"], e["b_lat"]) & between(lon, e["a_lon"], e["b_lon"]))
 
 
-def ring_box(ring: Column | str) -> list[Column]:
-    """lat_min, lat_max, lon_min, lon_max."""
-    ring = _c(ring)
-    return [f(F.transform(ring, lambda p: p[k])).alias(f"{k}_{n}") for k in ("lat", "lon") for f, n in ((F.array_min, "min"), (F.array_max, "max"))]
-
-
 def turn(p_lat, p_lon, q_lat, q_lon, r_lat, r_lon) -> Column:
     """Twice the signed area of the triangle p, q, r."""
     p_lat, p_lon, q_lat, q_lon, r_lat, r_lon = map(_c, (p_lat, p_lon, q_lat, q_lon, r_lat, r_lon))

@@ -473,6 +473,18 @@ def polygon_subgraph(m):
     return graph.polygon_subgraph(edges(m), inside).withColumn("dist_m", F.round("dist_m", 3))
 
 
+AT_51 = "(a_id=51 OR b_id=51)"
+
+
+@query(sql(
+    f"SELECT a_id, b_id, round(min(dist_m),3) AS dist_m FROM (SELECT a_id, b_id, dist_m FROM edge WHERE NOT {AT_51} OR (SELECT count(*) FROM edge WHERE {AT_51})<>2"
+    f" UNION ALL SELECT min(o), max(o), sum(dist_m) FROM (SELECT CASE WHEN a_id=51 THEN b_id ELSE a_id END AS o, dist_m FROM edge WHERE {AT_51}) HAVING count(*)=2) GROUP BY 1,2", EDGE_SQL
+))
+def bypass_vertex(m):
+    """The graph without a vertex on a street, whose neighbours are joined by the sum of its edges."""
+    return graph.bypass(edges(m), 51).withColumn("dist_m", F.round("dist_m", 3))
+
+
 SEGMENT_SQL = (
     "seg AS (SELECT n.node_id AS edge_id, n.lat AS a_lat, n.lon AS a_lon, n.lat+CASE WHEN n.node_id%2=0 THEN 11e-4 ELSE -9e-4 END AS b_lat, n.lon+CASE WHEN n.node_id%3=0 THEN 2e-3 ELSE -17e-4 END AS b_lon FROM osm_node n)"
 )
