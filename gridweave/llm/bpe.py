@@ -230,7 +230,7 @@ class PairIndexCodec(Segments):
         number, found, count = numbers.__getitem__, [], []
         for piece in pieces:
             before = len(found)
-            if not self.opening.isdisjoint(piece) and len(parts := self.apart.split(piece)) > 1:
+            if any(c in piece for c in self.opening) and len(parts := self.apart.split(piece)) > 1:
                 for i, part in enumerate(parts):
                     if i % 2:
                         found.append(-1 - special.setdefault(part, self.special[part]))
