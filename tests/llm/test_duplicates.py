@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from gridweave.llm import decontam, neardup, shingles
+from gridweave.llm import common, decontam, neardup, shingles
 from gridweave.operators import components
 
 
@@ -315,7 +315,7 @@ def test_leak_in_a_very_long_text(spark):
     filler = " ".join(words(900, 80_001, "mnopqrstuvwx"))
     text = " ".join([filler] * 1000 + [bench[0][1]] + [filler] * 200)
     got = decontam.matches(spark.createDataFrame([(1, text), (2, filler)], "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")).collect()
-    assert len(text) > decontam.stored.__globals__["CHUNK_BYTES"] and [(r.doc_id, r.similarity, r.start_word) for r in got] == [(1, 1.0, 900_000)]
+    assert len(text) > common.CHUNK_BYTES and [(r.doc_id, r.similarity, r.start_word) for r in got] == [(1, 1.0, 900_000)]
 
 
 def test_windows_between_the_diagonals(spark):
