@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridweave.functions import geo
-from gridweave.operators.nearest import around, nearest
+from gridweave.operators.nearest import METRES_PER_DEGREE, around, nearest
 from gridweave.storage import stored
 
 NEIGHBOURS = 5
@@ -295,9 +295,8 @@ def voronoi_assign(nodes: DataFrame, sites: DataFrame, size: float = 0.05) -> Da
     """The cell of each node (node_id, lat, lon): that of the nearest site (site_id, lat, lon), planar in degrees, ties to the least site_id."""
     other = sites.select("site_id", F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon"))
     square = (F.col("lat") - F.col("s_lat")) * (F.col("lat") - F.col("s_lat")) + (F.col("lon") - F.col("s_lon")) * (F.col("lon") - F.col("s_lon"))
-    # nearest() tells whether a find is sure in metres along the shorter degree of longitude: never too soon for degrees
-    measured = lambda df: df.withColumn("deg", F.sqrt(square)).withColumn("dist_m", F.col("deg") * 111_319.0)
-    best = nearest(nodes.select("node_id", "lat", "lon"), "node_id", other, ["s_lat", "s_lat"], ["s_lon", "s_lon"], measured, ["site_id"], size)
+    measured = lambda df: df.withColumn("deg", F.sqrt(square)).withColumn("dist_m", F.col("deg") * METRES_PER_DEGREE)
+    best = nearest(nodes.select("node_id", "lat", "lon"), "node_id", other, ["s_lat", "s_lat"], ["s_lon", "s_lon"], measured, ["site_id"], size, flat=True)
     return best.select("node_id", F.col("site_id").alias("cell_id"))
 
 

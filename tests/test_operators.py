@@ -267,6 +267,19 @@ def test_no_point_is_too_far(spark):
     assert {r.p_id for r in found.collect()} == {2, 4}
 
 
+def test_pairs_of_points_and_things_are_not_shuffled(spark, monkeypatch):
+    """A point's best is taken in the partition of its cell; near a pole cells reach farther to the side, so one round is enough."""
+    rnd = random.Random(31)
+    points = [(i, rnd.uniform(86, 86.01), rnd.uniform(7, 7.02)) for i in range(200)]
+    nodes = [(i, rnd.uniform(86, 86.01), rnd.uniform(7, 7.02)) for i in range(200)]
+    p, n = (spark.createDataFrame(x, f"{k} long, lat double, lon double") for x, k in ((points, "p_id"), (nodes, "node_id")))
+    plans, write = [], nearest.stored
+    monkeypatch.setattr(nearest, "stored", lambda df, name: (plans.append(df._jdf.queryExecution().toString()) if name == "ranked" else None, write(df, name))[1])
+    got = {r.p_id: r.node_id for r in nearest.nearest_node(p, "p_id", n).collect()}
+    assert got == {i: min((round(metres((a, o), (b, q)), 6), j) for j, b, q in nodes)[1] for i, a, o in points}
+    assert len(plans) == 1 and "hashpartitioning(p_id" not in plans[0]
+
+
 def star(points, seed, lat, lon, radius, least=0.3):
     """A ring about a place, without crossings, its points on a grid of 1e-7 degrees."""
     rnd = random.Random(seed)
