@@ -280,6 +280,17 @@ def test_pairs_of_points_and_things_are_not_shuffled(spark, monkeypatch):
     assert len(plans) == 1 and "hashpartitioning(p_id" not in plans[0]
 
 
+def test_closest_substations_by_place(spark):
+    """As over all distances, without them: a substation of another grid nearer, ties, a grid without substation."""
+    rnd = random.Random(32)
+    nodes = [(i % 4, i, 50 + rnd.randrange(20) * 1e-3, 7 + rnd.randrange(20) * 1e-3) for i in range(120)]
+    subs = [(i % 3, 900 + i, 50 + rnd.randrange(20) * 1e-3, 7 + rnd.randrange(20) * 1e-3) for i in range(9)]
+    n, s = spark.createDataFrame(nodes, "grid_id long, node_id long, lat double, lon double"), spark.createDataFrame(subs, "grid_id long, substation_id long, s_lat double, s_lon double")
+    got = {(r.grid_id, r.node_id, r.substation_id, r.dist_m) for r in cluster.closest_by_place(n, s).collect()}
+    d = n.join(s, "grid_id").select("grid_id", n.node_id.alias("a_id"), F.col("substation_id").alias("b_id"), F.round(geo.haversine("lat", "lon", "s_lat", "s_lon"), 3).alias("dist_m"))
+    assert got == {(r.grid_id, r.node_id, r.substation_id, r.dist_m) for r in cluster.closest_substation(n, s.select("grid_id", "substation_id"), d).collect()} and len(got) == 90
+
+
 def star(points, seed, lat, lon, radius, least=0.3):
     """A ring about a place, without crossings, its points on a grid of 1e-7 degrees."""
     rnd = random.Random(seed)
