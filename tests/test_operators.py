@@ -280,6 +280,18 @@ def test_pairs_of_points_and_things_are_not_shuffled(spark, monkeypatch):
     assert len(plans) == 1 and "hashpartitioning(p_id" not in plans[0]
 
 
+def test_votes_are_dealt_by_entity(spark, monkeypatch):
+    """The number of partitions follows the points; an entity's votes are the same in any."""
+    points = spark.createDataFrame([("building", i, k, 50 + i * 1e-3 + k * 4e-4, 7.0) for i in range(20) for k in range(3)], "role string, id long, pos int, lat double, lon double")
+    boxes = spark.createDataFrame([(k, 50 + k * 5e-3, 50 + k * 5e-3 + 5e-3, 6.9, 7.1) for k in range(4)], "area_id long, lat0 double, lat1 double, lon0 double, lon1 double")
+    rings = region.rectangles(boxes, "area_id")
+    want = {tuple(r) for r in points.join(boxes, points.lat.between(boxes.lat0, boxes.lat1)).groupBy("role", "id", "area_id").count().collect()}
+    monkeypatch.setattr(region, "TASK_POINTS", 5)
+    voted = region.votes(points, rings)
+    assert {tuple(r) for r in voted.collect()} == want
+    assert "hashpartitioning(role" in voted._jdf.queryExecution().toString() and voted.rdd.getNumPartitions() >= 12
+
+
 def test_closest_substations_by_place(spark):
     """As over all distances, without them: a substation of another grid nearer, ties, a grid without substation."""
     rnd = random.Random(32)
