@@ -347,7 +347,7 @@ def voronoi_polygons(sites: DataFrame, margin: float = 1.0) -> DataFrame:
     m = margin * max(tall, wide, 1e-9)
     corner = lambda a, o: F.struct(F.lit(a).alias("lat"), F.lit(o).alias("lon"))
     whole = F.array(corner(box.lat0 - m, box.lon0 - m), corner(box.lat0 - m, box.lon1 + m), corner(box.lat1 + m, box.lon1 + m), corner(box.lat1 + m, box.lon0 - m))
-    size = max((tall * wide / box.n) ** 0.5 * 2, max(tall, wide) / box.n, 1e-9)  # some four sites a cell
+    size = max((tall * wide / box.n) ** 0.5 * 2, max(tall, wide) / box.n * 2, 1e-9)  # some four sites a cell, on a line two
     at = sites.select(F.struct("lat", "lon").alias("other"), geo.cell("lat", size).alias("_y"), geo.cell("lon", size).alias("_x"))
     y, x = around("lat", "lon", size)
     near = sites.withColumn("_y", y).withColumn("_x", x).join(at, ["_y", "_x"], "left").groupBy("site_id", "lat", "lon").agg(F.collect_list("other").alias("others"))
@@ -358,10 +358,12 @@ def voronoi_polygons(sites: DataFrame, margin: float = 1.0) -> DataFrame:
         # corners are named by hashes of their places, as cells share them
         places = corners.select(F.xxhash64("p.lat", "p.lon").alias("node_id"), F.col("p.lat").alias("lat"), F.col("p.lon").alias("lon")).dropDuplicates(["node_id"])
         owner = voronoi_assign(places, sites, size).join(sites.select(F.col("site_id").alias("cell_id"), F.col("lat").alias("o_lat"), F.col("lon").alias("o_lon")), "cell_id")
-        square = lambda lat, lon: (F.col("p.lat") - F.col(lat)) ** 2 + (F.col("p.lon") - F.col(lon)) ** 2
         met = corners.withColumn("node_id", F.xxhash64("p.lat", "p.lon")).join(owner, "node_id")
-        # a corner is as near to some other sites as to its own: only what is nearer for sure cuts
-        nearer = met.where(square("o_lat", "o_lon") < square("s_lat", "s_lon") * (1 - 1e-9)).groupBy("site_id").agg(F.collect_set(F.struct(F.col("o_lat").alias("lat"), F.col("o_lon").alias("lon"))).alias("others"))
+        # a corner is as near to some other sites as to its own: only what is nearer for sure cuts, that is where
+        # the corner is beyond the line between both by a part of its distance, however far it is
+        farther = reduce(lambda a, b: a + b, [(F.col(f"s_{c}") - F.col(f"o_{c}")) * (2 * F.col(f"p.{c}") - F.col(f"s_{c}") - F.col(f"o_{c}")) for c in ("lat", "lon")])
+        away = lambda p, k: F.hypot(F.col(f"{p}lat") - F.col(f"{k}_lat"), F.col(f"{p}lon") - F.col(f"{k}_lon"))
+        nearer = met.where(-farther > away("s_", "o") * away("p.", "s") * 1e-9).groupBy("site_id").agg(F.collect_set(F.struct(F.col("o_lat").alias("lat"), F.col("o_lon").alias("lon"))).alias("others"))
         rest = stored(open_.join(nearer, "site_id", "left"), "cells")
         done.append(rest.where("others is null"))
         again = rest.where("others is not null")

@@ -400,6 +400,22 @@ def test_voronoi_polygons_against_all_sites(spark):
     assert [route.voronoi_polygons(df.limit(k)).count() for k in (0, 1)] == [0, 0]
 
 
+def test_cells_of_sites_on_a_line(spark, monkeypatch):
+    """Corners far from all sites find theirs in one round, and rings have cells only where points are, however far they reach."""
+    sites = [(i, 50 + 0.004 * i, 7.0) for i in range(60)]
+    rounds, made, write, cut = [], [], nearest.stored, nearest.ring_cells
+    monkeypatch.setattr(nearest, "stored", lambda df, name: (rounds.append(name), write(df, name))[1])
+    monkeypatch.setattr(nearest, "ring_cells", lambda *args: (made.append(cut(*args)), made[-1])[1])
+    rings = route.voronoi_polygons(spark.createDataFrame(sites, "site_id long, lat double, lon double"), margin=5000.0)
+    found = {r.site_id: sorted({round(p.lat, 6) for p in r.ring}) for r in rings.collect()}
+    assert all(found[i] == [round(50 + 0.004 * i + d, 6) for d in (-0.002, 0.002)] for i in range(1, 59)) and len(found) == 60
+    assert rounds.count("ranked") == 1
+    nodes = [(10 * i + k, 50 + 0.004 * i + 1e-3, 7.0 + 0.01 * k) for i in range(60) for k in range(3)]
+    got = nearest.point_in_rings(spark.createDataFrame(nodes, "node_id long, lat double, lon double"), "node_id", rings, "site_id")
+    assert {(r.node_id, r.site_id) for r in got.collect()} == {(10 * i + k, i) for i in range(60) for k in range(3)}
+    assert made[0].count() < 1000
+
+
 def ring_column(points):
     from tests.test_geometry import ring
 
