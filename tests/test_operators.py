@@ -447,6 +447,19 @@ def test_pam(spark):
         cluster.pam(spark.createDataFrame([], "grid_id long, a_id long, b_id long, dist_m double"), spark.createDataFrame(nodes[:1], "grid_id long, node_id long, load_kva double, is_substation boolean"), 630.0, 1.0).collect()
 
 
+def test_pam_by_place(spark, monkeypatch):
+    """As over all pairs: ties, a grid whose substations are as many as needed or more, one that lacks some, one without any; only of the last two are pairs made."""
+    rnd = random.Random(33)
+    rows = [(g, 100 * g + i, 50 + rnd.randrange(12) * 1e-3, 7 + rnd.randrange(12) * 1e-3, 100.0, i % 9 < few) for g, few in ((1, 3), (2, 2), (3, 1), (4, 0)) for i in range(36)]
+    nodes = spark.createDataFrame(rows, "grid_id long, node_id long, lat double, lon double, load_kva double, is_substation boolean")
+    want = cluster.pam(graph.straight_connections(nodes, "grid_id"), nodes, 630.0, 1.3).collect()
+    asked, pam = [], cluster.pam
+    monkeypatch.setattr(cluster, "pam", lambda d, *args: (asked.append(d), pam(d, *args))[1])
+    got = cluster.pam_by_place(nodes, 630.0, 1.3).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) == 144
+    assert {r.grid_id for r in asked[0].select("grid_id").distinct().collect()} == {3, 4}
+
+
 def plain_medoids(d, near, count, fixed, order):
     """The rounds of network_pam with a matrix of distances. near: edges (a, b): metres."""
     n = len(d)
