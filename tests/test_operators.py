@@ -562,6 +562,23 @@ def test_paths_in_shares(spark):
     assert one == many and len(one) == sources.count() * (sources.count() - 1)
 
 
+def test_paths_from_all_sources_at_once(spark, monkeypatch):
+    """The same lengths, to the last bit, as source by source, which takes over where paths have many edges."""
+    edges = {(k, k + 1): 7.7 for k in range(39)} | random_edges(7, 40, 90) | {(k, k + 1): 0.1 * k for k in range(40, 140)} | {(0, 40): 3.3}
+    df = frame(spark, edges).selectExpr("1L AS grid_id", "*")
+    sources = df.selectExpr("grid_id", "explode(array(a_id, b_id)) AS node_id").distinct()
+    near = graph.adjacency(*zip(*[(*e, m) for e, m in edges.items()], strict=True))
+    want = {(s, v): d for s in near for v, d in graph.dijkstra(near, s).items() if v != s}
+    ends, metres_ = np.array(list(edges)), np.array(list(edges.values()))
+    arrays = np.concatenate([ends[:, 0], ends[:, 1]]), np.concatenate([ends[:, 1], ends[:, 0]]), np.concatenate([metres_, metres_]), len(near), np.arange(len(near))
+    assert graph.all_at_once(*arrays) is None
+    assert {(r.a_id, r.b_id): r.dist_m for r in graph.shortest_paths(df, sources).collect()} == want
+    monkeypatch.setattr(graph, "HOPS", 500)
+    monkeypatch.setattr(graph, "AT_ONCE", 5000)
+    d = graph.all_at_once(*arrays)
+    assert {k: d[k] for k in want} == want and len(want) == len(near) * (len(near) - 1)
+
+
 @pytest.mark.parametrize(("most", "size"), [(20, 90), (1, 13)])
 def test_large_cells_have_one_ring(spark, most, size):
     """Made of the rings of parts: one ring a cell, none of its edges cross, and no node is lost."""
