@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridweave.functions import geo
-from gridweave.operators.nearest import METRES_PER_DEGREE, around, nearest
+from gridweave.operators.nearest import FEW, METRES_PER_DEGREE, around, nearest
 from gridweave.storage import stored
 
 NEIGHBOURS = 5
@@ -90,6 +90,8 @@ class Ring:
 
 #: Nodes that one task makes a ring of. A cell of more is made of such rings, which are then joined.
 RING_NODES = 1000
+#: Nodes that a task makes rings of, more where a ring has more.
+TASK_NODES = 1000
 #: Edges of either side that a junction is looked for among, at first.
 JUNCTION_EDGES = 200
 
@@ -227,6 +229,8 @@ def ring_routes(points: DataFrame, most: int = RING_NODES) -> DataFrame:
     parts, lines = halves(own, most)
     first = own.groupBy("cell_id").agg(F.min_by("node_id", F.struct(~F.col("is_transition"), "node_id")).alias("_first"))
     begun = parts.join(first, "cell_id").withColumn("is_transition", F.col("node_id") == F.col("_first")).drop("_first")
+    # few bytes are much work here, so the number of tasks follows the nodes
+    begun = begun.repartition(int(own.count()) // TASK_NODES + FEW, "cell_id", "part")
     rings = stored(begun.groupBy("cell_id", "part").applyInPandas(solve, f"cell_id long, {EDGE}"), "rings")
     edges, left = rings.where("b_id is not null"), rings.where("b_id is null").select("cell_id", F.col("a_id").alias("node_id"))
     for level in reversed(lines):

@@ -612,6 +612,18 @@ def test_large_cells_have_one_ring(spark, most, size):
         assert whole(90) == whole(10**6)
 
 
+def test_rings_are_dealt_by_their_nodes(spark, monkeypatch):
+    """Small cells are solved in as many tasks as their nodes ask for; the rings are the same in any."""
+    rnd = random.Random(34)
+    points = [(i % 6, i, 50 + rnd.random(), 7 + rnd.random(), False) for i in range(60)]
+    df = spark.createDataFrame(points, "cell_id long, node_id long, lat double, lon double, is_transition boolean")
+    tasks, write = [], route.stored
+    monkeypatch.setattr(route, "stored", lambda d, name: (tasks.append(d.rdd.getNumPartitions()) if name == "rings" else None, write(d, name))[1])
+    want = sorted(map(str, route.ring_routes(df).collect()))
+    monkeypatch.setattr(route, "TASK_NODES", 5)
+    assert sorted(map(str, route.ring_routes(df).collect())) == want and tasks == [8, 20]
+
+
 def test_medoids_reach_the_best_single_swap():
     rnd = np.random.default_rng(1)
     p = rnd.random((12, 2))
