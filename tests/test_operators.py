@@ -292,6 +292,18 @@ def test_votes_are_dealt_by_entity(spark, monkeypatch):
     assert "hashpartitioning(role" in voted._jdf.queryExecution().toString() and voted.rdd.getNumPartitions() >= 12
 
 
+def test_votes_of_one_role_are_dealt_once(spark, monkeypatch):
+    """A role that is a constant leaves the entities where they are; the places of points are dealt by their number too."""
+    points = spark.range(20).selectExpr("'building' AS role", "id", "explode(sequence(0, 2)) AS pos", "50 + id * 1e-3D AS lat", "7D AS lon")
+    rings = region.rectangles(spark.createDataFrame([(k, 50 + k * 5e-3, 50 + k * 5e-3 + 5e-3, 6.9, 7.1) for k in range(4)], "area_id long, lat0 double, lat1 double, lon0 double, lon1 double"), "area_id")
+    monkeypatch.setattr(region, "TASK_POINTS", 5)
+    monkeypatch.setattr(nearest, "TASK_POINTS", 5)
+    won = region.assign(region.votes(points, rings))
+    assert {(r.id, r.area_id) for r in won.collect()} == {(i, max(0, -(-i // 5) - 1)) for i in range(20)}
+    assert won.rdd.getNumPartitions() == 60 // 5 + nearest.FEW
+    assert nearest.point_in_rings(points, ["id", "pos"], rings, "area_id").rdd.getNumPartitions() == 60 // 5 + nearest.FEW
+
+
 def test_closest_substations_by_place(spark):
     """As over all distances, without them: a substation of another grid nearer, ties, a grid without substation."""
     rnd = random.Random(32)
