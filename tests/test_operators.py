@@ -280,6 +280,20 @@ def test_pairs_of_points_and_things_are_not_shuffled(spark, monkeypatch):
     assert len(plans) == 1 and "hashpartitioning(p_id" not in plans[0]
 
 
+def test_things_are_entered_by_as_many_tasks_as_they_need(spark, monkeypatch):
+    """A task's entries in cells are bounded by their counted number, as are its pairs; the answer is the same."""
+    rnd = random.Random(33)
+    points, nodes = ([(i, rnd.uniform(50, 50.05), rnd.uniform(7, 7.05)) for i in range(120)] for _ in range(2))
+    p, n = (spark.createDataFrame(x, f"{k} long, lat double, lon double") for x, k in ((points, "p_id"), (nodes, "node_id")))
+    plans, write = [], nearest.stored
+    monkeypatch.setattr(nearest, "stored", lambda df, name: (plans.append(df._jdf.queryExecution().toString()) if name == "ranked" else None, write(df, name))[1])
+    monkeypatch.setattr(nearest, "TASK_PAIRS", 50)
+    monkeypatch.setattr(nearest, "TASK_ENTRIES", 100)
+    got = {r.p_id: r.node_id for r in nearest.nearest_node(p, "p_id", n).collect()}
+    assert got == {i: min((round(metres((a, o), (b, q)), 6), j) for j, b, q in nodes)[1] for i, a, o in points}
+    assert len(plans) > 1 and "rangepartitioning(n_lat" in plans[0]
+
+
 def test_votes_are_dealt_by_entity(spark, monkeypatch):
     """The number of partitions follows the points; an entity's votes are the same in any."""
     points = spark.createDataFrame([("building", i, k, 50 + i * 1e-3 + k * 4e-4, 7.0) for i in range(20) for k in range(3)], "role string, id long, pos int, lat double, lon double")
