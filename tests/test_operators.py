@@ -2,9 +2,11 @@
 
 import itertools
 import random
+import re
 
 import numpy as np
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from gridweave.functions import geo
@@ -329,6 +331,27 @@ def test_closest_substations_by_place(spark):
     assert got == {(r.grid_id, r.node_id, r.substation_id, r.dist_m) for r in cluster.closest_substation(n, s.select("grid_id", "substation_id"), d).collect()} and len(got) == 90
 
 
+def test_nodes_meet_few_substations_of_their_area(spark, monkeypatch):
+    """Of one area's 400 substations a node is measured to those in the cells about it."""
+    rnd, seen = random.Random(33), []
+    near = cluster.nearest
+
+    def counted(points, key, things, lats, lons, measured, *more, **named):
+        def watched(df):
+            seen.append(Observation())
+            return measured(df.observe(seen[-1], F.count(F.lit(1)).alias("n")))
+
+        return near(points, key, things, lats, lons, watched, *more, **named)
+
+    monkeypatch.setattr(cluster, "nearest", counted)
+    place = lambda: (50 + rnd.random() * 2, 7 + rnd.random() * 2)
+    n = spark.createDataFrame([(1, i, *place()) for i in range(400)], "grid_id long, node_id long, lat double, lon double")
+    s = spark.createDataFrame([(1, 900 + i, *place()) for i in range(400)], "grid_id long, substation_id long, s_lat double, s_lon double")
+    own = cluster.closest_by_place(n, s, 0.1)
+    assert cluster.cluster_lengths(own).agg(F.sum("n_nodes")).first()[0] == 400
+    assert sum(o.get["n"] for o in seen) < 400 * 400 / 8
+
+
 def star(points, seed, lat, lon, radius, least=0.3):
     """A ring about a place, without crossings, its points on a grid of 1e-7 degrees."""
     rnd = random.Random(seed)
@@ -666,6 +689,24 @@ def test_cluster_members(spark):
     assert {r.substation_id: (r.n_nodes, r.total_m) for r in cluster.cluster_lengths(own).collect()} == {9: (3, 3.0), 8: (2, 1.0)}
 
 
+def test_vertices_are_not_broadcast(spark, monkeypatch):
+    """What grows with a map's vertices doesn't pass the driver as a broadcast, however small Spark takes it for; grids and blocks may."""
+    plans, write = [], cluster.stored
+    tell = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    monkeypatch.setattr(cluster, "stored", lambda df, name: (tell(df), write(df, name))[1])
+    rows = [(g, 100 * g + i, 100 * g + i + 1, 1.0 + i % 3) for g in (1, 2) for i in range(19)]
+    edges = write(spark.createDataFrame(rows, "grid_id long, a_id long, b_id long, dist_m double"), "edges")
+    nodes = spark.createDataFrame([(g, 100 * g + i, 1.0, i == 7) for g in (1, 2) for i in range(20)], "grid_id long, node_id long, load_kva double, is_substation boolean")
+    own = write(cluster.network_pam(edges, nodes, 5.0, 1.0, 8), "own")
+    assert own.count() == 40
+    held = len(plans)
+    tell(cluster.lines_within(edges, own))
+    tell(graph.contract(edges, own.where("node_id % 5 = 0").select("node_id")))
+    tell(grid.lines(edges, own.withColumns({"lat": F.lit(50.0), "lon": F.lit(7.0)}), ""))
+    joins = [line for p in plans for line in p.splitlines() if "BroadcastHashJoin" in line]
+    assert held > 8 and not [j for j in joins if "BuildLeft" in j or re.search(r"Join \[[^]]*(node_id|a_id|b_id|owner|component)#", j)]
+
+
 # --- rings ---
 
 
