@@ -603,6 +603,39 @@ def test_network_medoids_of_one_cell_and_errors(spark):
         cluster.network_pam(df, nodes.where("node_id = 1"), 630.0, 1.0)
 
 
+def test_grids_are_searched_whole_or_by_blocks(spark, monkeypatch):
+    """To the last bit the same either way, with ties, odd edges and given substations; grids of few vertices take few tables, however many rounds their medoids move."""
+    rnd = random.Random(41)
+    lattice = [(g, 100 * g + i, 100 * g + j, 1.0) for g in (1, 2) for i in range(36) for j in (i + 1, i + 6) if j < 36 and (j == i + 6 or j % 6)]
+    odd = [(1, 105, 105, 0.0), (1, 101, 100, 0.5), (2, 205, 206, 9.9), (2, 206, 205, 3.3), (2, 7, 206, 0.1), (3, 301, 300, 2.0)]
+    mixed = [(4, 400 + i, 400 + j, rnd.random()) for i in range(60) for j in (i + 1, rnd.randrange(60)) if j < 60]
+    edges = spark.createDataFrame(lattice + odd + mixed, "grid_id long, a_id long, b_id long, dist_m double")
+    of = {1: 36, 2: 36, 3: 2, 4: 60}
+    nodes = spark.createDataFrame([(g, 100 * g + i, 60.0, g % 2 == 0 and i in (11, 12) or None) for g, n in of.items() for i in range(n)], NODES)
+    tables, write = [], cluster.stored
+    monkeypatch.setattr(cluster, "stored", lambda df, name: (tables.append(name), write(df, name))[1])
+    read = lambda block: sorted(map(tuple, cluster.network_pam(edges, nodes, 400.0, 1.0, block).collect()))
+    whole = read(10_000)
+    assert len(tables) <= 4 and len(whole) == 134 and len({r[2] for r in whole}) == 6 + 6 + 1 + 9
+    tables.clear()
+    assert read(40) == whole and "labels" in tables  # one of the grids has more
+
+
+def test_best_place_at_once(monkeypatch):
+    """The same as by searches that leave candidates out, to the last bit, with ties and borders; not where paths have many edges."""
+    for seed in range(40):
+        rnd = random.Random(seed)
+        n, unit = rnd.randrange(2, 40), seed % 2
+        edges = {(i, rnd.randrange(i)): 1.0 if unit else rnd.random() for i in range(1, n)} | {(j, i): 1.0 if unit else rnd.random() for i, j in (sorted(rnd.sample(range(n), 2)) for _ in range(n // 2))}
+        border = np.array([float(rnd.randrange(4)) if rnd.random() < 0.1 else np.inf for _ in range(n)])
+        a, b, m = (np.array(x) for x in zip(*[(*e, x) for e, x in edges.items()], strict=True))
+        arrays = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([m, m]), border
+        owner = rnd.randrange(n)
+        assert cluster.best_at_once(owner, *arrays) == cluster.best_place(owner, list(range(n)), graph.adjacency(a, b, m), {v: d for v, d in enumerate(border.tolist()) if d < np.inf})
+    monkeypatch.setattr(graph, "HOPS", 1)
+    assert cluster.best_at_once(owner, *arrays) is None
+
+
 def test_paths_in_shares(spark):
     edges = random_edges(5, 30, 90)
     df = frame(spark, edges).selectExpr("1L AS grid_id", "*")
