@@ -575,6 +575,24 @@ def test_components_by_rounds_and_in_one_task(spark):
         assert components.components(df.limit(0), task_edges=most).count() == 0
 
 
+def test_components_of_ways(spark, monkeypatch):
+    """The same parts as those of the sections, from an edge for each further way of a node: a mesh, a chain of ways, a way that meets none, one that passes a node twice."""
+    rnd = random.Random(42)
+    ways = {k: rnd.sample(range(200), 4) for k in range(1, 30)} | {100 + k: [1000 + 2 * k, 1001 + 2 * k, 1002 + 2 * k] for k in range(20, 0, -1)} | {500: [5000, 5001], 501: [6000, 6001, 6002, 6000]}
+    df = spark.createDataFrame([(w, i, n) for w, nodes in ways.items() for i, n in enumerate(nodes)], "way_id long, pos long, node_id long")
+    pairs = [(w, a, b) for w, nodes in ways.items() for a, b in itertools.pairwise(nodes)]
+    parts = {r.node_id: r.component for r in graph.graph_components(spark.createDataFrame([p[1:] for p in pairs], "a_id long, b_id long")).collect()}
+    least = {}
+    for w, a, _ in pairs:
+        least[parts[a]] = min(w, least.get(parts[a], w))
+    asked, join = [], graph.components
+    monkeypatch.setattr(graph, "components", lambda edges: (asked.append(edges.count()), join(edges))[1])
+    got = graph.way_components(df).collect()
+    assert {r.way_id: r.component for r in got} == {w: least[parts[a]] for w, a, _ in pairs} and len(got) == len(ways)
+    at = {n: {w for w, nodes in ways.items() if n in nodes} for nodes in ways.values() for n in nodes}
+    assert 19 < sum(len(x) - 1 for x in at.values()) <= asked[0] <= sum(len(x) for x in at.values() if len(x) > 1) < len(pairs)
+
+
 def test_network_medoids(spark):
     """Two grids at once, against distances of all pairs; blocks of any size give the same."""
     n, edges = 60, {}
@@ -621,19 +639,16 @@ def test_grids_are_searched_whole_or_by_blocks(spark, monkeypatch):
     assert read(40) == whole and "labels" in tables  # one of the grids has more
 
 
-def test_best_place_at_once(monkeypatch):
-    """The same as by searches that leave candidates out, to the last bit, with ties and borders; not where paths have many edges."""
+def test_best_place_at_once():
+    """The same as by searches that leave candidates out, to the last bit, with ties and borders."""
     for seed in range(40):
         rnd = random.Random(seed)
         n, unit = rnd.randrange(2, 40), seed % 2
         edges = {(i, rnd.randrange(i)): 1.0 if unit else rnd.random() for i in range(1, n)} | {(j, i): 1.0 if unit else rnd.random() for i, j in (sorted(rnd.sample(range(n), 2)) for _ in range(n // 2))}
         border = np.array([float(rnd.randrange(4)) if rnd.random() < 0.1 else np.inf for _ in range(n)])
-        a, b, m = (np.array(x) for x in zip(*[(*e, x) for e, x in edges.items()], strict=True))
-        arrays = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([m, m]), border
+        near = graph.adjacency(*zip(*edges, strict=True), edges.values())
         owner = rnd.randrange(n)
-        assert cluster.best_at_once(owner, *arrays) == cluster.best_place(owner, list(range(n)), graph.adjacency(a, b, m), {v: d for v, d in enumerate(border.tolist()) if d < np.inf})
-    monkeypatch.setattr(graph, "HOPS", 1)
-    assert cluster.best_at_once(owner, *arrays) is None
+        assert cluster.best_at_once(owner, [near[v] for v in range(n)], border) == cluster.best_place(owner, list(range(n)), near, {v: d for v, d in enumerate(border.tolist()) if d < np.inf})
 
 
 def test_paths_in_shares(spark):
